@@ -15,8 +15,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    columns = "doc_id n_words n_base first_word last_word base_labels labels score".split()
+    return license_scan(documents(spark, sf_dir)).select(*columns)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts,)}
+    return {f.__name__: f for f in (op3_jaccard_join, op4_token_counts, op5_quality_rules, op7_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
