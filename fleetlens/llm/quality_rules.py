@@ -1,10 +1,10 @@
 """Operator 5: distribution divergence, in DataFrame operations only.
 
-Each text gets two histograms: of character classes, and of the common words of the reference
-languages.  The references are the summed histograms of all documents by language.  A text is
+Each text gets two histograms: of character classes, and of words (the common words of the reference
+languages, and all others in one bin).  The references are the summed histograms of all documents by language.  A text is
 rejected if even its nearest reference is farther than a limit in Jensen-Shannon distance
 (base 2, so 0 to 1), for either histogram; texts under ``MIN_CHARS`` characters or
-``MIN_WORDS`` common words are too short to judge by that histogram and pass.
+``MIN_WORDS`` words are too short to judge by that histogram and pass.
 
 Texts are read once into a small table of counts; references and verdicts come from that.
 Defined cases: null text has no words (all counts 0, base_failed).  Rows with null or
@@ -29,9 +29,9 @@ COMMON = {
     "es": "de la que el en y a los del se las por un para con no una su al es lo como más",
 }
 MIN_CHARS = 400
-MIN_WORDS = 60
-CHARS_APART = 0.45
-WORDS_APART = 0.75
+MIN_WORDS = 100
+CHARS_APART = 0.30
+WORDS_APART = 0.32
 
 
 def words_of(text: Column) -> Column:
@@ -83,6 +83,7 @@ def counts(docs: DataFrame, common=COMMON) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hits = F.filter("words", lambda w: w.isin(bins))
     by_word = _let(hits, lambda h: F.transform(F.array(*map(F.lit, bins)), lambda b: (F.size(h) - F.size(F.array_remove(h, b))).cast("long")))
+    by_word = F.concat(by_word, F.array((F.size("words") - F.size(hits)).cast("long")))
     return docs.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"), (length("text") - length("r0") + length("r1")).alias("word_chars"),
         (length("r4") - length("r5")).alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -104,7 +105,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def references(table: DataFrame, languages) -> dict[str, tuple[list[float], list[float]]]:
     """Shares of the summed histograms of all documents, by reference language (a fixed, small number)."""
-    n_classes, n_bins = 8, len({w for ws in COMMON.values() for w in ws.split()}) if languages is COMMON else len({w for ws in languages.values() for w in ws.split()})
+    n_classes, n_bins = 8, len({w for ws in languages.values() for w in ws.split()}) + 1
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_bins)]
     out = {}
     for r in table.where(F.col("lang").isin(list(languages))).groupBy("lang").agg(*sums).collect():

@@ -53,12 +53,16 @@ def special_strings(path: str) -> tuple[str, ...]:
     return tuple(sorted((t.content for t in added), key=len, reverse=True))
 
 
-def _chunks(text: str) -> list[str]:
-    """Pieces of a text that end where a pre-token ends: cut before each single space that a visible character follows."""
+def _chunks(text: str) -> tuple[list[str], list[str]]:
+    """Two lists of pieces of a text that begin and end where a pre-token does; a space belongs before each of the second.
+
+    A single space before a visible character always opens a pre-token, so a text whose
+    spaces are all of that kind is cut at them; any other is cut into its pre-tokens.
+    """
     if _odd_space(text):
-        return _pretokens(text)
+        return _pretokens(text), []
     first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+    return ([first] if first else []), rest
 
 
 def _plain(text: str, special) -> tuple[int, list[str]]:
@@ -71,11 +75,12 @@ def _special_pattern(path: str):
     return regex.compile("|".join(regex.escape(x) for x in found)) if found else None
 
 
-def _split_units(units: Counter) -> Counter:
+def _split_units(whole: Counter, spaced: Counter) -> Counter:
     out: Counter = Counter()
-    for unit, n in units.items():
-        for p in _pretokens(unit):
-            out[p] += n
+    for before, units in (("", whole), (" ", spaced)):
+        for unit, n in units.items():
+            for p in _pretokens(before + unit):
+                out[p] += n
     return out
 
 
@@ -83,21 +88,25 @@ def pretoken_counts(docs: DataFrame, path: str) -> DataFrame:
     """(pretoken, n): every distinct pre-token of the corpus with its frequency."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: Counter = Counter()
+        whole: Counter = Counter()
+        spaced: Counter = Counter()
         special = _special_pattern(path)
 
         def flush():
-            found = _split_units(units)
-            units.clear()
+            found = _split_units(whole, spaced)
+            whole.clear()
+            spaced.clear()
             return pa.RecordBatch.from_pydict({"pretoken": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
         for batch in batches:
             for value in batch.column(0):
                 for part in _plain(value.as_py() or "", special)[1]:
-                    units.update(_chunks(part))
-                if len(units) > CACHE:
+                    first, rest = _chunks(part)
+                    whole.update(first)
+                    spaced.update(rest)
+                if len(whole) + len(spaced) > CACHE:
                     yield flush()
-        if units:
+        if whole or spaced:
             yield flush()
 
     return text_of(docs, "text").mapInArrow(count, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
@@ -118,40 +127,57 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
     return pretokens.select("pretoken", "n").mapInArrow(encode, "pretoken string, n long, pieces int")
 
 
+def _head(vocabulary: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens, ``most`` at most: whole classes of frequency (eighths of a power of two), from the top."""
+    short = vocabulary.where(F.octet_length("pretoken") <= HEAD_BYTES).withColumn("class", F.floor(F.log2("n") * 8))
+    least, total = None, 0
+    for r in short.groupBy("class").count().orderBy(F.desc("class")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r["class"]
+    return {} if least is None else {r.pretoken: r.pieces for r in short.where(F.col("class") >= least).select("pretoken", "pieces").collect()}
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).  See the module for the defined cases."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     vocabulary = scratch.keep(piece_counts(pretoken_counts(docs, path), path), "pretokens")
-    top = vocabulary.where(F.octet_length("pretoken") <= HEAD_BYTES).orderBy(F.desc("n"), "pretoken").limit(head)
-    known = spark.sparkContext.broadcast({r.pretoken: r.pieces for r in top.select("pretoken", "pieces").collect()})
+    known = spark.sparkContext.broadcast(_head(vocabulary, head))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        pieces, special, cache = known.value, _special_pattern(path), {}
+        pieces, special = known.value, _special_pattern(path)
+        caches: tuple[dict, dict] = ({}, {})
         for batch in batches:
-            out = {"row": [], "doc_id": batch.column(0), "n_bytes": [], "head_tokens": [], "tail": []}
+            n_bytes, head_tokens, ends, names, freqs = [], [], [0], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 tokens, parts = _plain(text, special)
                 tail: Counter = Counter()
                 for part in parts:
-                    for unit, n in Counter(_chunks(part)).items():
-                        if (found := cache.get(unit)) is None:
-                            each = _pretokens(unit)
-                            found = cache[unit] = (sum(pieces.get(p, 0) for p in each), tuple(p for p in each if p not in pieces))
-                        tokens += n * found[0]
-                        for p in found[1]:
-                            tail[p] += n
-                if len(cache) > CACHE:
-                    cache.clear()
-                out["row"].append(row)
-                row += 1
-                out["n_bytes"].append(len(text.encode("utf-8", "surrogatepass")))
-                out["head_tokens"].append(tokens)
-                out["tail"].append([{"pretoken": p, "n": n} for p, n in tail.items()])
-            kinds = {"row": pa.int64(), "n_bytes": pa.int64(), "head_tokens": pa.int64(), "tail": pa.list_(pa.struct([("pretoken", pa.string()), ("n", pa.int64())]))}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) if k in kinds else v for k, v in out.items()})
+                    for units, before, cache in zip(_chunks(part), ("", " "), caches):
+                        for unit, n in Counter(units).items():
+                            if (found := cache.get(unit)) is None:
+                                each = _pretokens(before + unit)
+                                found = cache[unit] = (sum(pieces.get(p, 0) for p in each), tuple(p for p in each if p not in pieces))
+                            tokens += n * found[0]
+                            for p in found[1]:
+                                tail[p] += n
+                for cache in caches:
+                    if len(cache) > CACHE:
+                        cache.clear()
+                n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
+                head_tokens.append(tokens)
+                names += tail
+                freqs += tail.values()
+                ends.append(len(names))
+            each = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(freqs, pa.int64())], ["pretoken", "n"])
+            rows = pa.array(range(row, row + len(n_bytes)), pa.int64())
+            row += len(n_bytes)
+            columns = [rows, batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(head_tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_bytes", "head_tokens", "tail"])
 
     schema = "row long, doc_id long, n_bytes long, head_tokens long, tail array<struct<pretoken:string,n:long>>"
     rows = scratch.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, schema), "rows")

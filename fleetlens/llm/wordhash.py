@@ -18,6 +18,8 @@ _P = 0x9E3779B97F4A7C13
 _INV_P = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators where only ASCII letters, digits and bytes beyond ASCII make words.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
 _FOLDED = _RANDOM.copy()
 _FOLDED[65:91] = _RANDOM[97:123]
@@ -71,16 +73,16 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
 class Words:
     """The words of a run of texts: ``start``/``end`` byte positions, ``hash``, and per row the slice ``row[i]:row[i+1]``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True, separators: np.ndarray = _SPACE):
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~separators[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         first, last = word.copy(), word.copy()
         if n:
             first[1:] &= ~word[:-1] | edge[1:n]
             last[:-1] &= ~word[1:] | edge[1:n]
-        self.data, self.fold = data, fold
+        self.data, self.offsets = data, offsets
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.row = np.searchsorted(self.start, offsets)
