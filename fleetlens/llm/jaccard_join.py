@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import membership
 from .graph import components
 from .shared import Scratch
 from .wordhash import Words, mix, shingle_sets, text_chunks
@@ -40,8 +41,6 @@ BROADCAST_LIMIT = 2_000_000
 SALT_ROWS = 1000
 #: Keys that one counting group holds, about.
 SLOT_KEYS = 1_000_000
-#: Bits of the filter of doc ids whose sets are needed: a fixed size; a full filter only costs time.
-FILTER_BITS = 1 << 26
 _RANGES = 16
 _DOC = "doc_id long, n int, low long, high long"
 
@@ -194,24 +193,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, p
     near = (both - apart) * (100 + percent) >= both * 2 * percent  # at least `apart` shingles are in one set only
     pairs = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct(), "pairs")
 
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.floor(slot / 32768).alias("part"), (slot % 32768).alias("bit"))
-    filled = ids.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    needed = docs.sparkSession.sparkContext.broadcast({r.part: np.frombuffer(bytes(r.bits), np.uint8) for r in filled})
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = membership.build(ids, "doc_id")
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = needed.value
         for batch in batches:
-            slots = batch.column("slot").to_pylist()
-            keep = [(p := maps.get(s >> 15)) is not None and bool(p[(s & 32767) >> 3] >> (s & 7) & 1) for s in slots]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc_id", "text"])
+            yield batch.filter(pa.array(membership.maybe(needed.value, batch.column("doc_id").to_numpy())))
 
-    some = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("id", F.col("doc_id")).select("doc_id", "text", slot.alias("slot")).mapInArrow(member, "doc_id long, text string")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(member, "doc_id long, text string")
 
     def make(own, sets):
         return pa.RecordBatch.from_arrays([own, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
-    sets = _scan(some, words, make, "doc_id long, set binary").join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
+    sets = _scan(some, words, make, "doc_id long, set binary").join(ids, "doc_id")
     sets = scratch.keep(sets, "sets")
     rows = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
 

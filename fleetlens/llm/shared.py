@@ -52,3 +52,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_of(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that extra columns (whatever their names) never meet the operator's own."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where ``df`` has such a column already (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
