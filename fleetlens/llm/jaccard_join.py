@@ -7,8 +7,9 @@ Plan, for sets of distinct n-word shingles (as 64-bit hashes) and a threshold of
   of ``FREQUENT`` rows or more are the frequent ones;
 * rare-first order: shingles that are not frequent by hash, then the frequent ones by frequency; the first
   n - ceil(t n) + 1 of a set are its prefix, and two linked sets share a shingle of both prefixes;
-* prefix rows meet by shingle.  In each group every member is first paired with the group's
-  smallest (a star, linear in the group); pairs pass length, positional and suffix filters,
+* prefix rows meet by shingle.  In each group every member is first paired with the one that
+  has the shingle earliest in its order, so the fewest rarer ones: of near copies the least changed
+  (a star, linear in the group); pairs pass length, positional and suffix filters,
   and each pair that is left is verified once on the whole sets;
 * groups whose members are then still in several components pair all members of different
   components that were not verified yet, with the same filters.  So no link between
@@ -236,14 +237,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     salts = (F.col("df") / SALT_ROWS).cast("int") + 1
     rows = rows.select("doc_id", "n", "token", "pos", salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     group = Window.partitionBy("token", "salt")
-    rows = rows.withColumns({"size": F.count("*").over(group), "head": F.min(F.struct("doc_id", "n", "pos")).over(group)}).where("size > 1 or salts > 1")
+    rows = rows.withColumns({"size": F.count("*").over(group), "head": F.min(F.struct("pos", "doc_id", "n")).over(group)}).where("size > 1 or salts > 1")
     rows = scratch.keep(rows.select("token", "doc_id", "n", "pos", "salts", "size", "head"), "rows")
     rows = rows.select("*", F.col("head.doc_id").alias("head_doc"), F.col("head.n").alias("m"), F.col("head.pos").alias("at")).drop("head")
     heads = rows.where("salts > 1 and doc_id = head_doc")
     over = Window.partitionBy("token")
-    heads = heads.withColumn("top", F.min(F.struct("doc_id", "n", "pos")).over(over)).select("doc_id", "n", "pos", F.col("top.doc_id").alias("head_doc"), F.col("top.n").alias("m"), F.col("top.pos").alias("at"))
+    heads = heads.withColumn("top", F.min(F.struct("pos", "doc_id", "n")).over(over)).select("doc_id", "n", "pos", F.col("top.doc_id").alias("head_doc"), F.col("top.n").alias("m"), F.col("top.pos").alias("at"))
     star = rows.select(*heads.columns).unionByName(heads).where("doc_id <> head_doc").where(_may_link(percent, "n", "pos", "m", "at"))
-    pairs = scratch.keep(star.select(F.col("head_doc").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
+    pairs = scratch.keep(star.select(F.least("head_doc", "doc_id").alias("a"), F.greatest("head_doc", "doc_id").alias("b")).distinct(), "candidates")
     first = _verified(pairs, docs, table, words, percent, scratch)
 
     # groups that are still in several components
