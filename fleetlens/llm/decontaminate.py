@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, with_fields
 
 RATE = 0.08
 LEAST_CHARS = 40
@@ -128,7 +128,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def with_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, column: str = "hits") -> DataFrame:
     """``docs`` with a column of hits (item_id, distance, first, end: characters of the normal text; ``first`` is end less the item's length)."""
     names = docs.columns
-    schema = docs.schema
     out = docs.withColumn(column, F.array().cast(_HITS))
     for items in _blocks(benchmark):
         if not items:
@@ -144,7 +143,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, column:
                 hits = pa.array([a + b if a else b for a, b in zip(before, hits)], pa.list_(_HIT))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), hits], [*names, column])
 
-        out = out.mapInArrow(search, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, `{column}` {_HITS}")
+        out = out.mapInArrow(search, with_fields(docs, f"`{column}` {_HITS}"))
     return out
 
 

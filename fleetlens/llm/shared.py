@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,3 +61,8 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and the fields of ``ddl`` after it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

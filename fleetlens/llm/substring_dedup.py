@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import membership
-from .shared import Scratch, fresh
+from .shared import Scratch, fresh, with_fields
 from .wordhash import _SPACE, Words, mix, text_chunks
 
 SENTENCES = 2
@@ -148,11 +149,8 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WO
                     if n_gone[k]:
                         new[k] = b"".join(data[s.start[j] : s.end[j]].tobytes() for j in a + np.flatnonzero(~drop)).decode("utf-8", "replace")
             changed = pa.array(n_gone > 0)
-            text = pa.compute.if_else(changed, pa.array(new, pa.string()), texts)
+            text = pc.if_else(changed, pa.array(new, pa.string()), texts)
             columns = [text if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_all), pa.array(n_gone)], [*names, total, removed])
 
-    import pyarrow.compute  # noqa: F401
-
-    schema = docs.schema.add(total, "long").add(removed, "long")
-    return joined.mapInArrow(rewrite, schema)
+    return joined.mapInArrow(rewrite, with_fields(docs, f"`{total}` long, `{removed}` long"))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .shared import fresh, with_fields
 from .wordhash import PUNCTUATION, Words, mix, text_chunks
 
 SAMPLE = 2000
@@ -150,20 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> dict:
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted (1 from ``least`` on), spans (first and end character, marginal)."""
-    model = fit(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, labels: DataFrame, sample: int, score: str, spans: str) -> DataFrame:
+    """``docs``, all columns as they are, with a score and the toxic spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    names = docs.columns
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for first, words, features in _tokens(batch.column("text")):
                 n = len(words.row) - 1
-                values, spans = np.full(n, m["prior"]), [[] for _ in range(n)]
+                values, found = np.full(n, m["prior"]), [[] for _ in range(n)]
                 if "weights" in m:
-                    lengths = np.diff(words.row)
-                    starts = words.row[:-1][lengths > 0]
+                    starts = words.row[:-1][np.diff(words.row) > 0]
                     p = crf.marginals(m["weights"][features].sum(axis=1, dtype=np.float64), starts, m["theta"])
                     z = np.column_stack([_document_values(p, words.row), np.ones(n)]) @ m["document"]
                     values = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -173,9 +174,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, least: float = LEAST, sample: i
                         owner = np.searchsorted(words.row, hot, side="right") - 1
                         begin = char[words.offsets[owner]]
                         for i, a, b, x in zip(owner.tolist(), (char[words.start[hot]] - begin).tolist(), (char[words.end[hot]] - begin).tolist(), p[hot].tolist()):
-                            spans[i].append({"first": a, "end": b, "score": x})
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(values, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+                            found[i].append({"first": a, "end": b, "score": x})
+                rows = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(values, pa.float64()), pa.array(found, kind)], [*names, score, spans])
+
+    return docs.mapInArrow(run, with_fields(docs, f"`{score}` double, `{spans}` array<struct<first:long,end:long,score:double>>"))
+
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double, spans array<struct<first:long,end:long,score:double>>")
+def toxicity(docs: DataFrame, labels: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score, predicted (1 from ``least`` on), spans (first and end character, marginal)."""
+    out = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample, "score", "spans")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "spans")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, all columns as they are."""
+    score, spans = fresh(docs, "score"), fresh(docs, "spans")
+    return _scored(docs, labels, sample, score, spans).where(F.col(f"`{score}`") < least).select(*(F.col(f"`{c}`") for c in docs.columns))
