@@ -44,9 +44,6 @@ def _adjacent_icc(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
-adjacent_icc_min = F.pandas_udf(_adjacent_icc, "double")
-
-
 def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, with_icc: bool = True) -> DataFrame:
     """sample_id and the 28 features of each sample, unrounded.
 
@@ -87,7 +84,7 @@ def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, wit
     middle = array_median(F.col("_r"))
     wide = wide.withColumn("ins_low_rins_persistence", F.transform(F.array(middle), lambda m: F.size(F.filter("_r", lambda x: x < m)).cast("double"))[0])
     if with_icc:
-        wide = wide.withColumn("conn_icc_min", adjacent_icc_min("_v")).drop("_v")
+        wide = wide.withColumn("conn_icc_min", F.pandas_udf(_adjacent_icc, "double")("_v")).drop("_v")
     return wide.drop("_r", KEY, ORDER)
 
 
