@@ -33,6 +33,6 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        cast = lambda n, k, r: f"round(CAST({n} AS DOUBLE), {r}) + 0.0" if k == "d" else f"CAST({n} AS {_SQL[k]})"
+        cast = lambda n, k, r: f'round(CAST("{n}" AS DOUBLE), {r}) + 0.0' if k == "d" else f'CAST("{n}" AS {_SQL[k]})'
         head, _, body = self.sql.rpartition("|||")
-        return (f"WITH {head} " if head else "") + f"SELECT {', '.join(f'{cast(*c)} AS {c[0]}' for c in self._columns())} FROM ({body}) q"
+        return (f"WITH {head} " if head else "") + f"SELECT {', '.join(f'{cast(*c)} AS "{c[0]}"' for c in self._columns())} FROM ({body}) q"
