@@ -85,7 +85,7 @@ def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, wit
     wide = wide.withColumn("ins_low_rins_persistence", F.transform(F.array(middle), lambda m: F.size(F.filter("_r", lambda x: x < m)).cast("double"))[0])
     if with_icc:
         wide = wide.withColumn("conn_icc_min", F.pandas_udf(_adjacent_icc, "double")("_v")).drop("_v")
-    return wide.drop("_r", KEY, ORDER)
+    return wide.select("sample_id", *(c for c in wide.columns if c not in ("sample_id", "_r", KEY, ORDER)))
 
 
 def window_sequences(frames: DataFrame, samples: DataFrame, window: int = 30) -> DataFrame:

@@ -56,8 +56,8 @@ def _by_score(predictions: DataFrame, by) -> DataFrame:
 def ranking_metrics(predictions: DataFrame, by=GROUP) -> DataFrame:
     """By group: average precision and area under the ROC curve; null with a single class."""
     c = _by_score(predictions, by)
-    ap = F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    roc = F.sum((F.col("neg") / F.col("all_neg")) * (F.col("tp") - F.col("pos") / 2) / F.col("all_pos"))
+    ap = F.sum(F.try_divide("pos", "all_pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    roc = F.sum(F.try_divide("neg", "all_neg") * F.try_divide(F.col("tp") - F.col("pos") / 2, F.col("all_pos")))
     both = F.min(F.least("all_pos", "all_neg")) > 0
     return c.groupBy(*by).agg(F.when(both, ap).alias("pr_auc"), F.when(both, roc).alias("roc_auc"))
 

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.sensors import finite, parse_series
 
@@ -121,5 +120,3 @@ def read_dataset(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
         return df.toDF(*(c.lstrip("﻿") for c in df.columns))
     raise ValueError(f"no reader for .{ending}")
 
-
-FRAME = T.StructType.fromDDL("vehicle_id string, frame_index int, timestamp long, charge_status int, speed double, sum_voltage double, sum_current double, soc double, insulation_resistance double, voltages array<double>, temperatures array<double>")
