@@ -6,7 +6,7 @@ that position (Viterbi).  A character that no piece begins with costs ``UNKNOWN`
 piece and is written as its bytes.  On equal scores the longest last piece wins.
 
 No piece has a space mark after another character, so a text falls into parts that begin at a
-run of space marks, and each task encodes a distinct part once.
+run of space marks, and a worker encodes a part once as long as it remembers it.  A text's round trip holds if it holds for each part.
 
 The model file given here is of the merging kind; this operator takes its pieces and scores and segments by the
 best total score, so ids differ from the library's merges where the two rules differ, while
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 MARK = "\u2581"
 UNKNOWN = 10.0
-#: Parts that a task remembers before it forgets all.
-CACHE = 300_000
+#: Parts that each generation of a worker's memory holds.
+CACHE = 400_000
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Piece types of the model file.
 _NORMAL, _USER, _BYTE = 1, 4, 6
@@ -65,24 +65,17 @@ class Pieces:
 
     def viterbi(self, part: str) -> list[int]:
         """Piece ids of the best segmentation of one part."""
-        n = len(part)
+        n, unknown = len(part), self.unknown
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         done = 0
-
-        def close(upto: int) -> None:
-            # a position that no piece has reached, or reached at a worse score, is reached by an unknown character
-            nonlocal done
-            while done < upto:
+        for last, (k, size, score) in [*self.automaton.iter(part), (n, (None, 1, 0.0))]:
+            # positions before are final once an unknown character has been tried for them too
+            while done < last:
                 done += 1
-                if best[done - 1] + self.unknown > best[done]:
-                    best[done], back[done] = best[done - 1] + self.unknown, (None, 1)
-
-        for last, (k, size, score) in self.automaton.iter(part):
-            close(last)
-            total = best[last + 1 - size] + score
-            if total > best[last + 1]:
+                if best[done - 1] + unknown > best[done]:
+                    best[done], back[done] = best[done - 1] + unknown, (None, 1)
+            if k is not None and (total := best[last + 1 - size] + score) > best[last + 1]:
                 best[last + 1], back[last + 1] = total, (k, size)
-        close(n)
         out: list[int] = []
         while n:
             k, size = back[n]
@@ -102,42 +95,57 @@ class Pieces:
 
 
 class _Encoded(dict):
-    """The ids of each part, packed; encoded when first asked for."""
+    """The ids of each part, packed; a part is encoded when first asked for.
+
+    Two generations: once ``CACHE`` parts are held, those not asked for again are forgotten.
+    ``lossy`` has the parts that do not decode to themselves.
+    """
 
-    def __init__(self, pieces: Pieces, before: str):
+    def __init__(self, model: Pieces, before: str):
         super().__init__()
-        self.pieces, self.before = pieces, before
+        self.model, self.before, self.old, self.lossy = model, before, {}, set()
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        out = self[part] = np.array(self.pieces.viterbi(self.before + part), np.int32).tobytes()
+        if (out := self.old.get(part)) is None:
+            ids = self.model.viterbi(self.before + part)
+            out = np.array(ids, np.int32).tobytes()
+            if b"".join(map(self.model.raw.__getitem__, ids)) != (self.before + part).encode("utf-8", "surrogatepass"):
+                self.lossy.add(part)
+        self[part] = out
         return out
 
 
 @lru_cache(maxsize=2)
+def _encoders(path: str) -> tuple[Pieces, _Encoded, _Encoded]:
+    """Kept by a worker from task to task."""
+    model = Pieces(path)
+    return model, _Encoded(model, ""), _Encoded(model, MARK)
+
+
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return _encoders(path)[0]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id, ids, n_pieces, round_trip (decoding the ids gives the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
-        whole, spaced = _Encoded(model, ""), _Encoded(model, MARK)
+        model, whole, spaced = _encoders(path)
         for batch in batches:
             packed, same = [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 if not text:
-                    blob = b""
+                    parts, found = [], whole
                 elif MARK in text or "  " in text or text[0] == " " or not model.prefix:
-                    blob = b"".join(map(whole.__getitem__, model.parts(text)))
+                    parts, found = model.parts(text), whole
                 else:
-                    blob = b"".join(map(spaced.__getitem__, text.split(" ")))
-                packed.append(blob)
-                same.append(model.decode(np.frombuffer(blob, np.int32).tolist()) == text.replace(MARK, " "))
+                    parts, found = text.split(" "), spaced
+                packed.append(b"".join(map(found.__getitem__, parts)))
+                same.append(not found.lossy or found.lossy.isdisjoint(parts))
             ends = np.cumsum([0, *(len(b) // 4 for b in packed)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
