@@ -38,7 +38,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(documents(spark, sf_dir))
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return quality_rules(documents(spark, sf_dir)).select(*columns)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of those that SQL can express.  The others (trained models, tokenizers, edit distance, hashed cuts) are tested against brute force."""
+    from . import sql
+
+    return {"op3_jaccard_join": sql.JACCARD, "op5_quality_rules": sql.QUALITY, "op7_license_scan": sql.LICENSE}
