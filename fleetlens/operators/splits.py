@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sensors import FAULTS
+from ..sources.shared import shared_dir
 from .clean import KEY
 
 CORE = ("sd", "samp", "ins")
@@ -49,6 +50,7 @@ def assign_splits(profile: DataFrame, train: int = 12, val: int = 4, test: int =
     The fleet's profile is a small table.  Up to ``SEARCH_LIMIT`` vehicles the best disjoint pair of test and
     validation subsets is searched, by cover, rare faults, counts and ids in turn; larger fleets are dealt by ``greedy_splits``.
     """
+    shared_dir(profile.sparkSession)  # checkpoints need a folder
     vehicles = _vehicles(profile, core).checkpoint()
     n = vehicles.count()
     if n != train + val + test:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sensors as S
 from ..operators import clean, events, features, labels, profiles, splits, windows
+from ..sources.shared import fresh_path
 from ..streaming import fleet as streaming
 from . import fixtures as X
 from . import oracle as O
@@ -137,11 +138,9 @@ def _completeness(s: SparkSession, d: str) -> DataFrame:
 
 def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Frames written as one csv folder by vehicle in wide form, read back through the structured reader."""
-    import uuid
-
     from ..sources import telemetry
 
-    root = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fleetlens').rstrip('/')}/csv-{uuid.uuid4().hex}"
+    root = fresh_path(s, "csv")
     wide = X.frames(s, d).select("vehicle_id", F.col("frame_index"), F.col("timestamp").alias("TIME"), F.col("charge_status").alias("CHARGE_STATUS"), *(F.col("voltages")[i].alias(f"U_{i + 1}") for i in range(X.CELLS)), *(F.col("temperatures")[i].alias(f"T_{i + 1}") for i in range(X.PROBES)))
     telemetry.write_table(wide, root, sort=("vehicle_id", "frame_index"), form="csv")
     rows = s.read.option("header", True).csv(root).withColumn("_row", F.col("frame_index").cast("int")).drop("frame_index")
@@ -150,11 +149,9 @@ def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
     """One csv by vehicle in a directory of its own, listed as a raw tree."""
-    import uuid
-
     from ..sources import telemetry
 
-    root = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fleetlens').rstrip('/')}/tree-{uuid.uuid4().hex}"
+    root = fresh_path(s, "tree")
     X.raw_labels(s, d).select(F.col("vehicle_id").alias("vin"), "frame_index", "timestamp").repartition("vin").write.option("header", True).partitionBy("vin").csv(root)
     out = telemetry.scan_files(s, None, root)
     return out.select(F.regexp_replace("vehicle_id", "^vin=", "").alias("vehicle_id"), "source_dataset", "is_extracted", "entry_kind")
@@ -162,9 +159,7 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
 
 def _stream(s: SparkSession, rows: DataFrame, name: str, build) -> DataFrame:
     """Writes rows to the shared folder and runs ``build`` over them as a file stream until all is read."""
-    import uuid
-
-    root = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fleetlens').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = fresh_path(s, "stream")
     rows.write.parquet(f"{root}/in")
     out = build(s.readStream.schema(rows.schema).parquet(f"{root}/in"))
     out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sensors import FAULTS
 from ..operators import cases, features, metrics
 from ..operators.splits import with_splits
+from ..sources.shared import shared_dir
 from . import fixtures as X
 from . import oracle as O
 from .registry import Query
@@ -62,6 +63,7 @@ def _compared(s: SparkSession, d: str, faults=CORE) -> DataFrame:
 
 def _model_table(s: SparkSession, d: str) -> DataFrame:
     """Samples with split and features."""
+    shared_dir(s)  # checkpoints need a folder
     x = with_splits(X.samples(s, d), X.split_map(s, d))
     return x.join(features.window_features(X.frames(s, d), X.samples(s, d), X.WINDOW, False), "sample_id").checkpoint()
 

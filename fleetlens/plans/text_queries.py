@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profiles, text
 from ..sources import telemetry
+from ..sources.shared import fresh_path
 from .fixtures import table
 from .registry import Query
 
@@ -73,8 +74,6 @@ QUERIES = [
 
 def _partitioned(s: SparkSession, d: str) -> DataFrame:
     """Documents written by source and read back."""
-    import uuid
-
-    root = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fleetlens').rstrip('/')}/docs-{uuid.uuid4().hex}"
+    root = fresh_path(s, "docs")
     telemetry.write_table(table(s, d, "documents").select("doc_id", "lang", "source"), root, ("source",), ("doc_id",))
     return s.read.parquet(root).groupBy("source").agg(F.count("*").alias("docs"))
