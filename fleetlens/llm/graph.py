@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def _canonical(edges: DataFrame) -> DataFrame:
     """u > v, each link once."""
@@ -18,6 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     gathers the neighbours of a node: each takes a minimum by node, combined in the map
     tasks, and joins it back.  Every round is checkpointed.  Null ends and self-links are left out.
     """
+    shared_dir(links.sparkSession)  # checkpoints need a folder
     edges = _canonical(links.where("u is not null and v is not null")).checkpoint()
     before = None
     while True:

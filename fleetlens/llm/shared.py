@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where the session names none (local tests)."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = "file://" + tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..sources.shared import fresh_path
 
 
 class Scratch:
@@ -28,7 +19,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.root = fresh_path(spark, "tables")
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
