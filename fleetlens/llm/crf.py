@@ -84,27 +84,30 @@ def marginals(u: np.ndarray, starts: np.ndarray, theta: np.ndarray, pairs: bool
     return p, np.array([x[0, 1], x[1, 0], x[1, 1], p[starts].sum()])
 
 
-def train(features: np.ndarray, y: np.ndarray, starts: np.ndarray, size: int, rounds: int = 30, rate: float = 0.7, l2: float = 1e-3):
-    """(weights, theta) by adaptive gradient ascent on the conditional likelihood of labels ``y``.
+def train(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int, rounds: int = 30, rate: float = 0.7, l2: float = 1e-3):
+    """(weights, theta) by adaptive gradient ascent on the conditional likelihood of the labels.
 
-    ``features`` is (positions, k) of indices below ``size``.
+    Each part is (features, labels, starts) of some sequences: features are (positions, k) indices below ``size``.  Parts are gone
+    through one after the other in each round, so memory follows the largest part.
     """
     w, theta = np.zeros(size), np.zeros(4)
     w2, theta2 = np.full(size, 1e-8), np.full(4, 1e-8)
-    inner = np.ones(len(y), dtype=bool)
-    inner[starts] = False
-    at = np.flatnonzero(inner)
-    a, b = y[at - 1], y[at]
-    seen = np.array([((1 - a) * b).sum(), (a * (1 - b)).sum(), (a * b).sum(), y[starts].sum()], dtype=float)
-    flat = features.ravel()
     for _ in range(rounds):
-        p, expected = marginals(w[features].sum(axis=1), starts, theta, pairs=True)
-        g = np.bincount(flat, weights=np.repeat(y - p, features.shape[1]), minlength=size) - l2 * w
+        g, gt = -l2 * w, -l2 * theta
+        for features, y, starts in parts:
+            inner = np.ones(len(y), dtype=bool)
+            inner[starts] = False
+            at = np.flatnonzero(inner)
+            a, b = y[at - 1], y[at]
+            gt += np.array([((1 - a) * b).sum(), (a * (1 - b)).sum(), (a * b).sum(), y[starts].sum()], dtype=float)
+            p, expected = marginals(sum(w[column] for column in features.T), starts, theta, pairs=True)
+            for column in features.T:
+                g += np.bincount(column, weights=y - p, minlength=size)
+            gt -= expected
         w2 += g * g
         w += rate * g / np.sqrt(w2)
-        g = seen - expected - l2 * theta
-        theta2 += g * g
-        theta = np.clip(theta + rate * g / np.sqrt(theta2), -12, 12)
+        theta2 += gt * gt
+        theta = np.clip(theta + rate * gt / np.sqrt(theta2), -12, 12)
     return w, theta
 
 

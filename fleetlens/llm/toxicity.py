@@ -31,6 +31,7 @@ from .wordhash import PUNCTUATION, Words, mix, text_chunks
 
 SAMPLE = 2000
 SAMPLE_BYTES = 200_000
+PART_TOKENS = 200_000
 SIZE = 1 << 20
 TIED = 16.0
 SPAN = 0.5
@@ -110,6 +111,19 @@ def _gather(sample: DataFrame) -> list[tuple[int, int, np.ndarray]]:
     return [(r.toxic, r.fold, np.frombuffer(bytes(r.features), np.int32).reshape(-1, 2 + len(_BEGINNINGS))) for r in rows]
 
 
+def _training_parts(rows: list[tuple[int, int, np.ndarray]], lexicon: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, labels, starts) of runs of documents of about ``PART_TOKENS`` tokens."""
+    part: list[tuple[int, int, np.ndarray]] = []
+    for k, r in enumerate(rows):
+        part.append(r)
+        if k == len(rows) - 1 or sum(len(f) for _, _, f in part) >= PART_TOKENS:
+            row = np.cumsum([0, *(len(f) for _, _, f in part)])
+            features = np.concatenate([f for _, _, f in part])
+            toxic = np.repeat([t for t, _, _ in part], np.diff(row))
+            yield features, (lexicon[features].any(axis=1) & (toxic == 1)).astype(float), row[:-1]
+            part = []
+
+
 def _document_values(p: np.ndarray, row: np.ndarray) -> np.ndarray:
     """(documents, 2): the largest marginal, and log(1 + sum of those of 0.2 or more)."""
     n = len(row) - 1
@@ -130,19 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> dict:
     for_field = [r for r in rows if r[1]] or rows
     if not len(tied) or not for_field:
         return model
-    row = np.cumsum([0, *(len(f) for _, _, f in for_field)])
-    features = np.concatenate([f for _, _, f in for_field])
-    toxic = np.repeat([t for t, _, _ in for_field], np.diff(row))
     lexicon = np.zeros(SIZE, dtype=bool)
     lexicon[tied] = True
-    y = (lexicon[features].any(axis=1) & (toxic == 1)).astype(float)
-    model["weights"], model["theta"] = crf.train(features, y, row[:-1], SIZE)
+    model["weights"], model["theta"] = crf.train(list(_training_parts(for_field, lexicon)), SIZE)
     if not {t for t, fold, _ in rows if not fold} >= {0, 1}:
         rest = rows
     else:
         rest = [r for r in rows if not r[1]]
     row = np.cumsum([0, *(len(f) for _, _, f in rest)])
-    p = crf.marginals(model["weights"][np.concatenate([f for _, _, f in rest])].sum(axis=1), row[:-1], model["theta"])
+    p = crf.marginals(np.concatenate([model["weights"][f].sum(axis=1) for _, _, f in rest]), row[:-1], model["theta"])
     kinds = np.array([t for t, _, _ in rest], float)
     share = {t: totals[t] / max(1, (kinds == t).sum()) for t in totals}
     weight = np.where(kinds == 1, share[1], share[0])
