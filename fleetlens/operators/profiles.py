@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +80,3 @@ def suggestions(profile: DataFrame) -> DataFrame:
     items = [F.when(F.col("n") >= 2, "correlation, outliers, models"), F.when(F.col("o") > 0, "category counts, groups, encoding"), F.when(F.col("t") > 0, "trends, seasons, forecasts"), F.when(F.col("m") > 0, "fill or drop missing values")]
     kept = F.filter(F.array(*items), lambda x: x.isNotNull())
     return found.select(F.explode(F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("clean and standardise first")))).alias("suggestion"))
-
-
-def union_all(*parts: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

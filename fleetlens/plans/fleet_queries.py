@@ -102,15 +102,12 @@ _SUMS = ", ".join(f"sum({t}) AS {t}" for t in _TARGETS)
 _POS = " OR ".join(f"{t} = 1" for t in _TARGETS)
 
 
-def _small_fleet(s: SparkSession, d: str) -> DataFrame:
-    """Window profile of the six vehicles with the lowest numbers, with rows only where they have windows."""
-    p = windows.window_profile(X.samples(s, d))
-    return p.orderBy(F.substring("vehicle_id", 2, 20).cast("long")).limit(6)
-
-
 def _splits(s: SparkSession, d: str) -> DataFrame:
-    p = _small_fleet(s, d)
-    return splits.assign_splits(p, 2, 2, 2)
+    """The whole fleet, a fifth of it each to test and val."""
+    p = windows.window_profile(X.samples(s, d))
+    n = p.count()
+    k = max(1, n // 5)
+    return splits.assign_splits(p, n - 2 * k, k, k)
 
 
 def _greedy(s: SparkSession, d: str) -> DataFrame:
@@ -263,8 +260,8 @@ wm AS (SELECT sample_id, c, count(*) AS n, (sum(a) + sum(b)) / (2 * count(*)) AS
 sz AS (SELECT vehicle_id, count(*) FILTER (NOT p) AS size, count(*) FILTER (p) AS pos FROM own GROUP BY 1), sh AS (SELECT *, t * size / CAST(total AS DOUBLE) AS share, floor(t * size / CAST(total AS DOUBLE)) AS base FROM sz, tk),
 ra AS (SELECT *, t - sum(base) OVER () AS leftover, row_number() OVER (ORDER BY share - base DESC, vehicle_id DESC) AS o FROM sh WHERE size > 0)|||SELECT vehicle_id, pos + coalesce(base + CASE WHEN o <= leftover THEN 1 ELSE 0 END, 0) AS rows, pos AS positives FROM sz LEFT JOIN (SELECT vehicle_id, base, o, leftover FROM ra) USING (vehicle_id) WHERE pos + coalesce(base + CASE WHEN o <= leftover THEN 1 ELSE 0 END, 0) > 0"""),
     Query("spl4_cap", lambda s, d: splits.cap(_samples(s, d), 50).groupBy("split").agg(F.count("*").alias("rows")), "split:s rows:i", f"{O.SPLIT_SAMPLES}|||SELECT split, least(50, count(*)) AS rows FROM ss GROUP BY 1"),
-    Query("spl5_bundle", lambda s, d: splits.medium_bundle((x := _samples(s, d)).where("split = 'train'"), x.where("end_frame % 2 = 0"), x.where("split = 'test'")), "sample_id:s split:s", f"{O.SPLIT_SAMPLES}|||SELECT * FROM ss WHERE split IN ('train', 'test') OR end_frame % 2 = 0"),
-    Query("spl6_coverage", lambda s, d: splits.coverage_issues(splits.split_summary(_samples(s, d).where("end_frame < 20"))), "level:s code:s", f"{O.SPLIT_SAMPLES}, su AS (SELECT split, {_SUMS} FROM ss WHERE end_frame < 20 GROUP BY 1)|||" + " UNION ALL ".join(f"SELECT '{'note' if f in ('isc', 'conn') else 'blocking'}' AS level, split || ':y_{k}_{f}' AS code FROM su WHERE y_{k}_{f} <= 0" for k in ("id", "warn") for f in _FAULTS)),
+    Query("spl5_bundle", lambda s, d: splits.medium_bundle((x := _samples(s, d)).where("split = 'train'"), x.where(splits.positive()), x.where("split = 'test'")), "sample_id:s split:s", f"{O.SPLIT_SAMPLES}|||SELECT * FROM ss WHERE split IN ('train', 'test') OR {_POS}"),
+    Query("spl6_coverage", lambda s, d: splits.coverage_issues(splits.split_summary(_samples(s, d))), "level:s code:s", f"{O.SPLIT_SAMPLES}, su AS (SELECT split, {_SUMS} FROM ss GROUP BY 1)|||" + " UNION ALL ".join(f"SELECT '{'note' if f in ('isc', 'conn') else 'blocking'}' AS level, split || ':y_{k}_{f}' AS code FROM su WHERE y_{k}_{f} <= 0" for k in ("id", "warn") for f in _FAULTS)),
     Query("spl7_consistency", _consistency, "issue:s vehicle_id:s detail:s", f"""{O.SPLIT_SAMPLES}, mi AS (SELECT DISTINCT vehicle_id, split FROM ss), mp AS (SELECT vehicle_id, CASE WHEN CAST(vehicle_id[2:] AS BIGINT) % 11 = 0 THEN 'other' ELSE split END AS mapped FROM split_map WHERE CAST(vehicle_id[2:] AS BIGINT) % 10 <> 0)
 |||SELECT * FROM (SELECT CASE WHEN split IS NULL THEN 'missing_in_samples' WHEN mapped IS NULL THEN 'missing_in_mapping' WHEN split <> mapped THEN 'split_mismatch' END AS issue, vehicle_id, coalesce(split, mapped) AS detail FROM mi FULL JOIN mp USING (vehicle_id)) WHERE issue IS NOT NULL"""),
     Query("spl8_external", lambda s, d: splits.external_pool(X.samples(s, d), X.raw_labels(s, d).where("source_dataset = 'raw_dataset'")), "sample_id:s split:s", f"{O.SAMPLES}|||SELECT sample_id, 'external_test' AS split FROM samples WHERE vehicle_id IN (SELECT vehicle_id FROM raw WHERE source_dataset = 'raw_dataset')"),

@@ -34,7 +34,7 @@ kn AS (SELECT * FROM (SELECT q.vec_id AS query_id, n.vec_id AS id, list_dot_prod
 
 
 def _formatted(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/manuals/"), "source", F.lit(".pdf")).alias("source"), F.substring("text", 1, 40).alias("text"), (F.col("doc_id") % 9).alias("page"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/manuals/"), "source", F.lit(".pdf")).alias("source"), "text", (F.col("doc_id") % 9).alias("page"))
     return text.format_hits(_hits(s, d, 2).join(docs, "id"))
 
 
@@ -51,7 +51,7 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dataset(s: SparkSession, d: str) -> DataFrame:
-    return telemetry.read_dataset(s, f"{d}/orders.parquet").count() and profiles.dataset_profile(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
+    return profiles.dataset_profile(telemetry.read_dataset(s, f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
 
 
 _PROFILE = " UNION ALL ".join(
@@ -62,7 +62,7 @@ _PROFILE = " UNION ALL ".join(
 QUERIES = [
     Query("txt1_chunks", lambda s, d: text.chunk_documents(table(s, d, "documents")).select("doc_id", "source", "chunk_no", F.length("text").alias("n_chars")), "doc_id:i source:s chunk_no:i n_chars:i"),
     Query("txt2_top_k", _hits, "query_id:i id:i score:d rank:i", f"{_KNN}|||SELECT * FROM kn"),
-    Query("txt3_format_hits", _formatted, "query_id:i references:s", f"{_KNN}|||SELECT query_id, string_agg('[参考' || rank || '] 文档: ' || source || '.pdf, 第 ' || (doc_id % 9) || ' 页 | 内容: ' || replace(text[1:40], chr(10), ' '), chr(10) ORDER BY rank) AS \"references\" FROM kn JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY 1"),
+    Query("txt3_format_hits", _formatted, "query_id:i references:s", f"{_KNN}|||SELECT query_id, string_agg('[参考' || rank || '] 文档: ' || source || '.pdf, 第 ' || (doc_id % 9) || ' 页 | 内容: ' || replace(text, chr(10), ' '), chr(10) ORDER BY rank) AS \"references\" FROM kn JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY 1"),
     Query("txt4_intent", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.route_intent(F.col("text"), RULES).alias("intent")), "conv_id:i turn:i intent:s", f"SELECT conv_id, turn, CASE WHEN {_H['force_analysis']} THEN 'data_analysis' WHEN {_H['force_diagnosis']} THEN 'diagnosis' WHEN {_H['force_comprehensive']} THEN 'comprehensive_diagnosis' WHEN {_H['analysis']} AND NOT {_H['diagnosis']} AND NOT {_H['manual']} THEN 'data_analysis' WHEN {_H['analysis']} AND ({_H['diagnosis']} OR {_H['manual']}) THEN 'comprehensive_diagnosis' ELSE 'diagnosis' END AS intent FROM conversations"),
     Query("txt5_file_reference", _resolved, "message_id:s session_id:i status:s file:s", "SELECT conv_id || '-' || turn AS message_id, conv_id AS session_id, CASE (turn + conv_id) % 5 WHEN 3 THEN 'missing' WHEN 4 THEN 'ambiguous' ELSE 'ok' END AS status, CASE (turn + conv_id) % 5 WHEN 0 THEN '/data/v' || conv_id || '.csv' WHEN 1 THEN '/up/b' || conv_id || '.csv' WHEN 2 THEN '/up/a' || conv_id || '.csv' END AS file FROM conversations"),
     Query("txt6_history", lambda s, d: text.recent_history(table(s, d, "conversations")), "conv_id:i turn:i history:s", "SELECT conv_id, turn, coalesce(array_to_string(list_filter(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), chr(10)), '') AS history FROM conversations"),
