@@ -20,21 +20,19 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = fresh_path(spark, "tables")
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{len(self.tables)}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        self._held = [*getattr(self, "_held", []), out]
+        self.tables.append((out, path))
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, table: DataFrame) -> None:
+        path = next(p for t, p in self.tables if t is table)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
