@@ -132,7 +132,7 @@ def train(rows: list[tuple[float, np.ndarray]], rounds: int = 60, rate: float =
 
 
 def quality_scores(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM) -> DataFrame:
-    """Per row of ``docs``: doc_id, posterior (of its vote pattern), score (the scorer's, 0 to 1), keep."""
+    """Per row of ``docs``: doc_id, posterior (of its vote pattern), score (the scorer's, 0 to 1), kept (score of KEEP_FROM or more)."""
     spark = docs.sparkSession
     marked = votes(docs)
     counted = [(tuple(r.votes), r["count"]) for r in marked.groupBy("votes").count().collect()]
@@ -168,4 +168,4 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEE
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("doc_id", "posterior")), pa.array(values, pa.float64())], ["doc_id", "posterior", "score"])
 
     scored = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "posterior", "text").mapInArrow(score, "doc_id long, posterior double, score double")
-    return scored.withColumn("keep", F.col("score") >= keep_from)
+    return scored.withColumn("kept", F.col("score") >= keep_from)

@@ -83,7 +83,7 @@ def test_quality_scores(spark):
     both = docs.select("doc_id", "text", F.lit("own").alias("posterior")).unionByName(extra)
     out = quality_classifier.quality_scores(both).checkpoint()
     assert out.count() == docs.count() + 3 and out.where("score is null or score < 0 or score > 1").count() == 0
-    keep = {r.quality: r.k for r in out.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("double")).alias("k")).collect()}
+    keep = {r.quality: r.k for r in out.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
     assert keep[1] > 0.98 and keep[0] < 0.2
     assert quality_classifier.quality_scores(both.limit(0)).count() == 0
 
