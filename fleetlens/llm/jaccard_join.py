@@ -42,7 +42,8 @@ BROADCAST_LIMIT = 2_000_000
 SALT_ROWS = 1000
 #: Keys that one counting group holds, about.
 SLOT_KEYS = 1_000_000
-_RANGES = 16
+#: Ranges of hash whose sizes the suffix filter compares (a power of two).
+_RANGES = 128
 _DOC = "doc_id long, n int, low long, high long"
 
 
@@ -58,11 +59,13 @@ def _marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low, np.uint64).view(np.int64), np.array(high, np.uint64).view(np.int64)
 
 
-def _scan(docs: DataFrame, words: int, make, schema: str, with_empty: bool = False) -> DataFrame:
-    """Run ``make(ids, sets)`` over runs of rows; it returns a record batch or None."""
+def _scan(docs: DataFrame, words: int, make, schema: str, with_empty: bool = False, among=None) -> DataFrame:
+    """Run ``make(ids, sets)`` over runs of rows; it returns a record batch or None.  With ``among`` (a membership filter) other ids are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if among is not None:
+                batch = batch.filter(pa.array(membership.maybe(among.value, batch.column(0).fill_null(-1).to_numpy())))
             ids = batch.column(0)
             for first, data, offsets in text_chunks(batch.column(1)):
                 sets = list(shingle_sets(Words(data, offsets), words))
@@ -81,7 +84,7 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
 
     def make(ids, sets):
         low, high = _marks(sets)
-        sizes = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=_RANGES) for s in sets]
+        sizes = [np.bincount((s >> np.uint64(65 - _RANGES.bit_length())).astype(np.int64), minlength=_RANGES) for s in sets]
         flat = pa.array(np.concatenate(sizes), pa.int32())
         return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(low), pa.array(high), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * _RANGES, pa.int32()), flat)], ["doc_id", "n", "low", "high", "ranges"])
 
@@ -194,19 +197,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, p
     near = (both - apart) * (100 + percent) >= both * 2 * percent  # at least `apart` shingles are in one set only
     pairs = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct(), "pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     needed = membership.build(ids, "doc_id")
 
-    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(membership.maybe(needed.value, batch.column("doc_id").to_numpy())))
-
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(member, "doc_id long, text string")
-
     def make(own, sets):
         return pa.RecordBatch.from_arrays([own, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
-    sets = _scan(some, words, make, "doc_id long, set binary").join(ids, "doc_id")
+    sets = _scan(docs, words, make, "doc_id long, set binary", among=needed).join(ids, "doc_id")
     sets = scratch.keep(sets, "sets")
     rows = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
 
