@@ -10,7 +10,8 @@ run of space marks, and a worker encodes a part once as long as it remembers it.
 
 The model file given here is of the merging kind; this operator takes its pieces and scores and segments by the
 best total score, so ids differ from the library's merges where the two rules differ, while
-decoding returns the text.  The library's unigram mode on the same pieces is the test's yardstick.
+decoding returns the text.  The library's unigram mode on the same pieces is the test's yardstick
+(with the scores of space runs raised, as it adds in single precision).
 
 Defined cases: null or empty text has no ids.  U+2581 in a text is the space mark and decodes
 to a space (round_trip compares with that replaced).  Rows with null or repeated doc_id stay separate rows.
