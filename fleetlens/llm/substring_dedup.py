@@ -1,8 +1,12 @@
 """Operator 2: repeated spans of sentences.
 
 A sentence ends at a line end, or after . ! or ? before white space; one of over ``LONG`` words is
-also cut after words whose hash says so, so that text without punctuation falls into the same pieces
-wherever it stands.  A run starts at each sentence and takes sentences until it has
+also cut by content: of every ``NEAR`` neighbouring places between two of its words, the one where the hash of the two is least
+(all of them, if several are).  So pieces are of at most ``NEAR`` words, and a place is a cut or not by the few words around it:
+over ``LONG`` words of a sentence that stand elsewhere too fall into the same pieces there, but for ``NEAR`` words at
+either end, whatever comes before and after.  A repeated passage of 51 words therefore always holds a whole run, wherever
+it starts and ends.  Of it stay at most ``NEAR`` words at its start and less than two times that at its end; or, where short
+sentences stand there, the part of one, and at the end a whole one that no run ends with.  A run starts at each sentence and takes sentences until it has
 ``SENTENCES`` of them and ``WORDS`` words.  Runs are compared by the hash of their words (case and white
 space do not count) over the whole corpus.  The first occurrence of a run is that of the smallest
 (doc_id, sentence); every sentence that another occurrence covers is removed.
@@ -33,14 +37,34 @@ from .wordhash import _SPACE, Words, mix, text_chunks
 
 SENTENCES = 2
 WORDS = 15
-LONG = 24
-_CUT = np.uint64(7)
+LONG = 11
+NEAR = 5
+_PAIR = np.uint64(0xA24BAED4963EE407)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 
 
+def _inner_cuts(words: Words, cuts: np.ndarray) -> np.ndarray:
+    """For each word but the last, whether its sentence (between two of ``cuts``) is long and cut after it."""
+    of_word = np.searchsorted(cuts, words.start, side="right") - 1
+    long = np.bincount(of_word, minlength=len(cuts))[of_word] > LONG
+    inner = long[:-1] & (of_word[1:] == of_word[:-1])
+    places = len(inner) - NEAR + 1
+    chosen = np.zeros(len(inner), dtype=bool)
+    if places < 1:
+        return chosen
+    pair = mix(words.hash[:-1] * _PAIR + words.hash[1:])
+    least, whole = pair[:places].copy(), inner[:places].copy()
+    for k in range(1, NEAR):
+        np.minimum(least, pair[k : k + places], out=least)
+        whole &= inner[k : k + places]
+    for k in range(NEAR):
+        chosen[k : k + places] |= whole & (pair[k : k + places] == least)
+    return chosen
+
+
 class Sentences:
     """Sentences of a run of texts: ``start`` and ``end`` bytes, per row the slice ``row[i]:row[i+1]``, and ``run`` hashes with ``length``.
 
@@ -58,11 +82,7 @@ class Sentences:
         closes = (data == 10) | (_STOP[data] & after)
         ends[1:] |= closes
         cuts = np.flatnonzero(ends)
-        # words of long sentences after which a cut falls
-        of_word = np.searchsorted(cuts, words.start, side="right") - 1
-        count = np.bincount(of_word, minlength=len(cuts))
-        more = words.end[(count[of_word] > LONG) & ((words.hash & _CUT) == 0)]
-        cuts = np.union1d(cuts, more)
+        cuts = np.union1d(cuts, words.end[:-1][_inner_cuts(words, cuts)])
         cuts = cuts[cuts <= n]
         self.start, self.end = cuts[:-1], cuts[1:]
         self.row = np.searchsorted(self.start, offsets)

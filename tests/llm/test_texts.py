@@ -192,6 +192,24 @@ def test_substring_dedup_unpunctuated_passage(spark):
     assert got[0].n_removed == 0 and all(len(got[i].text.split()) < 140 for i in (1, 2))
 
 
+@pytest.mark.parametrize("ends", [0, 9, 20])
+def test_substring_dedup_any_51_words(spark, ends):
+    """Passages of 51 words that neither start nor end at sentence ends; about one word in ``ends`` ends a sentence."""
+    rng, rows = random.Random(51 + ends), []
+    for k in range(300):
+        word = lambda: rng.choice(WORDS) + str(rng.randrange(9999)) + ("." if ends and rng.randrange(ends) == 0 else "")
+        passage = [word() for _ in range(51)]
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join([*(word() for _ in range(rng.randrange(60))), *passage, *(word() for _ in range(rng.randrange(60)))])))
+    got = {r.doc_id: r.text.split() for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    gone = [len(rows[i][1].split()) - len(got[i]) for i in range(600)]
+    assert not any(gone[::2]) and max(gone) <= 51 and min(gone[1::2]) >= 15
+    assert sum(gone[1::2]) >= (0.7 if ends else 0.8) * 300 * 51
+    for i in range(1, 600, 2):  # what goes is in the passage, so it is in the other document
+        kept = [w for w in rows[i][1].split() if w not in set(got[i])]
+        assert set(kept) <= set(rows[i - 1][1].split())
+
+
 def naive_distance(item, text):
     before = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
