@@ -164,7 +164,7 @@ def _prefix_rows_broadcast(docs: DataFrame, words: int, percent: int, frequent:
 
 
 def _prefix_rows_join(docs: DataFrame, words: int, percent: int, frequent: DataFrame) -> DataFrame:
-    """The same rows where the frequent shingles are too many to send: every shingle is joined to its frequency."""
+    """The same rows where the frequent shingles are too many to send: every shingle of a class's set is joined to its frequency."""
 
     def make(ids, sets):
         low, high = _marks(sets)
@@ -172,12 +172,13 @@ def _prefix_rows_join(docs: DataFrame, words: int, percent: int, frequent: DataF
         offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
         return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(low), pa.array(high), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n", "low", "high", "tokens"])
 
-    rows = _scan(docs, words, make, f"{_DOC}, tokens array<long>").select("doc_id", "n", "low", "high", F.explode("tokens").alias("token"))
+    each = _scan(docs, words, make, f"{_DOC}, tokens array<long>")
+    first = each.groupBy("low", "high", "n").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))  # rows of a class have equal tokens
+    rows = first.select("doc_id", "n", "low", "high", F.explode("tokens").alias("token"))
     rows = rows.withColumn("key", F.shiftrightunsigned("token", 16)).join(frequent, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    own = Window.partitionBy("doc_id", "low", "high").orderBy("df", F.shiftrightunsigned("token", 1), "token")
-    first = Window.partitionBy("low", "high", "n", "token")
+    own = Window.partitionBy("low", "high", "n").orderBy("df", F.shiftrightunsigned("token", 1), "token")
     rows = rows.withColumn("pos", F.row_number().over(own) - 1).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    return rows.withColumn("first", F.min("doc_id").over(first)).where("doc_id = first").select("doc_id", "n", "token", "df", "pos")
+    return rows.select("doc_id", "n", "token", "df", "pos")
 
 
 def _may_link(percent: int, n: str, pos: str, m: str, at: str) -> Column:

@@ -71,6 +71,16 @@ def test_jaccard_components(spark, monkeypatch, options):
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_limit": 0}])
+def test_jaccard_repeated_row(spark, options):
+    """A row given twice, linked at 89/111 by shingles that are all frequent; its 11 own ones come first."""
+    shared = [f"w{k}" for k in range(93)]
+    a, b = (" ".join([f"{x}{k}" for k in range(11)] + shared) for x in "ab")
+    rows = [(1, a), (1, a), (2, b), (3, "apart")]
+    got = [tuple(r) for r in jaccard_join.jaccard_components(table(spark, rows), frequent=3, **options).collect()]
+    assert key(got) == key([(1, 100, 1), (1, 100, 1), (2, 100, 1), (3, 1, 3)])
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(table(spark, ODD).limit(0)).collect() == []
 
