@@ -9,12 +9,15 @@ the least distance of the item to any passage there.
 The benchmark is a set of queries against all documents: it goes to all tasks in blocks
 of ``BLOCK_CHARS`` characters, one pass each, so its size is not bounded by a task's memory.
 
-Defined cases: items with null, or with fewer than ``LEAST_CHARS`` characters (they occur by chance), match nothing;
-null and empty texts match nothing; items of equal text match alike; rows with null or repeated doc_id stay separate rows.
+Items of fewer than ``LEAST_CHARS`` characters are searched by the same automaton whole, without errors, and only between word bounds
+(a letter, mark, digit or _ next to another is none; letters of scripts written without spaces always are).
+
+Defined cases: items with null, or without characters other than white space, match nothing; null and empty texts match nothing; items of equal text match alike; rows with null or repeated doc_id stay separate rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +43,19 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _joins(c: str) -> bool:
+    """Whether a word goes on over this character: not for scripts written without spaces."""
+    if c == "_":
+        return True
+    unspaced = unicodedata.east_asian_width(c) in "WF" or "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff"
+    return unicodedata.category(c)[0] in "LMN" and not unspaced
+
+
+def bounded(text: str, first: int, end: int) -> bool:
+    """Whether ``text[first:end]`` starts and ends at word bounds."""
+    return not (first and _joins(text[first - 1]) and _joins(text[first])) and not (end < len(text) and _joins(text[end - 1]) and _joins(text[end]))
+
+
 class Pattern:
     """An item, ready for Myers' algorithm: one machine-independent integer holds a column of the distance table."""
 
@@ -85,7 +101,7 @@ class Matcher:
         self.items = []
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            budget = int(rate * len(text))
+            budget = int(rate * len(text)) if len(text) >= LEAST_CHARS else 0
             for offset, piece in pieces(text, budget):
                 found.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((item_id, Pattern(text), budget))
@@ -102,6 +118,10 @@ class Matcher:
             for number, offset in places:
                 begin = last + 1 - size - offset  # where the item starts if nothing before the piece was added or lost
                 item_id, pattern, budget = self.items[number]
+                if pattern.size < LEAST_CHARS:  # the piece is the item
+                    if number not in best and bounded(text, begin, last + 1):
+                        best[number] = (0, last + 1, begin)
+                    continue
                 # a window that was searched already covers this one if the start is the same
                 tried = seen.setdefault(number, [])
                 if any(a <= begin <= b for a, b in tried):
@@ -122,7 +142,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks or 1))
     for k in range(blocks):
         rows = [(r.item_id, normal(r.text)) for r in items.where(block == k).collect()]
-        yield sorted({r for r in rows if len(r[1]) >= LEAST_CHARS})
+        yield sorted({r for r in rows if r[1]})
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, column: str = "hits") -> DataFrame:

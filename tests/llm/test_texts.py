@@ -257,6 +257,16 @@ def test_decontamination_against_table(spark):
     assert decontaminate.benchmark_hits(table(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    """Items under 40 characters are found word for word, between word bounds."""
+    items = [(1, "What is  Rho?"), (2, "rho"), (3, " "), (4, "水是什么"), (5, "C++"), (6, "alpha beta gamma delta epsilon zeta eta theta")]
+    rows = [(1, "Say: what is\nrho? yes"), (2, "rhombus arrho rho_ what is rhò?"), (3, "a rhombus and (RHO)"), (4, "请问水是什么呢"), (5, "what is rha?"), (6, "objc++ or c++11"), (7, "alpha beta gamma delta epsilon zeta eta thetas"), (8, None), (8, "c++")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.benchmark_hits(table(spark, rows), benchmark).collect()]
+    assert key(got) == key([(1, 1, 0, 5, 17), (1, 2, 0, 13, 16), (3, 2, 0, 15, 18), (4, 4, 0, 2, 6), (6, 5, 0, 10, 13), (7, 6, 0, 0, 45), (8, 5, 0, 0, 3)])
+    assert {r.doc_id for r in decontaminate.decontaminated(table(spark, rows), benchmark).collect()} == {2, 5, 8}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
     rng = random.Random(2)
