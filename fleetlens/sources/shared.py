@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.  Where the session names none (local tests), the checkpoint folder that is set, or a temporary one."""
+    """The folder in ``spark.checkpoint.dir``, or the checkpoint folder that the session has set.
+
+    A session in one process (local tests) gets a temporary folder where neither is set; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fleetlens-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
