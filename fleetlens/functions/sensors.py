@@ -55,16 +55,31 @@ def neighbour_gap(a: Column) -> Column:
     return F.coalesce(F.array_max(steps), F.lit(0.0))
 
 
+#: Width of each module of a pack of 92 cells, in order; its 34 probes stand in pairs.
+PACK_CELLS = (5,) * 10 + (6,) * 7
+PACK_PROBES = (2,) * 17
+
+
+def _in_order(widths) -> list[tuple[int, int]]:
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
 def module_groups(total: int, groups: int) -> list[tuple[int, int]]:
     """(start, length) of contiguous groups of near-equal length, the longer ones first."""
     groups = max(1, min(groups, total))
-    base, rest = divmod(total, groups)
-    out, start = [], 0
-    for k in range(groups):
-        width = base + (k < rest)
-        out.append((start, width))
-        start += width
-    return out
+    return _in_order([total // groups + (k < total % groups) for k in range(groups)])
+
+
+def pack_modules(cells: int, probes: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Groups of cells and of probes, module by module.
+
+    A pack of 92 cells and one of 34 probes have their fixed groups, whatever the number of the others; else there
+    are as many groups of cells as probes (17 beside 34 probes), and as many groups of probes as of cells.
+    """
+    by_cell = _in_order(PACK_CELLS) if cells == 92 else module_groups(cells, 17 if probes == 34 else probes)
+    by_probe = _in_order(PACK_PROBES) if probes == 34 else module_groups(probes, len(by_cell))
+    count = min(len(by_cell), len(by_probe))
+    return by_cell[:count], by_probe[:count]
 
 
 def module_values(a: Column, groups: list[tuple[int, int]], least: bool) -> Column:

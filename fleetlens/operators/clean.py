@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sensors import finite_array
+from .quantiles import grouped_quantiles
 
 KEY, ORDER = "vehicle_id", "frame_index"
 
@@ -62,19 +63,32 @@ def quality_flag(ok: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.lit("ok")).otherwise(F.lit("low"))
 
 
-def sanitize(df: DataFrame, column: str, key: str = KEY) -> DataFrame:
+def sensor_medians(df: DataFrame, column: str, key: str = KEY) -> DataFrame:
+    """(key, _medians, _unit): each cell's median of values other than 0 (0 if there is none), and 1000 for a vehicle in thousandths, else 1.
+
+    ``column`` holds finite numbers.  Medians are exact and no task holds a cell's whole life.
+    """
+    cells = df.select(key, F.posexplode(column).alias("_cell", "_x")).where("_x <> 0")
+    medians = grouped_quantiles(cells, [key, "_cell"], "_x", (0.5,)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_cell", F.col("q")[0]))).alias("_by_cell"))
+    size = df.groupBy(key).agg(F.max(F.size(column)).alias("_size"), F.max(F.array_max(F.transform(column, F.abs))).alias("_most"))
+    unit = F.when(F.col("_most") > 1000, F.lit(1000.0)).otherwise(F.lit(1.0))
+    each = F.when(F.col("_size") > 0, F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.coalesce(F.try_element_at("_by_cell", i), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+    return size.join(medians, key, "left").select(key, each.alias("_medians"), unit.alias("_unit"))
+
+
+def sanitize(df: DataFrame, column: str, key: str = KEY, medians: str | None = None) -> DataFrame:
     """Non-finite items become 0; a vehicle whose largest absolute item is over 1000 is in thousandths; zeros become the median of the cell's other values.
 
-    Medians and the unit are small aggregates by (vehicle, cell), joined back by vehicle.
+    With ``medians`` a column of that name has the cells' medians (those of the result are the same).
     """
     df = df.withColumn(column, finite_array(F.col(column)))
-    cells = df.select(key, F.posexplode(column).alias("_cell", "_x")).groupBy(key, "_cell").agg(F.median(F.when(F.col("_x") != 0, F.col("_x"))).alias("_median"), F.max(F.abs("_x")).alias("_most"))
-    by_vehicle = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_cell", F.coalesce("_median", F.lit(0.0)).alias("m")))).alias("_medians"), F.max("_most").alias("_most"))
-    df = df.join(by_vehicle, key, "left")
-    unit = F.when(F.col("_most") > 1000, F.lit(1000.0)).otherwise(F.lit(1.0))
-    filled = F.zip_with(column, F.transform("_medians", lambda c: c.m), lambda x, m: F.when(x == 0, m).otherwise(x))
-    fixed = F.transform(F.array(F.struct(filled.alias("a"), unit.alias("u"))), lambda s: F.transform(s.a, lambda x: x / s.u))[0]
-    return df.withColumn(column, F.coalesce(fixed, F.col(column))).drop("_medians", "_most")
+    df = df.join(sensor_medians(df, column, key), key, "left")
+    filled = F.zip_with(column, F.slice("_medians", 1, F.size(column)), lambda x, m: F.when(x == 0, m).otherwise(x))
+    scaled = lambda a: F.transform(F.array(F.struct(a.alias("a"), F.col("_unit").alias("u"))), lambda s: F.transform(s.a, lambda x: x / s.u))[0]
+    df = df.withColumn(column, F.coalesce(scaled(filled), F.col(column)))
+    if medians:
+        df = df.withColumn(medians, scaled(F.col("_medians")))
+    return df.drop("_medians", "_unit")
 
 
 def select_labels(df: DataFrame, faults, raw: bool = False, ignore_quality: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Scores to thresholds, metrics and comparison tables.
 
-Rank metrics first add up rows by distinct score, so a group is as long as its distinct scores.
+Rank metrics first add up rows by distinct score, and sum these up by ranges of score, so one long group spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import value_range
+
 GROUP = ("model_name", "task_type", "fault_type", "split")
 SUMMARY = ("experiment_name", "model_name", "task_type", "fault_type", "split", "accuracy", "f1", "recall", "precision", "pr_auc", "roc_auc", "warning_f1", "warning_recall", "false_alarm_rate", "avg_lead_time", "macro_f1", "micro_f1")
 #: Names that reports show for model keys.
@@ -45,12 +47,27 @@ def binary_metrics(predictions: DataFrame, by=GROUP) -> DataFrame:
     return c.select(*by, ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), _f1().alias("f1"), ratio(tp, tp + fn).alias("recall"), ratio(tp, tp + fp).alias("precision"))
 
 
+def _from_the_top(rows: DataFrame, by) -> DataFrame:
+    """Distinct scores with pos and neg: adds tp and fp, both summed from the highest score down, and all_pos and all_neg.
+
+    Sums go by ranges of score first, then within each range, so no task holds a group.
+    """
+    rows = rows.withColumn("_range", F.coalesce(value_range(F.col("y_score")), F.lit(-(1 << 40))))
+    ranges = rows.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    group = Window.partitionBy(*by)
+    above = group.orderBy(F.desc("_range"))
+    ranges = ranges.select(
+        *by, "_range", (F.sum("_pos").over(above) - F.col("_pos")).alias("_tp"), (F.sum("_neg").over(above) - F.col("_neg")).alias("_fp"),
+        F.sum("_pos").over(group).alias("all_pos"), F.sum("_neg").over(group).alias("all_neg"),
+    )
+    down = Window.partitionBy(*by, "_range").orderBy(F.desc("y_score"))
+    out = rows.join(ranges, [*by, "_range"]).withColumns({"tp": F.col("_tp") + F.sum("pos").over(down), "fp": F.col("_fp") + F.sum("neg").over(down)})
+    return out.drop("_range", "_tp", "_fp")
+
+
 def _by_score(predictions: DataFrame, by) -> DataFrame:
-    """Distinct scores with positives, negatives, and both summed from the highest score down."""
     rows = predictions.groupBy(*by, "y_score").agg(count_if(F.col("y_true") == 1).alias("pos"), count_if(F.col("y_true") != 1).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("y_score"))
-    whole = Window.partitionBy(*by)
-    return rows.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    return _from_the_top(rows, by)
 
 
 def ranking_metrics(predictions: DataFrame, by=GROUP) -> DataFrame:
@@ -93,11 +110,10 @@ def best_thresholds(predictions: DataFrame, by=GROUP[:3], default: float = 0.5,
     added = groups.select(*by, F.explode(F.array(*map(F.lit, given))).alias("y_score"), F.lit(None).cast("int").alias("y_true"))
     rows = finite.select(*by, F.col("y_score").cast("double").alias("y_score"), F.col("y_true").cast("int").alias("y_true")).unionByName(added)
     c = rows.groupBy(*by, "y_score").agg(count_if(F.col("y_true") == 1).alias("pos"), count_if(F.col("y_true") == 0).alias("neg"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("y_score")), Window.partitionBy(*by)
-    c = c.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
-    c = c.withColumns({"fn": F.col("p") - F.col("tp")}).withColumns({"f1": _f1(), "recall": ratio(F.col("tp"), F.col("p")), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp"))})
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision"), "y_score"))
-    return c.withColumn("_r", first).where("_r = 1").select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("y_score")).otherwise(F.lit(default)).alias("threshold"))
+    c = _from_the_top(c, by).withColumn("fn", F.col("all_pos") - F.col("tp"))
+    quality = F.struct(_f1().alias("f1"), ratio(F.col("tp"), F.col("all_pos")).alias("recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), (-F.col("y_score")).alias("low"))
+    best = c.groupBy(*by).agg(F.max_by("y_score", quality).alias("_best"), F.max("all_pos").alias("_p"), F.max("all_neg").alias("_n"))
+    return best.select(*by, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_best")).otherwise(F.lit(default)).alias("threshold"))
 
 
 def apply_thresholds(scores: DataFrame, thresholds: DataFrame, by=GROUP[:3]) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions.sensors import FAULTS
 from .clean import KEY
+from .quantiles import grouped_quantiles
+
+_QUARTILES = (0.25, 0.5, 0.75)
 
 
 def label_summary(frames: DataFrame, faults=FAULTS) -> DataFrame:
@@ -53,24 +56,44 @@ def label_distribution(samples: DataFrame, faults=FAULTS) -> DataFrame:
 def dataset_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row by column: type, share of nulls in per cent, distinct values, and for numbers mean, deviation, minimum, quartiles, maximum.
 
-    One pass over the table; with ``exact`` off, distinct counts and quartiles are sketches.
+    Exact distinct counts and quartiles are counted by (column, value) and by ranges of value, so no task holds a column; with
+    ``exact`` off they are sketches, and all is one pass over the table.
     """
-    aggs, rows = [F.count("*").alias("_rows")], []
-    for k, field in enumerate(df.schema.fields):
-        c = F.col(f"`{field.name}`")
-        numeric = isinstance(field.dataType, T.NumericType)
-        simple = not isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType)
-        distinct = (F.count_distinct(c) if exact else F.approx_count_distinct(c)) if simple else F.lit(None).cast("long")
-        aggs += [F.count(c).alias(f"_n{k}"), distinct.alias(f"_d{k}")]
-        if numeric:
-            x = c.cast("double")
-            q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-            aggs += [F.avg(x).alias(f"_m{k}"), F.stddev_samp(x).alias(f"_s{k}"), F.min(x).alias(f"_lo{k}"), F.max(x).alias(f"_hi{k}"), (F.percentile(x, q) if exact else F.percentile_approx(x, q)).alias(f"_q{k}")]
-        none = F.lit(None).cast("double")
-        v = lambda name, has=numeric, k=k, none=none: F.col(f"_{name}{k}") if has else none
-        quart = lambda i, has=numeric, k=k, none=none: F.col(f"_q{k}")[i] if has else none
-        rows.append(F.struct(F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("dtype"), ((1 - F.col(f"_n{k}") / F.col("_rows")) * 100).alias("missing_pct"), F.col(f"_d{k}").alias("distinct"), v("m").alias("mean"), v("s").alias("std"), v("lo").alias("min"), quart(0).alias("q1"), quart(1).alias("median"), quart(2).alias("q3"), v("hi").alias("max")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    fields = list(enumerate(df.schema.fields))
+    column = lambda f: F.col(f"`{f.name}`")
+    numbers = {k for k, f in fields if isinstance(f.dataType, T.NumericType)}
+    simple = {k for k, f in fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)}
+    aggs = [F.count("*").alias("_rows")]
+    for k, f in fields:
+        aggs.append(F.count(column(f)).alias(f"_n{k}"))
+        if k in numbers:
+            x = column(f).cast("double")
+            aggs += [F.avg(x).alias(f"_m{k}"), F.stddev_samp(x).alias(f"_s{k}"), F.min(x).alias(f"_lo{k}"), F.max(x).alias(f"_hi{k}")]
+            if not exact:
+                aggs.append(F.percentile_approx(x, list(_QUARTILES)).alias(f"_q{k}"))
+        if k in simple and not exact:
+            aggs.append(F.approx_count_distinct(column(f)).alias(f"_d{k}"))
+    rows = []
+    for k, f in fields:
+        of = lambda name, has, kind="double", k=k: F.col(f"_{name}{k}") if has else F.lit(None).cast(kind)
+        stats = [of(x, k in numbers).alias(y) for x, y in (("m", "mean"), ("s", "std"), ("lo", "min"), ("hi", "max"))]
+        rows.append(F.struct(
+            F.lit(k).alias("_k"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), ((1 - F.col(f"_n{k}") / F.col("_rows")) * 100).alias("missing_pct"),
+            *stats, of("d", k in simple and not exact, "long").alias("distinct"), of("q", k in numbers and not exact, "array<double>").alias("q"),
+        ))
+    out = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    if exact:
+        pairs = lambda ks, value: F.array(*(F.struct(F.lit(k).alias("_k"), value(f).alias("_v")) for k, f in fields if k in ks))
+        out = out.drop("distinct", "q")
+        text = lambda f: F.hex(column(f)) if isinstance(f.dataType, T.BinaryType) else column(f).cast("string")
+        distinct = df.select(F.inline(pairs(simple, text))).where("_v is not null").distinct().groupBy("_k").agg(F.count("*").alias("distinct")) if simple else None
+        quartiles = grouped_quantiles(df.select(F.inline(pairs(numbers, lambda f: column(f).cast("double")))), ["_k"], "_v", _QUARTILES) if numbers else None
+        out = out.join(distinct, "_k", "left") if simple else out.withColumn("distinct", F.lit(None).cast("long"))
+        out = out.join(quartiles, "_k", "left") if numbers else out.withColumn("q", F.lit(None).cast("array<double>"))
+        counted = F.when(F.array_contains(F.array(*map(F.lit, sorted(simple) or [-1])), F.col("_k")), F.coalesce("distinct", F.lit(0)))
+        out = out.withColumn("distinct", counted)
+    q = lambda i: F.col("q")[i]
+    return out.select("column", "dtype", "missing_pct", "distinct", "mean", "std", "min", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), "max")
 
 
 def suggestions(profile: DataFrame) -> DataFrame:

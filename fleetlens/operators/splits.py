@@ -14,7 +14,7 @@ from .clean import KEY
 CORE = ("sd", "samp", "ins")
 #: What a rare fault's positives have to reach.
 RARE = {"isc": "train_plus_eval", "conn": "eval_only"}
-#: Vehicles up to which all subsets are searched; beyond it the greedy rule below holds.
+#: Vehicles up to which all subsets can be searched.
 SEARCH_LIMIT = 30
 BEST = 800
 
@@ -47,8 +47,8 @@ def _subsets(vehicles: DataFrame, size: int, full: int, best: int) -> DataFrame:
 def assign_splits(profile: DataFrame, train: int = 12, val: int = 4, test: int = 4, core=CORE) -> DataFrame:
     """(vehicle_id, split) for a window profile of ``train + val + test`` vehicles, so that every split covers the core faults as far as can be.
 
-    The fleet's profile is a small table.  Up to ``SEARCH_LIMIT`` vehicles the best disjoint pair of test and
-    validation subsets is searched, by cover, rare faults, counts and ids in turn; larger fleets are dealt by ``greedy_splits``.
+    The best disjoint pair of test and validation subsets is searched, by cover, rare faults, counts and ids in turn.  The search
+    is for fleets of up to ``SEARCH_LIMIT`` vehicles; more raise an error, and the caller may take ``greedy_splits`` instead.
     """
     shared_dir(profile.sparkSession)  # checkpoints need a folder
     vehicles = _vehicles(profile, core).checkpoint()
@@ -56,7 +56,7 @@ def assign_splits(profile: DataFrame, train: int = 12, val: int = 4, test: int =
     if n != train + val + test:
         raise ValueError("the counts do not add up to the number of vehicles")
     if n > SEARCH_LIMIT:
-        return greedy_splits(profile, val, test, core)
+        raise ValueError(f"subsets of {n} vehicles are too many to search; greedy_splits deals any number")
     full = (1 << len(core)) - 1
     best = BEST if n >= 20 else 1 << 30
     rare = [f"rare_{f}" for f in RARE]
@@ -90,11 +90,33 @@ def greedy_splits(profile: DataFrame, val: int, test: int, core=CORE) -> DataFra
     return v.withColumn("_r", rank).select(F.col("id").alias(KEY), split.alias("split"))
 
 
+def draw_order(seed: int, column: str) -> Column:
+    """The seeded order of draws: a digest of seed and id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column)).cast("binary"))
+
+
 def random_splits(vehicles: DataFrame, val: int, test: int, seed: int = 42) -> DataFrame:
-    """(vehicle_id, split): vehicles in seeded hash order; the first go to test, the next to val, the rest to train."""
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), KEY), KEY))
-    split = F.when(F.col("_r") <= test, "test").when(F.col("_r") <= test + val, "val").otherwise("train")
-    return vehicles.select(KEY).distinct().withColumn("_r", rank).select(KEY, split.alias("split"))
+    """(vehicle_id, split): vehicles in seeded order; the first go to test, the next to val, the rest to train."""
+    ids = vehicles.select(KEY).distinct()
+    drawn = _first_drawn(ids.withColumn("_take", F.lit(test + val)), [], KEY, seed)
+    rank = F.row_number().over(Window.orderBy("_draw", KEY))
+    first = drawn.withColumn("_r", rank).select(KEY, F.when(F.col("_r") <= test, "test").otherwise("val").alias("split"))
+    return ids.join(first, KEY, "left").select(KEY, F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def _first_drawn(rows: DataFrame, keys: list[str], column: str, seed: int) -> DataFrame:
+    """Of each group the first ``_take`` rows in seeded order of ``column``; adds _draw.
+
+    Rows are counted by the first digits of their digest: whole digits go in or stay out, and only rows of the one in between are put in order.
+    """
+    rows = rows.withColumn("_draw", draw_order(seed, column)).withColumn("_digits", F.substring("_draw", 1, 3))
+    group = Window.partitionBy(*keys).orderBy("_digits")
+    counts = rows.groupBy(*keys, "_digits").agg(F.count("*").alias("_rows"), F.max("_take").alias("_most"))
+    counts = counts.withColumn("_left", F.col("_most") - F.sum("_rows").over(group) + F.col("_rows")).where("_left > 0").drop("_most")
+    rows = rows.join(counts, [*keys, "_digits"])
+    whole, part = rows.where("_left >= _rows"), rows.where("_left < _rows")
+    place = F.row_number().over(Window.partitionBy(*keys, "_digits").orderBy("_draw", column))
+    return whole.unionByName(part.withColumn("_n", place).where("_n <= _left").drop("_n")).drop("_digits", "_rows", "_left", "_take")
 
 
 def positive(faults=FAULTS) -> Column:
@@ -104,7 +126,7 @@ def positive(faults=FAULTS) -> Column:
 def downsample(samples: DataFrame, split: str, target: int, seed: int = 42, faults=FAULTS) -> DataFrame:
     """Rows of one split: all positives, and negatives up to ``target`` in all.
 
-    Negatives are shared out to vehicles by largest remainder (of equal ones the higher id first) and drawn in seeded hash order.
+    Negatives are shared out to vehicles by largest remainder (of equal ones the higher id first) and drawn in seeded order.
     """
     own = samples.where(F.col("split") == split)
     pos, neg = own.where(positive(faults)), own.where(~positive(faults))
@@ -115,15 +137,13 @@ def downsample(samples: DataFrame, split: str, target: int, seed: int = 42, faul
     left = F.least(F.greatest(F.lit(target) - F.col("taken"), F.lit(0)), F.col("total")) - F.sum("_base").over(Window.partitionBy())
     order = F.row_number().over(Window.orderBy(F.desc(F.col("_share") - F.col("_base")), F.desc(KEY)))
     take = sizes.withColumns({"_left": left, "_order": order}).select(KEY, (F.col("_base") + (F.col("_order") <= F.col("_left")).cast("int")).alias("_take"))
-    drawn = F.row_number().over(Window.partitionBy(KEY).orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id"))
-    chosen = neg.withColumn("_n", drawn).join(take, KEY).where("_n <= _take").drop("_n", "_take")
+    chosen = _first_drawn(neg.join(take, KEY), [KEY], "sample_id", seed)
     return pos.unionByName(chosen.select(*pos.columns))
 
 
 def cap(samples: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows of each split, in seeded hash order."""
-    n = F.row_number().over(Window.partitionBy("split").orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id"))
-    return samples.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
+    """At most ``most`` rows of each split, in seeded order."""
+    return _first_drawn(samples.withColumn("_take", F.lit(most)), ["split"], "sample_id", seed).select(*samples.columns)
 
 
 def medium_bundle(*parts: DataFrame) -> DataFrame:

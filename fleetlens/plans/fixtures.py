@@ -13,6 +13,9 @@ from ..operators import events, labels, windows
 
 CELLS, PROBES = 16, 8
 MAX_GAP, WINDOW, STEP, HORIZON, ROLLING = 86400, 6, 3, 4, 10
+PACK = (92, 34)
+#: The reference sizes of windows, gaps and running means, for the long vehicles.
+LONG = {"max_gap": 20, "window": 30, "step": 3, "horizon": 6, "rolling": 300}
 MODELS = ("threshold_trend", "lightgbm", "lstm")
 
 
@@ -40,6 +43,30 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vehicle_id", "frame_index", "timestamp", "charge_status", "speed", "sum_voltage", "sum_current", "soc", "insulation_resistance", "voltages", "temperatures", "event_id", "value", "event_type", "ts")
 
 
+def pack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of packs of 92 cells and 34 probes: the embedding's items in turn, each round a little higher."""
+    cells, probes = PACK
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), F.transform("embedding", lambda x: x.cast("double")).alias("_e"))
+    n = vectors.count()
+    e = _events(spark, sf_dir).withColumn("_vec", F.col("event_id") % max(n, 1)).join(vectors, "_vec")
+    item = lambda i: F.element_at("_e", (i % F.size("_e") + 1).cast("int"))
+    volts = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.lit(3.6) + F.lit(0.2) * item(i) + F.lit(0.001) * i)
+    temps = F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: F.lit(30.0) + F.lit(40.0) * item(i * 3) + F.lit(0.3) * F.col("value"))
+    return e.select("vehicle_id", "frame_index", volts.alias("voltages"), temps.alias("temperatures"))
+
+
+def long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few long vehicles, one by event type, with a row each ten seconds and a pause after every 400 rows."""
+    e = table(spark, sf_dir, "events").withColumn("vehicle_id", F.concat(F.lit("L"), F.col("event_type")))
+    e = e.withColumn("frame_index", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("ts", "event_id")) - 1)
+    e = e.withColumn("timestamp", (F.col("frame_index") * 10 + F.floor(F.col("frame_index") / 400) * 60).cast("long"))
+    volt = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.lit(3.7) + ((F.col("event_id") * i) % 101) / 5000.0 - F.when(i == 2, F.col("value") / 1000.0).otherwise(F.lit(0.0)))
+    rules = {"sd": F.col("value") > 60, "isc": F.col("event_id") % 31 == 0, "conn": F.col("event_id") % 17 < 3, "samp": F.col("event_id") % 11 < 2, "ins": F.col("value") < 2}
+    e = e.withColumns({"voltages": volt, "quality_flag": F.when(F.col("event_id") % 29 == 0, "low").otherwise("ok"), **{f"label_final_{f}": rules[f].cast("int") for f in FAULTS}})
+    e = e.select("vehicle_id", "frame_index", "timestamp", "voltages", "quality_flag", *(f"label_final_{f}" for f in FAULTS))
+    return labels.segments(e, LONG["max_gap"])
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor arrays as joined text with damage: an item short, one too many, an empty string, a word, a null."""
     join = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.4f", x)), "~")

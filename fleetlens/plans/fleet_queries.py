@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sensors as S
 from ..operators import clean, events, features, labels, profiles, splits, windows
+from ..sources import telemetry
 from ..sources.shared import fresh_path
 from ..streaming import fleet as streaming
 from . import fixtures as X
@@ -77,7 +80,7 @@ nf AS (SELECT rv.*, u, CASE WHEN len(a) = 0 THEN NULL WHEN len(a) >= u THEN a[1:
 norm AS (SELECT *, coalesce(last_value(fit IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), list_transform(range(u), lambda i: CAST(0 AS DOUBLE))) AS v, len(a) = u AND len(a) > 0 AS ok FROM nf)"""
 _SCALARS = f"""{O.FRAMES}, sc AS (SELECT *, list_max(voltages) - list_min(voltages) AS v_range, list_max(temperatures) - list_min(temperatures) AS t_range, list_median(voltages) AS med, list_min(voltages) AS v_min, list_max(temperatures) AS t_max, list_position(voltages, list_min(voltages)) - 1 AS weak_cell, list_sum(voltages) AS v_sum,
  list_max(list_transform(range(1, len(voltages)), lambda i: abs(voltages[i + 1] - voltages[i]))) AS gap FROM frames)"""
-_CH = f"""{_SCALARS}, {O.SAMPLES.replace(O.EVENTS + ', ', '')}, sp AS (SELECT *, lag(voltages) OVER ({_W}) AS pv, v_min - med AS weak, v_min - lag(v_min) OVER ({_W}) AS dv, t_max - lag(t_max) OVER ({_W}) AS dt FROM sc),
+FEATURES = f"""{_SCALARS}, {O.SAMPLES.replace(O.EVENTS + ', ', '')}, sp AS (SELECT *, lag(voltages) OVER ({_W}) AS pv, v_min - med AS weak, v_min - lag(v_min) OVER ({_W}) AS dv, t_max - lag(t_max) OVER ({_W}) AS dt FROM sc),
 sd AS (SELECT *, CASE WHEN pv IS NULL THEN [] ELSE list_transform(range(1, 17), lambda i: abs(voltages[i] - pv[i])) END AS ch, list_transform(voltages, lambda x: abs(x - med)) AS off FROM sp),
 fe AS (SELECT *, list(weak_cell) OVER w AS wk, list(insulation_resistance) OVER w AS rs, max(v_range) OVER w AS f_vr, max(t_range) OVER w AS f_tr, min(weak) OVER w AS f_wmin, weak - first_value(weak) OVER w AS f_wslope, v_min - first_value(v_min) OVER w AS f_drop, min(dv) OVER x AS f_dv, max(t_max) OVER w AS f_tmax, max(dt) OVER x AS f_dt,
  max(list_max(ch)) OVER x AS f_ch, max(gap) OVER w AS f_gap, sum(len(list_filter(ch, lambda c: c > 0.015))) OVER x / CAST(80 AS DOUBLE) AS f_steep, sum(list_sum(off)) OVER w / CAST(96 AS DOUBLE) AS f_off, sum(len(list_filter(ch, lambda c: c > 0.05))) OVER x AS f_jump, avg(sum_voltage - v_sum) OVER w AS f_pack,
@@ -102,21 +105,47 @@ _SUMS = ", ".join(f"sum({t}) AS {t}" for t in _TARGETS)
 _POS = " OR ".join(f"{t} = 1" for t in _TARGETS)
 
 
+def _twenty(s: SparkSession, d: str) -> DataFrame:
+    """The windows of all users as those of twenty vehicles."""
+    n = (F.substring("vehicle_id", 2, 20).cast("long") * 7 + F.floor(F.col("start_frame") / 3)) % 20
+    return windows.window_profile(X.samples(s, d).withColumn("vehicle_id", F.concat(F.lit("G"), F.lpad(n.cast("string"), 2, "0"))))
+
+
 def _splits(s: SparkSession, d: str) -> DataFrame:
-    """The whole fleet, a fifth of it each to test and val."""
-    p = windows.window_profile(X.samples(s, d))
-    n = p.count()
-    k = max(1, n // 5)
-    return splits.assign_splits(p, n - 2 * k, k, k)
+    """The search at its usual size: 12 vehicles to train, 4 each to val and test."""
+    return splits.assign_splits(_twenty(s, d))
 
 
 def _greedy(s: SparkSession, d: str) -> DataFrame:
     return splits.greedy_splits(windows.window_profile(X.samples(s, d)), 20, 20)
 
 
+_CORE = ("sd", "samp", "ins")
+_BITS = lambda k: " + ".join(f"CASE WHEN y_{k}_{f}_positive > 0 THEN {1 << i} ELSE 0 END" for i, f in enumerate(_CORE))
+_VEHICLES = f"""ve AS (SELECT vehicle_id AS id, window_count AS windows, {_BITS('id')} AS id_mask, {_BITS('warn')} AS warn_mask, {' + '.join(f'y_id_{f}_positive' for f in _CORE)} AS id_total,
+ {' + '.join(f'y_warn_{f}_positive' for f in _CORE)} AS warn_total, CAST(y_id_isc_positive > 0 AS INT) AS rare_isc, CAST(y_id_conn_positive > 0 AS INT) AS rare_conn FROM prof)"""
+_FOUR = lambda op, c: f" {op} ".join(f"{v}.{c}" for v in "abcd")
+_SEARCH = f"""{_VEHICLES}, sub AS (SELECT [a.id, b.id, c.id, d.id] AS ids, {', '.join(f"{_FOUR('+', c)} AS {c}" for c in ("windows", "id_total", "warn_total"))},
+ {', '.join(f"{_FOUR('|', c)} AS {c}" for c in ("id_mask", "warn_mask", "rare_isc", "rare_conn"))} FROM ve a JOIN ve b ON a.id < b.id JOIN ve c ON b.id < c.id JOIN ve d ON c.id < d.id),
+top AS (SELECT * FROM sub ORDER BY id_mask = 7 DESC, warn_mask = 7 DESC, bit_count(CAST(id_mask AS INT)) DESC, bit_count(CAST(warn_mask AS INT)) DESC, rare_isc + rare_conn DESC, id_total DESC, warn_total DESC, windows DESC, ids LIMIT 800),
+two AS (SELECT t.ids AS t_ids, v.ids AS v_ids, t.id_mask = 7 AS t1, v.id_mask = 7 AS v1, t.warn_mask = 7 AS t2, v.warn_mask = 7 AS v2, t.rare_isc | v.rare_isc AS e_isc, t.rare_conn | v.rare_conn AS e_conn,
+ t.warn_total + v.warn_total AS warn2, t.windows + v.windows AS windows2, t.id_total + v.id_total AS total2 FROM top t JOIN top v ON NOT list_has_any(t.ids, v.ids)),
+full3 AS (SELECT two.*, bit_or(id_mask) AS r_mask, sum(ve.id_total) AS r_total, max(rare_isc) AS r_isc FROM two JOIN ve ON NOT list_contains(t_ids, id) AND NOT list_contains(v_ids, id) GROUP BY ALL),
+have AS (SELECT sum(rare_isc) AS n_isc, sum(rare_conn) AS n_conn FROM ve),
+one AS (SELECT t_ids, v_ids FROM full3, have ORDER BY t1 DESC, v1 DESC, r_mask = 7 DESC, t2 DESC, v2 DESC, n_isc >= 2 AND r_isc > 0 AND e_isc > 0 DESC, n_isc > 0 AND r_isc > 0 DESC, n_isc > 0 AND e_isc > 0 DESC, n_conn > 0 AND e_conn > 0 DESC,
+ bit_count(CAST(r_mask AS INT)) DESC, total2 + r_total DESC, warn2 DESC, windows2 DESC, t_ids, v_ids LIMIT 1)"""
+_DRAW = lambda c: f"md5('42:' || {c})"
+
+
 def _downsampled(s: SparkSession, d: str) -> DataFrame:
-    out = splits.downsample(_samples(s, d), "train", 400)
-    return out.groupBy("vehicle_id").agg(F.count("*").alias("rows"), F.sum(splits.positive().cast("int")).alias("positives"))
+    return splits.downsample(_samples(s, d), "train", 400)
+
+
+def _with_issues(s: SparkSession, d: str) -> DataFrame:
+    """Samples where val has no warnings of sd and no sampling faults, and test no rare faults."""
+    none = lambda split, c: F.when(F.col("split") == split, 0).otherwise(F.col(c)).alias(c)
+    lost = {c: none("val", c) for c in ("y_warn_sd", "y_id_samp")} | {c: none("test", c) for c in ("y_id_isc", "y_warn_conn")}
+    return _samples(s, d).withColumns(lost)
 
 
 def _consistency(s: SparkSession, d: str) -> DataFrame:
@@ -135,8 +164,6 @@ def _completeness(s: SparkSession, d: str) -> DataFrame:
 
 def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Frames written as one csv folder by vehicle in wide form, read back through the structured reader."""
-    from ..sources import telemetry
-
     root = fresh_path(s, "csv")
     wide = X.frames(s, d).select("vehicle_id", F.col("frame_index"), F.col("timestamp").alias("TIME"), F.col("charge_status").alias("CHARGE_STATUS"), *(F.col("voltages")[i].alias(f"U_{i + 1}") for i in range(X.CELLS)), *(F.col("temperatures")[i].alias(f"T_{i + 1}") for i in range(X.PROBES)))
     telemetry.write_table(wide, root, sort=("vehicle_id", "frame_index"), form="csv")
@@ -146,38 +173,79 @@ def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
     """One csv by vehicle in a directory of its own, listed as a raw tree."""
-    from ..sources import telemetry
-
     root = fresh_path(s, "tree")
     X.raw_labels(s, d).select(F.col("vehicle_id").alias("vin"), "frame_index", "timestamp").repartition("vin").write.option("header", True).partitionBy("vin").csv(root)
     out = telemetry.scan_files(s, None, root)
     return out.select(F.regexp_replace("vehicle_id", "^vin=", "").alias("vehicle_id"), "source_dataset", "is_extracted", "entry_kind")
 
 
-def _stream(s: SparkSession, rows: DataFrame, name: str, build) -> DataFrame:
-    """Writes rows to the shared folder and runs ``build`` over them as a file stream until all is read."""
-    root = fresh_path(s, "stream")
-    rows.write.parquet(f"{root}/in")
-    out = build(s.readStream.schema(rows.schema).parquet(f"{root}/in"))
-    out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+def _raw_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Raw rows with damaged series written as csv, a folder by vehicle, and read back through the raw reader."""
+    root = fresh_path(s, "raw")
+    rows = X.raw_frames(s, d).drop("event_id").repartition("vehicle_id").sortWithinPartitions("vehicle_id", "frame_index")
+    rows.withColumnRenamed("frame_index", "place").write.option("header", True).partitionBy("vehicle_id").csv(root)
+    out = telemetry.read_raw(s, root, "folder").withColumn("vehicle_id", F.regexp_replace("vehicle_id", "^vehicle_id=", ""))
+    return out.select("vehicle_id", "frame_index", F.size("voltages").alias("items"), F.array_max("voltages").alias("v_max"), F.size("temperatures").alias("probes"), F.col("insulation_resistance").alias("r"))
+
+
+def _missing_columns(s: SparkSession, d: str) -> DataFrame:
+    """The columns that the readers name as missing in a file without two of them."""
+    rows = X.raw_frames(s, d).select(F.col("terminaltime"), F.col("chargestatus"))
+    found = []
+    for form in ("raw", "structured"):
+        try:
+            telemetry.require_columns(rows, telemetry.REQUIRED[form])
+        except ValueError as e:
+            found.append(F.struct(F.lit(form).alias("form"), F.lit(str(e)).alias("message")))
+    return rows.agg(F.count("*").alias("rows")).select("rows", F.inline(F.array(*found)))
+
+
+def _by_ending(s: SparkSession, d: str) -> DataFrame:
+    """Events written as csv, tab-separated text, json lines and Parquet, read back by ending."""
+    root, rows = fresh_path(s, "endings"), X.table(s, d, "events").select("event_id", "event_type", "value")
+    rows.write.option("header", True).csv(f"{root}/e.csv")
+    rows.write.option("header", True).option("sep", "\t").csv(f"{root}/e.tsv")
+    rows.write.json(f"{root}/e.json")
+    rows.write.parquet(f"{root}/e.parquet")
+    parts = [telemetry.read_dataset(s, f"{root}/e.{x}").select(F.lit(x).alias("ending"), "event_id", "event_type", "value") for x in ("csv", "tsv", "json", "parquet")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _stream(s: SparkSession, slices: list[DataFrame], build) -> DataFrame:
+    """Runs ``build`` as a file stream that takes up the slices one after the other, from its checkpoint each time."""
+    root, name = fresh_path(s, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(name)
+    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows in slices:
+            rows.write.mode("append").parquet(f"{root}/in")
+            out = build(s.readStream.schema(slices[0].schema).parquet(f"{root}/in"))
+            out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    finally:
+        s.conf.set(name, before)
     return s.read.schema(out.schema).parquet(f"{root}/out")
 
 
 def _stream_events(s: SparkSession, d: str) -> DataFrame:
+    """Three slices of every vehicle's life; within a slice rows come in any order."""
     rows = events.long_labels(X.raw_labels(s, d), "label_raw_")
     last = rows.groupBy("vehicle_id").agg(F.max("frame_index").alias("_last"))
-    rows = rows.join(last, "vehicle_id").withColumn("is_last", F.col("frame_index") == F.col("_last")).drop("_last")
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _stream(s, rows.coalesce(1), "events", streaming.stream_events)
+    rows = rows.join(last, "vehicle_id").withColumn("is_last", F.col("frame_index") == F.col("_last"))
+    part = F.floor(F.col("frame_index") * 3 / (F.col("_last") + 1))
+    return _stream(s, [rows.where(part == k).drop("_last") for k in range(3)], streaming.stream_events)
 
 
 _SEGMENT_ROWS = f"""{O.RAW_LABELS}, sg AS (SELECT vehicle_id, segment_id, count(*) AS rows, min(timestamp) AS start_seconds, max(timestamp) AS end_seconds FROM raw GROUP BY 1, 2)"""
 
 
 def _stream_segments(s: SparkSession, d: str) -> DataFrame:
-    """The streaming plan over the batch table, whole seconds."""
+    """Three slices of time, and a later row of another vehicle, twice, that moves the watermark past all sessions."""
     rows = X.raw_labels(s, d).select("vehicle_id", F.timestamp_seconds("timestamp").alias("ts"))
-    return streaming.stream_segments(rows, X.MAX_GAP).select("vehicle_id", "rows", F.col("start_time").cast("long").alias("start_seconds"), F.col("end_time").cast("long").alias("end_seconds"))
+    low, high = rows.agg(F.min(F.col("ts").cast("long")), F.max(F.col("ts").cast("long"))).first()
+    part = F.floor((F.col("ts").cast("long") - low) * 3 / (high - low + 1))
+    later = [s.range(1).select(F.lit("").alias("vehicle_id"), F.timestamp_seconds(F.lit(high + k * 10 * X.MAX_GAP)).alias("ts")) for k in (1, 2)]
+    found = _stream(s, [rows.where(part == k) for k in range(3)] + later, lambda r: streaming.stream_segments(r, X.MAX_GAP)).where("vehicle_id <> ''")
+    return found.select("vehicle_id", "rows", F.col("start_time").cast("long").alias("start_seconds"), F.col("end_time").cast("long").alias("end_seconds"))
 
 
 def _frames_san(s: SparkSession, d: str) -> DataFrame:
@@ -204,13 +272,20 @@ cw AS (SELECT *, greatest(2, least({X.ROLLING}, n)) AS w FROM ce WHERE n >= 2),
 cu AS (SELECT vehicle_id, frame_index, c, y - CASE WHEN n > {X.ROLLING} AND i <= n - w THEN fw ELSE tl END AS u FROM cf), cb AS (SELECT vehicle_id, quantile_cont(u, 0.25) AS q1, quantile_cont(u, 0.75) AS q3 FROM cu GROUP BY 1),
 co AS (SELECT * FROM (SELECT cu.*, q1, q3, min(u) OVER (PARTITION BY vehicle_id, frame_index) AS lo FROM cu JOIN cb USING (vehicle_id)) WHERE u = lo AND (u < q1 - 3 * (q3 - q1) OR u > q3 + 3 * (q3 - q1))), cn AS (SELECT vehicle_id, c, count(*) AS k FROM co GROUP BY 1, 2),
 ca AS (SELECT vehicle_id, c FROM (SELECT *, max(k) OVER (PARTITION BY vehicle_id) AS mk FROM cn) WHERE k > mk * 0.7), sdl AS (SELECT vehicle_id, frame_index, CAST(h IS NOT NULL AS INT) AS label FROM san LEFT JOIN (SELECT DISTINCT vehicle_id, frame_index, 1 AS h FROM co SEMI JOIN ca USING (vehicle_id, c)) USING (vehicle_id, frame_index))"""
+_WIDTHS = [*S.PACK_CELLS]
+_MODULES = ", ".join(f"({m}, {sum(_WIDTHS[:m])}, {w})" for m, w in enumerate(_WIDTHS))
+_LONG_SD = _SD.replace(O.FRAMES, O.LONG_FRAMES + ", frames AS (SELECT * FROM fin)").replace(f"least({X.ROLLING}, n)", f"least({X.LONG['rolling']}, n)").replace(f"{X.ROLLING - 1} FOLLOWING", f"{X.LONG['rolling'] - 1} FOLLOWING").replace(f"n > {X.ROLLING} AND", f"n > {X.LONG['rolling']} AND")
 _RAWL = " ".join(f"label_final_{f}:i" for f in _FAULTS)
 
 QUERIES = [
     Query("insulation_events", insulation_events, "vehicle_id:s events:i frames:i longest_seconds:i", _events_sql(f"SELECT vehicle_id, frame_index, 'ins' AS fault_type, {O.merged('label')} AS label FROM ins", _INS) + "|||SELECT vehicle_id, count(*) AS events, sum(duration_frames) AS frames, max(duration_seconds) AS longest_seconds FROM evt GROUP BY 1"),
     Query("src1_manifest", _manifest, "vehicle_id:s source_dataset:s is_extracted:b entry_kind:s", "SELECT DISTINCT 'V' || user_id AS vehicle_id, 'raw_dataset' AS source_dataset, true AS is_extracted, 'directory' AS entry_kind FROM events"),
     Query("src2_structured", _csv_round_trip, f"{_KEY} charge_status:i v10:d t_max:d", f"{O.FRAMES}|||SELECT vehicle_id, frame_index, charge_status, voltages[10] AS v10, list_max(temperatures) AS t_max FROM frames"),
-    Query("src3_raw", lambda s, d: _raw(s, d).select("vehicle_id", "frame_index", F.size("voltages").alias("items"), S.finite(F.col("insulationresistance")).alias("r")), f"{_KEY} items:i r:d", f"{_RAWV}|||SELECT vehicle_id, frame_index, len(a) AS items, CASE WHEN event_id % 13 <> 0 THEN (SELECT CAST(5 AS DOUBLE) * value FROM events e WHERE e.event_id = rv.event_id) ELSE 0 END AS r FROM rv"),
+    Query("src3_raw", _raw_round_trip, f"{_KEY} items:i v_max:d probes:i r:d", f"""{_RAWV}
+|||SELECT vehicle_id, frame_index, CASE WHEN t IS NULL OR t = '' THEN 1 ELSE len(a) END AS items, CASE WHEN t IS NULL OR t = '' THEN 0 ELSE list_max(a) END AS v_max, 8 AS probes,
+ CASE WHEN event_id % 13 <> 0 THEN (SELECT CAST(5 AS DOUBLE) * value FROM events e WHERE e.event_id = rv.event_id) ELSE 0 END AS r FROM rv"""),
+    Query("src4_missing_columns", _missing_columns, "rows:i form:s message:s", "SELECT count(*) AS rows, unnest(['raw', 'structured']) AS form, unnest(['missing columns: batteryvoltage, probetemperatures', 'missing columns: TIME, CHARGE_STATUS']) AS message FROM events"),
+    Query("snk2_by_ending", _by_ending, "ending:s event_id:i event_type:s value:d", "SELECT e.ending, event_id, event_type, value FROM events, (SELECT unnest(['csv', 'tsv', 'json', 'parquet']) AS ending) e"),
     Query("cln1_parse_sensor", lambda s, d: _raw(s, d).select("vehicle_id", "frame_index", F.size("voltages").alias("items"), S.array_sum(F.col("voltages")).alias("total")), f"{_KEY} items:i total:d", f"{_RAWV}|||SELECT vehicle_id, frame_index, len(a) AS items, coalesce(list_sum(a), 0) AS total FROM rv"),
     Query("cln2_normalize", lambda s, d: clean.normalize_sensors(_raw(s, d), "voltages", "ok").select("vehicle_id", "frame_index", F.size("voltages").alias("items"), S.array_sum(F.col("voltages")).alias("total"), "ok"), f"{_KEY} items:i total:d ok:b", f"{_NORM}|||SELECT vehicle_id, frame_index, len(v) AS items, list_sum(v) AS total, ok FROM norm"),
     Query("cln3_quality", lambda s, d: clean.normalize_sensors(_raw(s, d), "voltages", "ok").select("vehicle_id", "frame_index", clean.quality_flag(F.col("ok")).alias("quality_flag")), f"{_KEY} quality_flag:s", f"{_NORM}|||SELECT vehicle_id, frame_index, CASE WHEN ok THEN 'ok' ELSE 'low' END AS quality_flag FROM norm"),
@@ -223,8 +298,11 @@ t1 AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN i END) OVER ({_W} ROWS BETWEEN
     Query("cln8_only_vehicles", lambda s, d: clean.only_vehicles(X.raw_labels(s, d), "V1, V3,V7"), f"{_KEY} segment_id:i", f"{O.RAW_LABELS}|||SELECT * FROM raw WHERE vehicle_id IN ('V1', 'V3', 'V7')"),
     Query("seg1_segments", X.raw_labels, f"{_KEY} segment_id:i is_continuous_segment:i", f"{O.EVENTS}, {O.SEGMENTS}|||SELECT * FROM seg"),
     Query("lbl1_self_discharge", lambda s, d: labels.self_discharge(X.frames(s, d), X.ROLLING), _LABEL, f"{_SD}|||SELECT * FROM sdl"),
+    Query("lbl1_long_vehicles", lambda s, d: labels.self_discharge(X.long_frames(s, d), X.LONG["rolling"]), _LABEL, f"{_LONG_SD}|||SELECT * FROM sdl"),
     Query("lbl2_internal_short", lambda s, d: labels.internal_short(X.frames(s, d), X.CELLS, X.PROBES), _LABEL),
     Query("lbl2a_modules", lambda s, d: labels.module_series(X.frames(s, d), X.CELLS, X.PROBES), f"{_KEY} module:i v:d t:d", f"{O.FRAMES}|||SELECT vehicle_id, frame_index, m AS module, least(voltages[2 * m + 1], voltages[2 * m + 2]) AS v, temperatures[m + 1] AS t FROM frames, range(8) r(m)"),
+    Query("lbl2a_pack_modules", lambda s, d: labels.module_series(X.pack_frames(s, d), *X.PACK), f"{_KEY} module:i v:d t:d", f"""{O.PACK_FRAMES}
+|||SELECT vehicle_id, frame_index, m AS module, list_min(voltages[first + 1 : first + width]) AS v, greatest(temperatures[2 * m + 1], temperatures[2 * m + 2]) AS t FROM pack, (VALUES {_MODULES}) g(m, first, width)"""),
     Query("lbl2b_outlier_scores", lambda s, d: labels.module_scores(labels.module_series(X.frames(s, d), X.CELLS, X.PROBES)), f"{_KEY} module:i score:d"),
     Query("lbl3_connection", lambda s, d: labels.connection(X.frames(s, d)), _LABEL, f"{_CONN}|||SELECT * FROM conn"),
     Query("lbl3a_icc", lambda s, d: labels.pair_icc(labels.steps(clean.sanitize(X.frames(s, d), "voltages"))), "vehicle_id:s cell:i icc:d", f"{_LBL3}|||SELECT * FROM pi"),
@@ -235,33 +313,38 @@ t1 AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN i END) OVER ({_W} ROWS BETWEEN
     Query("evt2_events", lambda s, d: events.extract_events(events.long_labels(X.final_labels(s, d))), _EVENT, f"{_EVT}|||SELECT * FROM evt"),
     Query("evt3_first_events", lambda s, d: events.first_events(events.extract_events(events.long_labels(X.final_labels(s, d)))), _EVENT, f"{_EVT}|||SELECT * FROM evt WHERE event_id = 1"),
     Query("win1_samples", X.samples, _SAMPLE, f"{O.SAMPLES}|||SELECT * FROM samples"),
-    Query("win2_identification", lambda s, d: X.samples(s, d).agg(*(F.sum(f"y_id_{f}").alias(f"y_id_{f}") for f in _FAULTS)), " ".join(f"y_id_{f}:i" for f in _FAULTS), f"{O.SAMPLES}|||SELECT {', '.join(f'sum(y_id_{f}) AS y_id_{f}' for f in _FAULTS)} FROM samples"),
+    Query("win1_long_vehicles", lambda s, d: windows.sample_windows(X.long_frames(s, d), X.LONG["window"], X.LONG["step"], X.LONG["horizon"]), _SAMPLE, f"{O.LONG_SAMPLES}|||SELECT * FROM samples"),
+    Query("win2_identification", X.samples, "sample_id:s " + " ".join(f"y_id_{f}:i" for f in _FAULTS), f"{O.SAMPLES}|||SELECT * FROM samples"),
     Query("win3_warning", lambda s, d: X.samples(s, d).where("lead_time_sec is not null").groupBy("vehicle_id").agg(F.count("*").alias("warned"), F.avg("lead_time_sec").alias("lead")), "vehicle_id:s warned:i lead:d", f"{O.SAMPLES}|||SELECT vehicle_id, count(*) AS warned, avg(lead_time_sec) AS lead FROM samples WHERE lead_time_sec IS NOT NULL GROUP BY 1"),
     Query("win4_first_future", lambda s, d: X.samples(s, d).groupBy("future_first_fault", "lead_time_sec").agg(F.count("*").alias("n")), "future_first_fault:s lead_time_sec:i n:i", f"{O.SAMPLES}|||SELECT future_first_fault, lead_time_sec, count(*) AS n FROM samples GROUP BY 1, 2"),
     Query("win5_profile", lambda s, d: windows.window_profile(X.samples(s, d)), "vehicle_id:s window_count:i fault_vector:s " + " ".join(f"{t}_positive:i" for t in _TARGETS), f"{_PROFILE}|||SELECT * FROM prof"),
-    *(Query(f"fea{k}_{g}", lambda s, d, g=g: features.feature_groups(_features(s, d), g), _fcols(g), f"{_CH}|||SELECT * FROM feat") for k, g in ((1, "shared"), (2, "sd"), (4, "isc"), (5, "conn"), (7, "samp"), (8, "ins"))),
+    *(Query(f"fea{k}_{g}", lambda s, d, g=g: features.feature_groups(_features(s, d), g), _fcols(g), f"{FEATURES}|||SELECT * FROM feat") for k, g in ((1, "shared"), (2, "sd"), (4, "isc"), (5, "conn"), (7, "samp"), (8, "ins"))),
     Query("fea6_icc", lambda s, d: _features(s, d, True), "sample_id:s conn_icc_min:d4", f"""{O.FRAMES}, {O.SAMPLES.replace(O.EVENTS + ', ', '')}, wf AS (SELECT sample_id, unnest(voltages[1:15]) AS a, unnest(voltages[2:16]) AS b, unnest(range(15)) AS c FROM samples JOIN frames ON frames.vehicle_id = samples.vehicle_id AND frames.frame_index BETWEEN start_frame AND end_frame),
 wm AS (SELECT sample_id, c, count(*) AS n, (sum(a) + sum(b)) / (2 * count(*)) AS m FROM wf GROUP BY 1, 2), wi AS (SELECT sample_id, c, CASE WHEN sum((a - m) * (a - m)) + sum((b - m) * (b - m)) = 0 THEN 1 ELSE 2 * sum((a - m) * (b - m)) / (sum((a - m) * (a - m)) + sum((b - m) * (b - m))) END AS icc FROM wf JOIN wm USING (sample_id, c) GROUP BY 1, 2)|||SELECT sample_id, min(icc) AS conn_icc_min FROM wi GROUP BY 1"""),
     Query("fea9_sequences", lambda s, d: features.window_sequences(X.frames(s, d), X.samples(s, d), X.WINDOW).select("sample_id", F.size("x_seq").alias("steps"), F.element_at(F.element_at("x_seq", 1), 2).alias("first_soc"), F.aggregate("x_seq", F.lit(0.0), lambda a, r: a + F.get(r, F.lit(4)).cast("double")).alias("current")), "sample_id:s steps:i first_soc:d current:d", f"""{O.FRAMES}, {O.SAMPLES.replace(O.EVENTS + ', ', '')}
 |||SELECT sample_id, count(*) AS steps, first(soc ORDER BY frame_index) AS first_soc, sum(sum_current) AS current FROM samples JOIN frames ON frames.vehicle_id = samples.vehicle_id AND frames.frame_index BETWEEN start_frame AND end_frame GROUP BY 1"""),
-    Query("fea10_align", lambda s, d: features.align(_features(s, d), ["ins_rins_min", "not_there", "shared_soc"]), "sample_id:s ins_rins_min:d4 not_there:d shared_soc:d", f"{_CH}|||SELECT sample_id, ins_rins_min, 0 AS not_there, shared_soc FROM feat"),
-    Query("fea11_normalise", lambda s, d: features.normalise(f := _features(s, d), features.train_statistics(f, _samples(s, d), ["shared_soc", "isc_module_tmax"]), ["shared_soc", "isc_module_tmax"]), "sample_id:s shared_soc:d4 isc_module_tmax:d4", f"""{_CH}, {O.SPLIT_MAP}, ts AS (SELECT avg(shared_soc) AS m1, stddev_pop(shared_soc) AS s1, avg(isc_module_tmax) AS m2, stddev_pop(isc_module_tmax) AS s2 FROM feat JOIN samples USING (sample_id) JOIN split_map USING (vehicle_id) WHERE split = 'train')
+    Query("fea10_align", lambda s, d: features.align(_features(s, d), ["ins_rins_min", "not_there", "shared_soc"]), "sample_id:s ins_rins_min:d4 not_there:d shared_soc:d", f"{FEATURES}|||SELECT sample_id, ins_rins_min, 0 AS not_there, shared_soc FROM feat"),
+    Query("fea11_normalise", lambda s, d: features.normalise(f := _features(s, d), features.train_statistics(f, _samples(s, d), ["shared_soc", "isc_module_tmax"]), ["shared_soc", "isc_module_tmax"]), "sample_id:s shared_soc:d4 isc_module_tmax:d4", f"""{FEATURES}, {O.SPLIT_MAP}, ts AS (SELECT avg(shared_soc) AS m1, stddev_pop(shared_soc) AS s1, avg(isc_module_tmax) AS m2, stddev_pop(isc_module_tmax) AS s2 FROM feat JOIN samples USING (sample_id) JOIN split_map USING (vehicle_id) WHERE split = 'train')
 |||SELECT sample_id, (shared_soc - m1) / s1 AS shared_soc, (isc_module_tmax - m2) / s2 AS isc_module_tmax FROM feat, ts"""),
     Query("fea12_weights", lambda s, d: features.positive_weights(X.samples(s, d), _TARGETS), "target:s weight:d", f"{O.SAMPLES}|||" + " UNION ALL ".join(f"SELECT '{t}' AS target, CASE WHEN sum({t}) = 0 OR sum({t}) = count(*) THEN 1 ELSE least(100, greatest(1, CAST(count(*) - sum({t}) AS DOUBLE) / sum({t}))) END AS weight FROM samples" for t in _TARGETS)),
     Query("jn1_features_labels", lambda s, d: windows.features_with_labels(X.frames(s, d).select("vehicle_id", "frame_index", "soc"), X.raw_labels(s, d).select("vehicle_id", "frame_index", "label_raw_sd")), f"{_KEY} soc:d label_raw_sd:i", f"{O.RAW_LABELS}|||SELECT vehicle_id, frame_index, event_id % 101 AS soc, label_raw_sd FROM raw"),
     Query("jn2_window_frames", lambda s, d: windows.frames_of_samples(X.samples(s, d), X.frames(s, d).select("vehicle_id", "frame_index", "soc")).groupBy("sample_id").agg(F.count("*").alias("rows"), F.sum("soc").alias("soc")), "sample_id:s rows:i soc:d", f"{O.FRAMES}, {O.SAMPLES.replace(O.EVENTS + ', ', '')}|||SELECT sample_id, count(*) AS rows, sum(soc) AS soc FROM samples JOIN frames ON frames.vehicle_id = samples.vehicle_id AND frames.frame_index BETWEEN start_frame AND end_frame GROUP BY 1"),
-    Query("jn3_samples_features", lambda s, d: X.samples(s, d).join(_features(s, d), "sample_id").groupBy("vehicle_id").agg(F.avg("shared_soc").alias("soc"), F.count("*").alias("n")), "vehicle_id:s soc:d n:i", f"{_CH}|||SELECT vehicle_id, avg(shared_soc) AS soc, count(*) AS n FROM samples JOIN feat USING (sample_id) GROUP BY 1"),
+    Query("jn3_samples_features", lambda s, d: X.samples(s, d).join(_features(s, d), "sample_id").groupBy("vehicle_id").agg(F.avg("shared_soc").alias("soc"), F.count("*").alias("n")), "vehicle_id:s soc:d n:i", f"{FEATURES}|||SELECT vehicle_id, avg(shared_soc) AS soc, count(*) AS n FROM samples JOIN feat USING (sample_id) GROUP BY 1"),
     Query("jn5_split_lookup", _samples, "sample_id:s split:s", f"{O.SPLIT_SAMPLES}|||SELECT * FROM ss"),
     Query("jn6_completeness", _completeness, "issue:s sample_id:s", f"{O.SAMPLES}|||SELECT 'duplicate_tensor' AS issue, sample_id FROM samples WHERE end_frame % 7 = 1 UNION ALL SELECT 'missing_tensor', sample_id FROM samples WHERE end_frame % 7 = 0"),
-    Query("spl1_assign_splits", _splits, "vehicle_id:s split:s"),
-    Query("spl1b_greedy_splits", _greedy, "vehicle_id:s split:s"),
-    Query("spl2_random_splits", lambda s, d: splits.random_splits(X.split_map(s, d), 20, 20).groupBy("split").agg(F.count("*").alias("vehicles")), "split:s vehicles:i", "SELECT * FROM (SELECT 'test' AS split, least(20, n) AS vehicles FROM (SELECT count(DISTINCT user_id) AS n FROM events) UNION ALL SELECT 'val', least(20, n - 20) FROM (SELECT count(DISTINCT user_id) AS n FROM events) UNION ALL SELECT 'train', n - 40 FROM (SELECT count(DISTINCT user_id) AS n FROM events)) WHERE vehicles > 0"),
-    Query("spl3_downsample", _downsampled, "vehicle_id:s rows:i positives:i", f"""{O.SPLIT_SAMPLES}, own AS (SELECT *, {_POS} AS p FROM ss WHERE split = 'train'), tk AS (SELECT least(greatest(400 - count(*) FILTER (p), 0), count(*) FILTER (NOT p)) AS t, count(*) FILTER (NOT p) AS total FROM own),
+    Query("spl1_assign_splits", _splits, "vehicle_id:s split:s", f"""{_PROFILE.replace("FROM samples GROUP BY 1", "FROM (SELECT * REPLACE ('G' || lpad(CAST((CAST(vehicle_id[2:] AS BIGINT) * 7 + start_frame // 3) % 20 AS VARCHAR), 2, '0') AS vehicle_id) FROM samples) GROUP BY 1")}, {_SEARCH}
+|||SELECT id AS vehicle_id, CASE WHEN list_contains(t_ids, id) THEN 'test' WHEN list_contains(v_ids, id) THEN 'val' ELSE 'train' END AS split FROM ve, one"""),
+    Query("spl1b_greedy_splits", _greedy, "vehicle_id:s split:s", f"""{_PROFILE}, {_VEHICLES}, gr AS (SELECT id, row_number() OVER (ORDER BY bit_count(CAST(id_mask AS INT)) DESC, bit_count(CAST(warn_mask AS INT)) DESC, id_total DESC, windows DESC, id) - 1 AS r FROM ve)
+|||SELECT id AS vehicle_id, CASE WHEN r % 3 = 0 AND r // 3 < 20 THEN 'test' WHEN r % 3 = 1 AND r // 3 < 20 THEN 'val' ELSE 'train' END AS split FROM gr"""),
+    Query("spl2_random_splits", lambda s, d: splits.random_splits(X.split_map(s, d), 20, 20), "vehicle_id:s split:s", f"""{O.SPLIT_MAP}, rn AS (SELECT vehicle_id, row_number() OVER (ORDER BY {_DRAW('vehicle_id')}, vehicle_id) AS r FROM split_map)
+|||SELECT vehicle_id, CASE WHEN r <= 20 THEN 'test' WHEN r <= 40 THEN 'val' ELSE 'train' END AS split FROM rn"""),
+    Query("spl3_downsample", _downsampled, "sample_id:s vehicle_id:s split:s", f"""{O.SPLIT_SAMPLES}, own AS (SELECT *, {_POS} AS p FROM ss WHERE split = 'train'), tk AS (SELECT least(greatest(400 - count(*) FILTER (p), 0), count(*) FILTER (NOT p)) AS t, count(*) FILTER (NOT p) AS total FROM own),
 sz AS (SELECT vehicle_id, count(*) FILTER (NOT p) AS size, count(*) FILTER (p) AS pos FROM own GROUP BY 1), sh AS (SELECT *, t * size / CAST(total AS DOUBLE) AS share, floor(t * size / CAST(total AS DOUBLE)) AS base FROM sz, tk),
-ra AS (SELECT *, t - sum(base) OVER () AS leftover, row_number() OVER (ORDER BY share - base DESC, vehicle_id DESC) AS o FROM sh WHERE size > 0)|||SELECT vehicle_id, pos + coalesce(base + CASE WHEN o <= leftover THEN 1 ELSE 0 END, 0) AS rows, pos AS positives FROM sz LEFT JOIN (SELECT vehicle_id, base, o, leftover FROM ra) USING (vehicle_id) WHERE pos + coalesce(base + CASE WHEN o <= leftover THEN 1 ELSE 0 END, 0) > 0"""),
-    Query("spl4_cap", lambda s, d: splits.cap(_samples(s, d), 50).groupBy("split").agg(F.count("*").alias("rows")), "split:s rows:i", f"{O.SPLIT_SAMPLES}|||SELECT split, least(50, count(*)) AS rows FROM ss GROUP BY 1"),
+ra AS (SELECT *, t - sum(base) OVER () AS leftover, row_number() OVER (ORDER BY share - base DESC, vehicle_id DESC) AS o FROM sh WHERE size > 0), dr AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY {_DRAW('sample_id')}, sample_id) AS r FROM own WHERE NOT p)
+|||SELECT sample_id, vehicle_id, split FROM own WHERE p UNION ALL SELECT sample_id, dr.vehicle_id, split FROM dr JOIN ra USING (vehicle_id) WHERE r <= base + CASE WHEN o <= leftover THEN 1 ELSE 0 END"""),
+    Query("spl4_cap", lambda s, d: splits.cap(_samples(s, d), 50), "sample_id:s split:s", f"{O.SPLIT_SAMPLES}|||SELECT sample_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {_DRAW('sample_id')}, sample_id) AS r FROM ss) WHERE r <= 50"),
     Query("spl5_bundle", lambda s, d: splits.medium_bundle((x := _samples(s, d)).where("split = 'train'"), x.where(splits.positive()), x.where("split = 'test'")), "sample_id:s split:s", f"{O.SPLIT_SAMPLES}|||SELECT * FROM ss WHERE split IN ('train', 'test') OR {_POS}"),
-    Query("spl6_coverage", lambda s, d: splits.coverage_issues(splits.split_summary(_samples(s, d))), "level:s code:s", f"{O.SPLIT_SAMPLES}, su AS (SELECT split, {_SUMS} FROM ss GROUP BY 1)|||" + " UNION ALL ".join(f"SELECT '{'note' if f in ('isc', 'conn') else 'blocking'}' AS level, split || ':y_{k}_{f}' AS code FROM su WHERE y_{k}_{f} <= 0" for k in ("id", "warn") for f in _FAULTS)),
+    Query("spl6_coverage", lambda s, d: splits.coverage_issues(splits.split_summary(_with_issues(s, d))), "level:s code:s", f"{O.SPLIT_SAMPLES}, si AS (SELECT * REPLACE (CASE WHEN split = 'val' THEN 0 ELSE y_warn_sd END AS y_warn_sd, CASE WHEN split = 'val' THEN 0 ELSE y_id_samp END AS y_id_samp, CASE WHEN split = 'test' THEN 0 ELSE y_id_isc END AS y_id_isc, CASE WHEN split = 'test' THEN 0 ELSE y_warn_conn END AS y_warn_conn) FROM ss), su AS (SELECT split, {_SUMS} FROM si GROUP BY 1)|||" + " UNION ALL ".join(f"SELECT '{'note' if f in ('isc', 'conn') else 'blocking'}' AS level, split || ':y_{k}_{f}' AS code FROM su WHERE y_{k}_{f} <= 0" for k in ("id", "warn") for f in _FAULTS)),
     Query("spl7_consistency", _consistency, "issue:s vehicle_id:s detail:s", f"""{O.SPLIT_SAMPLES}, mi AS (SELECT DISTINCT vehicle_id, split FROM ss), mp AS (SELECT vehicle_id, CASE WHEN CAST(vehicle_id[2:] AS BIGINT) % 11 = 0 THEN 'other' ELSE split END AS mapped FROM split_map WHERE CAST(vehicle_id[2:] AS BIGINT) % 10 <> 0)
 |||SELECT * FROM (SELECT CASE WHEN split IS NULL THEN 'missing_in_samples' WHEN mapped IS NULL THEN 'missing_in_mapping' WHEN split <> mapped THEN 'split_mismatch' END AS issue, vehicle_id, coalesce(split, mapped) AS detail FROM mi FULL JOIN mp USING (vehicle_id)) WHERE issue IS NOT NULL"""),
     Query("spl8_external", lambda s, d: splits.external_pool(X.samples(s, d), X.raw_labels(s, d).where("source_dataset = 'raw_dataset'")), "sample_id:s split:s", f"{O.SAMPLES}|||SELECT sample_id, 'external_test' AS split FROM samples WHERE vehicle_id IN (SELECT vehicle_id FROM raw WHERE source_dataset = 'raw_dataset')"),

@@ -10,6 +10,7 @@ from ..operators import cases, features, metrics
 from ..operators.splits import with_splits
 from ..sources.shared import shared_dir
 from . import fixtures as X
+from . import fleet_queries as fleet
 from . import oracle as O
 from .registry import Query
 
@@ -62,10 +63,23 @@ def _compared(s: SparkSession, d: str, faults=CORE) -> DataFrame:
 
 
 def _model_table(s: SparkSession, d: str) -> DataFrame:
-    """Samples with split and features."""
+    """Samples with split and features, these rounded to four digits."""
     shared_dir(s)  # checkpoints need a folder
     x = with_splits(X.samples(s, d), X.split_map(s, d))
-    return x.join(features.window_features(X.frames(s, d), X.samples(s, d), X.WINDOW, False), "sample_id").checkpoint()
+    f = features.window_features(X.frames(s, d), X.samples(s, d), X.WINDOW, False)
+    f = f.select("sample_id", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in f.columns if c != "sample_id"))
+    return x.join(f, "sample_id").checkpoint()
+
+
+_RULE_ROWS = " UNION ALL ".join(
+    f"SELECT sample_id, vehicle_id, split, lead_time_sec, '{f}' AS fault_type, {k} AS rule, '{c}' AS rule_feature, {int(way == 'high')} AS up, round(CAST({c} AS DOUBLE), 4) AS x, y_warn_{f} AS y_true FROM ss JOIN feat USING (sample_id)"
+    for f, rules in _RULES.items() for k, (c, way) in enumerate(rules)
+)
+_BASELINE = f"""{fleet.FEATURES}, {O.SPLIT_MAP}, ss AS (SELECT samples.*, coalesce(split, 'external_test') AS split FROM samples LEFT JOIN split_map USING (vehicle_id)), rr AS ({_RULE_ROWS}),
+rg AS (SELECT fault_type, rule, min(x) AS lo, max(x) AS hi FROM rr WHERE split = 'train' GROUP BY 1, 2), rs0 AS (SELECT rr.*, CASE WHEN hi > lo THEN least(1, greatest(0, (x - lo) / (hi - lo))) ELSE 0 END AS z FROM rr JOIN rg USING (fault_type, rule)),
+rs AS (SELECT *, CASE WHEN up = 1 THEN z ELSE 1 - z END AS y_score FROM rs0), vl AS (SELECT * FROM rs WHERE split = 'val'), {_best('vl', 'fault_type, rule')},
+vm AS (SELECT vl.*, threshold FROM vl JOIN thr USING (fault_type, rule)), vq AS ({_counts('vm', 'fault_type, rule, threshold', 'y_score >= threshold')}),
+bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fault_type ORDER BY {_F1} DESC, {_ratio('tp', 'tp + fn')} DESC, CAST(fp AS DOUBLE) / greatest(fp + tn, 1), rule) AS rn FROM vq) WHERE rn = 1)"""
 
 
 def _rule_baseline(s: SparkSession, d: str) -> DataFrame:
@@ -97,7 +111,8 @@ mm AS (SELECT model_name, task_type, fault_scope, avg({_F1}) AS macro_f1, {_rati
     Query("met5_best_threshold", _thresholds, "model_name:s task_type:s fault_type:s threshold:d", f"{_P}, vp AS (SELECT * FROM pred WHERE split = 'val'), vx AS (SELECT {_T}, y_score, y_true FROM vp UNION ALL SELECT DISTINCT {_T}, unnest([CAST(0.25 AS DOUBLE), 0.75]), NULL FROM vp), {_best('vx', _T)}|||SELECT * FROM thr"),
     Query("met6_apply_threshold", lambda s, d: metrics.apply_thresholds(X.predictions(s, d).drop("threshold", "y_pred").where("split = 'test'"), _thresholds(s, d)).groupBy("model_name", "task_type", "fault_type").agg(F.count("*").alias("rows"), F.sum("y_pred").alias("positives")), "model_name:s task_type:s fault_type:s rows:i positives:i", f"{_P}, vp AS (SELECT * FROM pred WHERE split = 'val'), vx AS (SELECT {_T}, y_score, y_true FROM vp UNION ALL SELECT DISTINCT {_T}, unnest([CAST(0.25 AS DOUBLE), 0.75]), NULL FROM vp), {_best('vx', _T)}|||SELECT {_T}, count(*) AS rows, count(*) FILTER (y_score >= thr.threshold) AS positives FROM pred JOIN thr USING ({_T}) WHERE split = 'test' GROUP BY ALL"),
     Query("met6b_wide_to_long", lambda s, d: metrics.wide_to_long(X.raw_labels(s, d).select("vehicle_id", "frame_index", *(F.col(f"label_raw_{f}").alias(f"score_{f}") for f in FAULTS)), ["vehicle_id", "frame_index"], FAULTS), "vehicle_id:s frame_index:i fault_type:s y_score:d", f"{O.RAW_LABELS}|||" + " UNION ALL ".join(f"SELECT vehicle_id, frame_index, '{f}' AS fault_type, label_raw_{f} AS y_score FROM raw" for f in FAULTS)),
-    Query("met7_rule_baseline", _rule_baseline, "sample_id:s fault_type:s y_true:i y_pred:i y_score:d threshold:d rule_feature:s"),
+    Query("met7_rule_baseline", _rule_baseline, "sample_id:s fault_type:s y_true:i y_pred:i y_score:d threshold:d rule_feature:s", f"""{_BASELINE}
+|||SELECT sample_id, fault_type, y_true, CAST(y_score >= threshold AS INT) AS y_pred, y_score, threshold, rule_feature FROM rs JOIN bst USING (fault_type, rule) WHERE split = 'test'"""),
     Query("met8_tree_baseline", _tree_baseline, "fault_type:s split:s rows:i score:d"),
     Query("met9_summary", _summary, f"experiment_name:s {_GC} accuracy:d f1:d warning_f1:d avg_lead_time:d macro_f1:d", f"{_P}, {_BIN}, {_WARN}|||SELECT 'run' AS experiment_name, {_G}, accuracy, f1, NULL AS warning_f1, NULL AS avg_lead_time, NULL AS macro_f1 FROM bin UNION ALL SELECT 'run', {_G}, NULL, NULL, warning_f1, avg_lead_time, NULL FROM wrn"),
     Query("met9b_rare", lambda s, d: metrics.only_faults(_summary(s, d), RARE), f"{_GC} f1:d warning_f1:d", f"{_P}, {_BIN}, {_WARN}|||SELECT * FROM (SELECT {_G}, f1, NULL AS warning_f1 FROM bin UNION ALL SELECT {_G}, NULL, warning_f1 FROM wrn) WHERE fault_type IN ('isc', 'conn')"),

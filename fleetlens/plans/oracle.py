@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import CELLS, HORIZON, MAX_GAP, MODELS, PROBES, STEP, WINDOW
+from .fixtures import CELLS, HORIZON, LONG, MAX_GAP, MODELS, PACK, PROBES, STEP, WINDOW
 
 FAULTS = ("sd", "isc", "conn", "samp", "ins")
 _STATUS = "CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 4 ELSE 3 END"
@@ -31,18 +31,36 @@ def merged(column: str, gap: int = 2) -> str:
 FINAL_LABELS = f"{RAW_LABELS}, fin AS (SELECT *, {', '.join(f'{merged(f'label_raw_{f}')} AS label_final_{f}' for f in FAULTS)} FROM raw)"
 
 
-def _lead(f: str) -> str:
-    return "CASE " + " ".join(f"WHEN lead(label_final_{f}, {k}) OVER w = 1 THEN {k}" for k in range(1, HORIZON + 1)) + " END"
+_TARGETS = [f"y_id_{f}" for f in FAULTS] + [f"y_warn_{f}" for f in FAULTS]
 
 
-_TARGETS = [f"y_id_{f}" for f in FAULTS] + [f"y_warn_{f}" for f in FAULTS]
-_FIRST = "list_sort(list_filter([" + ", ".join(f"CASE WHEN y_warn_{f} = 1 THEN {{'l': lead_{f}, 'o': {k}, 'f': '{f}'}} END" for k, f in enumerate(FAULTS)) + "], lambda x: x IS NOT NULL))[1]"
-SAMPLES = f"""{FINAL_LABELS}, win0 AS (SELECT *, lag(frame_index, {WINDOW - 1}) OVER w AS start_frame, lag(timestamp, {WINDOW - 1}) OVER w AS start_time, lag(segment_id, {WINDOW - 1}) OVER w AS seg0, count(*) OVER (PARTITION BY vehicle_id) AS n,
- {', '.join(f'CAST(sum(label_final_{f}) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS INT) AS y_id_{f}, {_lead(f)} AS lead_{f}' for f in FAULTS)} FROM fin WINDOW w AS ({_W})),
+def windows(window: int, step: int, horizon: int) -> str:
+    """Samples of the labelled frames ``fin``."""
+    lead = lambda f: "CASE " + " ".join(f"WHEN lead(label_final_{f}, {k}) OVER w = 1 THEN {k}" for k in range(1, horizon + 1)) + " END"
+    first = "list_sort(list_filter([" + ", ".join(f"CASE WHEN y_warn_{f} = 1 THEN {{'l': lead_{f}, 'o': {k}, 'f': '{f}'}} END" for k, f in enumerate(FAULTS)) + "], lambda x: x IS NOT NULL))[1]"
+    recent = lambda f: f"CAST(sum(label_final_{f}) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS INT) AS y_id_{f}"
+    return f"""win0 AS (SELECT *, lag(frame_index, {window - 1}) OVER w AS start_frame, lag(timestamp, {window - 1}) OVER w AS start_time,
+ lag(segment_id, {window - 1}) OVER w AS seg0, count(*) OVER (PARTITION BY vehicle_id) AS n, {', '.join(f'{recent(f)}, {lead(f)} AS lead_{f}' for f in FAULTS)} FROM fin WINDOW w AS ({_W})),
 win1 AS (SELECT *, {', '.join(f'CAST(coalesce(y_id_{f} = 0 AND lead_{f} > 0, false) AS INT) AS y_warn_{f}' for f in FAULTS)} FROM win0
- WHERE start_frame % {STEP} = 0 AND start_frame <= n - {WINDOW} - {HORIZON} AND seg0 = segment_id AND quality_flag <> 'low'),
-samples AS (SELECT vehicle_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY start_frame) - 1 AS VARCHAR), 6, '0') AS sample_id, vehicle_id, segment_id, start_time, timestamp AS end_time, start_frame, frame_index AS end_frame, quality_flag,
- {', '.join(_TARGETS)}, {_FIRST}['f'] AS future_first_fault, {_FIRST}['l'] * 10 AS lead_time_sec FROM win1)"""
+ WHERE start_frame % {step} = 0 AND start_frame <= n - {window} - {horizon} AND seg0 = segment_id AND quality_flag <> 'low'),
+samples AS (SELECT vehicle_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY start_frame) - 1 AS VARCHAR), 6, '0') AS sample_id,
+ vehicle_id, segment_id, start_time, timestamp AS end_time, start_frame, frame_index AS end_frame, quality_flag,
+ {', '.join(_TARGETS)}, {first}['f'] AS future_first_fault, {first}['l'] * 10 AS lead_time_sec FROM win1)"""
+
+
+SAMPLES = f"{FINAL_LABELS}, {windows(WINDOW, STEP, HORIZON)}"
+_LONG_RULES = {"sd": "value > 60", "isc": "event_id % 31 = 0", "conn": "event_id % 17 < 3", "samp": "event_id % 11 < 2", "ins": "value < 2"}
+LONG_FRAMES = f"""lf0 AS (SELECT *, 'L' || event_type AS vehicle_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame_index FROM events),
+ev AS (SELECT *, frame_index * 10 + (frame_index // 400) * 60 AS timestamp, CASE WHEN event_id % 29 = 0 THEN 'low' ELSE 'ok' END AS quality_flag,
+ list_transform(range(1, 7), lambda i: CAST(3.7 AS DOUBLE) + ((event_id * i) % 101) / CAST(5000 AS DOUBLE) - CASE WHEN i = 2 THEN value / CAST(1000 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS voltages,
+ 3 AS charge_status, {', '.join(f'CAST({_LONG_RULES[f]} AS INT) AS label_final_{f}' for f in FAULTS)} FROM lf0),
+{SEGMENTS.replace(str(MAX_GAP), str(LONG['max_gap']))}, fin AS (SELECT * FROM seg)"""
+LONG_SAMPLES = f"{LONG_FRAMES}, {windows(LONG['window'], LONG['step'], LONG['horizon'])}"
+_ITEM = "CAST(embedding[({}) % len(embedding) + 1] AS DOUBLE)"
+PACK_FRAMES = f"""{EVENTS}, cnt AS (SELECT count(*) AS n FROM embeddings), pack AS (SELECT vehicle_id, frame_index,
+ list_transform(range({PACK[0]}), lambda i: CAST(3.6 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {_ITEM.format('i')} + CAST(0.001 AS DOUBLE) * i) AS voltages,
+ list_transform(range({PACK[1]}), lambda i: CAST(30 AS DOUBLE) + CAST(40 AS DOUBLE) * {_ITEM.format('i * 3')} + CAST(0.3 AS DOUBLE) * value) AS temperatures
+ FROM ev, cnt JOIN embeddings ON vec_id = event_id % n)"""
 SPLIT_MAP = "split_map AS (SELECT DISTINCT 'V' || user_id AS vehicle_id, CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM events)"
 SPLIT_SAMPLES = f"{SAMPLES}, {SPLIT_MAP}, ss AS (SELECT samples.*, coalesce(split, 'external_test') AS split FROM samples LEFT JOIN split_map USING (vehicle_id))"
 

@@ -51,11 +51,13 @@ def require_columns(df: DataFrame, columns) -> DataFrame:
     return df
 
 
-def _read_csv(spark: SparkSession, path) -> DataFrame:
-    """All columns as text, with the file's stem and the place of the row as it is read (single files are not split)."""
+def _read_csv(spark: SparkSession, path, vehicle: str) -> DataFrame:
+    """All columns as text, with the vehicle (the file's stem, or its folder) and the place of the row in its file, also where Spark splits the file."""
     df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
-    df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
-    return df.withColumns({"vehicle_id": F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.[^.]+$", 1), "_row": F.monotonically_increasing_id()})
+    df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+    pattern = {"stem": r"([^/]+)\.[^./]+$", "folder": r"([^/]+)/[^/]+$"}[vehicle]
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return df.withColumns({"vehicle_id": F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), "_row": place})
 
 
 def _sensor_columns(df: DataFrame, prefix: str) -> list[str]:
@@ -91,12 +93,14 @@ def standardize_raw(df: DataFrame, order=("_row",)) -> DataFrame:
     return df.select("vehicle_id", "frame_index", F.col("terminaltime").alias("time"), *scalars.values(), parse_series(F.col("batteryvoltage")).alias("voltages"), parse_series(F.col("probetemperatures")).alias("temperatures"), *limits)
 
 
-def read_structured(spark: SparkSession, path) -> DataFrame:
-    return standardize_structured(_read_csv(spark, path))
+def read_structured(spark: SparkSession, path, vehicle: str = "stem") -> DataFrame:
+    """Frames of wide csv files; ``vehicle`` says whether a file's stem or its folder names the vehicle."""
+    return standardize_structured(_read_csv(spark, path, vehicle))
 
 
-def read_raw(spark: SparkSession, path) -> DataFrame:
-    return standardize_raw(_read_csv(spark, path))
+def read_raw(spark: SparkSession, path, vehicle: str = "stem") -> DataFrame:
+    """Frames of raw csv files; ``vehicle`` as in ``read_structured``."""
+    return standardize_raw(_read_csv(spark, path, vehicle))
 
 
 def write_table(df: DataFrame, path: str, partition=(), sort=(), form: str = "parquet", mode: str = "errorifexists") -> None:
@@ -108,15 +112,22 @@ def write_table(df: DataFrame, path: str, partition=(), sort=(), form: str = "pa
     (writer.partitionBy(*partition) if partition else writer).save(path)
 
 
-def read_dataset(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A table by its file ending: csv, tsv, txt (tabs), json, parquet.  Other encodings of csv, such as GBK, by name."""
+def read_dataset(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A table by its file ending: csv, tsv, txt (tabs), json, parquet.
+
+    Text files are UTF-8, or GBK where a line is not valid UTF-8; ``encoding`` names another.  For other than Unicode encodings the
+    session is set to allow all of Java's (spark.sql.legacy.javaCharsets).
+    """
     ending = path.rsplit(".", 1)[-1].lower()
     if ending == "parquet":
         return spark.read.parquet(path)
+    if ending not in ("csv", "tsv", "txt", "json"):
+        raise ValueError(f"no reader for .{ending}")
+    if encoding is None:
+        encoding = "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "GBK"
+    if not encoding.upper().startswith("UTF"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if ending == "json":
-        return spark.read.option("multiLine", False).json(path)
-    if ending in ("csv", "tsv", "txt"):
-        df = spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding).option("sep", "," if ending == "csv" else "\t").csv(path)
-        return df.toDF(*(c.lstrip("﻿") for c in df.columns))
-    raise ValueError(f"no reader for .{ending}")
-
+        return spark.read.option("encoding", encoding).option("lineSep", "\n").json(path)
+    df = spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding).option("sep", "," if ending == "csv" else "\t").csv(path)
+    return df.toDF(*(c.lstrip("\ufeff") for c in df.columns))

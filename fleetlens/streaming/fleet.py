@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,54 +16,75 @@ EVENT = "vehicle_id string, fault_type string, start_frame long, end_frame long,
 def stream_segments(frames: DataFrame, max_gap: int = 20, delay: str = "10 minutes") -> DataFrame:
     """(vehicle_id, rows, start_time, end_time) of each segment: sessions with gaps of at most ``max_gap`` whole seconds.
 
-    Rows later than the watermark are dropped; on a batch table the same plan gives all segments.  ``frames`` has vehicle_id and ts.
+    A session is emitted once the watermark (``delay`` behind the newest row) has passed it; rows behind the watermark are
+    dropped.  On a batch table the same plan gives all segments.  ``frames`` has vehicle_id and ts.
     """
     session = F.session_window("ts", f"{max_gap} seconds")
-    return frames.withWatermark("ts", delay).groupBy("vehicle_id", session).agg(F.count("*").alias("rows"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time")).drop("session_window")
+    found = frames.withWatermark("ts", delay).groupBy("vehicle_id", session)
+    return found.agg(F.count("*").alias("rows"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time")).drop("session_window")
+
+
+def _merged(runs: list[tuple[int, int]], max_gap: int) -> list[tuple[int, int]]:
+    """Runs in order, those with at most ``max_gap`` frames between them as one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if out and first - out[-1][1] - 1 <= max_gap:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
 
 
 class EventState(StatefulProcessor):
-    """Per (vehicle, fault): one open run of label 1 with gaps of at most ``max_gap`` zeros merged; a run is emitted once it is over."""
+    """Per (vehicle, fault): the runs of label 1 that may still grow, gaps of at most ``max_gap`` zeros merged.
+
+    A run is emitted once the newest frame is more than ``max_gap + delay`` frames behind it, or the vehicle's last frame has come.
+    Frames up to ``delay`` behind the newest may come in any order; older ones that
+    would touch an emitted run, or lie before it, are dropped.  State is as long as a key's open runs.
+    """
 
-    def __init__(self, max_gap: int = 2):
-        self.max_gap = max_gap
+    def __init__(self, max_gap: int = 2, delay: int = 0):
+        self.max_gap, self.delay = max_gap, delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "first long, last long")
+        self.runs = handle.getListState("runs", "first long, last long")
+        self.seen = handle.getValueState("seen", "newest long, emitted long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        first, last = self.run.get() if self.run.exists() else (None, None)
-        done = []
-        frames = pd.concat(list(rows)).sort_values("frame_index")
-        final = bool(frames["is_last"].any())
-        for frame in frames.loc[frames["label"] == 1, "frame_index"]:
-            frame = int(frame)
-            if last is not None and frame - last - 1 <= self.max_gap:
-                last = max(last, frame)
-            else:
-                if last is not None:
-                    done.append((first, last))
-                first = last = frame
-        newest = int(frames["frame_index"].max())
-        if last is not None and (final or newest - last > self.max_gap):
-            done.append((first, last))
-            first = last = None
-        if last is None:
-            self.run.clear()
-        else:
-            self.run.update((first, last))
-        text = lambda x: pd.Series([x] * len(done), dtype=object)
+        runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+        newest, emitted = self.seen.get() if self.seen.exists() else (-1, -1 - self.max_gap)
+        final = False
+        for part in rows:  # a part at a time: only its runs are kept
+            final |= bool(part["is_last"].any())
+            newest = max(newest, int(part["frame_index"].max()))
+            at = np.unique(part.loc[part["label"] == 1, "frame_index"].to_numpy())
+            at = at[at > emitted + self.max_gap]
+            cut = np.flatnonzero(np.diff(at) > 1 + self.max_gap) + 1
+            runs = _merged(runs + [(int(p[0]), int(p[-1])) for p in np.split(at, cut) if len(p)], self.max_gap)
+        done = [r for r in runs if final or newest - r[1] > self.max_gap + self.delay]
+        still = runs[len(done) :]
+        if done:
+            emitted = done[-1][1]
+        self.seen.update((newest, emitted))
+        if still:
+            self.runs.put(still)
+        elif self.runs.exists():
+            self.runs.clear()
         number = lambda xs: pd.Series(xs, dtype="int64")
-        yield pd.DataFrame({"vehicle_id": text(key[0]), "fault_type": text(key[1]), "start_frame": number([a for a, _ in done]), "end_frame": number([b for _, b in done]), "duration_frames": number([b - a + 1 for a, b in done])})
+        text = lambda x: pd.Series([x] * len(done), dtype=object)
+        yield pd.DataFrame({
+            "vehicle_id": text(key[0]), "fault_type": text(key[1]),
+            "start_frame": number([a for a, _ in done]), "end_frame": number([b for _, b in done]), "duration_frames": number([b - a + 1 for a, b in done]),
+        })
 
     def close(self) -> None:
         pass
 
 
-def stream_events(labels: DataFrame, max_gap: int = 2) -> DataFrame:
-    """Events from a stream of (vehicle_id, fault_type, frame_index, label, is_last); equal to the batch job on input in order.
+def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0) -> DataFrame:
+    """Events from a stream of (vehicle_id, fault_type, frame_index, label, is_last); equal to the batch job on frames that come at most ``delay`` late.
 
-    ``is_last`` marks a vehicle's last frame, which closes an open run.  State is one small row by vehicle and fault.
+    ``is_last`` marks a vehicle's last frame, which closes its open runs.
     """
     rows = labels.select("vehicle_id", "fault_type", F.col("frame_index").cast("long").alias("frame_index"), "label", "is_last")
-    return rows.groupBy("vehicle_id", "fault_type").transformWithStateInPandas(EventState(max_gap), EVENT, "append", "none")
+    return rows.groupBy("vehicle_id", "fault_type").transformWithStateInPandas(EventState(max_gap, delay), EVENT, "append", "none")

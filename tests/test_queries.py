@@ -8,7 +8,7 @@ from fleetlens.plans import fleet_queries, model_queries, text_queries
 DATA = "/root/testdata/sf0.001"
 TABLES = "events embeddings documents conversations orders".split()
 QUERIES = [*fleet_queries.QUERIES, *model_queries.QUERIES, *text_queries.QUERIES]
-SLOW = {"met8_tree_baseline", "lbl6_core_labels"}
+SLOW = {"met8_tree_baseline"}
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +26,6 @@ def test_names_are_unique():
 
 @pytest.mark.parametrize("query", [q for q in QUERIES if q.name not in SLOW], ids=lambda q: q.name)
 def test_query(spark, duck, query):
-    if query.name.startswith("spl2"):
-        pytest.skip("needs more vehicles than the smallest tables have")
     df = query.run(spark, DATA)
     rows = [tuple(r) for r in df.collect()]
     if query.sql is None:
