@@ -6,7 +6,7 @@ that position (Viterbi).  A character that no piece begins with costs ``UNKNOWN`
 piece and is written as its bytes.  On equal scores the longest last piece wins.
 
 No piece has a space mark after another character, so a text falls into parts that begin at a
-run of space marks, and a worker encodes a part once as long as it remembers it.  A text's round trip holds if it holds for each part.
+run of space marks, and a task encodes a part once as long as it remembers it.  A text's round trip holds if it holds for each part.
 
 The model file given here is of the merging kind; this operator takes its pieces and scores and segments by the
 best total score, so ids differ from the library's merges where the two rules differ, while
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 MARK = "\u2581"
 UNKNOWN = 10.0
-#: Parts that each generation of a worker's memory holds.
-CACHE = 400_000
+#: Parts that each of the two generations of a task's memory holds, and characters of a part that is remembered at most.
+CACHE = 200_000
+CACHED_CHARS = 64
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Piece types of the model file.
 _NORMAL, _USER, _BYTE = 1, 4, 6
@@ -115,26 +116,23 @@ class _Encoded(dict):
             out = np.array(ids, np.int32).tobytes()
             if b"".join(map(self.model.raw.__getitem__, ids)) != (self.before + part).encode("utf-8", "surrogatepass"):
                 self.lossy.add(part)
-        self[part] = out
+        if len(part) <= CACHED_CHARS:
+            self[part] = out
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoders(path: str) -> tuple[Pieces, _Encoded, _Encoded]:
-    """Kept by a worker from task to task."""
-    model = Pieces(path)
-    return model, _Encoded(model, ""), _Encoded(model, MARK)
-
-
+@lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
-    return _encoders(path)[0]
+    """The model, kept by a worker from task to task."""
+    return Pieces(path)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id, ids, n_pieces, round_trip (decoding the ids gives the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, whole, spaced = _encoders(path)
+        model = pieces(path)
+        whole, spaced = _Encoded(model, ""), _Encoded(model, MARK)
         for batch in batches:
             packed, same = [], []
             for value in batch.column("text"):

@@ -26,18 +26,20 @@ _FOLDED[65:91] = _RANDOM[97:123]
 _powers: list[np.ndarray] = []
 
 #: Bytes of text that are hashed at a time (a longer text is hashed alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to exponent n at least."""
+    """Powers of the base and of its inverse, up to exponent n at least; those of longer texts than ``CHUNK_BYTES`` are not kept."""
     if not _powers or len(_powers[0]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = max(n, CHUNK_BYTES) + 2
         out = []
         for base in (_P, _INV_P):
             step = np.full(size, base, dtype=U64)
             step[0] = 1
             out.append(np.multiply.accumulate(step))
+        if n > CHUNK_BYTES:
+            return out[0], out[1]
         _powers[:] = out
     return _powers[0], _powers[1]
 
