@@ -11,17 +11,21 @@ Plan, for sets of distinct n-word shingles (as 64-bit hashes) and a threshold of
   has the shingle earliest in its order, so the fewest rarer ones: of near copies the least changed
   (a star, linear in the group); pairs pass length, positional and suffix filters,
   and each pair that is left is verified once on the whole sets;
-* groups whose members are then still in several components pair all members of different
-  components that were not verified yet, with the same filters.  So no link between
-  components is missed, and copies never pair off among themselves.
-
-Frequent shingles are salted by their frequency.  Defined cases: null or empty text, or text without words, has
+* groups whose members are then still in several components pair members of different
+  components that were not verified yet.  One of the two is outside the group's largest component, so copies
+  never pair off among themselves; and the two meet by ranges of length, each of which a partner of that
+  place in the other's order can have, so members that no partner can reach are not paired at all.  No link between
+  components is missed.
+
+Frequent shingles are salted by their frequency, verification by the number of a document's pairs: its set travels once
+for each ``PAIRS`` of them.  Defined cases: null or empty text, or text without words, has
 an empty set and no links (component_id is its own doc_id); a null doc_id takes no part and
 gets a null component_id; rows that repeat a doc_id are one node with several texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import membership
 from .graph import components
-from .shared import Scratch
+from .shared import Scratch, fresh
 from .wordhash import Words, mix, shingle_sets, text_chunks
 
 #: Rows from which on a shingle counts as frequent.
@@ -42,6 +46,8 @@ BROADCAST_LIMIT = 2_000_000
 SALT_ROWS = 1000
 #: Keys that one counting group holds, about.
 SLOT_KEYS = 1_000_000
+#: Pairs of one document that are verified under one key, about.
+PAIRS = 256
 #: Ranges of hash whose sizes the suffix filter compares (a power of two).
 _RANGES = 128
 _DOC = "doc_id long, n int, low long, high long"
@@ -189,6 +195,36 @@ def _may_link(percent: int, n: str, pos: str, m: str, at: str) -> Column:
     return fits & (most * (100 + percent) >= (n + m) * percent)
 
 
+def _length_range(n: Column) -> Column:
+    """Each length up to 40 by itself, then ranges of 2.5 per cent."""
+    return F.when(n <= 40, n).otherwise(40 + F.floor(F.log(n / 40.0) / math.log(1.025))).cast("int")
+
+
+def _reach(rows: DataFrame, percent: int, longer: bool) -> DataFrame:
+    """A row for each range of length (``other``) of partners that ``_may_link`` allows a prefix row; partners as long or longer, or as long or shorter."""
+    n, pos = F.col("n").cast("long"), F.col("pos").cast("long")
+    most = F.floor((n - pos) * (100 + percent) / percent) - n
+    low, high = (n, F.least(F.floor(n * 100 / percent), most)) if longer else (F.ceil(n * percent / 100), F.least(n, most))
+    reached = F.when(high >= low, F.sequence(_length_range(low), _length_range(high)))
+    return rows.withColumns({"own": _length_range(n), "other": F.explode(reached)})
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components of a group that pass the filters; ``rows`` has token, doc_id, n, pos, component."""
+    most = rows.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
+    rows = rows.join(most, "token")
+    side = lambda part, longer, names: _reach(part, percent, longer).select("token", *(F.col(x).alias(y) for x, y in zip(("doc_id", "n", "pos", "component", "own", "other"), names)))
+    one, two = ("a", "n", "pos", "component", "own", "other"), ("b", "m", "at", "c", "other", "own")
+    rest = rows.where("component <> main")
+    out = None
+    for longs, shorts in ((rest, rows), (rows.where("component = main"), rest)):
+        met = side(longs, False, one).join(side(shorts, True, two), ["token", "own", "other"])
+        met = met.where("component <> c and (n > m or n = m and a < b)").where(_may_link(percent, "n", "pos", "m", "at")).select("a", "b")
+        # two members outside the largest component meet once where their lengths differ, from either side where they are equal
+        out = met if out is None else out.unionByName(met)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold, as links (u, v)."""
     sizes = table.where("n > 0 and doc_id is not null").groupBy("doc_id", "low", "high").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
@@ -198,15 +234,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, p
     near = (both - apart) * (100 + percent) >= both * 2 * percent  # at least `apart` shingles are in one set only
     pairs = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct(), "pairs")
 
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("pairs")), "ids")
     needed = membership.build(ids, "doc_id")
 
     def make(own, sets):
         return pa.RecordBatch.from_arrays([own, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
-    sets = _scan(docs, words, make, "doc_id long, set binary", among=needed).join(ids, "doc_id")
-    sets = scratch.keep(sets, "sets")
-    rows = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
+    sets = scratch.keep(_scan(docs, words, make, "doc_id long, set binary", among=needed).join(ids, "doc_id"), "sets")
+    # the document of more pairs is the head of a pair: its set goes to each salt once, the other's to each of its few pairs
+    many = lambda x: ids.select(F.col("doc_id").alias(x), F.col("pairs").alias(f"pairs_{x}"))
+    first = F.col("pairs_a") >= F.col("pairs_b")
+    turned = pairs.join(many("a"), "a").join(many("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("head"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("doc"), F.greatest("pairs_a", "pairs_b").alias("pairs"))
+    salts = (F.col("pairs") / PAIRS).cast("int") + 1
+    turned = scratch.keep(turned.select("head", "doc", F.pmod(F.xxhash64("doc"), salts).cast("int").alias("salt")), "turned")
+    heads = sets.select(F.col("doc_id").alias("head"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("set").alias("set_a")).join(turned.select("head", "salt").distinct(), ["head", "salt"], "left_semi")
+    rows = turned.join(sets.select(F.col("doc_id").alias("doc"), F.col("set").alias("set_b")), "doc").join(heads, ["head", "salt"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +257,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, p
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(shared * 100 >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).rename_columns(["u", "v"])
+            yield batch.select(["head", "doc"]).filter(pa.array(ok, pa.bool_())).rename_columns(["u", "v"])
 
-    links = scratch.keep(rows.select("a", "b", "set_a", "set_b").mapInArrow(verify, "u long, v long").distinct(), "links")
+    links = scratch.keep(rows.select("head", "doc", "set_a", "set_b").mapInArrow(verify, "u long, v long").distinct(), "links")
     scratch.drop(sets)
     return links
 
@@ -251,9 +293,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     rows = scratch.keep(rows, "labelled")
     open_ = rows.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
     rows = scratch.keep(rows.join(open_, "token"), "open")
-    other = rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("other"))
-    more = rows.withColumnRenamed("doc_id", "a").join(other, "token").where("component <> other and a < b").where(_may_link(percent, "n", "pos", "m", "at"))
-    more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _across(rows, percent).join(pairs, ["a", "b"], "left_anti")
     second = _verified(more, docs, table, words, percent, scratch)
 
     classes = scratch.keep(table.where("n > 0 and doc_id is not null").groupBy("low", "high", "n").agg(F.min("doc_id").alias("node")), "classes")
@@ -261,6 +301,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     same = table.join(several, "doc_id").join(classes, ["low", "high", "n"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     linked = components(first.unionByName(second).unionByName(same))
     classes = scratch.keep(classes.join(linked, "node", "left").select("low", "high", "n", F.coalesce("component", "node").alias("component")), "components")
+    scratch.drop_but(table, classes)
     out = table.select("doc_id", "n", "low", "high").join(classes, ["low", "high", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` less near copies, all columns as they are: of each group of linked rows one stays.
+
+    Every row is judged by its own text, whatever other rows its doc_id has.  The row of the smallest doc_id stays (one
+    without doc_id only if no other is in the group; of equal ones the smallest hash of text).  Rows without words are in no group and stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    row = fresh(docs, "row")
+    numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so a row keeps its number
+    own = numbered.select(F.col(row).alias("doc_id"), F.col("text"))
+    groups = jaccard_components(own, words, percent).where("n_shingles > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
+    ids = numbered.select(F.col(row), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), F.col(row).alias("row")).alias("_order"))
+    grouped = scratch.keep(groups.join(ids, row).select("_group", "_order"), "groups")
+    first = grouped.groupBy("_group").agg(F.min("_order").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = grouped.join(first, "_group").where(F.col("_order.row") != F.col("first.row")).select(F.col("_order.row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""The documents table, and columns whose names do not clash."""
 
 from __future__ import annotations
 
@@ -6,33 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import fresh_path
+from ..sources.shared import Scratch
 
-
-class Scratch:
-    """Intermediate Parquet tables of one operator run.
-
-    ``keep`` writes a DataFrame once and reads it back, so that a lost executor costs a
-    re-read and never a re-run of what came before; ``drop`` removes a table that no
-    later step reads.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = fresh_path(spark, "tables")
-        self.tables: list[tuple[DataFrame, str]] = []
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.tables)}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.tables.append((out, path))
-        return out
-
-    def drop(self, table: DataFrame) -> None:
-        path = next(p for t, p in self.tables if t is table)
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "bounded", "documents", "fresh", "text_of", "with_fields"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +28,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded(sample: DataFrame, key: str, size: str, rows: int, total: int) -> DataFrame:
+    """The rows of ``sample`` whose keys, taken in order, fit into ``rows`` keys and ``total`` units of ``size``.
+
+    ``sample`` has one row by key (a long), and is small already in expectation.  At most twice ``rows`` keys and sizes come to the driver.
+    """
+    left, chosen = total, []
+    for r in sample.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).orderBy("key").limit(2 * rows).collect():
+        if r.size <= left and len(chosen) < rows:
+            left -= r.size
+            chosen.append((r.key,))
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(chosen, f"`{key}` long")), key, "left_semi")
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and the fields of ``ddl`` after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
