@@ -7,13 +7,13 @@ over ``LONG`` words of a sentence that stand elsewhere too fall into the same pi
 either end, whatever comes before and after.  A repeated passage of 51 words therefore always holds a whole run, wherever
 it starts and ends.  Of it stay at most ``NEAR`` words at its start and less than two times that at its end; or, where short
 sentences stand there, the part of one, and at the end a whole one that no run ends with.  A run starts at each sentence and takes sentences until it has
-``SENTENCES`` of them and ``WORDS`` words.  Runs are compared by the hash of their words (case and white
+``SENTENCES`` of them and ``WORDS`` words.  Runs are compared by two 64-bit hashes of their words (case and white
 space do not count) over the whole corpus.  The first occurrence of a run is that of the smallest
 (doc_id, sentence); every sentence that another occurrence covers is removed.
 
-Plan: runs are counted by hash, combined in the tasks; only hashes of several occurrences go on. The
+Plan: runs are counted by their first hash, combined in the tasks; only hashes of several occurrences go on. The
 texts are read again, runs that are surely single (a filter of fixed size) stay in their task, the others
-are joined to the repeated ones; what is to be removed is grouped by document and
+are joined to the repeated ones and judged by both hashes; what is to be removed is grouped by document and
 joined to the texts.  No group of equal runs is gathered: the first is a minimum, the rest a join.
 
 Defined cases: null and empty texts, and rows with a null doc_id, stay as they are and take no part; rows that repeat a doc_id
@@ -36,12 +36,13 @@ from .shared import Scratch, fresh, with_fields
 from .wordhash import _SPACE, Words, mix, text_chunks
 
 SENTENCES = 2
-WORDS = 15
+WORDS = 28
 LONG = 11
 NEAR = 5
 _PAIR = np.uint64(0xA24BAED4963EE407)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_OTHER = np.uint64(0x8BB84B93962EACC9)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 
@@ -66,7 +67,7 @@ def _inner_cuts(words: Words, cuts: np.ndarray) -> np.ndarray:
 
 
 class Sentences:
-    """Sentences of a run of texts: ``start`` and ``end`` bytes, per row the slice ``row[i]:row[i+1]``, and ``run`` hashes with ``length``.
+    """Sentences of a run of texts: ``start`` and ``end`` bytes, per row the slice ``row[i]:row[i+1]``, and ``run`` and ``check`` hashes with ``length``.
 
     A sentence where no run starts has length 0.
     """
@@ -104,7 +105,11 @@ class Sentences:
         powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * powers[:-1], dtype=np.uint64)])
         a, b = first[:-1], first[np.minimum(stop, k)]
-        self.run = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64)
+        value = (total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)
+        self.run = mix(value).view(np.int64)
+        # a second hash of the same words, by another mixture of theirs
+        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash ^ _OTHER) * powers[:-1], dtype=np.uint64)])
+        self.check = mix((other[b] - other[a]) * back[a]).view(np.int64)
 
 
 def _each(column: pa.Array, sentences: int, least: int) -> Iterator[tuple[int, np.ndarray, Sentences]]:
@@ -113,7 +118,7 @@ def _each(column: pa.Array, sentences: int, least: int) -> Iterator[tuple[int, n
 
 
 def _runs(docs: DataFrame, sentences: int, least: int, among=None) -> DataFrame:
-    """(run, doc_id, sentence): where each run starts; only runs that may be in the filter, if there is one."""
+    """(run, check, doc_id, sentence): where each run starts; only runs that may be in the filter, if there is one, and ``check`` (the second hash) only then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +131,13 @@ def _runs(docs: DataFrame, sentences: int, least: int, among=None) -> DataFrame:
                     keep &= membership.maybe(among.value, s.run)
                 at = np.flatnonzero(keep)
                 sentence = at - s.row[owner[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(s.run[at]), pa.array(ids[first + owner[at]]), pa.array(sentence.astype(np.int32))], ["run", "doc_id", "sentence"])
+                columns = {"run": s.run[at], "doc_id": ids[first + owner[at]], "sentence": sentence.astype(np.int32)}
+                if among is not None:
+                    columns["check"] = s.check[at]
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
-    return texts.mapInArrow(run, "run long, doc_id long, sentence int")
+    return texts.mapInArrow(run, "run long, doc_id long, sentence int" + (", check long" if among is not None else ""))
 
 
 def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WORDS) -> DataFrame:
@@ -139,11 +147,14 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WO
     """
     scratch = Scratch(docs.sparkSession)
     place = F.struct("doc_id", "sentence")
-    repeated = _runs(docs, sentences, least).groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
-    repeated = scratch.keep(repeated, "repeated")
-    among = membership.build(repeated, "run")
-    others = _runs(docs, sentences, least, among).join(repeated, "run").where(place != F.col("first")).select("doc_id", "sentence", "run")
-    gone = scratch.keep(others, "others").groupBy("doc_id").agg(F.collect_set(F.struct("sentence", "run")).alias("gone"))
+    bounds = (F.min(place).alias("first"), F.max(place).alias("last"))
+    often = scratch.keep(_runs(docs, sentences, least).groupBy("run").agg(*bounds).where("first <> last").select("run"), "often")
+    among = membership.build(often, "run")
+    found = scratch.keep(_runs(docs, sentences, least, among).join(often, "run"), "found")
+    repeated = found.groupBy("run", "check").agg(*bounds).where("first <> last").select("run", "check", "first")
+    others = scratch.keep(found.join(repeated, ["run", "check"]).where(place != F.col("first")).select("doc_id", "sentence", "run"), "others")
+    scratch.drop_but(others)
+    gone = others.groupBy("doc_id").agg(F.collect_set(F.struct("sentence", "run")).alias("gone"))
 
     ids, mine, total, removed = (fresh(docs, x) for x in ("id", "gone", "n_sentences", "n_removed"))
     joined = docs.withColumn(ids, F.col("doc_id").cast("long")).join(gone.withColumnsRenamed({"doc_id": ids, "gone": mine}), ids, "left").drop(ids)
