@@ -4,27 +4,29 @@ Texts are compared in lower case with runs of white space as one space.  An item
 characters may differ by k = floor(``RATE`` m) edits.  It is split into k + 1 pieces; by the pigeonhole principle a
 passage within k edits holds one of them unchanged.  An automaton over all pieces reads each
 text once; a piece hit fixes where the item would lie, and Myers' bit-parallel algorithm gives
-the least distance of the item to any passage there.
+the least distance of the item to any passage there.  Stretches of text that hits of one item point to are joined where
+they overlap, so each place of a text is compared once with an item, however often a piece repeats.
 
-The benchmark is a set of queries against all documents: it goes to all tasks in blocks
-of ``BLOCK_CHARS`` characters, one pass each, so its size is not bounded by a task's memory.
+The benchmark is a set of queries against all documents: it goes to tasks in blocks
+of ``BLOCK_CHARS`` characters, each a pass of its own, so a task holds one block at a time, whatever the benchmark's size.
 
 Items of fewer than ``LEAST_CHARS`` characters are searched by the same automaton whole, without errors, and only between word bounds
 (a letter, mark, digit or _ next to another is none; letters of scripts written without spaces always are).
 
-Defined cases: items with null, or without characters other than white space, match nothing; null and empty texts match nothing; items of equal text match alike; rows with null or repeated doc_id stay separate rows.
+Defined cases: items with null, or without characters other than white space, match nothing; null and empty texts match nothing; items of equal text match alike; rows with null or repeated doc_id stay separate rows; very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, with_fields
+from .shared import Scratch, fresh, with_fields
 
 RATE = 0.08
 LEAST_CHARS = 40
@@ -67,8 +69,8 @@ class Pattern:
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
-    def nearest(self, text: str, most: int) -> tuple[int, int] | None:
-        """(distance, end) of the nearest passage of ``text`` within ``most`` edits; of equal ones the first."""
+    def nearest(self, text: str, most: int, anchored: bool = False) -> tuple[int, int] | None:
+        """(distance, end) of the nearest passage of ``text`` within ``most`` edits; of equal ones the first.  ``anchored``: that begins where the text does."""
         plus, minus, now, best = self.full, 0, self.size, None
         full, top, masks = self.full, self.top, self.masks
         for at, c in enumerate(text, 1):
@@ -81,7 +83,7 @@ class Pattern:
                 now += 1
             elif down & top:
                 now -= 1
-            up = up << 1 & full
+            up = (up << 1 | anchored) & full
             down = down << 1 & full
             plus = down | (full & ~(zero | up))
             minus = up & zero
@@ -104,33 +106,49 @@ class Matcher:
             budget = int(rate * len(text)) if len(text) >= LEAST_CHARS else 0
             for offset, piece in pieces(text, budget):
                 found.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, Pattern(text), budget))
+            self.items.append((item_id, text, Pattern(text), budget))
         self.automaton = ahocorasick.Automaton()
         for piece, at in found.items():
             self.automaton.add_word(piece, (len(piece), at))
         self.automaton.make_automaton()
 
-    def hits(self, text: str) -> list[dict]:
-        """The nearest passage of each item that occurs in the (normal) text."""
-        best: dict[int, tuple[int, int, int]] = {}
-        seen: dict[int, list[tuple[int, int]]] = {}
+    def _stretches(self, text: str) -> tuple[dict[int, list[list[int]]], dict[int, int]]:
+        """By item the stretches of the text where it may lie, joined as they come, and the ends of short items found."""
+        where: dict[int, list[list[int]]] = {}
+        short: dict[int, int] = {}
         for last, (size, places) in self.automaton.iter(text):
             for number, offset in places:
+                _, item, _, budget = self.items[number]
                 begin = last + 1 - size - offset  # where the item starts if nothing before the piece was added or lost
-                item_id, pattern, budget = self.items[number]
-                if pattern.size < LEAST_CHARS:  # the piece is the item
-                    if number not in best and bounded(text, begin, last + 1):
-                        best[number] = (0, last + 1, begin)
-                    continue
-                # a window that was searched already covers this one if the start is the same
-                tried = seen.setdefault(number, [])
-                if any(a <= begin <= b for a, b in tried):
+                if len(item) < LEAST_CHARS:  # the piece is the item
+                    if number not in short and bounded(text, begin, last + 1):
+                        short[number] = last + 1
                     continue
-                tried.append((begin, begin))
-                lo, hi = max(0, begin - budget), min(len(text), begin + pattern.size + budget)
-                if (got := pattern.nearest(text[lo:hi], budget)) and (number not in best or (got[0], lo + got[1]) < best[number][:2]):
-                    end = lo + got[1]
-                    best[number] = (got[0], end, max(0, end - pattern.size))
+                low, high = max(0, begin - budget), min(len(text), begin + len(item) + budget)
+                found = where.setdefault(number, [])
+                if found and found[-1][0] <= high and low <= found[-1][1]:
+                    found[-1][0], found[-1][1] = min(found[-1][0], low), max(found[-1][1], high)
+                else:
+                    found.append([low, high])
+        return where, short
+
+    def hits(self, text: str) -> list[dict]:
+        """The nearest passage of each item that occurs in the (normal) text; of equal ones the first to end, and of those the shortest."""
+        where, short = self._stretches(text)
+        best = {number: (0, end, end - len(self.items[number][1])) for number, end in short.items()}
+        for number, stretches in where.items():
+            _, item, pattern, budget = self.items[number]
+            joined: list[list[int]] = []
+            for low, high in sorted(stretches):
+                if joined and low <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], high)
+                else:
+                    joined.append([low, high])
+            found = [(got[0], low + got[1]) for low, high in joined if (got := pattern.nearest(text[low:high], budget))]
+            if found:
+                distance, end = min(found)
+                back = Pattern(item[::-1]).nearest(text[max(0, end - len(item) - distance) : end][::-1], distance, anchored=True)
+                best[number] = (distance, end, end - back[1])
         return [{"item_id": self.items[k][0], "distance": d, "first": first, "end": end} for k, (d, end, first) in sorted(best.items(), key=lambda x: (self.items[x[0]][0], x[1]))]
 
 
@@ -145,35 +163,36 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield sorted({r for r in rows if r[1]})
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, column: str = "hits") -> DataFrame:
-    """``docs`` with a column of hits (item_id, distance, first, end: characters of the normal text; ``first`` is end less the item's length)."""
+def _searched(docs: DataFrame, items: list[tuple[int, str]], rate: float, column: str) -> DataFrame:
+    """``docs`` with a column of the hits of one block."""
     names = docs.columns
-    out = docs.withColumn(column, F.array().cast(_HITS))
-    for items in _blocks(benchmark):
-        if not items:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = None
-            for batch in batches:
-                matcher = matcher or Matcher(shared.value, rate)
-                hits = [matcher.hits(normal(t.as_py())) for t in batch.column("text")]
-                before = batch.column(column).to_pylist()
-                hits = pa.array([a + b if a else b for a, b in zip(before, hits)], pa.list_(_HIT))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), hits], [*names, column])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = None
+        for batch in batches:
+            matcher = matcher or Matcher(shared.value, rate)
+            hits = pa.array([matcher.hits(normal(t.as_py())) for t in batch.column("text")], pa.list_(_HIT))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), hits], [*names, column])
 
-        out = out.mapInArrow(search, with_fields(docs, f"`{column}` {_HITS}"))
-    return out
+    return docs.mapInArrow(search, with_fields(docs, f"`{column}` {_HITS}"))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row per row of ``docs`` and item found in it: doc_id, item_id, distance, first, end."""
-    found = with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rate)
-    return found.select("doc_id", F.inline("hits"))
+    """One row per row of ``docs`` and item found in it: doc_id, item_id, distance, first, end (characters of the normal text)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = [_searched(texts, items, rate, "hits").select("doc_id", F.inline("hits")) for items in _blocks(benchmark) if items]
+    none = texts.limit(0).select("doc_id", F.inline(F.array().cast(_HITS)))
+    return reduce(lambda a, b: a.unionByName(b), found) if found else none
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns as they are."""
-    column = fresh(docs, "hits")
-    return with_hits(docs, benchmark, rate, column).where(F.size(f"`{column}`") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` without a hit, all columns as they are.  What each block but the last leaves is written before the next."""
+    column, scratch = fresh(docs, "hits"), Scratch(docs.sparkSession)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    blocks = [items for items in _blocks(benchmark) if items]
+    for k, items in enumerate(blocks):
+        docs = _searched(docs, items, rate, column).where(F.size(f"`{column}`") == 0).select(*names)
+        if k < len(blocks) - 1:
+            docs = scratch.keep(docs, "without")
+    return docs
