@@ -5,7 +5,8 @@ table of template positions; a hit counts only if its words are equal too.  A hi
 word p and template word q votes for diagonal p - q.  Votes are summed by row, template and
 diagonal, neighbouring diagonals (up to ``SLACK`` words apart, so that inserted or missing words do
 not break a span) are merged, and a span is verified by the share of the template's words that
-its hits cover.  Exact base phrases are found beside it and keep their labels.
+its hits cover.  Where spans of several labels lie on one another, so that half of one is in another of higher score (of equal ones the
+longer template), the one goes.  Exact base phrases are found beside it and keep their labels.
 
 Defined cases: null text is empty; without words n_words is 0, the labels are '' and the score 0.
 first_word and last_word are null where no base phrase stands.  Rows with null or repeated
@@ -14,38 +15,37 @@ doc_id stay separate rows; equal rows get equal results.  Only doc_id and text a
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: What separates words, the base phrases, and the notices that the method knows.
+#: What separates words, and the base phrases.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
-    ("public-domain", "this is free and unencumbered software released into the public domain"),
-    ("reserved", "copyright all rights reserved no part of this publication may be reproduced"),
-)
+_FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def read_templates(text: str) -> tuple[tuple[str, str], ...]:
+    """(label, words) of the paragraphs ``label: text``; those that begin with # are remarks."""
+    parts = [p.split(":", 1) for p in re.split(r"\n\s*\n", text.strip()) if not p.startswith("#")]
+    return tuple((label.strip(), " ".join(w for w in re.split(SEPARATORS, body.translate(str.maketrans(*_FOLD))) if w)) for label, body in parts)
+
+
+#: The notices that the method knows: a small table of label and words.
+TEMPLATES = read_templates((files(__package__) / "licences.txt").read_text(encoding="utf-8"))
 GRAM = 3
 SLACK = 2
 COVERED = 0.7
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words.  ``lower`` also folds other letters, which moves no word boundary and makes no base phrase."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    """Words, A-Z in lower case."""
+    folded = F.translate(F.coalesce(text, F.lit("")), *_FOLD)
+    return F.filter(F.split(folded, SEPARATORS), lambda w: w != "")
 
 
 def template_positions(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -100,7 +100,15 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, covered: float = COVERED)
     spans = merged.groupBy("k1", "k2", "template", "label", "size", "span").agg(F.flatten(F.collect_list("at")).alias("at"), F.min("first_word").alias("first_word"), (F.max("last_word") + GRAM - 1).alias("last_word"))
     found = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + GRAM - 1)))))
     spans = spans.withColumn("score", found / F.col("size")).where(F.col("score") >= covered)
-    spans = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct(F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), "label", "score"))).alias("spans"))
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct(F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), "label", "score", "size")).alias("spans"))
+
+    def covered_by(s: Column, t: Column) -> Column:
+        common = F.least(s.last_word, t.last_word) - F.greatest(s.first_word, t.first_word) + 1
+        better = (t.score > s.score) | ((t.score == s.score) & (t.size > s.size))
+        return (s.label != t.label) & better & (2 * common >= s.last_word - s.first_word + 1)
+
+    best = F.filter("spans", lambda s: ~F.exists("spans", lambda t: covered_by(s, t)))
+    spans = spans.select("k1", "k2", F.array_sort(F.transform(best, lambda s: F.struct(s.first_word.alias("first_word"), s.last_word.alias("last_word"), s.label.alias("label"), s.score.alias("score")))).alias("spans"))
 
     base = scratch.keep(rows.select("doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), _base_places(F.col("words")).alias("base")), "base")
     out = base.join(scratch.keep(spans, "spans"), ["k1", "k2"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first_word:bigint,last_word:bigint,label:string,score:double>>")))

@@ -38,8 +38,9 @@ hits AS (SELECT DISTINCT rid, template, label, size, pos, i - 1 AS place FROM w,
 dg AS (SELECT *, place - pos AS diagonal FROM hits),
 op AS (SELECT rid, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER n <= {SLACK} THEN 0 ELSE 1 END AS opens FROM (SELECT DISTINCT rid, template, diagonal FROM dg) WINDOW n AS (PARTITION BY rid, template ORDER BY diagonal)),
 sp AS (SELECT *, sum(opens) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM op),
-cv AS (SELECT rid, label, template, span, max(size) AS size, count(DISTINCT pos + k) AS found FROM dg JOIN sp USING (rid, template, diagonal), range({GRAM}) q(k) GROUP BY 1, 2, 3, 4),
-ok AS (SELECT rid, label, found / CAST(size AS DOUBLE) AS score FROM cv WHERE found / CAST(size AS DOUBLE) >= {COVERED}),
+cv AS (SELECT rid, label, template, span, max(size) AS size, count(DISTINCT pos + k) AS found, min(place) AS a, max(place) + {GRAM - 1} AS z FROM dg JOIN sp USING (rid, template, diagonal), range({GRAM}) q(k) GROUP BY 1, 2, 3, 4),
+ok0 AS (SELECT DISTINCT rid, label, a, z, size, found / CAST(size AS DOUBLE) AS score FROM cv WHERE found / CAST(size AS DOUBLE) >= {COVERED}),
+ok AS (SELECT * FROM ok0 s WHERE NOT EXISTS (SELECT 1 FROM ok0 t WHERE t.rid = s.rid AND t.label <> s.label AND (t.score > s.score OR t.score = s.score AND t.size > s.size) AND 2 * (least(s.z, t.z) - greatest(s.a, t.a) + 1) >= s.z - s.a + 1)),
 b AS ({_BASE_ROWS}),
 bb AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM b GROUP BY 1),
 al AS (SELECT rid, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT rid, label FROM b UNION ALL SELECT rid, label FROM ok) GROUP BY 1),
