@@ -5,8 +5,8 @@ over its pre-tokens, of the pieces of each.  The job
 
 1. counts the distinct pre-tokens of the corpus (combined in the task, then by Spark),
 2. lets the tokenizer library encode every distinct pre-token once,
-3. sends the most frequent ones (``head`` entries of at most ``HEAD_BYTES`` bytes: a fixed
-   bound) to all tasks, which sum them up while they read the texts, and
+3. sends the most frequent ones (``head`` entries, those of over ``HEAD_CHARS`` characters by their
+   SHA-256: a fixed bound) to all tasks, which sum them up while they read the texts, and
 4. joins the remaining (row, pre-token, frequency) rows to the table of counts.
 
 Null text counts as empty: 0 bytes, 0 tokens.  Rows with a null or repeated ``doc_id`` stay
@@ -15,6 +15,7 @@ separate rows.  No table column but ``doc_id`` and ``text`` is read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from .shared import Scratch, text_of
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD = 1 << 18
-HEAD_BYTES = 64
+HEAD_CHARS = 64
 #: Entries of a task's dictionaries before they are emptied.
 CACHE = 400_000
 
@@ -142,16 +143,21 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
     return pretokens.select("pretoken", "n").mapInArrow(encode, "pretoken string, n long, pieces int")
 
 
+def _key(pretoken: str) -> str:
+    return pretoken if len(pretoken) <= HEAD_CHARS else "\0" + hashlib.sha256(pretoken.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _head(vocabulary: DataFrame, most: int) -> dict[str, int]:
     """Pieces of the most frequent pre-tokens, ``most`` at most: whole classes of frequency (eighths of a power of two), from the top."""
-    short = vocabulary.where(F.octet_length("pretoken") <= HEAD_BYTES).withColumn("class", F.floor(F.log2("n") * 8))
+    short = F.when(F.char_length("pretoken") <= HEAD_CHARS, F.col("pretoken")).otherwise(F.concat(F.lit("\0"), F.sha2("pretoken", 256)))
+    classed = vocabulary.select(short.alias("key"), "pieces", F.floor(F.log2("n") * 8).alias("class"))
     least, total = None, 0
-    for r in short.groupBy("class").count().orderBy(F.desc("class")).collect():
+    for r in classed.groupBy("class").count().orderBy(F.desc("class")).collect():
         total += r["count"]
         if total > most:
             break
         least = r["class"]
-    return {} if least is None else {r.pretoken: r.pieces for r in short.where(F.col("class") >= least).select("pretoken", "pieces").collect()}
+    return {} if least is None else {r.key: r.pieces for r in classed.where(F.col("class") >= least).select("key", "pieces").collect()}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
@@ -176,7 +182,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, head: int = HEAD
                         for unit, n in Counter(units).items():
                             if (found := cache.get(unit)) is None:
                                 each = _pretokens(before + unit)
-                                found = cache[unit] = (sum(pieces.get(p, 0) for p in each), tuple(p for p in each if p not in pieces))
+                                keys = [_key(p) for p in each]
+                                found = cache[unit] = (sum(pieces.get(k, 0) for k in keys), tuple(p for p, k in zip(each, keys) if k not in pieces))
                             tokens += n * found[0]
                             for p in found[1]:
                                 tail[p] += n
