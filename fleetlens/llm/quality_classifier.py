@@ -1,11 +1,12 @@
 """Operator 1: a quality classifier from weak labels.
 
-Nine heuristic labellers vote good (1), bad (-1) or not at all (0) on every document, in the JVM.  The votes
+Nine heuristic labellers vote good (1), bad (-1) or not at all (0) on every document, in the JVM, and the votes are written beside the texts.  They
 are counted by pattern (at most 3**9, whatever the corpus), and expectation-maximisation over the
 pattern counts estimates each labeller's vote rates for good and bad documents and the share of good ones;
 no true label is used.  The posterior of its pattern labels each document, and a
-logistic scorer over hashed words and word shapes is trained on a bounded sample (``SAMPLE`` documents in
-expectation, by hash of text).  The scorer reads every whole text.
+logistic scorer over hashed words and word shapes is trained on a bounded sample: distinct texts drawn by hash, each with the number of
+rows that have it as its weight, at most ``SAMPLE`` texts of ``SAMPLE_BYTES`` bytes together (a text that no longer
+fits is left out of training).  The scorer reads every whole text.
 
 Defined cases: null text counts as empty; texts without words have one feature, their length class.
 If the votes do not tell documents apart (say, an empty table), every score is the posterior share of good ones.
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Scratch, bounded
 from .wordhash import Words, mix, text_chunks
 
 #: Common words of the expected languages.
 COMMON = "the of and to in is that for with der die das und den von mit ist nicht de la le et les des un une que est pour el los del se por con para no".split()
 LABELLERS = ("symbols", "common_words", "upper_case", "repeated_lines", "repeated_words", "word_length", "length", "exclamation", "digits")
 SAMPLE = 4000
-SAMPLE_BYTES = 200_000
+SAMPLE_BYTES = 1 << 24
 SIZE = 1 << 18
 KEEP_FROM = 0.5
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -112,19 +114,22 @@ def _values(weights: np.ndarray, features: np.ndarray, row: np.ndarray) -> np.nd
     return 10 * (total[row[1:]] - total[row[:-1]]) / np.maximum(n, 1) + weights[SIZE + size]
 
 
-def train(rows: list[tuple[float, np.ndarray]], rounds: int = 60, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer (SIZE hashed features and 32 length classes) for soft labels, by adaptive gradient ascent."""
-    row = np.cumsum([0, *(len(f) for _, f in rows)])
-    features = np.concatenate([f for _, f in rows])
-    y = np.array([p for p, _ in rows])
+def train(rows: list[tuple[float, float, np.ndarray]], rounds: int = 60, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer (SIZE hashed features and 32 length classes) for rows of soft label, weight and features, by adaptive gradient ascent."""
+    row = np.cumsum([0, *(len(f) for _, _, f in rows)])
+    features = np.concatenate([f for _, _, f in rows])
+    y, weight = np.array([p for p, _, _ in rows]), np.array([k for _, k, _ in rows], float)
+    weight *= len(rows) / weight.sum()
     n = np.diff(row)
     size = SIZE + np.minimum(np.log2(n + 1).astype(int), 31)
     w, seen = np.zeros(SIZE + 32), np.full(SIZE + 32, 1e-6)
-    flat, width = features.ravel(), features.shape[1]
+    owner = np.repeat(np.arange(len(rows)), n)
     for _ in range(rounds):
-        error = y - 1 / (1 + np.exp(-np.clip(_values(w, features, row), -30, 30)))
-        g = np.bincount(flat, weights=np.repeat(10 * error / np.maximum(n, 1), n * width), minlength=SIZE + 32)
-        g += np.bincount(size, weights=error, minlength=SIZE + 32)
+        error = weight * (y - 1 / (1 + np.exp(-np.clip(_values(w, features, row), -30, 30))))
+        each = (10 * error / np.maximum(n, 1))[owner]
+        g = np.bincount(size, weights=error, minlength=SIZE + 32)
+        for column in features.T:
+            g += np.bincount(column, weights=each, minlength=SIZE + 32)
         g -= l2 * len(y) * w
         seen += g * g
         w += rate * g / np.sqrt(seen)
@@ -134,7 +139,7 @@ def train(rows: list[tuple[float, np.ndarray]], rounds: int = 60, rate: float =
 def quality_scores(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM) -> DataFrame:
     """Per row of ``docs``: doc_id, posterior (of its vote pattern), score (the scorer's, 0 to 1), kept (score of KEEP_FROM or more)."""
     spark = docs.sparkSession
-    marked = votes(docs)
+    marked = Scratch(spark).keep(votes(docs), "votes")
     counted = [(tuple(r.votes), r["count"]) for r in marked.groupBy("votes").count().collect()]
     counted.sort()
     known: dict[tuple[int, ...], float] = {}
@@ -146,17 +151,19 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEE
     total = sum(k for _, k in counted)
     labelled = marked.join(F.broadcast(table), "votes")
 
-    taken = labelled.where(F.octet_length("text") <= SAMPLE_BYTES).where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < min(1.0, sample / max(total, 1)) * (1 << 20))
+    drawn = marked.withColumn("key", F.xxhash64("text", F.lit("sample"))).where(F.pmod("key", F.lit(1 << 20)) < min(1.0, sample / max(total, 1)) * (1 << 20))
+    drawn = drawn.groupBy("key", "votes").agg(F.count("*").alias("rows"), F.min("text").alias("text")).dropDuplicates(["key"])
+    taken = bounded(drawn.withColumn("bytes", F.octet_length("text")), "key", "bytes", sample, SAMPLE_BYTES).join(F.broadcast(table), "votes")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, words, features in _features(batch.column("text")):
                 blobs = [features[a:b].tobytes() for a, b in zip(words.row[:-1], words.row[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("posterior").slice(first, len(blobs)), pa.array(blobs, pa.binary())], ["posterior", "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(blobs)) for c in ("posterior", "rows")), pa.array(blobs, pa.binary())], ["posterior", "rows", "features"])
 
-    rows = [(r.posterior, bytes(r.features)) for r in taken.select("posterior", "text").mapInArrow(pack, "posterior double, features binary").collect()]
-    rows = [(p, np.frombuffer(b, np.int32).reshape(-1, 3)) for p, b in sorted(rows)]
-    weights = train(rows) if rows and any(p > 0.5 for p, _ in rows) and any(p < 0.5 for p, _ in rows) else None
+    rows = [(r.posterior, r.rows, bytes(r.features)) for r in taken.select("posterior", "rows", "text").mapInArrow(pack, "posterior double, rows long, features binary").collect()]
+    rows = [(p, k, np.frombuffer(b, np.int32).reshape(-1, 3)) for p, k, b in sorted(rows)]
+    weights = train(rows) if any(p > 0.5 for p, _, _ in rows) and any(p < 0.5 for p, _, _ in rows) else None
     shared = spark.sparkContext.broadcast((weights, prior))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
