@@ -1,7 +1,7 @@
 """Operator 8: toxic spans by a linear-chain conditional random field.
 
-Training takes a bounded sample of labelled documents (``SAMPLE`` of each class in
-expectation, by hash of doc_id; never rows held out).  Tokens get labels from the document labels:
+Training takes a bounded sample of labelled documents: drawn by hash of doc_id, never rows held out, at most ``SAMPLE`` of each
+class and ``SAMPLE_BYTES`` bytes of text of each (a text that no longer fits is left out of training); of rows that share a doc_id one is taken.  Tokens get labels from the document labels:
 a token of a toxic document is labelled if its form, or one of its beginnings, is tied to toxic
 documents by a log-likelihood ratio of ``TIED`` or more.  The field is trained on three quarters of the sample, and a
 small logistic model on the rest maps a document's marginals to its score.
@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .shared import fresh, with_fields
+from .shared import Scratch, bounded, fresh, with_fields
 from .wordhash import PUNCTUATION, Words, mix, text_chunks
 
 SAMPLE = 2000
-SAMPLE_BYTES = 200_000
+SAMPLE_BYTES = 1 << 23
 PART_TOKENS = 200_000
 SIZE = 1 << 20
 TIED = 16.0
@@ -67,9 +67,13 @@ def _sample(docs: DataFrame, labels: DataFrame, each: int) -> tuple[DataFrame, d
     share = F.lit(0.0)
     for kind, n in totals.items():
         share = F.when(F.col("toxic") == kind, min(1.0, each / n)).otherwise(share)
-    taken = clean.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    return texts.join(F.broadcast(taken), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int")), totals
+    key = F.xxhash64("doc_id", F.lit("sample"))
+    taken = clean.withColumn("key", key).where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")
+    own = own.groupBy("key", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    own = Scratch(docs.sparkSession).keep(own.withColumn("bytes", F.octet_length("text")), "sample")
+    parts = [bounded(own.where(F.col("toxic") == kind), "key", "bytes", each, SAMPLE_BYTES) for kind in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int").alias("fold")), totals
 
 
 def _tied_features(sample: DataFrame, least: float) -> np.ndarray:
@@ -161,9 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> dict:
     return model
 
 
-def _scored(docs: DataFrame, labels: DataFrame, sample: int, score: str, spans: str) -> DataFrame:
+def _scored(docs: DataFrame, model: dict, score: str, spans: str) -> DataFrame:
     """``docs``, all columns as they are, with a score and the toxic spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -193,11 +197,15 @@ def _scored(docs: DataFrame, labels: DataFrame, sample: int, score: str, spans:
 
 def toxicity(docs: DataFrame, labels: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted (1 from ``least`` on), spans (first and end character, marginal)."""
-    out = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample, "score", "spans")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = _scored(texts, fit(docs, labels, sample), "score", "spans")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "spans")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that score below ``least``, all columns as they are."""
+    """The rows of ``docs`` that score below ``least``, all columns as they are.  Where nothing can be learnt, no row is rejected."""
+    model = fit(docs, labels, sample)
+    if "weights" not in model:
+        return docs
     score, spans = fresh(docs, "score"), fresh(docs, "spans")
-    return _scored(docs, labels, sample, score, spans).where(F.col(f"`{score}`") < least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _scored(docs, model, score, spans).where(F.col(f"`{score}`") < least).select(*(F.col(f"`{c}`") for c in docs.columns))
