@@ -1,6 +1,6 @@
 """Operator 10: URL verdicts by rules, and by logistic regression on character n-grams where no rule fits.
 
-The model is trained from a small labelled URL table (a parameter; ``LABELLED`` by default), on
+The model is trained from a small labelled URL table (a parameter; by default ``labelled_urls``, whose words are general ones), on
 hashed 3- and 4-grams of host and path.  Scoring is a JVM-side transform of the url column alone.
 
 Defined cases: a null url or one without ``://`` has empty host and path, and goes to the model like any other
@@ -17,19 +17,25 @@ from pyspark.sql import functions as F
 
 #: (verdict, host and path): a rule fits its host, all its subdomains, and every path that starts with its own.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: The small labelled table: 1 is to be blocked.
-LABELLED = (
-    (1, "http://spam-farm.example.com/en/11"), (1, "https://www.spam-links.example.net/fr/204"), (1, "http://cheap-pills.example.org/en/37.html"),
-    (1, "https://m.cheap-watches.example.com/de/5/"), (1, "http://casino-bonus.example.net/en/9"), (1, "https://win-casino.example.com/es/310#top"),
-    (1, "http://free-pills-online.example.net/en/618?ref=x"), (1, "https://adult-cams.example.com/en/77"), (1, "http://best-payday-loans.example.net/de/42"),
-    (1, "https://blog.link-farm.example.com/fr/8.html"), (1, "http://viagra-cheap.example.com/es/71"), (1, "https://hot-adult-chat.example.net/en/500"),
-    (1, "http://replica-watches-sale.example.com/en/3"), (1, "https://spam-blog.example.net/de/99"), (1, "http://bonus-poker-casino.example.com/fr/12"),
-    (0, "http://library.example.com/en/11"), (0, "https://www.weather.example.net/fr/204"), (0, "http://history.example.org/en/37.html"),
-    (0, "https://m.theatre.example.com/de/5/"), (0, "http://gardening.example.net/en/9"), (0, "https://university.example.com/es/310#top"),
-    (0, "http://thermal-research.example.net/en/618?ref=x"), (0, "https://cooking.example.com/en/77"), (0, "http://maths.example.net/de/42"),
-    (0, "https://blog.thoreau.example.com/fr/8.html"), (0, "http://museum.example.com/es/71"), (0, "https://another-view.example.net/en/500"),
-    (0, "http://theory.example.com/en/3"), (0, "https://blog.thing.example.net/de/99"), (0, "http://orchestra.example.com/fr/12"),
-)
+#: The small labelled table: words of hosts and paths to be blocked (1) and not (0), from which ``labelled_urls`` builds URLs.
+WORDS = {
+    1: "cheap-pills online-casino poker-bonus free-bets adult-cams xxx-videos hot-singles payday-loans replica-watches viagra-shop cialis-discount link-farm spam-offers "
+    "win-big-prize miracle-diet fake-designer-bags sex-chat escort-dates crack-keygen torrent-warez porn-tube nude-pics jackpot-slots betting-tips quick-cash",
+    0: "library weather history gardening university museum orchestra cooking mathematics physics-notes city-council local-news railway-club bird-watching chess-school "
+    "public-health open-data poetry-review software-docs travel-diary science-journal music-lessons art-gallery village-school planet-atlas",
+}
+_HOSTS = ("{}.example.com", "www.{}.example.net", "blog.{}.example.org")
+_PATHS = ("/en/{}", "/fr/{}?page=2", "/de/{}.html", "/es/{}/", "/{}#top")
+
+
+def labelled_urls() -> list[tuple[int, str]]:
+    """(label, url): every word in turn under a host of another kind and a path of another kind; kinds are dealt alike to both labels."""
+    return [
+        (label, f"http{'s' * (k % 2)}://{_HOSTS[k % len(_HOSTS)].format(word)}{_PATHS[k % len(_PATHS)].format(11 + 37 * k)}")
+        for label, words in WORDS.items() for k, word in enumerate(words.split())
+    ]
+
+
 FEATURES = 1 << 14
 BLOCK_FROM = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,14 +74,17 @@ def _hashed(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="_features").transform(df.withColumn("_grams", _grams(F.col("host"), F.col("path"))))
 
 
-def train(spark: SparkSession, labelled=LABELLED) -> LogisticRegressionModel:
-    table = spark.createDataFrame([(float(y), u) for y, u in labelled], "label double, url string").coalesce(1)
+def train(spark: SparkSession, labelled: DataFrame | None = None) -> LogisticRegressionModel:
+    """The model of a small table (label, url); of ``labelled_urls`` if none is given.  Rows with null are left out."""
+    if labelled is None:
+        labelled = spark.createDataFrame(labelled_urls(), "label int, url string")
+    table = labelled.select(F.col("label").cast("double").alias("label"), "url").where("label is not null and url is not null").coalesce(1)
     host, path = url_parts(F.col("url"))
     table = _hashed(table.select("label", host.alias("host"), path.alias("path")))
     return LogisticRegression(featuresCol="_features", labelCol="label", regParam=0.01, maxIter=40, standardization=False).fit(table)
 
 
-def url_filter(pages: DataFrame, rules=RULES, labelled=LABELLED, block_from: float = BLOCK_FROM) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, block_from: float = BLOCK_FROM) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule (null if none fits), verdict (allow or block), score (the model's, 1: to be blocked)."""
     model = train(pages.sparkSession, labelled)
     host, path = url_parts(F.col("url"))
