@@ -81,6 +81,30 @@ def test_jaccard_repeated_row(spark, options):
     assert key(got) == key([(1, 100, 1), (1, 100, 1), (2, 100, 1), (3, 1, 3)])
 
 
+def test_jaccard_template(spark):
+    """Many texts of one form and length that share most shingles but do not link, and linked ones among them."""
+    rows = [(k, f"we could not find the page you asked for k{k}") for k in range(400)]
+    long = [f"w{k}" for k in range(40)]
+    rows += [(1000 + k, " ".join(long[: 40 - k % 4] + ["tail"] * 1)) for k in range(12)]
+    rows += [(2000, rows[5][1]), (2001, rows[7][1].upper())]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table(spark, rows), frequent=3).collect()}
+    assert got[2000] == 5 and got[2001] == 7 and all(got[k] == k for k in range(400))
+    assert {got[1000 + k] for k in range(12)} == {1000}
+
+
+def test_without_near_copies(spark):
+    """Rows are judged one by one: of a group one row stays, whatever else its doc_id has."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = a + " more"
+    rows = [(7, a), (7, b), (8, c), (8, near), (None, b), (None, "only here " * 9), (9, c), (9, c), (10, ""), (10, None), (10, "")]
+    docs = table(spark, rows)
+    kept = jaccard_join.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    want = [(7, a), (7, b), (8, c), (None, "only here " * 9), (10, ""), (10, None), (10, "")]
+    assert key((r.doc_id, r.text) for r in kept.collect()) == key(want)
+    assert jaccard_join.without_near_copies(docs.limit(0)).collect() == []
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(table(spark, ODD).limit(0)).collect() == []
 
@@ -193,6 +217,15 @@ def test_substring_dedup_against_strings(spark):
     assert got[None] == rows[0][1] and got[40] is None and got[41] == ""
 
 
+def test_substring_dedup_long_and_empty(spark):
+    rng = random.Random(12)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(9999)) for _ in range(120_000))
+    rows = [(1, long), (2, "Before. " + long[600_000:601_000] + " After."), (3, None)]
+    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == long and len(got[2]) < 200 and got[2].startswith("Before.") and got[3] is None
+    assert substring_dedup.substring_dedup(table(spark, rows).limit(0)).collect() == []
+
+
 def test_substring_dedup_unpunctuated_passage(spark):
     rng = random.Random(5)
     word = lambda: rng.choice(WORDS) + str(rng.randrange(99))
@@ -267,6 +300,50 @@ def test_decontamination_short_items(spark):
     assert {r.doc_id for r in decontaminate.decontaminated(table(spark, rows), benchmark).collect()} == {2, 5, 8}
 
 
+def test_decontamination_spans(spark):
+    """The passage found is as far from the item as its distance says, wherever edits stand."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices(WORDS, k=14))) for i in range(5)]
+    rows = []
+    for i in range(40):
+        t = list(items[i % 5][1])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        rows.append((i, "omega psi " * rng.randrange(3) + "".join(t) + " chi" * rng.randrange(3)))
+    got = decontaminate.benchmark_hits(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) >= 35
+    for r in got:
+        passage, item = decontaminate.normal(rows[r.doc_id][1])[r["first"] : r.end], items[r.item_id][1]
+        before = list(range(len(passage) + 1))
+        for i, c in enumerate(item, 1):
+            now = [i]
+            for j, x in enumerate(passage, 1):
+                now.append(min(before[j - 1] + (c != x), before[j] + 1, now[j - 1] + 1))
+            before = now
+        assert before[-1] == r.distance
+
+
+def test_decontamination_long_and_empty(spark):
+    """A piece that repeats all through a long text is no burden; tables without rows give none."""
+    item = "na " * 40 + "hey jude do not make it bad"
+    rows = [(1, "na " * 60_000), (2, "na " * 60_000 + "hey jude do not make it bad"), (3, None)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [(r.doc_id, r.distance) for r in decontaminate.benchmark_hits(table(spark, rows), benchmark).collect()]
+    assert got == [(2, 0)]
+    assert decontaminate.benchmark_hits(table(spark, rows).limit(0), benchmark).collect() == []
+    assert decontaminate.decontaminated(table(spark, rows).limit(0), benchmark).collect() == []
+
+
+def test_decontaminated_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choices(WORDS, k=20))) for i in range(8)]
+    rows = [(i, items[i % 8][1] if i % 3 else " ".join(rng.choices(WORDS, k=20))) for i in range(24)]
+    kept = decontaminate.decontaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(24) if i % 3 == 0} and kept.columns == table(spark, rows).columns
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
     rng = random.Random(2)
@@ -312,3 +389,20 @@ def test_sentencepiece(spark):
     assert len(got) == len(rows) and all(r.round_trip and r.n_pieces == len(r.ids) for r in got)
     back = {r.doc_id: r.text for r in sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(table(spark, [x for x in rows if x[0] and x[0] > 905 and x[1]]), path), path).collect()}
     assert back[950] == " lead" and back[952] == "a   b" and back[906] == "  a   b \n\n c  "
+
+
+def test_sentencepiece_long_and_empty(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "supercalifragilistic" * 20_000), (2, "word " * 50_000), (3, None)]
+    got = {r.doc_id: r for r in sentencepiece_viterbi.encode(table(spark, rows), path).collect()}
+    assert all(r.round_trip for r in got.values()) and got[3].n_pieces == 0
+    assert sentencepiece_viterbi.encode(table(spark, rows).limit(0), path).collect() == []
+
+
+def test_license_scan_long_text(spark):
+    filler = "lorem ipsum " * 40_000
+    rows = [(1, filler + "all rights reserved " + filler), (2, "the licence: released under the \u212aey; Released Under The MIT License " + filler)]
+    got = {r.doc_id: r for r in license_scan.license_scan(table(spark, rows)).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].n_words) == (1, 80_000, 160_003)
+    assert got[2].labels == "mit"
+    assert license_scan.license_scan(table(spark, rows).limit(0)).collect() == []
