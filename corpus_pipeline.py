@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.decontaminate import decontaminated
-from fleetlens.llm.jaccard_join import jaccard_components
+from fleetlens.llm.jaccard_join import without_near_copies
 from fleetlens.llm.sentencepiece_viterbi import encode
 from fleetlens.llm.shared import Scratch, documents
 from fleetlens.llm.substring_dedup import substring_dedup
@@ -20,11 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without doc_id are in no group."""
-    stays = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null")
-    named = named.join(stays.withColumnRenamed("doc_id", "_stays"), named.doc_id.cast("long") == F.col("_stays"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each group of linked rows the one with the smallest doc_id stays; every row is judged by its own text."""
+    return without_near_copies(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the shared folder and read again."""
     scratch, docs = Scratch(spark), documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
