@@ -8,17 +8,21 @@ FAULTS = ("sd", "isc", "conn", "samp", "ins")
 _STATUS = "CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 4 ELSE 3 END"
 
 EVENTS = "ev AS (SELECT *, 'V' || user_id AS vehicle_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp FROM events)"
-FRAMES = f"""{EVENTS}, vec AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), cnt AS (SELECT count(*) AS n FROM embeddings),
+FRAMES = f"""{EVENTS}, vec AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), cnt AS (SELECT count(*) AS n
+ FROM embeddings),
 f0 AS (SELECT ev.*, {_STATUS} AS charge_status, list_transform(range(1, {CELLS + 1}), lambda i: CAST(3.6 AS DOUBLE) + CAST(0.2 AS DOUBLE) * e[i] - CASE WHEN user_id % {CELLS} = i - 1 THEN CAST(0.004 AS DOUBLE) * greatest(value - 100, 0) ELSE 0 END) AS voltages,
- list_transform(range({CELLS + 1}, {CELLS + PROBES + 1}), lambda i: CAST(30 AS DOUBLE) + CAST(40 AS DOUBLE) * e[i] + CAST(0.3 AS DOUBLE) * value) AS temperatures FROM ev, cnt JOIN vec ON vec_id = event_id % n),
-frames AS (SELECT vehicle_id, frame_index, timestamp, charge_status, CAST(event_id % 121 AS DOUBLE) AS speed, list_sum(voltages) AS sum_voltage, CAST(event_id % 61 - 30 AS DOUBLE) AS sum_current, CAST(event_id % 101 AS DOUBLE) AS soc,
+ list_transform(range({CELLS + 1}, {CELLS + PROBES + 1}), lambda i: CAST(30 AS DOUBLE) + CAST(40 AS DOUBLE) * e[i] + CAST(0.3 AS DOUBLE) * value) AS temperatures
+ FROM ev, cnt JOIN vec ON vec_id = event_id % n),
+frames AS (SELECT vehicle_id, frame_index, timestamp, charge_status, CAST(event_id % 121 AS DOUBLE) AS speed, list_sum(voltages) AS sum_voltage,
+ CAST(event_id % 61 - 30 AS DOUBLE) AS sum_current, CAST(event_id % 101 AS DOUBLE) AS soc,
  CAST(5 AS DOUBLE) * value AS insulation_resistance, voltages, temperatures, event_id, value, event_type, ts FROM f0)"""
 
 _W = "PARTITION BY vehicle_id ORDER BY frame_index"
 SEGMENTS = f"""seg AS (SELECT *, CAST(sum(opens) OVER ({_W}) AS BIGINT) AS segment_id, 1 - opens AS is_continuous_segment FROM
  (SELECT *, CASE WHEN lag(timestamp) OVER ({_W}) IS NULL OR timestamp - lag(timestamp) OVER ({_W}) > {MAX_GAP} THEN 1 ELSE 0 END AS opens FROM ev))"""
 _RULES = {"sd": "value > 40", "isc": "event_type = 'error' AND value > 25", "conn": "event_id % 17 = 0", "samp": "event_id % 11 < 2", "ins": f"{_STATUS} IN (1, 2) AND value < 9"}
-RAW_LABELS = f"""{EVENTS}, {SEGMENTS}, raw AS (SELECT vehicle_id, frame_index, timestamp, {_STATUS} AS charge_status, event_id, value, segment_id, CASE WHEN event_id % 29 = 0 THEN 'low' ELSE 'ok' END AS quality_flag,
+RAW_LABELS = f"""{EVENTS}, {SEGMENTS}, raw AS (SELECT vehicle_id, frame_index, timestamp, {_STATUS} AS charge_status, event_id, value, segment_id,
+ CASE WHEN event_id % 29 = 0 THEN 'low' ELSE 'ok' END AS quality_flag,
  CASE WHEN user_id % 4 = 0 THEN 'raw_dataset' ELSE 'structured_dataset' END AS source_dataset, {', '.join(f'CAST({_RULES[f]} AS INT) AS label_raw_{f}' for f in FAULTS)} FROM seg)"""
 
 
@@ -50,7 +54,8 @@ samples AS (SELECT vehicle_id || '_' || lpad(CAST(row_number() OVER (PARTITION B
 
 SAMPLES = f"{FINAL_LABELS}, {windows(WINDOW, STEP, HORIZON)}"
 _LONG_RULES = {"sd": "value > 60", "isc": "event_id % 31 = 0", "conn": "event_id % 17 < 3", "samp": "event_id % 11 < 2", "ins": "value < 2"}
-LONG_FRAMES = f"""lf0 AS (SELECT *, 'L' || event_type AS vehicle_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame_index FROM events),
+LONG_FRAMES = f"""lf0 AS (SELECT *, 'L' || event_type AS vehicle_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame_index
+ FROM events),
 ev AS (SELECT *, frame_index * 10 + (frame_index // 400) * 60 AS timestamp, CASE WHEN event_id % 29 = 0 THEN 'low' ELSE 'ok' END AS quality_flag,
  list_transform(range(1, 7), lambda i: CAST(3.7 AS DOUBLE) + ((event_id * i) % 101) / CAST(5000 AS DOUBLE) - CASE WHEN i = 2 THEN value / CAST(1000 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS voltages,
  3 AS charge_status, {', '.join(f'CAST({_LONG_RULES[f]} AS INT) AS label_final_{f}' for f in FAULTS)} FROM lf0),
@@ -62,10 +67,14 @@ PACK_FRAMES = f"""{EVENTS}, cnt AS (SELECT count(*) AS n FROM embeddings), pack
  list_transform(range({PACK[1]}), lambda i: CAST(30 AS DOUBLE) + CAST(40 AS DOUBLE) * {_ITEM.format('i * 3')} + CAST(0.3 AS DOUBLE) * value) AS temperatures
  FROM ev, cnt JOIN embeddings ON vec_id = event_id % n)"""
 SPLIT_MAP = "split_map AS (SELECT DISTINCT 'V' || user_id AS vehicle_id, CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM events)"
-SPLIT_SAMPLES = f"{SAMPLES}, {SPLIT_MAP}, ss AS (SELECT samples.*, coalesce(split, 'external_test') AS split FROM samples LEFT JOIN split_map USING (vehicle_id))"
+SPLIT_SAMPLES = f"""{SAMPLES}, {SPLIT_MAP}, ss AS (SELECT samples.*, coalesce(split, 'external_test') AS split FROM samples LEFT
+ JOIN split_map USING (vehicle_id))"""
 
 _D = lambda x: f"CAST({x} AS DOUBLE)"
-PREDICTIONS = f"""{EVENTS}, p0 AS (SELECT vehicle_id, 'S' || event_id AS sample_id, event_id, user_id, least(value, 100) / {_D(100)} AS v, timestamp AS end_time, k, ['sd', 'isc', 'conn', 'samp', 'ins'][k + 1] AS fault_type FROM ev, range(5) r(k)),
-p1 AS (SELECT *, {_D('(event_id * 7 + k * 13) % 97')} / {_D(97)} * {_D(0.6)} + v * {_D(0.4)} AS y_score, {_D('(event_id * 5 + k * 11) % 89')} / {_D(89)} AS noise FROM p0),
+PREDICTIONS = f"""{EVENTS}, p0 AS (SELECT vehicle_id, 'S' || event_id AS sample_id, event_id, user_id, least(value, 100) / {_D(100)} AS v, timestamp AS end_time, k, ['sd', 'isc', 'conn', 'samp', 'ins'][k + 1] AS fault_type
+ FROM ev, range(5) r(k)),
+p1 AS (SELECT *, {_D('(event_id * 7 + k * 13) % 97')} / {_D(97)} * {_D(0.6)} + v * {_D(0.4)} AS y_score, {_D('(event_id * 5 + k * 11) % 89')} / {_D(89)} AS noise
+ FROM p0),
 pred AS (SELECT vehicle_id, sample_id, event_id, user_id, end_time, fault_type, y_score, CAST(y_score * {_D(0.5)} + v * {_D(0.2)} + noise * {_D(0.3)} > {_D(0.38)} AS INT) AS y_true, {_D(0.5)} AS threshold, ['{MODELS[0]}', '{MODELS[1]}', '{MODELS[2]}'][event_id % 3 + 1] AS model_name,
- CASE WHEN event_id % 2 = 0 THEN 'warn' ELSE 'id' END AS task_type, CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, CASE WHEN event_id % 5 <> 0 THEN (1 + event_id % 6) * 10 END AS lead_time_sec, CAST(y_score >= {_D(0.5)} AS INT) AS y_pred FROM p1)"""
+ CASE WHEN event_id % 2 = 0 THEN 'warn' ELSE 'id' END AS task_type, CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split,
+ CASE WHEN event_id % 5 <> 0 THEN (1 + event_id % 6) * 10 END AS lead_time_sec, CAST(y_score >= {_D(0.5)} AS INT) AS y_pred FROM p1)"""

@@ -29,8 +29,10 @@ def _hits(s: SparkSession, d: str, k: int = 3) -> DataFrame:
     return text.top_k(v, v.where(F.col("vec_id") % _QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query")), k)
 
 
-_KNN = f"""nv0 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), nv AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM nv0),
-kn AS (SELECT * FROM (SELECT q.vec_id AS query_id, n.vec_id AS id, list_dot_product(q.v, n.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, n.v) DESC, n.vec_id) AS rank FROM nv q, nv n WHERE q.vec_id % {_QUERY_STEP} = 0) WHERE rank <= 3)"""
+_KNN = f"""nv0 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), nv AS (SELECT vec_id,
+ list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM nv0),
+kn AS (SELECT * FROM (SELECT q.vec_id AS query_id, n.vec_id AS id, list_dot_product(q.v, n.v) AS score, row_number() OVER (PARTITION BY q.vec_id
+ ORDER BY list_dot_product(q.v, n.v) DESC, n.vec_id) AS rank FROM nv q, nv n WHERE q.vec_id % {_QUERY_STEP} = 0) WHERE rank <= 3)"""
 
 
 def _formatted(s: SparkSession, d: str) -> DataFrame:
@@ -55,19 +57,55 @@ def _dataset(s: SparkSession, d: str) -> DataFrame:
 
 
 _PROFILE = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, (1 - count({c}) / CAST(count(*) AS DOUBLE)) * 100 AS missing_pct, count(DISTINCT {c}) AS \"distinct\", " + (f"avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3, max({c}) AS max" if t != "string" else "NULL AS mean, NULL AS std, NULL AS min, NULL AS q1, NULL AS median, NULL AS q3, NULL AS max") + " FROM orders"
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, (1 - count({c}) / CAST(count(*) AS DOUBLE)) * 100 AS missing_pct, count(DISTINCT {c}) AS \"distinct\", " + (f"""avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3,
+ max({c}) AS max""" if t != "string" else "NULL AS mean, NULL AS std, NULL AS min, NULL AS q1, NULL AS median, NULL AS q3, NULL AS max") + " FROM orders"
     for c, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_totalprice", "double"), ("o_orderstatus", "string"))
 )
 
 QUERIES = [
-    Query("txt1_chunks", lambda s, d: text.chunk_documents(table(s, d, "documents")).select("doc_id", "source", "chunk_no", F.length("text").alias("n_chars")), "doc_id:i source:s chunk_no:i n_chars:i"),
+    Query(
+        "txt1_chunks",
+        lambda s, d: text.chunk_documents(table(s, d, "documents")).select("doc_id", "source", "chunk_no", F.length("text").alias("n_chars")),
+        "doc_id:i source:s chunk_no:i n_chars:i",
+    ),
     Query("txt2_top_k", _hits, "query_id:i id:i score:d rank:i", f"{_KNN}|||SELECT * FROM kn"),
-    Query("txt3_format_hits", _formatted, "query_id:i references:s", f"{_KNN}|||SELECT query_id, string_agg('[参考' || rank || '] 文档: ' || source || '.pdf, 第 ' || (doc_id % 9) || ' 页 | 内容: ' || replace(text, chr(10), ' '), chr(10) ORDER BY rank) AS \"references\" FROM kn JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY 1"),
-    Query("txt4_intent", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.route_intent(F.col("text"), RULES).alias("intent")), "conv_id:i turn:i intent:s", f"SELECT conv_id, turn, CASE WHEN {_H['force_analysis']} THEN 'data_analysis' WHEN {_H['force_diagnosis']} THEN 'diagnosis' WHEN {_H['force_comprehensive']} THEN 'comprehensive_diagnosis' WHEN {_H['analysis']} AND NOT {_H['diagnosis']} AND NOT {_H['manual']} THEN 'data_analysis' WHEN {_H['analysis']} AND ({_H['diagnosis']} OR {_H['manual']}) THEN 'comprehensive_diagnosis' ELSE 'diagnosis' END AS intent FROM conversations"),
-    Query("txt5_file_reference", _resolved, "message_id:s session_id:i status:s file:s", "SELECT conv_id || '-' || turn AS message_id, conv_id AS session_id, CASE (turn + conv_id) % 5 WHEN 3 THEN 'missing' WHEN 4 THEN 'ambiguous' ELSE 'ok' END AS status, CASE (turn + conv_id) % 5 WHEN 0 THEN '/data/v' || conv_id || '.csv' WHEN 1 THEN '/up/b' || conv_id || '.csv' WHEN 2 THEN '/up/a' || conv_id || '.csv' END AS file FROM conversations"),
-    Query("txt6_history", lambda s, d: text.recent_history(table(s, d, "conversations")), "conv_id:i turn:i history:s", "SELECT conv_id, turn, coalesce(array_to_string(list_filter(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), chr(10)), '') AS history FROM conversations"),
-    Query("agg8_dataset_profile", _dataset, "column:s dtype:s missing_pct:d4 distinct:i mean:d4 std:d4 min:d4 q1:d4 median:d4 q3:d4 max:d4", f"SELECT \"column\", dtype, missing_pct, \"distinct\", mean, std, min, q1, median, q3, max FROM ({_PROFILE})"),
-    Query("agg8b_suggestions", lambda s, d: profiles.suggestions(profiles.dataset_profile(table(s, d, "events").select("event_id", "value", "event_type", "ts"))), "suggestion:s", "SELECT unnest(['correlation, outliers, models', 'category counts, groups, encoding', 'trends, seasons, forecasts']) AS suggestion"),
+    Query(
+        "txt3_format_hits",
+        _formatted,
+        "query_id:i references:s",
+        f"""{_KNN}|||SELECT query_id, string_agg('[参考' || rank || '] 文档: ' || source || '.pdf, 第 ' || (doc_id % 9) || ' 页 | 内容: ' || replace(text, chr(10), ' '), chr(10) ORDER BY rank) AS \"references\" FROM kn
+ JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY 1""",
+    ),
+    Query(
+        "txt4_intent",
+        lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.route_intent(F.col("text"), RULES).alias("intent")),
+        "conv_id:i turn:i intent:s",
+        f"SELECT conv_id, turn, CASE WHEN {_H['force_analysis']} THEN 'data_analysis' WHEN {_H['force_diagnosis']} THEN 'diagnosis' WHEN {_H['force_comprehensive']} THEN 'comprehensive_diagnosis' WHEN {_H['analysis']} AND NOT {_H['diagnosis']} AND NOT {_H['manual']} THEN 'data_analysis' WHEN {_H['analysis']} AND ({_H['diagnosis']} OR {_H['manual']}) THEN 'comprehensive_diagnosis' ELSE 'diagnosis' END AS intent FROM conversations",
+    ),
+    Query(
+        "txt5_file_reference",
+        _resolved,
+        "message_id:s session_id:i status:s file:s",
+        "SELECT conv_id || '-' || turn AS message_id, conv_id AS session_id, CASE (turn + conv_id) % 5 WHEN 3 THEN 'missing' WHEN 4 THEN 'ambiguous' ELSE 'ok' END AS status, CASE (turn + conv_id) % 5 WHEN 0 THEN '/data/v' || conv_id || '.csv' WHEN 1 THEN '/up/b' || conv_id || '.csv' WHEN 2 THEN '/up/a' || conv_id || '.csv' END AS file FROM conversations",
+    ),
+    Query(
+        "txt6_history",
+        lambda s, d: text.recent_history(table(s, d, "conversations")),
+        "conv_id:i turn:i history:s",
+        "SELECT conv_id, turn, coalesce(array_to_string(list_filter(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), chr(10)), '') AS history FROM conversations",
+    ),
+    Query(
+        "agg8_dataset_profile",
+        _dataset,
+        "column:s dtype:s missing_pct:d4 distinct:i mean:d4 std:d4 min:d4 q1:d4 median:d4 q3:d4 max:d4",
+        f"SELECT \"column\", dtype, missing_pct, \"distinct\", mean, std, min, q1, median, q3, max FROM ({_PROFILE})",
+    ),
+    Query(
+        "agg8b_suggestions",
+        lambda s, d: profiles.suggestions(profiles.dataset_profile(table(s, d, "events").select("event_id", "value", "event_type", "ts"))),
+        "suggestion:s",
+        "SELECT unnest(['correlation, outliers, models', 'category counts, groups, encoding', 'trends, seasons, forecasts']) AS suggestion",
+    ),
     Query("snk1_partitioned", lambda s, d: _partitioned(s, d), "source:s docs:i", "SELECT source, count(*) AS docs FROM documents GROUP BY 1"),
 ]
 
