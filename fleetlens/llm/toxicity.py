@@ -31,7 +31,7 @@ from .wordhash import PUNCTUATION, Words, mix, text_chunks
 
 SAMPLE = 2000
 SAMPLE_BYTES = 1 << 23
-PART_TOKENS = 200_000
+PART_TOKENS = 50_000
 SIZE = 1 << 20
 TIED = 16.0
 SPAN = 0.5
@@ -110,9 +110,10 @@ def _gather(sample: DataFrame) -> list[tuple[int, int, np.ndarray]]:
                 blobs = [features[a:b].tobytes() for a, b in zip(words.row[:-1], words.row[1:])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("doc_id", "toxic", "fold")), pa.array(blobs, pa.binary())], ["doc_id", "toxic", "fold", "features"])
 
-    rows = sample.select("doc_id", "toxic", "fold", "text").mapInArrow(pack, "doc_id long, toxic int, fold int, features binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
-    return [(r.toxic, r.fold, np.frombuffer(bytes(r.features), np.int32).reshape(-1, 2 + len(_BEGINNINGS))) for r in rows]
+    table = sample.select("doc_id", "toxic", "fold", "text").mapInArrow(pack, "doc_id long, toxic int, fold int, features binary").toArrow()
+    table = table.sort_by([("doc_id", "ascending")])  # one row by doc_id
+    blobs = (np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2 + len(_BEGINNINGS)) for x in table.column("features"))
+    return list(zip(table.column("toxic").to_pylist(), table.column("fold").to_pylist(), blobs))
 
 
 def _training_parts(rows: list[tuple[int, int, np.ndarray]], lexicon: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
