@@ -67,7 +67,7 @@ def _inner_cuts(words: Words, cuts: np.ndarray) -> np.ndarray:
 
 
 class Sentences:
-    """Sentences of a run of texts: ``start`` and ``end`` bytes, per row the slice ``row[i]:row[i+1]``, and ``run`` and ``check`` hashes with ``length``.
+    """Sentences of a run of texts: ``start`` and ``end`` bytes, per row the slice ``row[i]:row[i+1]``, and ``run`` hashes with ``length``.
 
     A sentence where no run starts has length 0.
     """
@@ -107,9 +107,13 @@ class Sentences:
         a, b = first[:-1], first[np.minimum(stop, k)]
         value = (total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)
         self.run = mix(value).view(np.int64)
-        # a second hash of the same words, by another mixture of theirs
-        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash ^ _OTHER) * powers[:-1], dtype=np.uint64)])
-        self.check = mix((other[b] - other[a]) * back[a]).view(np.int64)
+        self._words, self._powers, self._back, self._from, self._to = words.hash, powers, back, a, b
+
+    def check(self, at: np.ndarray) -> np.ndarray:
+        """A second hash of the words of the runs at ``at``, by another mixture of theirs."""
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self._words ^ _OTHER) * self._powers[:-1], dtype=np.uint64)])
+        a, b = self._from[at], self._to[at]
+        return mix((total[b] - total[a]) * self._back[a]).view(np.int64)
 
 
 def _each(column: pa.Array, sentences: int, least: int) -> Iterator[tuple[int, np.ndarray, Sentences]]:
@@ -133,7 +137,7 @@ def _runs(docs: DataFrame, sentences: int, least: int, among=None) -> DataFrame:
                 sentence = at - s.row[owner[at]]
                 columns = {"run": s.run[at], "doc_id": ids[first + owner[at]], "sentence": sentence.astype(np.int32)}
                 if among is not None:
-                    columns["check"] = s.check[at]
+                    columns["check"] = s.check(at)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
@@ -151,7 +155,7 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WO
     often = scratch.keep(_runs(docs, sentences, least).groupBy("run").agg(*bounds).where("first <> last").select("run"), "often")
     among = membership.build(often, "run")
     found = scratch.keep(_runs(docs, sentences, least, among).join(often, "run"), "found")
-    repeated = found.groupBy("run", "check").agg(*bounds).where("first <> last").select("run", "check", "first")
+    repeated = scratch.keep(found.groupBy("run", "check").agg(*bounds).where("first <> last").select("run", "check", "first"), "repeated")  # written, so that the join can split a run of many places
     others = scratch.keep(found.join(repeated, ["run", "check"]).where(place != F.col("first")).select("doc_id", "sentence", "run"), "others")
     scratch.drop_but(others)
     gone = others.groupBy("doc_id").agg(F.collect_set(F.struct("sentence", "run")).alias("gone"))
