@@ -210,9 +210,7 @@ def _reach(rows: DataFrame, percent: int, longer: bool) -> DataFrame:
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components of a group that pass the filters; ``rows`` has token, doc_id, n, pos, component."""
-    most = rows.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
-    rows = rows.join(most, "token")
+    """Pairs (a, b) of members of different components of a group that pass the filters; ``rows`` has token, doc_id, n, pos, component, and main, the group's largest component."""
     side = lambda part, longer, names: _reach(part, percent, longer).select("token", *(F.col(x).alias(y) for x, y in zip(("doc_id", "n", "pos", "component", "own", "other"), names)))
     one, two = ("a", "n", "pos", "component", "own", "other"), ("b", "m", "at", "c", "other", "own")
     rest = rows.where("component <> main")
@@ -291,7 +289,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     parts = scratch.keep(components(first), "parts")
     rows = rows.where("size > 2 or salts > 1").select("token", "doc_id", "n", "pos").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = scratch.keep(rows, "labelled")
-    open_ = rows.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
+    counts = rows.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
+    open_ = scratch.keep(counts.where("parts > 1").select("token", "main"), "groups")
     rows = scratch.keep(rows.join(open_, "token"), "open")
     more = _across(rows, percent).join(pairs, ["a", "b"], "left_anti")
     second = _verified(more, docs, table, words, percent, scratch)
