@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class Pieces:
         n, unknown = len(part), self.unknown
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         done = 0
-        for last, (k, size, score) in [*self.automaton.iter(part), (n, (None, 1, 0.0))]:
+        for last, (k, size, score) in chain(self.automaton.iter(part), ((n, (None, 1, 0.0)),)):
             # positions before are final once an unknown character has been tried for them too
             while done < last:
                 done += 1
