@@ -144,7 +144,8 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
 
 
 def _key(pretoken: str) -> str:
-    return pretoken if len(pretoken) <= HEAD_CHARS else "\0" + hashlib.sha256(pretoken.encode("utf-8", "surrogatepass")).hexdigest()
+    """What stands for a long pre-token in the head."""
+    return "\0" + hashlib.sha256(pretoken.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _head(vocabulary: DataFrame, most: int) -> dict[str, int]:
@@ -182,7 +183,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, head: int = HEAD
                         for unit, n in Counter(units).items():
                             if (found := cache.get(unit)) is None:
                                 each = _pretokens(before + unit)
-                                keys = [_key(p) for p in each]
+                                keys = [p if len(p) <= HEAD_CHARS else _key(p) for p in each]
                                 found = cache[unit] = (sum(pieces.get(k, 0) for k in keys), tuple(p for p, k in zip(each, keys) if k not in pieces))
                             tokens += n * found[0]
                             for p in found[1]:
