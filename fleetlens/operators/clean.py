@@ -15,6 +15,10 @@ def over(key: str = KEY, order: str = ORDER) -> Window:
     return Window.partitionBy(key).orderBy(order)
 
 
+def reverse(key: str = KEY, order: str = ORDER) -> Window:
+    return Window.partitionBy(key).orderBy(F.desc(order))
+
+
 def epoch_seconds(df: DataFrame, column: str, out: str = "timestamp", key: str = KEY, order: str = ORDER) -> DataFrame:
     """Adds ``out``: whole seconds from a column of numbers or of date-times (decided by vehicle), as long.
 
@@ -34,8 +38,8 @@ def epoch_seconds(df: DataFrame, column: str, out: str = "timestamp", key: str =
     place = F.row_number().over(w)
     df = df.withColumn("_at", place).withColumn("_known", F.when(F.col("_value").isNotNull(), F.struct("_at", "_value")))
     before = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumns({"_b": before, "_a": after})
+    after = F.last("_known", ignorenulls=True).over(reverse(key, order).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_b", before).withColumn("_a", after)
     share = (F.col("_at") - F.col("_b._at")) / (F.col("_a._at") - F.col("_b._at"))
     line = F.col("_b._value") + (F.col("_a._value") - F.col("_b._value")) * share
     value = F.when(F.col("_value").isNotNull(), F.col("_value")).when(F.col("_b").isNull(), F.col("_a._value")).when(F.col("_a").isNull(), F.col("_b._value")).otherwise(line)

@@ -6,26 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sensors import FAULTS
-from .clean import KEY, ORDER, over
+from .clean import KEY, ORDER, over, reverse
+
+
+def _merged(df: DataFrame, columns: dict[str, str], max_gap: int) -> DataFrame:
+    """Adds for each ``out: column`` the column with runs of at most ``max_gap`` zeros between ones filled.
+
+    The next one after a row is the last one before it in reverse order: a frame that grows, where one to the end would be gone through again for each row.
+    """
+    w = over()
+    df = df.withColumn("_i", F.row_number().over(w)).withColumns({f"_at_{o}": F.when(F.col(c) == 1, F.col("_i")) for o, c in columns.items()})
+    df = df.withColumns({f"_b_{o}": F.last(f"_at_{o}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for o in columns})
+    df = df.withColumns({f"_a_{o}": F.last(f"_at_{o}", ignorenulls=True).over(reverse().rowsBetween(Window.unboundedPreceding, 0)) for o in columns})
+    filled = {o: (F.col(c) == 1) | (F.col(f"_a_{o}") - F.col(f"_b_{o}") - 1 <= max_gap) for o, c in columns.items()}
+    return df.withColumns({o: F.coalesce(x, F.lit(False)).cast("int") for o, x in filled.items()}).drop("_i", *(f"_{k}_{o}" for k in ("at", "a", "b") for o in columns))
 
 
 def merge_short_gaps(df: DataFrame, column: str, out: str, max_gap: int = 2) -> DataFrame:
     """Adds ``out``: ``column`` with runs of at most ``max_gap`` zeros between ones filled."""
-    w = over()
-    at = F.when(F.col(column) == 1, F.row_number().over(w))
-    df = df.withColumn("_at", at).withColumn("_i", F.row_number().over(w))
-    before = F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumns({"_b": before, "_a": after})
-    filled = (F.col(column) == 1) | (F.col("_a") - F.col("_b") - 1 <= max_gap)
-    return df.withColumn(out, F.coalesce(filled, F.lit(False)).cast("int")).drop("_at", "_i", "_b", "_a")
+    return _merged(df, {out: column}, max_gap)
 
 
 def smooth_labels(df: DataFrame, max_gap: int = 2, faults=FAULTS) -> DataFrame:
-    """label_raw_* to label_final_*, all over one ordering of the vehicle."""
-    for f in faults:
-        df = merge_short_gaps(df, f"label_raw_{f}", f"label_final_{f}", max_gap)
-    return df
+    """label_raw_* to label_final_*, all over one ordering of the vehicle and its reverse."""
+    return _merged(df, {f"label_final_{f}": f"label_raw_{f}" for f in faults}, max_gap)
 
 
 def long_labels(df: DataFrame, prefix: str = "label_final_", faults=FAULTS) -> DataFrame:
