@@ -75,10 +75,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
     found = (
         op1_quality_classifier, op2_substring_dedup, op3_jaccard_join, op4_token_counts, op5_quality_rules, op6_benchmark_decontamination,
-        op7_license_scan, op8_toxicity, op9_sentencepiece, op10_url_filter,
+        op7_license_scan, op8_toxicity, op9_sentencepiece, op10_url_filter, op11_source_mix, op12_ranked_search, op13_hard_negatives,
     )
     return {f.__name__: f for f in found}
 
@@ -87,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
     """Of those that SQL can express.  The others (trained models, tokenizers, edit distance, hashed cuts) are tested against brute force."""
     from . import sql
 
-    return {"op3_jaccard_join": sql.JACCARD, "op5_quality_rules": sql.QUALITY, "op7_license_scan": sql.LICENSE}
+    found = {"op3_jaccard_join": sql.JACCARD, "op5_quality_rules": sql.QUALITY, "op7_license_scan": sql.LICENSE}
+    return found | {"op11_source_mix": sql.MIX, "op12_ranked_search": sql.SEARCH, "op13_hard_negatives": sql.NEGATIVES}

@@ -1,7 +1,10 @@
-"""Queries 3, 5 and 7 as DuckDB SQL over the same tables."""
+"""Queries 3, 5, 7, 11, 12 and 13 as DuckDB SQL over the same tables."""
 
 from __future__ import annotations
 
+from . import hard_negatives as H
+from . import lexical_search as L
+from . import mixing as M
 from .license_scan import BASE, COVERED, GRAM, SLACK, TEMPLATES
 from .quality_rules import CHARS_APART, COMMON, MIN_CHARS, MIN_WORDS, WORDS_APART
 
@@ -86,3 +89,66 @@ base AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) -
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(far, false) AS kept
 FROM base LEFT JOIN near USING (rid)
 """
+
+
+def _drawn(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('-', '{M.SEED}', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+_ROUNDS = [f"p{r + 1} AS (SELECT * REPLACE (CASE WHEN (u % {M._P} * (k{r} % {M._P - 1} + 1) + u // {M._P} * b + b) % {M._P} % 2 = 1 THEN o ELSE x END AS x) FROM"
+           f" (SELECT *, greatest(x, o) AS u, k{r} // {M._P} % {M._P} AS b FROM (SELECT * EXCLUDE (u, b, o), (k{r} % n + n - x) % n AS o FROM p{r})))" for r in range(M.ROUNDS)]
+MIX = f"""
+WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY 1),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM s0),
+s2 AS (SELECT *, CAST([{', '.join(map(str, M.WEIGHTS))}][number % {len(M.WEIGHTS)} + 1] AS DOUBLE) AS weight FROM s1),
+s3 AS (SELECT *, CAST(coalesce(sum(source_size) OVER q, 0) AS DOUBLE) AS stopped, coalesce(sum(weight) OVER q, 0) AS w FROM s2 WINDOW q AS (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT max(({M.SHARE} * (SELECT CAST(sum(source_size) AS DOUBLE) FROM s0) - {M.MOST}.0 * stopped) / ((SELECT sum(weight) FROM s2) - w)) AS level FROM s3),
+s4 AS (SELECT source, number, source_size, least(weight * level, {M.MOST}.0 * source_size) AS target FROM s3, lv),
+s5 AS (SELECT *, (source_size + {M.BLOCK - 1}) // {M.BLOCK} AS n FROM s4 WHERE source_size > 0),
+s6 AS (SELECT *, CAST(floor(target * n / source_size + 0.5) AS BIGINT) AS slots FROM s5),
+t0 AS (SELECT CAST(sum(slots) AS BIGINT) AS total FROM s6),
+t1 AS (SELECT total, greatest(1, (total + {M.SHARD - 1}) // {M.SHARD}) AS shards FROM t0),
+t2 AS (SELECT *, (total + shards - 1) // shards AS each FROM t1),
+s7 AS (SELECT *, slots * each // total AS whole, slots * each % total AS rest FROM s6, t2),
+t3 AS (SELECT total, shards, each, each - CAST(sum(whole) AS BIGINT) AS lft FROM s7 GROUP BY ALL),
+r AS (SELECT number, CAST(sum(rest) OVER (ORDER BY number) AS BIGINT) AS high, rest FROM s7 WHERE rest > 0),
+d AS (SELECT i // lft AS shard, {_drawn("'draw'", 'CAST(i AS VARCHAR)')} % (lft * total) AS at FROM t3, unnest(range(shards * lft)) u(i)),
+c0 AS (SELECT number, h.shard, whole AS n FROM s7, t3, unnest(range(t3.shards)) h(shard) WHERE whole > 0 UNION ALL SELECT number, shard, count(*) FROM d JOIN r ON at >= high - rest AND at < high GROUP BY 1, 2),
+c1 AS (SELECT number, shard, CAST(sum(n) AS BIGINT) AS cnt FROM c0 GROUP BY 1, 2),
+c2 AS (SELECT number, sum(cnt) AS cnt FROM c1 GROUP BY 1),
+p0 AS (SELECT *, place % n AS x, 0 AS u, 0 AS b, 0 AS o, {', '.join(f"{_drawn(chr(39) + 'key' + chr(39), 'CAST(number AS VARCHAR)', 'CAST(place // n AS VARCHAR)', chr(39) + str(r) + chr(39))} AS k{r}" for r in range(M.ROUNDS))}
+ FROM (SELECT number, n, unnest(range(CAST(least(cnt, {M.MOST} * n) AS BIGINT))) AS place FROM c2 JOIN s5 USING (number))),
+{', '.join(_ROUNDS)},
+tm AS (SELECT number, x AS idx, count(*) AS times FROM p{M.ROUNDS} GROUP BY 1, 2),
+e0 AS (SELECT z.doc_id, z.size, number, source_size, target, row_number() OVER () AS rid, CAST(sum(size) OVER (PARTITION BY number ORDER BY z.doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a FROM z JOIN s4 ON z.source IS NOT DISTINCT FROM s4.source),
+e1 AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(a // {M.BLOCK}, (a + size - 1) // {M.BLOCK} + 1) ELSE [-1] END) AS idx FROM e0)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN times IS NULL THEN 0 ELSE times * (least((idx + 1) * {M.BLOCK}, a + size) - greatest(idx * {M.BLOCK}, a)) END) AS BIGINT) AS taken
+FROM e1 LEFT JOIN tm USING (number, idx) GROUP BY rid, doc_id, size, source_size, target
+"""
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '{_TERM}') AS w FROM documents),
+dn AS (SELECT *, len(w) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM dn),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM dn) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, s),
+m AS (SELECT rid, doc_id, {L.FREE} + ({L.BY_LENGTH} * n * nn) // ll AS m FROM dn, s),
+i AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all({_FOLD}, '{_TERM}')) AS w FROM benchmark),
+it AS (SELECT iid, item_id, unnest(w) AS term FROM i),
+sc AS (SELECT iid, item_id, rid, doc_id, CAST(sum(w * (({L.SCALE} * tf) // ({L.PER_TF} * tf + {L.PER_M} * m))) AS BIGINT) AS score FROM it JOIN wt USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM rk WHERE rank <= 10
+"""
+
+NEGATIVES = f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {H.EVERY} = 0),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) AS k FROM p WHERE alike) WHERE k <= {H.POSITIVES}),
+neg AS (SELECT pos.anchor_id, pos.vec_id AS positive_id, pos.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score, row_number() OVER (PARTITION BY pos.arid, pos.k ORDER BY n.score DESC, n.vec_id) AS rank
+ FROM pos JOIN p n ON n.arid = pos.arid AND NOT n.alike AND {H.LOW} * pos.score <= 100 * n.score AND 100 * n.score <= {H.HIGH} * pos.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= {H.NEGATIVES}
+"""
