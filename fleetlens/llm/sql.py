@@ -111,10 +111,10 @@ t0 AS (SELECT CAST(sum(slots) AS BIGINT) AS total FROM s6),
 t1 AS (SELECT total, greatest(1, (total + {M.SHARD - 1}) // {M.SHARD}) AS shards FROM t0),
 t2 AS (SELECT *, (total + shards - 1) // shards AS each FROM t1),
 s7 AS (SELECT *, slots * each // total AS whole, slots * each % total AS rest FROM s6, t2),
-t3 AS (SELECT total, shards, each, each - CAST(sum(whole) AS BIGINT) AS lft FROM s7 GROUP BY ALL),
+t3 AS (SELECT t2.*, each - (SELECT CAST(sum(whole) AS BIGINT) FROM s7) AS lft FROM t2),
 r AS (SELECT number, CAST(sum(rest) OVER (ORDER BY number) AS BIGINT) AS high, rest FROM s7 WHERE rest > 0),
-d AS (SELECT i // lft AS shard, {_drawn("'draw'", 'CAST(i AS VARCHAR)')} % (lft * total) AS at FROM t3, unnest(range(shards * lft)) u(i)),
-c0 AS (SELECT number, h.shard, whole AS n FROM s7, t3, unnest(range(t3.shards)) h(shard) WHERE whole > 0 UNION ALL SELECT number, shard, count(*) FROM d JOIN r ON at >= high - rest AND at < high GROUP BY 1, 2),
+d AS (SELECT i // lft AS shard, {_drawn("'draw'", 'CAST(i AS VARCHAR)')} % (lft * total) AS y FROM t3, unnest(range(shards * lft)) u(i)),
+c0 AS (SELECT number, h.shard, whole AS n FROM s7, t3, unnest(range(t3.shards)) h(shard) WHERE whole > 0 UNION ALL SELECT number, shard, count(*) FROM d JOIN r ON y >= high - rest AND y < high GROUP BY 1, 2),
 c1 AS (SELECT number, shard, CAST(sum(n) AS BIGINT) AS cnt FROM c0 GROUP BY 1, 2),
 c2 AS (SELECT number, sum(cnt) AS cnt FROM c1 GROUP BY 1),
 p0 AS (SELECT *, place % n AS x, 0 AS u, 0 AS b, 0 AS o, {', '.join(f"{_drawn(chr(39) + 'key' + chr(39), 'CAST(number AS VARCHAR)', 'CAST(place // n AS VARCHAR)', chr(39) + str(r) + chr(39))} AS k{r}" for r in range(M.ROUNDS))}
