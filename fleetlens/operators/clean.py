@@ -7,60 +7,66 @@ from pyspark.sql import functions as F
 
 from ..functions.sensors import finite_array
 from .quantiles import grouped_quantiles
-
-KEY, ORDER = "vehicle_id", "frame_index"
+from .stretches import KEY, ORDER, carried, in_stretches, inside
 
 
 def over(key: str = KEY, order: str = ORDER) -> Window:
     return Window.partitionBy(key).orderBy(order)
 
 
-def reverse(key: str = KEY, order: str = ORDER) -> Window:
-    return Window.partitionBy(key).orderBy(F.desc(order))
-
-
 def epoch_seconds(df: DataFrame, column: str, out: str = "timestamp", key: str = KEY, order: str = ORDER) -> DataFrame:
     """Adds ``out``: whole seconds from a column of numbers or of date-times (decided by vehicle), as long.
 
     Nulls are interpolated by position between their neighbours, at the ends the nearest value holds; halves round to even.
-    A token that fits neither form raises an error.  A vehicle with no value at all stays null.
+    A token that fits neither form raises an error.  A vehicle with no value at all stays null.  Rows go by stretches.
     """
+    names = [c for c in df.columns if c != out]
     text = F.trim(F.col(column).cast("string"))
     text = F.when(text != "", text)
-    whole = Window.partitionBy(key)
-    df = df.withColumns({"_text": text, "_number": text.try_cast("double")})
-    numeric = F.count("_text").over(whole) == F.count("_number").over(whole)
-    moment = F.col("_text").try_cast("timestamp").cast("double")
-    df = df.withColumn("_value", F.when(numeric, F.col("_number")).otherwise(moment))
-    bad = F.col("_text").isNotNull() & F.col("_value").isNull()
-    df = df.withColumn("_value", F.when(bad, F.raise_error(F.concat(F.lit("no time: "), F.col("_text"))).cast("double")).otherwise(F.col("_value")))
-    w = over(key, order)
-    place = F.row_number().over(w)
-    df = df.withColumn("_at", place).withColumn("_known", F.when(F.col("_value").isNotNull(), F.struct("_at", "_value")))
-    before = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last("_known", ignorenulls=True).over(reverse(key, order).rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_b", before).withColumn("_a", after)
-    share = (F.col("_at") - F.col("_b._at")) / (F.col("_a._at") - F.col("_b._at"))
-    line = F.col("_b._value") + (F.col("_a._value") - F.col("_b._value")) * share
-    value = F.when(F.col("_value").isNotNull(), F.col("_value")).when(F.col("_b").isNull(), F.col("_a._value")).when(F.col("_a").isNull(), F.col("_b._value")).otherwise(line)
-    return df.withColumn(out, F.rint(value).cast("long")).drop("_text", "_number", "_value", "_at", "_known", "_b", "_a")
+    df = in_stretches(df, order).withColumns({"_text": text, "_number": text.try_cast("double"), "_moment": text.try_cast("timestamp").cast("double")})
+    at = {k: F.when(F.col(f"_{k}").isNotNull(), F.col(order)) for k in ("number", "moment")}
+    parts = {"texts": F.count("_text"), "numbers": F.count("_number")}
+    before, after = {}, {}
+    for k, place in at.items():  # both forms, as the vehicle's form is known only with all stretches
+        parts |= {f"last_{k}": F.max(place), f"last_{k}_value": F.max_by(f"_{k}", place), f"first_{k}": F.min(place), f"first_{k}_value": F.min_by(f"_{k}", place)}
+        last = lambda c: lambda w: F.last(c, ignorenulls=True).over(w)
+        before |= {f"_b_{k}": last(f"_last_{k}"), f"_b_{k}_value": last(f"_last_{k}_value")}
+        after |= {f"_a_{k}": last(f"_first_{k}"), f"_a_{k}_value": last(f"_first_{k}_value")}
+    df = carried(df, parts, before, after, {"_numeric": lambda w: F.sum("_texts").over(w) == F.sum("_numbers").over(w)}, key)
+    pick = lambda a, b: F.when(F.col("_numeric"), F.col(a)).otherwise(F.col(b))
+    value = pick("_number", "_moment")
+    bad = F.col("_text").isNotNull() & value.isNull()
+    df = df.withColumn("_value", F.when(bad, F.raise_error(F.concat(F.lit("no time: "), F.col("_text"))).cast("double")).otherwise(value))
+    known = F.when(F.col("_value").isNotNull(), F.struct(F.col(order).cast("long").alias("at"), F.col("_value").alias("value")))
+    far = lambda s: F.when(pick(f"_{s}_number", f"_{s}_moment").isNotNull(), F.struct(pick(f"_{s}_number", f"_{s}_moment").cast("long").alias("at"), pick(f"_{s}_number_value", f"_{s}_moment_value").alias("value")))
+    near = lambda down: F.last("_known", ignorenulls=True).over(inside(key, order, down).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_known", known).withColumns({"_before": F.coalesce(near(False), far("b")), "_after": F.coalesce(near(True), far("a"))})
+    b, a = F.col("_before"), F.col("_after")
+    line = b.value + (a.value - b.value) * ((F.col(order) - b["at"]) / (a["at"] - b["at"]))
+    value = F.when(F.col("_value").isNotNull(), F.col("_value")).when(b.isNull(), a.value).when(a.isNull(), b.value).otherwise(line)
+    return df.select(*names, F.rint(value).cast("long").alias(out))
 
 
 def normalize_sensors(df: DataFrame, column: str, ok: str, key: str = KEY, order: str = ORDER) -> DataFrame:
     """Gives every row's array its vehicle's usual length, and adds ``ok``: whether it had it before.
 
     The usual length is the most frequent one of non-empty arrays (of equally frequent ones the first seen).  Longer arrays
-    are cut, shorter ones padded with their last item, empty (or null) ones take the row before, zeros if there is none.
+    are cut, shorter ones padded with their last item, empty (or null) ones take the row before, zeros if there is none.  Rows go by stretches.
     """
+    names = df.columns
     size = F.coalesce(F.size(column), F.lit(0))
     lengths = df.where(size > 0).groupBy(key, size.alias("_n")).agg(F.count("*").alias("_rows"), F.min(order).alias("_first"))
     usual = lengths.groupBy(key).agg(F.max_by("_n", F.struct("_rows", -F.col("_first"))).alias("_usual"))
     df = df.join(usual, key, "left").withColumn("_usual", F.coalesce("_usual", F.lit(0)))
     pad = F.greatest(F.col("_usual") - size, F.lit(0))
     fitted = F.when(size >= F.col("_usual"), F.slice(column, 1, F.col("_usual"))).otherwise(F.concat(column, F.array_repeat(F.element_at(column, -1), pad)))
-    kept = F.last(F.when(size > 0, fitted), ignorenulls=True).over(over(key, order).rowsBetween(Window.unboundedPreceding, 0))
+    df = in_stretches(df, order).withColumn("_fitted", F.when(size > 0, fitted))
+    last = {"fitted": F.max_by("_fitted", F.when(F.col("_fitted").isNotNull(), F.col(order)))}
+    df = carried(df, last, {"_earlier": lambda w: F.last("_fitted", ignorenulls=True).over(w)}, key=key)
+    kept = F.last("_fitted", ignorenulls=True).over(inside(key, order).rowsBetween(Window.unboundedPreceding, 0))
     zeros = F.array_repeat(F.lit(0.0), F.col("_usual"))
-    return df.withColumns({column: F.coalesce(kept, zeros), ok: (size == F.col("_usual")) & (size > 0)}).drop("_usual")
+    df = df.withColumns({"_kept": F.coalesce(kept, F.col("_earlier"), zeros), "_ok": (size == F.col("_usual")) & (size > 0)})
+    return df.select(*(F.col("_kept").alias(c) if c == column else F.col(c) for c in names if c != ok), F.col("_ok").alias(ok))
 
 
 def quality_flag(ok: Column) -> Column:

@@ -9,19 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sensors import FAULTS
-from .clean import KEY, ORDER, over
-
-
-def with_halo(df: DataFrame, before: int, after: int, chunk: int = 4096) -> DataFrame:
-    """Rows of each vehicle in chunks of ``chunk`` frames, each with the rows around it: adds _chunk and _core.
-
-    Row frames that reach at most ``before`` rows back and ``after`` rows on give the same result
-    over (vehicle, _chunk) as over the vehicle, for rows with _core; so one long vehicle spreads over many tasks.
-    """
-    own = F.floor(F.col(ORDER) / chunk)
-    first, last = F.floor((F.col(ORDER) - after) / chunk), F.floor((F.col(ORDER) + before) / chunk)
-    chunks = F.sequence(F.greatest(first, F.lit(0)), last)
-    return df.withColumn("_chunk", F.explode(chunks)).withColumn("_core", F.col("_chunk") == own)
+from .stretches import KEY, ORDER, with_halo
 
 
 def sample_windows(labels: DataFrame, window: int = 30, step: int = 3, horizon: int = 6, faults=FAULTS, frame_seconds: int = 10) -> DataFrame:

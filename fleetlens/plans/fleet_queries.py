@@ -188,12 +188,16 @@ def _completeness(s: SparkSession, d: str) -> DataFrame:
 
 
 def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Frames written as one csv folder by vehicle in wide form, read back through the structured reader."""
-    root = fresh_path(s, "csv")
-    wide = X.frames(s, d).select("vehicle_id", F.col("frame_index"), F.col("timestamp").alias("TIME"), F.col("charge_status").alias("CHARGE_STATUS"), *(F.col("voltages")[i].alias(f"U_{i + 1}") for i in range(X.CELLS)), *(F.col("temperatures")[i].alias(f"T_{i + 1}") for i in range(X.PROBES)))
-    telemetry.write_table(wide, root, sort=("vehicle_id", "frame_index"), form="csv")
-    rows = s.read.option("header", True).csv(root).withColumn("_row", F.col("frame_index").cast("int")).drop("frame_index")
-    return telemetry.standardize_structured(rows).select("vehicle_id", "frame_index", "charge_status", F.element_at("voltages", 10).alias("v10"), F.array_max("temperatures").alias("t_max"))
+    """Frames written as wide csv, a folder by vehicle, under four headers (in another order, with fewer cells, without optional columns), read back in one call."""
+    root, rows = fresh_path(s, "csv"), X.frames(s, d)
+    cells = lambda k: [F.col("voltages")[i].alias(f"U_{i + 1}") for i in range(k)]
+    probes = [F.col("temperatures")[i].alias(f"T_{i + 1}") for i in range(X.PROBES)]
+    must, more = [F.col("timestamp").alias("TIME"), F.col("charge_status").alias("CHARGE_STATUS")], [F.col("soc").alias("SOC"), F.col("speed").alias("SPEED")]
+    for k, columns in enumerate((must + more + cells(16) + probes, probes[::-1] + cells(16)[::-1] + more + must, must + cells(12) + more[:1] + probes, cells(16) + must[::-1] + probes[:4])):
+        part = rows.where(F.substring("vehicle_id", 2, 20).cast("int") % 4 == k).select("vehicle_id", "frame_index", *columns)
+        part.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "frame_index").drop("frame_index").write.option("header", True).partitionBy("vehicle_id").csv(f"{root}/{k}")
+    out = telemetry.read_structured(s, root, "folder").withColumn("vehicle_id", F.regexp_replace("vehicle_id", "^vehicle_id=", ""))
+    return out.select("vehicle_id", "frame_index", "charge_status", F.size("voltages").alias("cells"), F.element_at("voltages", 10).alias("v10"), F.element_at("voltages", -1).alias("v_last"), F.size("temperatures").alias("probes"), F.array_max("temperatures").alias("t_max"), "soc", "speed")
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
@@ -205,12 +209,16 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
 
 
 def _raw_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Raw rows with damaged series written as csv, a folder by vehicle, and read back through the raw reader."""
+    """Raw rows with damaged series written as csv, a folder by vehicle, under three headers (in another order, without insulation), and read back in one call."""
     root = fresh_path(s, "raw")
-    rows = X.raw_frames(s, d).drop("event_id").repartition("vehicle_id").sortWithinPartitions("vehicle_id", "frame_index")
-    rows.withColumnRenamed("frame_index", "place").write.option("header", True).partitionBy("vehicle_id").csv(root)
+    rows = X.raw_frames(s, d).withColumn("soc", (F.col("event_id") % 101).cast("double"))
+    rows = rows.drop("event_id").repartition("vehicle_id").sortWithinPartitions("vehicle_id", "frame_index")
+    names = ["terminaltime", "chargestatus", "batteryvoltage", "probetemperatures", "insulationresistance"]
+    for k, columns in enumerate((names, ["soc", *names[::-1]], ["soc", *names[:-1]])):
+        part = rows.where(F.substring("vehicle_id", 2, 20).cast("int") % 3 == k).select("vehicle_id", *columns)
+        part.write.option("header", True).partitionBy("vehicle_id").csv(f"{root}/{k}")
     out = telemetry.read_raw(s, root, "folder").withColumn("vehicle_id", F.regexp_replace("vehicle_id", "^vehicle_id=", ""))
-    return out.select("vehicle_id", "frame_index", F.size("voltages").alias("items"), F.array_max("voltages").alias("v_max"), F.size("temperatures").alias("probes"), F.col("insulation_resistance").alias("r"))
+    return out.select("vehicle_id", "frame_index", F.size("voltages").alias("items"), F.array_max("voltages").alias("v_max"), F.size("temperatures").alias("probes"), F.col("insulation_resistance").alias("r"), "soc", F.col("insulation_given").alias("given"))
 
 
 def _missing_columns(s: SparkSession, d: str) -> DataFrame:
@@ -281,7 +289,6 @@ def _frames_san(s: SparkSession, d: str) -> DataFrame:
 
 
 _ZEROED = "zf AS (SELECT * REPLACE (CASE WHEN event_id % 19 = 0 THEN list_transform(voltages, lambda x, i: CASE WHEN i = 4 THEN CAST(0 AS DOUBLE) ELSE x END) ELSE voltages END AS voltages) FROM frames)"
-_LBL3 = f"""{O.FRAMES}, {_san('voltages')}, dl AS (SELECT vehicle_id, frame_index, CASE WHEN lag(v) OVER ({_W}) IS NULL THEN list_transform(v, lambda x: CAST(0 AS DOUBLE)) ELSE list_transform(range(1, 17), lambda i: (v[i] - (lag(v) OVER ({_W}))[i]) / 10) END AS dd FROM san)"""
 _LBL3 = f"""{O.FRAMES}, {_san('voltages')}, dl0 AS (SELECT *, lag(v) OVER ({_W}) AS pv FROM san), dl AS (SELECT vehicle_id, frame_index,
  CASE WHEN pv IS NULL THEN list_transform(v, lambda x: CAST(0 AS DOUBLE)) ELSE list_transform(range(1, 17), lambda i: (v[i] - pv[i]) / 10) END AS dd FROM dl0),
 pr AS (SELECT vehicle_id, unnest(dd[1:15]) AS a, unnest(dd[2:16]) AS b, unnest(range(15)) AS cell FROM dl), pm AS (SELECT vehicle_id, cell,
@@ -337,12 +344,14 @@ QUERIES = [
     Query(
         "src2_structured",
         _csv_round_trip,
-        f"{_KEY} charge_status:i v10:d t_max:d",
-        f"{O.FRAMES}|||SELECT vehicle_id, frame_index, charge_status, voltages[10] AS v10, list_max(temperatures) AS t_max FROM frames",
+        f"{_KEY} charge_status:i cells:i v10:d v_last:d probes:i t_max:d soc:d speed:d",
+        f"""{O.FRAMES}, fk AS (SELECT *, CAST(vehicle_id[2:] AS BIGINT) % 4 AS k FROM frames)
+|||SELECT vehicle_id, frame_index, charge_status, CASE WHEN k = 2 THEN 12 ELSE 16 END AS cells, voltages[10] AS v10, voltages[CASE WHEN k = 2 THEN 12 ELSE 16 END] AS v_last,
+ CASE WHEN k = 3 THEN 4 ELSE 8 END AS probes, list_max(temperatures[1 : CASE WHEN k = 3 THEN 4 ELSE 8 END]) AS t_max, CASE WHEN k = 3 THEN 0 ELSE soc END AS soc, CASE WHEN k IN (2, 3) THEN 0 ELSE speed END AS speed FROM fk""",
     ),
-    Query("src3_raw", _raw_round_trip, f"{_KEY} items:i v_max:d probes:i r:d", f"""{_RAWV}
+    Query("src3_raw", _raw_round_trip, f"{_KEY} items:i v_max:d probes:i r:d soc:d given:b", f"""{_RAWV}, rk AS (SELECT rv.*, CAST(vehicle_id[2:] AS BIGINT) % 3 AS k, CASE WHEN event_id % 13 <> 0 THEN (SELECT CAST(5 AS DOUBLE) * value FROM events e WHERE e.event_id = rv.event_id) END AS ir FROM rv)
 |||SELECT vehicle_id, frame_index, CASE WHEN t IS NULL OR t = '' THEN 1 ELSE len(a) END AS items, CASE WHEN t IS NULL OR t = '' THEN 0 ELSE list_max(a) END AS v_max, 8 AS probes,
- CASE WHEN event_id % 13 <> 0 THEN (SELECT CAST(5 AS DOUBLE) * value FROM events e WHERE e.event_id = rv.event_id) ELSE 0 END AS r FROM rv"""),
+ CASE WHEN k = 2 THEN 0 ELSE coalesce(ir, 0) END AS r, CASE WHEN k = 0 THEN 0 ELSE event_id % 101 END AS soc, k <> 2 AND ir IS NOT NULL AS given FROM rk"""),
     Query(
         "src4_missing_columns",
         _missing_columns,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.sensors import finite, parse_series
 
@@ -51,13 +55,52 @@ def require_columns(df: DataFrame, columns) -> DataFrame:
     return df
 
 
-def _read_csv(spark: SparkSession, path, vehicle: str) -> DataFrame:
-    """All columns as text, with the vehicle (the file's stem, or its folder) and the place of the row in its file, also where Spark splits the file."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
-    df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+def first_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, line): the first line with text of each file of a tree.  It reads lines of the files' first blocks and parses nothing."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"))
+    return rows.where("begin = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "id").alias("line"))
+
+
+def _column_names(line: str) -> list[str]:
+    """The columns that a header line names; of names that differ in case only, or not at all, the later ones get a number."""
+    out: list[str] = []
+    for name in next(csv.reader([line.lstrip("\ufeff")])):
+        taken = {c.lower() for c in out}
+        k, free = 0, name.strip()
+        while free.lower() in taken:
+            k += 1
+            free = f"{name.strip()}.{k}"
+        out.append(free)
+    return out
+
+
+def _literal(file: str) -> str:
+    """A path as Spark takes it, from the encoded one of its file metadata."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file))
+
+
+def _read_csv(spark: SparkSession, path, vehicle: str, required) -> list[DataFrame]:
+    """A DataFrame for each header that occurs in the tree, all columns as text, read by the header's own order.
+
+    Each has the vehicle (a file's stem, or its folder) and the place of the row in its file, also where Spark splits the file.  A header that
+    lacks one of ``required`` is an error that names the columns and a file.
+    """
+    heads = first_lines(spark, path).groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
     pattern = {"stem": r"([^/]+)\.[^./]+$", "folder": r"([^/]+)/[^/]+$"}[vehicle]
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    return df.withColumns({"vehicle_id": F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), "_row": place})
+    if not heads:
+        raise ValueError(f"no header in {path}")
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    parts = []
+    for head in heads:
+        names = _column_names(head.line)
+        if missing := [c for c in required if c not in names]:
+            raise ValueError(f"missing columns: {', '.join(missing)} (in {unquote(head.files[0])}, {len(head.files)} files)")
+        schema = StructType([StructField(n, StringType()) for n in names])
+        df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path if len(heads) == 1 else [_literal(f) for f in head.files])
+        parts.append(df.withColumns({"vehicle_id": F.regexp_extract(file, pattern, 1), "_row": place}))
+    return parts
 
 
 def _sensor_columns(df: DataFrame, prefix: str) -> list[str]:
@@ -73,34 +116,53 @@ def _indexed(df: DataFrame, order) -> DataFrame:
     return df.withColumn("frame_index", (F.row_number().over(Window.partitionBy("vehicle_id").orderBy(*order)) - 1).cast("int"))
 
 
-def standardize_structured(df: DataFrame, order=("_row",)) -> DataFrame:
-    """Wide rows to frames: sensor columns by number of their suffix into arrays, scalars as numbers with 0 for what is none."""
-    require_columns(df, REQUIRED["structured"])
-    df = _indexed(df, order)
+def _structured(df: DataFrame, order) -> DataFrame:
     scalars = {k: _number(df, c).alias(k) for k, c in _SCALARS.items()}
     scalars["charge_status"] = scalars["charge_status"].cast("int").alias("charge_status")
-    arrays = {k: F.array(*(_number(df, c) for c in _sensor_columns(df, p))).alias(k) for k, p in (("voltages", "U"), ("temperatures", "T"))}
-    return df.select("vehicle_id", "frame_index", F.col("TIME").alias("time"), *scalars.values(), *arrays.values())
+    arrays = {k: F.array(*(_number(df, c) for c in _sensor_columns(df, p))).cast("array<double>").alias(k) for k, p in (("voltages", "U"), ("temperatures", "T"))}
+    return df.select("vehicle_id", *order, F.col("TIME").alias("time"), *scalars.values(), *arrays.values(), F.lit(True).alias("insulation_given"))
 
 
-def standardize_raw(df: DataFrame, order=("_row",)) -> DataFrame:
-    """Raw rows to frames: joined series into arrays, missing optional columns 0, minimum and maximum columns null where they are no number."""
-    require_columns(df, REQUIRED["raw"])
-    df = _indexed(df, order)
+def _raw(df: DataFrame, order) -> DataFrame:
     scalars = {k: _number(df, c).alias(k) for k, c in _RAW.items()}
     scalars["charge_status"] = scalars["charge_status"].cast("int").alias("charge_status")
     limits = [F.col(c).try_cast("double").alias(c) for c in _LIMITS if c in df.columns]
-    return df.select("vehicle_id", "frame_index", F.col("terminaltime").alias("time"), *scalars.values(), parse_series(F.col("batteryvoltage")).alias("voltages"), parse_series(F.col("probetemperatures")).alias("temperatures"), *limits)
+    given = F.col("insulationresistance").try_cast("double")
+    given = (given.isNotNull() & ~F.isnan(given)) if "insulationresistance" in df.columns else F.lit(False)
+    return df.select("vehicle_id", *order, F.col("terminaltime").alias("time"), *scalars.values(), parse_series(F.col("batteryvoltage")).alias("voltages"), parse_series(F.col("probetemperatures")).alias("temperatures"), given.alias("insulation_given"), *limits)
+
+
+def _frames(parts: list[DataFrame], order) -> DataFrame:
+    """The parts' rows by name, numbered by vehicle; a column that a part lacks is null there."""
+    rows = _indexed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), order)
+    return rows.select("vehicle_id", "frame_index", *(c for c in rows.columns if c not in ("vehicle_id", "frame_index", *order)))
+
+
+def standardize_structured(df: DataFrame, order=("_row",)) -> DataFrame:
+    """Wide rows to frames: sensor columns by number of their suffix into arrays, scalars as numbers with 0 for what is none."""
+    return _frames([_structured(require_columns(df, REQUIRED["structured"]), order)], order)
+
+
+def standardize_raw(df: DataFrame, order=("_row",)) -> DataFrame:
+    """Raw rows to frames: joined series into arrays, missing optional columns 0, minimum and maximum columns null where they are no number.
+
+    insulation_given tells whether the row has an insulation resistance.
+    """
+    return _frames([_raw(require_columns(df, REQUIRED["raw"]), order)], order)
 
 
 def read_structured(spark: SparkSession, path, vehicle: str = "stem") -> DataFrame:
-    """Frames of wide csv files; ``vehicle`` says whether a file's stem or its folder names the vehicle."""
-    return standardize_structured(_read_csv(spark, path, vehicle))
+    """Frames of wide csv files; ``vehicle`` says whether a file's stem or its folder names the vehicle.
+
+    Files are read by their own headers: columns may come in any order, a file has as many cells and probes as its header names, and optional
+    columns that it lacks are 0 there.
+    """
+    return _frames([_structured(p, ("_row",)) for p in _read_csv(spark, path, vehicle, REQUIRED["structured"])], ("_row",))
 
 
 def read_raw(spark: SparkSession, path, vehicle: str = "stem") -> DataFrame:
-    """Frames of raw csv files; ``vehicle`` as in ``read_structured``."""
-    return standardize_raw(_read_csv(spark, path, vehicle))
+    """Frames of raw csv files, each read by its own header; ``vehicle`` as in ``read_structured``."""
+    return _frames([_raw(p, ("_row",)) for p in _read_csv(spark, path, vehicle, REQUIRED["raw"])], ("_row",))
 
 
 def write_table(df: DataFrame, path: str, partition=(), sort=(), form: str = "parquet", mode: str = "errorifexists") -> None:
