@@ -31,7 +31,7 @@ from .shared import Scratch, text_of
 from .wordhash import PUNCTUATION, Words, text_chunks
 
 #: Documents of a block, characters of the items of a pass, and blocks that each item visits first.
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 2048
 PASS_CHARS = 2_000_000
 FIRST = 3
 #: Fixed values of the score: free and length part of the normaliser (of 100), scale of a tf's share, and its factors.
@@ -128,23 +128,32 @@ def _index(forward: DataFrame, documents: int, terms: int) -> DataFrame:
 
 
 class _Block:
-    """An index block with its impacts, each computed once by term and tf."""
+    """An index block (a row of a batch) with its impacts, each computed once by term and tf.  Document ids and postings are read when the block is visited."""
 
-    def __init__(self, row: dict, weights: np.ndarray):
-        self.number, self.docs, self.at = row["block"], row["docs"], np.array(row["at"], np.int64)
-        self.ends = np.array(row["ends"], np.int64)
-        self.terms, tf = np.array(row["terms"], np.int64), np.array(row["tfs"], np.int64)
-        self.impacts = weights[self.terms] * (SCALE * tf // (PER_TF * tf + PER_M * row["m"]))
+    def __init__(self, batch: pa.RecordBatch, row: int, weights: np.ndarray):
+        self._batch, self._row = batch, row
+        self.number = batch.column("block")[row].as_py()
+        self.ends, self.terms, tf = (self._list(c).astype(np.int64) for c in ("ends", "terms", "tfs"))
+        self.impacts = weights[self.terms] * (SCALE * tf // (PER_TF * tf + PER_M * batch.column("m")[row].as_py()))
         last = np.flatnonzero(np.diff(self.terms, append=-1))  # a term's largest tf comes last
         self.largest = np.zeros(len(weights), np.int64)
         self.largest[self.terms[last]] = self.impacts[last]
+
+    def _list(self, column: str) -> np.ndarray:
+        return self._batch.column(column)[self._row].values.to_numpy(zero_copy_only=False)
+
+    def visit(self) -> _Block:
+        """The block, ready for ``scores``."""
+        self.docs = self._batch.column("docs")[self._row].values
+        self._at = self._list("at").astype(np.int64)
         self._of = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+        return self
 
     def scores(self, wanted: np.ndarray) -> np.ndarray:
         """Scores of the block's documents for the terms marked in ``wanted``."""
         hit = np.flatnonzero(wanted[self.terms][self._of])
         total = np.zeros(len(self.docs), np.int64)
-        np.add.at(total, self.at[hit], self.impacts[self._of[hit]])
+        np.add.at(total, self._at[hit], self.impacts[self._of[hit]])
         return total
 
 
@@ -154,11 +163,11 @@ class _Best:
     def __init__(self, k: int, floor: int):
         self.k, self.floor, self.rows = k, max(floor, 1), []
 
-    def add(self, scores: np.ndarray, docs: list) -> None:
+    def add(self, scores: np.ndarray, docs: pa.Array) -> None:
         at = np.flatnonzero(scores >= self.floor)
         if len(at) > self.k:
             at = at[scores[at] >= np.partition(scores[at], len(at) - self.k)[len(at) - self.k]]
-        rows = self.rows + [(-int(scores[i]), docs[i] is None, docs[i] or 0) for i in at]
+        rows = self.rows + [(-int(s), d is None, d or 0) for s, d in zip(scores[at], docs.take(pa.array(at)).to_pylist())]
         self.rows = sorted(rows)[: self.k]
         if len(self.rows) == self.k:
             self.floor = max(self.floor, -self.rows[-1][0])
@@ -171,16 +180,18 @@ def _visited(index: DataFrame, shared, k: int, only: bool) -> DataFrame:
         items, weights, chosen, floors = shared.value
         best: dict[int, _Best] = {}
         for batch in batches:
-            blocks = [_Block(r, weights) for r in batch.to_pylist() if not only or r["block"] in chosen]
-            bounds = [items.bounds(b.largest) for b in blocks]
-            for n in sorted(range(len(blocks)), key=lambda n: -int(bounds[n].max(initial=0))):
-                block = blocks[n]
-                for item in chosen[block.number] if only else np.flatnonzero(bounds[n] >= floors).tolist():
+            numbers = batch.column("block").to_pylist()
+            tops = {n: int(items.bounds(_Block(batch, n, weights).largest).max(initial=0)) for n, b in enumerate(numbers) if not only or b in chosen}
+            for n in sorted(tops, key=lambda n: -tops[n]):
+                block = _Block(batch, n, weights)
+                bounds = items.bounds(block.largest)
+                asked = chosen[block.number] if only else np.flatnonzero(bounds >= floors).tolist()
+                for item in asked:
                     own = best.setdefault(item, _Best(k, int(floors[item])))
-                    if bounds[n][item] >= own.floor:
+                    if bounds[item] >= own.floor:
                         wanted = np.zeros(len(weights), bool)
                         wanted[items.terms[items.starts[item] : items.starts[item + 1]]] = True
-                        own.add(block.scores(wanted), block.docs)
+                        own.add((block if hasattr(block, "docs") else block.visit()).scores(wanted), block.docs)
         rows = [(item, -s, None if null else d) for item, b in best.items() for s, null, d in b.rows]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["item", "score", "doc_id"])
 
@@ -194,8 +205,8 @@ def _first_blocks(index: DataFrame, shared) -> dict[int, list[int]]:
         items, weights = shared.value[:2]
         top, at = np.zeros((FIRST, len(items.items)), np.int64), np.zeros((FIRST, len(items.items)), np.int64)
         for batch in batches:
-            for r in batch.to_pylist():
-                block = _Block(r, weights)
+            for row in range(len(batch)):
+                block = _Block(batch, row, weights)
                 bound, number = items.bounds(block.largest), np.full(len(items.items), block.number)
                 for k in range(FIRST):
                     up = bound > top[k]

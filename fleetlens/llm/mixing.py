@@ -125,7 +125,8 @@ def _slots(scratch: Scratch, sources: DataFrame, block: int, shard: int, most: i
     key = lambda r: drawn("key", F.col("number"), F.col("epoch"), r)
     keys = F.transform(F.array(*(key(r) for r in range(ROUNDS))), lambda v: F.struct((v % F.col("n")).alias("mirror"), (v % (_P - 1) + 1).alias("a"), (div(v, _P) % _P).alias("b")))
     epochs = epochs.withColumns({"keys": keys, "first": F.greatest(F.col("start"), F.expr("epoch * n")), "last": F.least(F.expr("start + count"), F.expr("(epoch + 1) * n")) - 1})
-    slots = epochs.select("number", "shard", "n", "keys", F.explode(F.sequence("first", "last")).alias("place"))
+    spread = epochs.select("number", "shard", "n", "keys", "first", "last").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "number", "shard", "first")  # few rows that become many
+    slots = spread.select("number", "shard", "n", "keys", F.explode(F.sequence("first", "last")).alias("place"))
     return slots.select("number", "shard", "place", permuted(F.col("place") % F.col("n"), F.col("n"), F.col("keys")).alias("index"))
 
 
