@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sensors import argmin, array_median, array_range, array_sum, finite, finite_array, neighbour_gap, weakest_offset
-from .clean import KEY, ORDER
-from .windows import with_halo
+from ..functions.sensors import FAULTS, argmin, array_median, array_range, array_sum, finite, finite_array, neighbour_gap, weakest_offset
+from .stretches import KEY, ORDER, in_stretches, with_halo
 
+#: Prefixes of the features, and the channels of a sequence.
 GROUPS = ("shared", "sd", "isc", "conn", "samp", "ins")
 CHANNELS = ("charge_status", "soc", "speed", "sum_voltage", "sum_current", "insulation_resistance", "v_range", "t_range")
 #: Limits of the counts below.
@@ -29,26 +27,61 @@ def frame_scalars(frames: DataFrame) -> DataFrame:
     return df
 
 
-def _adjacent_icc(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(rows) -> float:
-        v = np.array([np.asarray(r, dtype=float) for r in rows])
-        if v.shape[1] < 2:
-            return 1.0
-        a, b = v[:, :-1], v[:, 1:]
-        mean = (a + b).mean(axis=0) / 2
-        variance = (((a - mean) ** 2).mean(axis=0) + ((b - mean) ** 2).mean(axis=0)) / 2
-        covariance = ((a - mean) * (b - mean)).mean(axis=0)
-        return float(np.min(np.where(variance == 0, 1.0, covariance / np.where(variance == 0, 1.0, variance))))
+def _at_anchors(rows: DataFrame, samples: DataFrame, window: int, column: str, make, schema: str) -> DataFrame:
+    """(sample_id, made): ``make`` gets a stretch's matrix of ``column`` (a row a frame) and the places of the windows' last rows in it, and gives a column.
 
-    for batch in windows:
-        yield batch.map(one)
+    Rows go by stretches with ``window`` rows around them, samples to the stretch of their last frame; nothing is gathered for other rows.
+    """
+    rows = with_halo(rows.select(KEY, F.col(ORDER).cast("long").alias(ORDER), column), window, 0)
+    anchors = in_stretches(samples.select("sample_id", F.col(KEY).alias("_key"), F.col("end_frame").cast("long").alias(ORDER)))  # another name, as both sides may come from one table
+
+    def one(frames: pa.Table, ends: pa.Table) -> pa.Table:
+        frames = frames.sort_by(ORDER)
+        items = frames.column(column).combine_chunks()
+        widths = np.unique(items.value_lengths().to_numpy(zero_copy_only=False))
+        if len(widths) > 1:
+            raise ValueError(f"rows of one vehicle differ in length: {widths.tolist()}")
+        x = items.flatten().to_numpy(zero_copy_only=False).reshape(len(items), -1)
+        numbers = frames.column(ORDER).to_numpy()
+        place = np.searchsorted(numbers, ends.column(ORDER).to_numpy())
+        known = np.flatnonzero((place < len(numbers)) & (numbers[np.minimum(place, len(numbers) - 1)] == ends.column(ORDER).to_numpy()) & (place >= window - 1)) if len(numbers) else np.zeros(0, int)
+        return pa.table([ends.column("sample_id").take(pa.array(known)), make(x, place[known])], names=["sample_id", "made"])
+
+    return rows.groupBy(KEY, "_chunk").cogroup(anchors.groupBy("_key", "_chunk")).applyInArrow(one, f"sample_id string, made {schema}")
+
+
+def _adjacent_icc(window: int):
+    """The least intraclass correlation of neighbouring cells in each window, from running sums of x, y, xx, yy and xy."""
+
+    def make(v: np.ndarray, ends: np.ndarray) -> pa.Array:
+        if v.shape[1] < 2 or not len(ends):
+            return pa.array(np.ones(len(ends)))
+        x = v - v.mean(axis=0).mean()
+        a, b = x[:, :-1], x[:, 1:]
+        sums = []
+        for y in (a, b, a * a, b * b, a * b):
+            total = np.concatenate([np.zeros((1, y.shape[1])), np.cumsum(y, axis=0)])
+            sums.append(total[ends + 1] - total[ends + 1 - window])
+        sa, sb, saa, sbb, sab = (t / window for t in sums)
+        mean = (sa + sb) / 2
+        variance = (saa + sbb) / 2 - mean * (sa + sb) + mean * mean
+        covariance = sab - mean * (sa + sb) + mean * mean
+        # a window in which both cells keep one value has no variance: counted, as sums leave a rest there
+        differ = np.concatenate([np.zeros((1, a.shape[1]), int), np.cumsum(a != b, axis=0)])
+        moves = np.concatenate([np.zeros((1, a.shape[1]), int), np.cumsum(np.concatenate([np.zeros((1, a.shape[1]), bool), a[1:] != a[:-1]]), axis=0)])
+        still = (differ[ends + 1] == differ[ends + 1 - window]) & (moves[ends + 1] == moves[ends + 2 - window])
+        return pa.array(np.where(still, 1.0, covariance / np.where(still, 1.0, variance)).min(axis=1))
+
+    return make
+
+
+def window_icc(frames: DataFrame, samples: DataFrame, window: int = 30) -> DataFrame:
+    """(sample_id, conn_icc_min) of each sample."""
+    return _at_anchors(frames.select(KEY, ORDER, finite_array(F.col("voltages")).alias("v")), samples, window, "v", _adjacent_icc(window), "double").withColumnRenamed("made", "conn_icc_min")
 
 
 def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, with_icc: bool = True) -> DataFrame:
-    """sample_id and the 28 features of each sample, unrounded.
-
-    Arrays are only gathered at the samples' last rows, for the correlation feature.
-    """
+    """sample_id and the 28 features of each sample, unrounded.  The correlation feature has its own pass over the cells (``window_icc``)."""
     rows = with_halo(frame_scalars(frames), window, 0)
     w = Window.partitionBy(KEY, "_chunk").orderBy(ORDER)
     whole, inner = w.rowsBetween(-(window - 1), 0), w.rowsBetween(-(window - 2), 0)
@@ -77,23 +110,44 @@ def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, wit
         "ins_threshold_margin": F.col("insulation_resistance") - limit,
         "_r": resistance,
     }
-    if with_icc:
-        features["_v"] = F.collect_list("v").over(whole)
     anchors = samples.select("sample_id", KEY, F.col("end_frame").alias(ORDER))
     wide = rows.select(KEY, ORDER, "_core", *(c.alias(k) for k, c in features.items())).where("_core").drop("_core").join(anchors, [KEY, ORDER])
     middle = array_median(F.col("_r"))
     wide = wide.withColumn("ins_low_rins_persistence", F.transform(F.array(middle), lambda m: F.size(F.filter("_r", lambda x: x < m)).cast("double"))[0])
     if with_icc:
-        wide = wide.withColumn("conn_icc_min", F.pandas_udf(_adjacent_icc, "double")("_v")).drop("_v")
+        wide = wide.join(window_icc(frames, samples, window), "sample_id")
     return wide.select("sample_id", *(c for c in wide.columns if c not in ("sample_id", "_r", KEY, ORDER)))
 
 
 def window_sequences(frames: DataFrame, samples: DataFrame, window: int = 30) -> DataFrame:
     """sample_id and its window x 8 matrix of floats, gathered at the samples' last rows only."""
-    rows = with_halo(frame_scalars(frames).select(KEY, ORDER, F.array(*(finite(F.col(c)).cast("float") for c in CHANNELS)).alias("x")), window, 0)
-    w = Window.partitionBy(KEY, "_chunk").orderBy(ORDER).rowsBetween(-(window - 1), 0)
-    anchors = samples.select("sample_id", KEY, F.col("end_frame").alias(ORDER))
-    return rows.withColumn("x_seq", F.collect_list("x").over(w)).where("_core").join(anchors, [KEY, ORDER]).select("sample_id", "x_seq")
+    rows = frame_scalars(frames).select(KEY, ORDER, F.array(*(finite(F.col(c)).cast("float") for c in CHANNELS)).alias("x"))
+
+    def cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+        at = (ends[:, None] + np.arange(1 - window, 1)[None, :]).ravel()
+        steps = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[at].ravel().astype(np.float32)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * window), steps)
+
+    return _at_anchors(rows, samples, window, "x", cut, "array<array<float>>").withColumnRenamed("made", "x_seq")
+
+
+#: The features in the order of the pack.
+PACK_FEATURES = (
+    *(f"shared_{c}" for c in CHANNELS),
+    "sd_cell_dev_min", "sd_cell_dev_slope", "sd_weak_cell_repeat_ratio", "sd_rest_drop_rate",
+    "isc_module_vdrop_max", "isc_module_vrange", "isc_module_tmax", "isc_module_trise_max",
+    "conn_dvdt_max", "conn_neighbor_response_gap", "conn_abnormal_point_ratio", "conn_icc_min",
+    "samp_local_median_residual", "samp_sensor_jump_count", "samp_pack_sum_residual", "samp_abnormal_count_ratio",
+    "ins_rins_min", "ins_rins_slope", "ins_threshold_margin", "ins_low_rins_persistence",
+)
+
+
+def dataset_pack(frames: DataFrame, samples: DataFrame, window: int = 30, faults=FAULTS) -> DataFrame:
+    """The training pack, a row a sample: sample_id, x_seq (window x 8), x_feat (``PACK_FEATURES``; what is no finite number is 0), y_id, y_warn."""
+    wide = window_features(frames, samples, window)
+    x_feat = F.array(*(F.coalesce(finite(F.col(c)), F.lit(0.0)).cast("float") for c in PACK_FEATURES))
+    targets = samples.select("sample_id", *(F.array(*(F.col(f"y_{k}_{f}").cast("int") for f in faults)).alias(f"y_{k}") for k in ("id", "warn")))
+    return window_sequences(frames, samples, window).join(wide.select("sample_id", x_feat.alias("x_feat")), "sample_id").join(targets, "sample_id")
 
 
 def feature_groups(features: DataFrame, group: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sensors as S
@@ -259,13 +259,21 @@ def _stream(s: SparkSession, slices: list[DataFrame], build) -> DataFrame:
     return s.read.schema(out.schema).parquet(f"{root}/out")
 
 
+def _by_time(rows: DataFrame, closing, gap: int) -> tuple[list[DataFrame], int]:
+    """Three slices of time of ``rows`` (with ts), then rows that ``closing`` makes of times far behind them, which move the watermark past all; and the span in seconds."""
+    low, high = rows.agg(F.min(F.col("ts").cast("long")), F.max(F.col("ts").cast("long"))).first()
+    part = F.floor((F.col("ts").cast("long") - low) * 3 / (high - low + 1))
+    later = [closing(F.timestamp_seconds(F.lit(high + k * max(gap, 2 * (high - low + 1))))) for k in (1, 2)]
+    return [rows.where(part == k) for k in range(3)] + later, high - low + 1
+
+
 def _stream_events(s: SparkSession, d: str) -> DataFrame:
-    """Three slices of every vehicle's life; within a slice rows come in any order."""
-    rows = events.long_labels(X.raw_labels(s, d), "label_raw_")
-    last = rows.groupBy("vehicle_id").agg(F.max("frame_index").alias("_last"))
-    rows = rows.join(last, "vehicle_id").withColumn("is_last", F.col("frame_index") == F.col("_last"))
-    part = F.floor(F.col("frame_index") * 3 / (F.col("_last") + 1))
-    return _stream(s, [rows.where(part == k).drop("_last") for k in range(3)], streaming.stream_events)
+    """Three slices of time, within which rows come in any order; vehicles end without a mark, and only the rows of another vehicle tell that they are silent."""
+    frames = X.raw_labels(s, d)
+    rows = events.long_labels(frames, "label_raw_").join(frames.select("vehicle_id", "frame_index", F.timestamp_seconds("timestamp").alias("ts")), ["vehicle_id", "frame_index"])
+    closing = lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), F.lit(0).alias("frame_index"), F.lit("sd").alias("fault_type"), F.lit(0).alias("label"), ts.alias("ts"))
+    slices, span = _by_time(rows, closing, 0)
+    return _stream(s, slices, lambda r: streaming.stream_events(r, silence=span))
 
 
 _SEGMENT_ROWS = f"""{O.RAW_LABELS}, sg AS (SELECT vehicle_id, segment_id, count(*) AS rows, min(timestamp) AS start_seconds, max(timestamp) AS end_seconds
@@ -275,13 +283,29 @@ _SEGMENT_ROWS = f"""{O.RAW_LABELS}, sg AS (SELECT vehicle_id, segment_id, count(
 def _stream_segments(s: SparkSession, d: str) -> DataFrame:
     """Three slices of time, and a later row of another vehicle, twice, that moves the watermark past all sessions."""
     rows = X.raw_labels(s, d).select("vehicle_id", F.timestamp_seconds("timestamp").alias("ts"))
-    low, high = rows.agg(F.min(F.col("ts").cast("long")), F.max(F.col("ts").cast("long"))).first()
-    part = F.floor((F.col("ts").cast("long") - low) * 3 / (high - low + 1))
-    later = [s.range(1).select(F.lit("").alias("vehicle_id"), F.timestamp_seconds(F.lit(high + k * 10 * X.MAX_GAP)).alias("ts")) for k in (1, 2)]
-    found = _stream(s, [rows.where(part == k) for k in range(3)] + later, lambda r: streaming.stream_segments(r, X.MAX_GAP)).where("vehicle_id <> ''")
+    slices, _ = _by_time(rows, lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), ts.alias("ts")), 10 * X.MAX_GAP)
+    found = _stream(s, slices, lambda r: streaming.stream_segments(r, X.MAX_GAP)).where("vehicle_id <> ''")
     return found.select("vehicle_id", "rows", F.col("start_time").cast("long").alias("start_seconds"), F.col("end_time").cast("long").alias("end_seconds"))
 
 
+def _bucketed(s: SparkSession, d: str) -> DataFrame:
+    """Frames and labels written as tables in buckets of the vehicle, run through a window of the vehicle, which needs no exchange, and joined by (vehicle, frame)."""
+    both = []
+    for kind, df in (("frames", X.frames(s, d).select("vehicle_id", "frame_index", "soc")), ("labels", X.raw_labels(s, d).select("vehicle_id", "frame_index", "label_raw_sd"))):
+        root = fresh_path(s, kind)
+        both.append(telemetry.write_bucketed(df, root.rsplit("/", 1)[-1].replace("-", "_"), 8, path=root))
+    w = Window.partitionBy("vehicle_id").orderBy("frame_index")
+    return both[0].withColumn("change", F.col("soc") - F.lag("soc").over(w)).join(both[1], ["vehicle_id", "frame_index"])
+
+
+def _pack(s: SparkSession, d: str) -> DataFrame:
+    """Every cell of the training pack, a row each: its part, its two places in it, its value."""
+    pack = features.dataset_pack(X.frames(s, d), X.samples(s, d), X.WINDOW)
+    cells = lambda part: F.transform(part, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("i"), F.lit(0).alias("j"), x.cast("double").alias("value")))
+    steps = F.flatten(F.transform("x_seq", lambda row, i: F.transform(row, lambda x, j: F.struct(F.lit("x_seq").alias("part"), i.alias("i"), j.alias("j"), x.cast("double").alias("value")))))
+    return pack.select("sample_id", F.inline(F.concat(steps, cells("x_feat"), cells("y_id"), cells("y_warn"))))
+
+
 def _frames_san(s: SparkSession, d: str) -> DataFrame:
     """Sanitized voltages of frames with some zeros."""
     df = X.frames(s, d).withColumn("voltages", F.when(F.col("event_id") % 19 == 0, F.transform("voltages", lambda x, i: F.when(i == 3, F.lit(0.0)).otherwise(x))).otherwise(F.col("voltages")))
@@ -328,6 +352,19 @@ _MODULES = ", ".join(f"({m}, {sum(_WIDTHS[:m])}, {w})" for m, w in enumerate(_WI
 _LONG_SD = _SD.replace(O.FRAMES, O.LONG_FRAMES + ", frames AS (SELECT * FROM fin)").replace(f"least({X.ROLLING}, n)", f"least({X.LONG['rolling']}, n)").replace(f"{X.ROLLING - 1} FOLLOWING", f"{X.LONG['rolling'] - 1} FOLLOWING").replace(f"n > {X.ROLLING} AND", f"n > {X.LONG['rolling']} AND")
 _RAWL = " ".join(f"label_final_{f}:i" for f in _FAULTS)
 
+_ICC = f"""wf AS (SELECT sample_id, unnest(voltages[1:15]) AS a, unnest(voltages[2:16]) AS b, unnest(range(15)) AS c
+ FROM samples JOIN frames ON frames.vehicle_id = samples.vehicle_id AND frames.frame_index BETWEEN start_frame AND end_frame),
+wm AS (SELECT sample_id, c, count(*) AS n, (sum(a) + sum(b)) / (2 * count(*)) AS m FROM wf GROUP BY 1, 2), wi AS (SELECT sample_id, c,
+ CASE WHEN sum((a - m) * (a - m)) + sum((b - m) * (b - m)) = 0 THEN 1 ELSE 2 * sum((a - m) * (b - m)) / (sum((a - m) * (a - m)) + sum((b - m) * (b - m))) END AS icc
+ FROM wf JOIN wm USING (sample_id, c) GROUP BY 1, 2), ic AS (SELECT sample_id, min(icc) AS conn_icc_min FROM wi GROUP BY 1)"""
+_F32 = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+_CHANNELS = ["charge_status", "soc", "speed", "sum_voltage", "sum_current", "insulation_resistance", "v_range", "t_range"]
+_ONCE = lambda sql: reduce(lambda q, c: q.replace(f"{c} AS (SELECT", f"{c} AS MATERIALIZED (SELECT"), ("frames", "samples", "sc", "fin", "feat", "ev", "f0"), sql)
+_PACK_SQL = _ONCE(f"""{FEATURES}, {_ICC}, fi AS (SELECT * FROM feat JOIN ic USING (sample_id))|||
+SELECT sample_id, 'x_seq' AS part, sc.frame_index - start_frame AS i, unnest(range(8)) AS j, unnest([{', '.join(_F32(c) for c in _CHANNELS)}]) AS value FROM samples JOIN sc ON sc.vehicle_id = samples.vehicle_id AND sc.frame_index BETWEEN start_frame AND end_frame
+UNION ALL SELECT sample_id, 'x_feat', unnest(range({len(features.PACK_FEATURES)})), 0, unnest([{', '.join(_F32(c) for c in features.PACK_FEATURES)}]) FROM fi
+""" + "".join(f"UNION ALL SELECT sample_id, 'y_{k}', unnest(range(5)), 0, unnest([{', '.join(f'CAST(y_{k}_{f} AS DOUBLE)' for f in _FAULTS)}]) FROM samples " for k in ("id", "warn")))
+
 QUERIES = [
     Query(
         "insulation_events",
@@ -667,6 +704,13 @@ ra AS (SELECT *, t - sum(base) OVER () AS leftover, row_number() OVER (ORDER BY
         "split:s target:s positives:i",
         f"{O.SPLIT_SAMPLES}|||" + " UNION ALL ".join(f"SELECT split, '{t}' AS target, sum({t}) AS positives FROM ss GROUP BY 1" for t in _TARGETS),
     ),
+    Query(
+        "snk1_bucketed",
+        _bucketed,
+        f"{_KEY} soc:d label_raw_sd:i change:d",
+        f"{O.RAW_LABELS}|||SELECT vehicle_id, frame_index, event_id % 101 AS soc, label_raw_sd, event_id % 101 - lag(event_id % 101) OVER ({_W}) AS change FROM raw",
+    ),
+    Query("snk1_dataset_pack", _pack, "sample_id:s part:s i:i j:i value:d3", _PACK_SQL),
     Query("str1_segments", _stream_segments, "vehicle_id:s rows:i start_seconds:i end_seconds:i", f"{_SEGMENT_ROWS}|||SELECT * FROM sg"),
     Query("str2_events", _stream_events, "vehicle_id:s fault_type:s start_frame:i end_frame:i duration_frames:i", f"{_EVT}|||SELECT * FROM evt"),
 ]

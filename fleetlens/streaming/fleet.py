@@ -38,41 +38,53 @@ def _merged(runs: list[tuple[int, int]], max_gap: int) -> list[tuple[int, int]]:
 class EventState(StatefulProcessor):
     """Per (vehicle, fault): the runs of label 1 that may still grow, gaps of at most ``max_gap`` zeros merged.
 
-    A run is emitted once the newest frame is more than ``max_gap + delay`` frames behind it, or the vehicle's last frame has come.
-    Frames up to ``delay`` behind the newest may come in any order; older ones that
-    would touch an emitted run, or lie before it, are dropped.  State is as long as a key's open runs.
+    A run is emitted once the newest frame is more than ``max_gap + delay`` frames behind it.  Frames up to ``delay`` behind the newest may come in any order; older ones that
+    would touch an emitted run, or lie before it, are dropped.  Each input moves the key's timer to ``silence`` milliseconds behind its newest row; when the watermark
+    passes it, what is open is emitted and the key's state ends.  So state is as long as the open runs of vehicles that still send.
     """
 
-    def __init__(self, max_gap: int = 2, delay: int = 0):
-        self.max_gap, self.delay = max_gap, delay
+    def __init__(self, max_gap: int = 2, delay: int = 0, silence: int = 600_000):
+        self.max_gap, self.delay, self.silence = max_gap, delay, silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.runs = handle.getListState("runs", "first long, last long")
-        self.seen = handle.getValueState("seen", "newest long, emitted long")
+        self.seen = handle.getValueState("seen", "newest long, emitted long, latest long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
-        newest, emitted = self.seen.get() if self.seen.exists() else (-1, -1 - self.max_gap)
-        final = False
+        newest, emitted, latest = self.seen.get() if self.seen.exists() else (-1, -1 - self.max_gap, 0)
         for part in rows:  # a part at a time: only its runs are kept
-            final |= bool(part["is_last"].any())
-            newest = max(newest, int(part["frame_index"].max()))
+            newest, latest = max(newest, int(part["frame_index"].max())), max(latest, int(part["millis"].max()))
             at = np.unique(part.loc[part["label"] == 1, "frame_index"].to_numpy())
             at = at[at > emitted + self.max_gap]
             cut = np.flatnonzero(np.diff(at) > 1 + self.max_gap) + 1
             runs = _merged(runs + [(int(p[0]), int(p[-1])) for p in np.split(at, cut) if len(p)], self.max_gap)
-        done = [r for r in runs if final or newest - r[1] > self.max_gap + self.delay]
+        done = [r for r in runs if newest - r[1] > self.max_gap + self.delay]
         still = runs[len(done) :]
         if done:
             emitted = done[-1][1]
-        self.seen.update((newest, emitted))
+        self.seen.update((newest, emitted, latest))
         if still:
             self.runs.put(still)
         elif self.runs.exists():
             self.runs.clear()
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(latest + self.silence)
+        yield self._events(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+        self.runs.clear()
+        self.seen.clear()
+        yield self._events(key, done)
+
+    @staticmethod
+    def _events(key, done: list[tuple[int, int]]) -> pd.DataFrame:
         number = lambda xs: pd.Series(xs, dtype="int64")
         text = lambda x: pd.Series([x] * len(done), dtype=object)
-        yield pd.DataFrame({
+        return pd.DataFrame({
             "vehicle_id": text(key[0]), "fault_type": text(key[1]),
             "start_frame": number([a for a, _ in done]), "end_frame": number([b for _, b in done]), "duration_frames": number([b - a + 1 for a, b in done]),
         })
@@ -81,10 +93,10 @@ class EventState(StatefulProcessor):
         pass
 
 
-def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0) -> DataFrame:
-    """Events from a stream of (vehicle_id, fault_type, frame_index, label, is_last); equal to the batch job on frames that come at most ``delay`` late.
+def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0, silence: int = 600, lateness: str = "10 minutes") -> DataFrame:
+    """Events from a stream of (vehicle_id, fault_type, frame_index, label, ts); equal to the batch job on frames that come at most ``delay`` frames late.
 
-    ``is_last`` marks a vehicle's last frame, which closes its open runs.
+    Rows more than ``lateness`` behind the newest of all are dropped.  A vehicle from which nothing has come for ``silence`` seconds (of the stream's time) is closed: its open runs are emitted.
     """
-    rows = labels.select("vehicle_id", "fault_type", F.col("frame_index").cast("long").alias("frame_index"), "label", "is_last")
-    return rows.groupBy("vehicle_id", "fault_type").transformWithStateInPandas(EventState(max_gap, delay), EVENT, "append", "none")
+    rows = labels.withWatermark("ts", lateness).select("vehicle_id", "fault_type", F.col("frame_index").cast("long").alias("frame_index"), "label", "ts", F.unix_millis("ts").alias("millis"))
+    return rows.groupBy("vehicle_id", "fault_type").transformWithStateInPandas(EventState(max_gap, delay, silence * 1000), EVENT, "append", "EventTime")

@@ -36,19 +36,22 @@ def naive_events(labels, gap):
 
 
 def test_events_over_batches(spark):
-    """Rows come up to three frames late and in any order within a batch; a row far too late is left out."""
+    """Rows come up to three frames late and in any order within a batch; a row far too late is left out; no row marks a vehicle's end."""
     rng, rows, want = random.Random(3), [], set()
     for v in ("a", "b"):
-        labels = [int(rng.random() < 0.4) for _ in range(60)]
+        labels = [int(rng.random() < 0.4) for _ in range(59)] + [1]  # a run is open at the end
         want |= {(v, *e) for e in naive_events(labels, 2)}
         order = sorted(range(60), key=lambda i: i + rng.random() * 3)
-        rows += [(v, "sd", i, labels[i], i == 59, k) for k, i in enumerate(order)]
-    schema = "vehicle_id string, fault_type string, frame_index int, label int, is_last boolean"
+        rows += [(v, "sd", i, labels[i], 1000 + 10 * i, k) for k, i in enumerate(order)]
+    schema = "vehicle_id string, fault_type string, frame_index int, label int, seconds long"
     batches = [[r[:5] for r in rows if low <= r[5] < low + 15] for low in (0, 15, 30, 45)]
     for b in batches:
         rng.shuffle(b)
-    batches[3].append(("b", "sd", 0, 1, False))
-    got = run(spark, batches, schema, lambda r: fleet.stream_events(r, 2, 3))
+    batches[3].append(("b", "sd", 0, 1, 1000))
+    build = lambda r: fleet.stream_events(r.withColumn("ts", F.timestamp_seconds("seconds")), 2, 3, 100, "60 seconds")
+    open_ends = run(spark, batches, schema, build)
+    assert {(r.vehicle_id, r.start_frame, r.end_frame) for r in open_ends} == {e for e in want if e[2] < 54}
+    got = run(spark, [*batches, [("c", "sd", 0, 0, 9000)], [("c", "sd", 1, 0, 9001)]], schema, build)
     first_b = min(e for e in want if e[0] == "b")
     assert {(r.vehicle_id, r.start_frame, r.end_frame) for r in got} == want and len(got) == len(want) and first_b[2] < 40
     assert all(r.duration_frames == r.end_frame - r.start_frame + 1 for r in got)
