@@ -40,6 +40,8 @@ TEMPLATES = read_templates((files(__package__) / "licences.txt").read_text(encod
 GRAM = 3
 SLACK = 2
 COVERED = 0.7
+#: Words of a stretch in which spans of a text are compared.
+NEAR = 256
 
 
 def words_of(text: Column) -> Column:
@@ -77,6 +79,21 @@ def _base_places(words: Column) -> Column:
     return F.when(some, places).otherwise(F.array().cast("array<struct<place:bigint,label:string>>"))
 
 
+def _best(spans: DataFrame) -> DataFrame:
+    """Spans less those of which half lies in one of another label that is better.
+
+    Only spans that share a stretch of ``NEAR`` words of one text meet, so the work grows with a text's spans and not with their square.
+    """
+    names = spans.columns
+    bins = F.explode(F.sequence(F.floor(F.col("first_word") / NEAR), F.floor(F.col("last_word") / NEAR)))
+    here = spans.withColumn("bin", bins)
+    there = here.select("k1", "k2", "bin", *(F.col(c).alias(f"t_{c}") for c in names[2:]))
+    common = F.least("last_word", "t_last_word") - F.greatest("first_word", "t_first_word") + 1
+    better = (F.col("t_score") > F.col("score")) | ((F.col("t_score") == F.col("score")) & (F.col("t_size") > F.col("size")))
+    covered = (F.col("label") != F.col("t_label")) & better & (2 * common >= F.col("last_word") - F.col("first_word") + 1)
+    return spans.join(here.join(there, ["k1", "k2", "bin"]).where(covered).select(*names).distinct(), names, "left_anti")
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, covered: float = COVERED) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
@@ -100,15 +117,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, covered: float = COVERED)
     spans = merged.groupBy("k1", "k2", "template", "label", "size", "span").agg(F.flatten(F.collect_list("at")).alias("at"), F.min("first_word").alias("first_word"), (F.max("last_word") + GRAM - 1).alias("last_word"))
     found = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + GRAM - 1)))))
     spans = spans.withColumn("score", found / F.col("size")).where(F.col("score") >= covered)
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct(F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), "label", "score", "size")).alias("spans"))
-
-    def covered_by(s: Column, t: Column) -> Column:
-        common = F.least(s.last_word, t.last_word) - F.greatest(s.first_word, t.first_word) + 1
-        better = (t.score > s.score) | ((t.score == s.score) & (t.size > s.size))
-        return (s.label != t.label) & better & (2 * common >= s.last_word - s.first_word + 1)
-
-    best = F.filter("spans", lambda s: ~F.exists("spans", lambda t: covered_by(s, t)))
-    spans = spans.select("k1", "k2", F.array_sort(F.transform(best, lambda s: F.struct(s.first_word.alias("first_word"), s.last_word.alias("last_word"), s.label.alias("label"), s.score.alias("score")))).alias("spans"))
+    spans = spans.select("k1", "k2", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), "label", "score", "size").distinct()
+    spans = _best(scratch.keep(spans, "verified"))
+    spans = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first_word", "last_word", "label", "score"))).alias("spans"))
 
     base = scratch.keep(rows.select("doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), _base_places(F.col("words")).alias("base")), "base")
     out = base.join(scratch.keep(spans, "spans"), ["k1", "k2"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first_word:bigint,last_word:bigint,label:string,score:double>>")))
