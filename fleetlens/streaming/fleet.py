@@ -53,7 +53,8 @@ class EventState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
-        newest, emitted, latest = self.seen.get() if self.seen.exists() else (-1, -1 - self.max_gap, 0)
+        newest, emitted, latest = self.seen.get() if self.seen.exists() else (-1, -1 - self.max_gap, -1)
+        before = latest
         for part in rows:  # a part at a time: only its runs are kept
             newest, latest = max(newest, int(part["frame_index"].max())), max(latest, int(part["millis"].max()))
             at = np.unique(part.loc[part["label"] == 1, "frame_index"].to_numpy())
@@ -69,9 +70,10 @@ class EventState(StatefulProcessor):
             self.runs.put(still)
         elif self.runs.exists():
             self.runs.clear()
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(latest + self.silence)
+        if latest > before:
+            if before >= 0:
+                self.handle.deleteTimer(before + self.silence)
+            self.handle.registerTimer(latest + self.silence)
         yield self._events(key, done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
