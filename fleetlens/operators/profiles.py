@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,55 @@ def dataset_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     return out.select("column", "dtype", "missing_pct", "distinct", "mean", "std", "min", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), "max")
 
 
+#: Of hll sketches: 2^12 registers, a relative error of 1.6 % (one deviation).  Of kll sketches: k of 400, a rank error of 0.7 % (at 99 %).
+LG_REGISTERS = 12
+KLL_SIZE = 400
+
+
+def profile_parts(df: DataFrame, by: Column | None = None) -> DataFrame:
+    """(part, column, dtype, rows, present, mean, squares, min, max, distinct, ranks): a row for every part and column, to be stored and merged later.
+
+    ``by`` says which part a row belongs to (a day, a load); without it all are part null.  ``distinct`` and ``ranks`` are HLL and KLL
+    sketches of bounded size (null where the type has none; ranks of NaN are not kept), ``squares`` is the sum of squared deviations
+    from the part's mean.  One pass, combined before the shuffle.
+    """
+    fields = list(enumerate(df.schema.fields))
+    by = F.lit(None).cast("string") if by is None else by.cast("string")
+    aggs = [F.count("*").alias("_rows")]
+    rows = []
+    for k, f in fields:
+        c, number = F.col(f"`{f.name}`"), isinstance(f.dataType, T.NumericType)
+        simple = not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)
+        aggs.append(F.count(c).alias(f"_n{k}"))
+        if number:
+            x = c.cast("double")
+            aggs += [F.avg(x).alias(f"_m{k}"), (F.var_pop(x) * F.count(x)).alias(f"_s{k}"), F.min(x).alias(f"_lo{k}"), F.max(x).alias(f"_hi{k}")]
+            aggs.append(F.kll_sketch_agg_double(F.when(~F.isnan(x), x), KLL_SIZE).alias(f"_q{k}"))
+        if simple:
+            value = c if isinstance(f.dataType, T.StringType | T.BinaryType) else c.cast("string")
+            aggs.append(F.hll_sketch_agg(value, LG_REGISTERS).alias(f"_d{k}"))
+        of = lambda name, has, kind, k=k: F.col(f"_{name}{k}") if has else F.lit(None).cast(kind)
+        stats = [of(x, number, "double").alias(y) for x, y in (("m", "mean"), ("s", "squares"), ("lo", "min"), ("hi", "max"))]
+        rows.append(F.struct(F.lit(k).alias("place"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col("_rows").alias("rows"), F.col(f"_n{k}").alias("present"), *stats, of("d", simple, "binary").alias("distinct"), of("q", number, "binary").alias("ranks")))
+    return df.groupBy(by.alias("part")).agg(*aggs).select("part", F.inline(F.array(*rows)))
+
+
+def merge_parts(parts: DataFrame, quantiles=_QUARTILES) -> DataFrame:
+    """The profile of ``dataset_profile`` from stored parts, of which any choice may be given; counts, means, deviations, minimum and maximum
+    are exact, distinct values and quartiles within the sketches' errors.  No row of the table itself is read again."""
+    n, mean = F.sum("present"), F.sum(F.col("mean") * F.col("present")) / F.sum(F.when(F.col("mean").isNotNull(), F.col("present")))
+    own = parts.groupBy("place", "column", "dtype").agg(
+        F.sum("rows").alias("rows"), n.alias("present"), mean.alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.sum("squares").alias("inside"), F.when(F.count("distinct") > 0, F.hll_sketch_estimate(F.hll_union_agg("distinct"))).alias("distinct"), F.kll_merge_agg_double("ranks").alias("ranks"),
+    )
+    # Deviations of the parts' means from the mean of all: few rows, joined back by column.
+    between = parts.join(F.broadcast(own.select("place", F.col("mean").alias("_all"))), "place").groupBy("place").agg(F.sum(F.col("present") * (F.col("mean") - F.col("_all")) ** 2).alias("between"))
+    q = [F.when((F.col("mean").isNotNull()) & (F.kll_sketch_get_n_double("ranks") > 0), F.kll_sketch_get_quantile_double("ranks", F.lit(p))) for p in quantiles]
+    std = F.when(F.col("present") > 1, F.sqrt((F.col("inside") + F.col("between")) / (F.col("present") - 1)))
+    out = own.join(between, "place")
+    return out.select("column", "dtype", ((1 - F.col("present") / F.col("rows")) * 100).alias("missing_pct"), "distinct", "mean", std.alias("std"), "min", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), "max")
+
+
 def suggestions(profile: DataFrame) -> DataFrame:
     """(suggestion): what a profile's columns allow."""
     is_number = F.col("dtype").rlike("int|double|float|decimal")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.sensors import FAULTS
 from ..sources.shared import shared_dir
 from .clean import KEY
+from .covers import SPLITS, cover_splits
 
 CORE = ("sd", "samp", "ins")
 #: What a rare fault's positives have to reach.
@@ -47,17 +48,19 @@ def _subsets(vehicles: DataFrame, size: int, full: int, best: int) -> DataFrame:
 def assign_splits(profile: DataFrame, train: int = 12, val: int = 4, test: int = 4, core=CORE) -> DataFrame:
     """(vehicle_id, split) for a window profile of ``train + val + test`` vehicles, so that every split covers the core faults as far as can be.
 
-    The best disjoint pair of test and validation subsets is searched, by cover, rare faults, counts and ids in turn.  The search
-    is for fleets of up to ``SEARCH_LIMIT`` vehicles; more raise an error, and the caller may take ``greedy_splits`` instead.
+    Up to ``SEARCH_LIMIT`` vehicles the best disjoint pair of test and validation subsets is searched, by cover, rare faults, counts and
+    ids in turn.  Larger fleets go by classes of equal faults (``covers.cover_splits``): the cover is the best possible as well, counts
+    are those of filling up with the vehicles of most warnings.
     """
     shared_dir(profile.sparkSession)  # checkpoints need a folder
     vehicles = _vehicles(profile, core).checkpoint()
     n = vehicles.count()
     if n != train + val + test:
         raise ValueError("the counts do not add up to the number of vehicles")
-    if n > SEARCH_LIMIT:
-        raise ValueError(f"subsets of {n} vehicles are too many to search; greedy_splits deals any number")
     full = (1 << len(core)) - 1
+    if n > SEARCH_LIMIT:
+        placed = cover_splits(vehicles, {"test": test, "val": val, "train": train}, full, [f"rare_{f}" for f in RARE], list(RARE.values()))
+        return placed.withColumnRenamed("id", KEY)
     best = BEST if n >= 20 else 1 << 30
     rare = [f"rare_{f}" for f in RARE]
     names = ["ids", "windows", "id_total", "warn_total", "id_mask", "warn_mask", *rare]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sensors as S
 from ..operators import clean, events, features, labels, profiles, splits, windows
 from ..sources import telemetry
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, shared_dir
 from ..streaming import fleet as streaming
 from . import fixtures as X
 from . import oracle as O
@@ -124,21 +124,38 @@ _SUMS = ", ".join(f"sum({t}) AS {t}" for t in _TARGETS)
 _POS = " OR ".join(f"{t} = 1" for t in _TARGETS)
 
 
-def _twenty(s: SparkSession, d: str) -> DataFrame:
-    """The windows of all users as those of twenty vehicles."""
-    n = (F.substring("vehicle_id", 2, 20).cast("long") * 7 + F.floor(F.col("start_frame") / 3)) % 20
+def _regrouped(s: SparkSession, d: str, vehicles: int) -> DataFrame:
+    """The windows of all users as those of so many vehicles."""
+    n = (F.substring("vehicle_id", 2, 20).cast("long") * 7 + F.floor(F.col("start_frame") / 3)) % vehicles
     return windows.window_profile(X.samples(s, d).withColumn("vehicle_id", F.concat(F.lit("G"), F.lpad(n.cast("string"), 2, "0"))))
 
 
+def _regrouped_sql(vehicles: int) -> str:
+    name = f"'G' || lpad(CAST((CAST(vehicle_id[2:] AS BIGINT) * 7 + start_frame // 3) % {vehicles} AS VARCHAR), 2, '0')"
+    return _PROFILE.replace("FROM samples GROUP BY 1", f"FROM (SELECT * REPLACE ({name} AS vehicle_id) FROM samples) GROUP BY 1")
+
+
 def _splits(s: SparkSession, d: str) -> DataFrame:
     """The search at its usual size: 12 vehicles to train, 4 each to val and test."""
-    return splits.assign_splits(_twenty(s, d))
+    return splits.assign_splits(_regrouped(s, d, 20))
 
 
 def _greedy(s: SparkSession, d: str) -> DataFrame:
     return splits.greedy_splits(windows.window_profile(X.samples(s, d)), 20, 20)
 
 
+def _covers(s: SparkSession, d: str) -> DataFrame:
+    """What a split of a hundred vehicles made of all users, 20 to test and 20 to val, covers."""
+    shared_dir(s)  # checkpoints need a folder
+    profile = _regrouped(s, d, 100).checkpoint()
+    dealt = splits.assign_splits(profile, profile.count() - 40, 20, 20).join(splits._vehicles(profile, splits.CORE).withColumnRenamed("id", "vehicle_id"), "vehicle_id")
+    has = lambda names, c: F.bit_or(F.when(F.col("split").isin(*names), F.col(c)).otherwise(0))
+    full = [(has([p], f"{kind}_mask") == 7).alias(f"{p}_{kind}") for kind, of in (("id", splits.SPLITS), ("warn", splits.SPLITS[:2])) for p in of]
+    rare = [(has(["test", "val"], "rare_isc") > 0).alias("isc_eval"), (has(["train"], "rare_isc") > 0).alias("isc_train"), (has(["test", "val"], "rare_conn") > 0).alias("conn_eval")]
+    sizes = [F.sum((F.col("split") == p).cast("int")).alias(f"n_{p}") for p in splits.SPLITS]
+    return dealt.agg(*full, *rare, F.bit_count(has(["train"], "id_mask")).alias("train_faults"), *sizes)
+
+
 _CORE = ("sd", "samp", "ins")
 _BITS = lambda k: " + ".join(f"CASE WHEN y_{k}_{f}_positive > 0 THEN {1 << i} ELSE 0 END" for i, f in enumerate(_CORE))
 _VEHICLES = f"""ve AS (SELECT vehicle_id AS id, window_count AS windows, {_BITS('id')} AS id_mask, {_BITS('warn')} AS warn_mask, {' + '.join(f'y_id_{f}_positive' for f in _CORE)} AS id_total,
@@ -159,6 +176,15 @@ have AS (SELECT sum(rare_isc) AS n_isc, sum(rare_conn) AS n_conn FROM ve),
 one AS (SELECT t_ids, v_ids FROM full3, have
  ORDER BY t1 DESC, v1 DESC, r_mask = 7 DESC, t2 DESC, v2 DESC, n_isc >= 2 AND r_isc > 0 AND e_isc > 0 DESC, n_isc > 0 AND r_isc > 0 DESC, n_isc > 0 AND e_isc > 0 DESC, n_conn > 0 AND e_conn > 0 DESC,
  bit_count(CAST(r_mask AS INT)) DESC, total2 + r_total DESC, warn2 DESC, windows2 DESC, t_ids, v_ids LIMIT 1)"""
+#: Every cover that twenty vehicles each in test and val, and the rest in train, can have: a class of faults after the other, each giving a vehicle to none or some of them.
+_COVERS = f"""{_VEHICLES}, cl AS (SELECT row_number() OVER (ORDER BY id_mask, warn_mask, rare_isc, rare_conn) AS k, * FROM (SELECT id_mask, warn_mask, rare_isc, rare_conn, count(*) AS n FROM ve
+ GROUP BY ALL)),
+dp AS (SELECT 0 AS k, 0 AS ti, 0 AS tw, 0 AS vi, 0 AS vw, 0 AS ri, 0 AS ei, 0 AS ec, 0 AS rr UNION SELECT dp.k + 1, ti | (t * id_mask), tw | (t * warn_mask), vi | (v * id_mask), vw | (v * warn_mask), ri | (r * id_mask),
+ ei | ((t | v) * rare_isc), ec | ((t | v) * rare_conn), rr | (r * rare_isc) FROM dp JOIN cl ON cl.k = dp.k + 1 JOIN (SELECT p & 1 AS t, (p >> 1) & 1 AS v, p >> 2 AS r FROM range(8) x(p)) o
+ ON t + v + r <= n),
+have AS (SELECT sum(rare_isc) AS n_isc, sum(rare_conn) AS n_conn, count(*) AS n FROM ve),
+one AS (SELECT dp.*, n FROM dp, have WHERE k = (SELECT max(k) FROM cl)
+ ORDER BY ti = 7 DESC, vi = 7 DESC, ri = 7 DESC, tw = 7 DESC, vw = 7 DESC, n_isc >= 2 AND rr > 0 AND ei > 0 DESC, rr DESC, ei DESC, ec DESC, bit_count(CAST(ri AS INT)) DESC LIMIT 1)"""
 _DRAW = lambda c: f"md5('42:' || {c})"
 
 
@@ -583,8 +609,15 @@ wm AS (SELECT sample_id, c, count(*) AS n, (sum(a) + sum(b)) / (2 * count(*)) AS
         "spl1_assign_splits",
         _splits,
         "vehicle_id:s split:s",
-        f"""{_PROFILE.replace("FROM samples GROUP BY 1", "FROM (SELECT * REPLACE ('G' || lpad(CAST((CAST(vehicle_id[2:] AS BIGINT) * 7 + start_frame // 3) % 20 AS VARCHAR), 2, '0') AS vehicle_id) FROM samples) GROUP BY 1")}, {_SEARCH}
+        f"""{_regrouped_sql(20)}, {_SEARCH}
 |||SELECT id AS vehicle_id, CASE WHEN list_contains(t_ids, id) THEN 'test' WHEN list_contains(v_ids, id) THEN 'val' ELSE 'train' END AS split FROM ve, one""",
+    ),
+    Query(
+        "spl1c_cover_splits",
+        _covers,
+        "test_id:b val_id:b train_id:b test_warn:b val_warn:b isc_eval:b isc_train:b conn_eval:b train_faults:i n_test:i n_val:i n_train:i",
+        f"""RECURSIVE {_regrouped_sql(100)}, {_COVERS}|||SELECT ti = 7 AS test_id, vi = 7 AS val_id, ri = 7 AS train_id, tw = 7 AS test_warn, vw = 7 AS val_warn, ei > 0 AS isc_eval, rr > 0 AS isc_train, ec > 0 AS conn_eval,
+ bit_count(CAST(ri AS INT)) AS train_faults, 20 AS n_test, 20 AS n_val, n - 40 AS n_train FROM one""",
     ),
     Query(
         "spl1b_greedy_splits",

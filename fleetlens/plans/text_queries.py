@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profiles, text
 from ..sources import telemetry
-from ..sources.shared import fresh_path
+from ..sources.shared import Scratch, fresh_path
 from .fixtures import table
 from .registry import Query
 
@@ -29,6 +29,15 @@ def _hits(s: SparkSession, d: str, k: int = 3) -> DataFrame:
     return text.top_k(v, v.where(F.col("vec_id") % _QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query")), k)
 
 
+def _pruned_hits(s: SparkSession, d: str) -> DataFrame:
+    """The same hits from an index of all rows, written once."""
+    v = table(s, d, "embeddings").select("vec_id", text.normalised(F.col("embedding")).alias("v"))
+    pivots, sample = text.pivots_of(v)
+    index = Scratch(s).keep(text.index_vectors(v, pivots), "vectors")
+    asked = v.where(F.col("vec_id") % _QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+    return text.top_k_pruned(index, pivots, sample, asked)
+
+
 _KNN = f"""nv0 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), nv AS (SELECT vec_id,
  list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM nv0),
 kn AS (SELECT * FROM (SELECT q.vec_id AS query_id, n.vec_id AS id, list_dot_product(q.v, n.v) AS score, row_number() OVER (PARTITION BY q.vec_id
@@ -56,6 +65,22 @@ def _dataset(s: SparkSession, d: str) -> DataFrame:
     return profiles.dataset_profile(telemetry.read_dataset(s, f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
 
 
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    """The profile of all orders merged from stored parts of a year each, and whether its sketches keep their errors: 7 % of the distinct
+    values (four deviations), 2 % of the rows between a quartile's place and that of its value."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    parts = Scratch(s).keep(profiles.profile_parts(orders, F.year("o_orderdate")), "profiles")
+    merged = profiles.merge_parts(parts.where("column <> 'o_orderdate'"))
+    value = lambda c, x: F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), x.cast("double").alias("x"))
+    long = orders.select(F.inline(F.array(*(value(c, F.col(c)) for c in ("o_orderkey", "o_custkey", "o_totalprice")), value("o_orderstatus", F.lit(None)))))
+    share = lambda below: F.avg(below.cast("double"))
+    near = [(share(F.col("x") < F.col(q)) <= p + 0.02) & (share(F.col("x") <= F.col(q)) >= p - 0.02) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    held = long.join(F.broadcast(merged.select("column", "q1", "median", "q3", F.col("distinct").alias("guess"))), "column").groupBy("column").agg(
+        (near[0] & near[1] & near[2]).alias("quartiles_close"), (F.abs(F.max("guess") - F.countDistinct("text")) <= 0.07 * F.countDistinct("text")).alias("distinct_close")
+    )
+    return merged.join(held, "column")
+
+
 _PROFILE = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", '{t}' AS dtype, (1 - count({c}) / CAST(count(*) AS DOUBLE)) * 100 AS missing_pct, count(DISTINCT {c}) AS \"distinct\", " + (f"""avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3,
  max({c}) AS max""" if t != "string" else "NULL AS mean, NULL AS std, NULL AS min, NULL AS q1, NULL AS median, NULL AS q3, NULL AS max") + " FROM orders"
@@ -69,6 +94,7 @@ QUERIES = [
         "doc_id:i source:s chunk_no:i n_chars:i",
     ),
     Query("txt2_top_k", _hits, "query_id:i id:i score:d rank:i", f"{_KNN}|||SELECT * FROM kn"),
+    Query("txt2b_top_k_pruned", _pruned_hits, "query_id:i id:i score:d rank:i", f"{_KNN}|||SELECT * FROM kn"),
     Query(
         "txt3_format_hits",
         _formatted,
@@ -100,6 +126,12 @@ QUERIES = [
         "column:s dtype:s missing_pct:d4 distinct:i mean:d4 std:d4 min:d4 q1:d4 median:d4 q3:d4 max:d4",
         f"SELECT \"column\", dtype, missing_pct, \"distinct\", mean, std, min, q1, median, q3, max FROM ({_PROFILE})",
     ),
+    Query(
+        "agg8c_merged_parts",
+        _merged,
+        "column:s dtype:s missing_pct:d4 mean:d4 std:d4 min:d4 max:d4 distinct_close:b quartiles_close:b",
+        f"SELECT \"column\", dtype, missing_pct, mean, std, min, max, true AS distinct_close, CASE WHEN mean IS NOT NULL THEN true END AS quartiles_close FROM ({_PROFILE})",
+    ),
     Query(
         "agg8b_suggestions",
         lambda s, d: profiles.suggestions(profiles.dataset_profile(table(s, d, "events").select("event_id", "value", "event_type", "ts"))),
