@@ -70,9 +70,9 @@ def _grams(host: Column, path: Column) -> Column:
     """All 3- and 4-grams of host and path (between bounds), each marked by its part."""
 
     def of(mark: str, text: Column, n: int) -> Column:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
-        last = F.char_length(whole) - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+        # found by looking ahead from every place, which is linear in the text (a substring counts its place from the start)
+        found = F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(found, lambda x: F.concat(F.lit(mark), x))
 
     return F.concat(*(of(m, t, n) for m, t in (("h", host), ("p", path)) for n in (3, 4)))
 
