@@ -87,11 +87,22 @@ _PROFILE = " UNION ALL ".join(
     for c, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_totalprice", "double"), ("o_orderstatus", "string"))
 )
 
+#: Where a chunk of 500 characters that starts at {at} ends: after the last of the strongest separator found beyond its overlap, looked for from behind.
+_BEHIND = "strpos(reverse(t[{at} + 52:{at} + 500]), {s})"
+_CHUNK_END = "CASE WHEN {at} + 500 >= n THEN n " + " ".join(
+    f"WHEN {_BEHIND.replace('{s}', s)} > 0 THEN {{at}} + 501 - {_BEHIND.replace('{s}', s)}" for s in (" || ".join(f"chr({ord(c)})" for c in sep) for sep in text.SEPARATORS)
+) + " ELSE {at} + 500 END"
+
 QUERIES = [
     Query(
         "txt1_chunks",
         lambda s, d: text.chunk_documents(table(s, d, "documents")).select("doc_id", "source", "chunk_no", F.length("text").alias("n_chars")),
         "doc_id:i source:s chunk_no:i n_chars:i",
+        f"""RECURSIVE own AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+ch AS (SELECT r, 0 AS a, {_CHUNK_END.format(at="0")} AS e FROM own WHERE n > 0 UNION ALL SELECT r, at2 AS a, {_CHUNK_END.format(at="at2")} AS e FROM (SELECT ch.r, greatest(e - 50, a + 1) AS at2, t, n FROM ch
+ JOIN own ON own.r = ch.r WHERE e < n)),
+cut AS (SELECT ch.r, a, doc_id, source, regexp_replace(regexp_replace(t[a + 1:e], '^\\s+', ''), '\\s+$', '') AS x FROM ch
+ JOIN own ON own.r = ch.r)|||SELECT doc_id, source, row_number() OVER (PARTITION BY r ORDER BY a) - 1 AS chunk_no, length(x) AS n_chars FROM cut WHERE x <> ''""",
     ),
     Query("txt2_top_k", _hits, "query_id:i id:i score:d rank:i", f"{_KNN}|||SELECT * FROM kn"),
     Query("txt2b_top_k_pruned", _pruned_hits, "query_id:i id:i score:d rank:i", f"{_KNN}|||SELECT * FROM kn"),
@@ -136,7 +147,11 @@ QUERIES = [
         "agg8b_suggestions",
         lambda s, d: profiles.suggestions(profiles.dataset_profile(table(s, d, "events").select("event_id", "value", "event_type", "ts"))),
         "suggestion:s",
-        "SELECT unnest(['correlation, outliers, models', 'category counts, groups, encoding', 'trends, seasons, forecasts']) AS suggestion",
+        """ty AS (SELECT unnest([typeof(event_id), typeof(value), typeof(event_type), typeof(ts)]) AS t FROM (SELECT * FROM events LIMIT 1)),
+ lost AS (SELECT least(count(event_id), count(value), count(event_type), count(ts)) < count(*) AS some FROM events),
+ own AS (SELECT 'correlation, outliers, models' AS suggestion WHERE (SELECT count(*) FROM ty WHERE regexp_matches(t, 'INT|DOUBLE|FLOAT|DECIMAL')) >= 2
+ UNION ALL SELECT 'category counts, groups, encoding' WHERE EXISTS (FROM ty WHERE t IN ('VARCHAR', 'BOOLEAN')) UNION ALL SELECT 'trends, seasons, forecasts' WHERE EXISTS (FROM ty WHERE regexp_matches(t, 'TIMESTAMP|DATE'))
+ UNION ALL SELECT 'fill or drop missing values' FROM lost WHERE some)|||SELECT suggestion FROM own UNION ALL SELECT 'clean and standardise first' WHERE NOT EXISTS (FROM own)""",
     ),
     Query("snk1_partitioned", lambda s, d: _partitioned(s, d), "source:s docs:i", "SELECT source, count(*) AS docs FROM documents GROUP BY 1"),
 ]
