@@ -148,10 +148,10 @@ cut AS (SELECT ch.r, a, doc_id, source, regexp_replace(regexp_replace(t[a + 1:e]
         lambda s, d: profiles.suggestions(profiles.dataset_profile(table(s, d, "events").select("event_id", "value", "event_type", "ts"))),
         "suggestion:s",
         """ty AS (SELECT unnest([typeof(event_id), typeof(value), typeof(event_type), typeof(ts)]) AS t FROM (SELECT * FROM events LIMIT 1)),
- lost AS (SELECT least(count(event_id), count(value), count(event_type), count(ts)) < count(*) AS some FROM events),
+ lost AS (SELECT least(count(event_id), count(value), count(event_type), count(ts)) < count(*) AS gaps FROM events),
  own AS (SELECT 'correlation, outliers, models' AS suggestion WHERE (SELECT count(*) FROM ty WHERE regexp_matches(t, 'INT|DOUBLE|FLOAT|DECIMAL')) >= 2
  UNION ALL SELECT 'category counts, groups, encoding' WHERE EXISTS (FROM ty WHERE t IN ('VARCHAR', 'BOOLEAN')) UNION ALL SELECT 'trends, seasons, forecasts' WHERE EXISTS (FROM ty WHERE regexp_matches(t, 'TIMESTAMP|DATE'))
- UNION ALL SELECT 'fill or drop missing values' FROM lost WHERE some)|||SELECT suggestion FROM own UNION ALL SELECT 'clean and standardise first' WHERE NOT EXISTS (FROM own)""",
+ UNION ALL SELECT 'fill or drop missing values' FROM lost WHERE gaps)|||SELECT suggestion FROM own UNION ALL SELECT 'clean and standardise first' WHERE NOT EXISTS (FROM own)""",
     ),
     Query("snk1_partitioned", lambda s, d: _partitioned(s, d), "source:s docs:i", "SELECT source, count(*) AS docs FROM documents GROUP BY 1"),
 ]
