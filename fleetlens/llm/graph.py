@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import Scratch
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the links no longer change.  No step
     gathers the neighbours of a node: each takes a minimum by node, combined in the map
-    tasks, and joins it back.  Every round is checkpointed.  Null ends and self-links are left out.
+    tasks, and joins it back.  Every round is written to the shared folder, and the round before removed.  Null ends and self-links are left out.
     """
-    shared_dir(links.sparkSession)  # checkpoints need a folder
-    edges = _canonical(links.where("u is not null and v is not null")).checkpoint()
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.keep(_canonical(links.where("u is not null and v is not null")), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _canonical(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = _canonical(small).checkpoint()
+        last, edges = edges, scratch.keep(_canonical(small), "links")
+        scratch.drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
