@@ -14,7 +14,7 @@ Plan, for sets of distinct n-word shingles (as 64-bit hashes) and a threshold of
 * groups whose members are then still in several components pair members of different
   components that were not verified yet.  One of the two is outside the group's largest component, so copies
   never pair off among themselves; and the two meet by ranges of length, each of which a partner of that
-  place in the other's order can have, so members that no partner can reach are not paired at all.  No link between
+  place in the other's order can have, so members that no partner can reach are not paired at all.  Shingles with the same members, as those of a passage that texts share, make one group.  No link between
   components is missed.
 
 Frequent shingles are salted by their frequency, verification by the number of a document's pairs: its set travels once
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ SLOT_KEYS = 1_000_000
 PAIRS = 256
 #: Ranges of hash whose sizes the suffix filter compares (a power of two).
 _RANGES = 128
+#: Words of 64 bits, each bit the parity of a range's size, that members of open groups carry into their join.
+_WORDS = 8
 _DOC = "doc_id long, n int, low long, high long"
 
 
@@ -86,15 +89,16 @@ def _scan(docs: DataFrame, words: int, make, schema: str, with_empty: bool = Fal
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """One row per row of ``docs``: its set's size, marks, and sizes by range of hash (for the suffix filter)."""
+    """One row per row of ``docs``: its set's size, marks, sizes by range of hash, and parities of the sizes of finer ranges (for the suffix filter)."""
 
     def make(ids, sets):
         low, high = _marks(sets)
         sizes = [np.bincount((s >> np.uint64(65 - _RANGES.bit_length())).astype(np.int64), minlength=_RANGES) for s in sets]
-        flat = pa.array(np.concatenate(sizes), pa.int32())
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(low), pa.array(high), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * _RANGES, pa.int32()), flat)], ["doc_id", "n", "low", "high", "ranges"])
+        bits = [np.packbits(np.bincount((s >> np.uint64(58)).astype(np.int64) * _WORDS + (s >> np.uint64(20)).astype(np.int64) % _WORDS, minlength=64 * _WORDS) & 1).view(np.int64) for s in sets]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * size, pa.int32()), pa.array(np.concatenate(x), kind)) for x, size, kind in ((sizes, _RANGES, pa.int32()), (bits, _WORDS, pa.int64()))]
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(low), pa.array(high), *lists], ["doc_id", "n", "low", "high", "ranges", "bits"])
 
-    return _scan(docs, words, make, f"{_DOC}, ranges array<int>", with_empty=True)
+    return _scan(docs, words, make, f"{_DOC}, ranges array<int>, bits array<long>", with_empty=True)
 
 
 def frequent_shingles(docs: DataFrame, words: int, total: int, least: int) -> DataFrame:
@@ -162,11 +166,12 @@ def _prefix_rows_broadcast(docs: DataFrame, words: int, percent: int, frequent:
             own = pa.array(row)
             for i in range(0, len(row), 200_000):
                 cut = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own[cut]), batch.column("n").take(own[cut]), pa.array(token[cut]), pa.array(df[cut]), pa.array(pos[cut].astype(np.int32))], ["doc_id", "n", "token", "df", "pos"])
+                mine = [batch.column(c).take(own[cut]) for c in ("doc_id", "low", "n")]
+                yield pa.RecordBatch.from_arrays([*mine, pa.array(token[cut]), pa.array(df[cut]), pa.array(pos[cut].astype(np.int32))], ["doc_id", "low", "n", "token", "df", "pos"])
 
     each = _scan(docs, words, make, f"{_DOC}, prefix binary")
-    first = each.groupBy("low", "high", "n").agg(F.min(F.struct("doc_id", "prefix")).alias("f")).select("f.doc_id", "n", "f.prefix")
-    return first.mapInArrow(unpack, "doc_id long, n int, token long, df long, pos int")
+    first = each.groupBy("low", "high", "n").agg(F.min(F.struct("doc_id", "prefix")).alias("f")).select("f.doc_id", "low", "n", "f.prefix")
+    return first.mapInArrow(unpack, "doc_id long, low long, n int, token long, df long, pos int")
 
 
 def _prefix_rows_join(docs: DataFrame, words: int, percent: int, frequent: DataFrame) -> DataFrame:
@@ -184,7 +189,7 @@ def _prefix_rows_join(docs: DataFrame, words: int, percent: int, frequent: DataF
     rows = rows.withColumn("key", F.shiftrightunsigned("token", 16)).join(frequent, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     own = Window.partitionBy("low", "high", "n").orderBy("df", F.shiftrightunsigned("token", 1), "token")
     rows = rows.withColumn("pos", F.row_number().over(own) - 1).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    return rows.select("doc_id", "n", "token", "df", "pos")
+    return rows.select("doc_id", "low", "n", "token", "df", "pos")
 
 
 def _may_link(percent: int, n: str, pos: str, m: str, at: str) -> Column:
@@ -209,15 +214,52 @@ def _reach(rows: DataFrame, percent: int, longer: bool) -> DataFrame:
     return rows.withColumns({"own": _length_range(n), "other": F.explode(reached)})
 
 
+def _open_groups(rows: DataFrame) -> DataFrame:
+    """(token, main) of the groups of ``rows`` (token, doc_id, low, pos, component) in several components, one group for all tokens of the same members.
+
+    Tokens of a passage that texts share as a whole have the same members; their places rise in one order in all
+    of them, so the token of the least sum of places is the first that any two members share here, by which a pair
+    is judged.  Equal members are told by their number and 120 bits of sums of hashes.
+    """
+    member = [F.xxhash64("low", "doc_id"), F.xxhash64("doc_id", "low")]
+    parts = [F.shiftrightunsigned(h, shift).bitwiseAND((1 << 30) - 1) for h in member for shift in (0, 32)]
+    sums = [f"sum_{i}" for i in range(len(parts))]
+    by_part = rows.groupBy("token", "component").agg(F.count("*").alias("rows"), F.sum("pos").alias("places"), *(F.sum(p).alias(s) for p, s in zip(parts, sums)))
+    main = F.max_by("component", F.struct("rows", "component")).alias("main")
+    by_token = by_part.groupBy("token").agg(main, F.count("*").alias("parts"), *(F.sum(c).alias(c) for c in ("rows", "places", *sums)))
+    return by_token.where("parts > 1").groupBy("rows", *sums).agg(F.min_by("token", F.struct("places", "token")).alias("token"), F.first("main").alias("main")).select("token", "main")
+
+
+def _apart_enough(apart: Column, both: Column, percent: int) -> Column:
+    """Whether sets of ``both`` shingles together can be linked when at least ``apart`` of them are in one set only."""
+    return (both - apart) * (100 + percent) >= both * 2 * percent
+
+
+def _with_bits(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, low and others) with the parities of their sets."""
+    sets = table.where("n > 0 and doc_id is not null").select("doc_id", "low", "bits").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    return rows.join(sets.groupBy("doc_id", "low").agg(F.first("bits").alias("bits")), ["doc_id", "low"]).drop("low")
+
+
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components of a group that pass the filters; ``rows`` has token, doc_id, n, pos, component, and main, the group's largest component."""
-    side = lambda part, longer, names: _reach(part, percent, longer).select("token", *(F.col(x).alias(y) for x, y in zip(("doc_id", "n", "pos", "component", "own", "other"), names)))
+    """Pairs (a, b) of members of different components of a group that pass the filters.
+
+    ``rows`` has token, doc_id, n, pos, component, bits, and main, the group's largest component.  Where the parities of a range differ,
+    a shingle is in one set only; this form of the suffix filter is part of the join, so members that share little more than the group's passage never leave it as pairs.
+    """
+
+    def side(part: DataFrame, longer: bool, names: tuple[str, ...], prefix: str) -> DataFrame:
+        columns = zip(("doc_id", "n", "pos", "component", "own", "other"), names)
+        return _reach(part, percent, longer).select("token", *(F.col(x).alias(y) for x, y in columns), *(F.col("bits")[i].alias(f"{prefix}{i}") for i in range(_WORDS)))
+
     one, two = ("a", "n", "pos", "component", "own", "other"), ("b", "m", "at", "c", "other", "own")
     rest = rows.where("component <> main")
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(_WORDS)))
+    near = _apart_enough(apart, F.col("n").cast("long") + F.col("m"), percent)
     out = None
     for longs, shorts in ((rest, rows), (rows.where("component = main"), rest)):
-        met = side(longs, False, one).join(side(shorts, True, two), ["token", "own", "other"])
-        met = met.where("component <> c and (n > m or n = m and a < b)").where(_may_link(percent, "n", "pos", "m", "at")).select("a", "b")
+        met = side(longs, False, one, "x").join(side(shorts, True, two, "y"), ["token", "own", "other"])
+        met = met.where("component <> c and (n > m or n = m and a < b)").where(_may_link(percent, "n", "pos", "m", "at")).where(near).select("a", "b")
         # two members outside the largest component meet once where their lengths differ, from either side where they are equal
         out = met if out is None else out.unionByName(met)
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -229,7 +271,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, p
     side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"))
     apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, x: s + x)
     both = (F.col("n_a") + F.col("n_b")).cast("long")
-    near = (both - apart) * (100 + percent) >= both * 2 * percent  # at least `apart` shingles are in one set only
+    near = _apart_enough(apart, both, percent)
     pairs = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct(), "pairs")
 
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("pairs")), "ids")
@@ -273,10 +315,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
 
     # groups by shingle; a frequent one in salted parts
     salts = (F.col("df") / SALT_ROWS).cast("int") + 1
-    rows = rows.select("doc_id", "n", "token", "pos", salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    rows = rows.select("doc_id", "low", "n", "token", "pos", salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     group = Window.partitionBy("token", "salt")
     rows = rows.withColumns({"size": F.count("*").over(group), "head": F.min(F.struct("pos", "doc_id", "n")).over(group)}).where("size > 1 or salts > 1")
-    rows = scratch.keep(rows.select("token", "doc_id", "n", "pos", "salts", "size", "head"), "rows")
+    rows = scratch.keep(rows.select("token", "doc_id", "low", "n", "pos", "salts", "size", "head"), "rows")
     rows = rows.select("*", F.col("head.doc_id").alias("head_doc"), F.col("head.n").alias("m"), F.col("head.pos").alias("at")).drop("head")
     heads = rows.where("salts > 1 and doc_id = head_doc")
     over = Window.partitionBy("token")
@@ -287,11 +329,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
 
     # groups that are still in several components
     parts = scratch.keep(components(first), "parts")
-    rows = rows.where("size > 2 or salts > 1").select("token", "doc_id", "n", "pos").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = rows.where("size > 2 or salts > 1").select("token", "doc_id", "low", "n", "pos").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = scratch.keep(rows, "labelled")
-    counts = rows.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
-    open_ = scratch.keep(counts.where("parts > 1").select("token", "main"), "groups")
-    rows = scratch.keep(rows.join(open_, "token"), "open")
+    open_ = scratch.keep(_open_groups(rows), "groups")
+    rows = scratch.keep(_with_bits(scratch.keep(rows.join(open_, "token"), "members"), table), "open")
     more = _across(rows, percent).join(pairs, ["a", "b"], "left_anti")
     second = _verified(more, docs, table, words, percent, scratch)
 

@@ -71,6 +71,33 @@ def test_jaccard_components(spark, monkeypatch, options):
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_limit": 0}])
+def test_jaccard_shared_blocks(spark, options):
+    """Texts made of the same few passages: groups of one membership are one, and only linked members leave them."""
+    r = random.Random(4)
+    blocks = [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(9)]
+    rows = []
+    for i in range(150):
+        words = " ".join(r.sample(blocks, 4)).split()
+        for _ in range(r.randrange(4)):
+            words[r.randrange(len(words))] = f"x{i}"
+        rows.append((i // 2 * 2 if i % 40 == 1 else i, " ".join(words)))  # some rows repeat a doc_id
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    top = {i: i for i, _ in rows}
+    for _ in range(len(rows)):
+        before = dict(top)
+        for a in range(len(rows)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low = min(top[rows[a][0]], top[rows[b][0]])
+                    top[rows[a][0]] = top[rows[b][0]] = low
+        if top == before:
+            break
+    got = jaccard_join.jaccard_components(table(spark, rows), frequent=3, **options).collect()
+    assert key(tuple(x) for x in got) == key((i, len(s), top[i]) for (i, _), s in zip(rows, sets))
+    assert len(set(top.values())) not in (1, len(top))
+
+
 @pytest.mark.parametrize("options", [{}, {"broadcast_limit": 0}])
 def test_jaccard_repeated_row(spark, options):
     """A row given twice, linked at 89/111 by shingles that are all frequent; its 11 own ones come first."""
