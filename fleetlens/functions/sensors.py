@@ -15,7 +15,9 @@ def finite(x: Column) -> Column:
 
 
 def finite_array(a: Column) -> Column:
-    return F.transform(a, finite)
+    """Items as doubles, null, NaN and infinities as 0.  Most arrays have none of these and pass as they are."""
+    clean = (F.array_max(a) < float("inf")) & (F.array_min(a) > float("-inf")) & ~F.exists(a, F.isnull)
+    return F.when(clean, a.cast("array<double>")).otherwise(F.transform(a, finite))
 
 
 def parse_series(text: Column) -> Column:
@@ -85,4 +87,5 @@ def pack_modules(cells: int, probes: int) -> tuple[list[tuple[int, int]], list[t
 def module_values(a: Column, groups: list[tuple[int, int]], least: bool) -> Column:
     """Smallest (or largest) item of each group of sensors."""
     pick = F.array_min if least else F.array_max
-    return F.array(*(pick(F.slice(a, start + 1, width)) for start, width in groups))
+    places = F.array(*(F.struct(F.lit(start + 1).alias("first"), F.lit(width).alias("width")) for start, width in groups))
+    return F.transform(places, lambda g: pick(F.slice(a, g["first"], g["width"])))  # one small expression for all groups; written out, the generated code gets too long to be compiled

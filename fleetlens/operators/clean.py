@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sensors import finite_array
-from .quantiles import grouped_quantiles
+from ..sources.shared import Scratch
+from .quantiles import array_quantiles
 from .stretches import KEY, ORDER, carried, in_stretches, inside
 
 
+#: Places of zeros are told by one long a vehicle.
+_BITS = 62
+
+
 def over(key: str = KEY, order: str = ORDER) -> Window:
     return Window.partitionBy(key).orderBy(order)
 
@@ -73,29 +78,44 @@ def quality_flag(ok: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.lit("ok")).otherwise(F.lit("low"))
 
 
-def sensor_medians(df: DataFrame, column: str, key: str = KEY) -> DataFrame:
+def sensor_medians(df: DataFrame, column: str, key: str = KEY, everywhere: bool = True) -> DataFrame:
     """(key, _medians, _unit): each cell's median of values other than 0 (0 if there is none), and 1000 for a vehicle in thousandths, else 1.
 
-    ``column`` holds finite numbers.  Medians are exact and no task holds a cell's whole life.
+    ``column`` holds finite numbers.  Medians are exact and no task holds a cell's whole life.  Without ``everywhere`` only vehicles with a zero have medians, and
+    there only the cells that have one; other places are 0.
     """
-    cells = df.select(key, F.posexplode(column).alias("_cell", "_x")).where("_x <> 0")
-    medians = grouped_quantiles(cells, [key, "_cell"], "_x", (0.5,)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_cell", F.col("q")[0]))).alias("_by_cell"))
-    size = df.groupBy(key).agg(F.max(F.size(column)).alias("_size"), F.max(F.array_max(F.transform(column, F.abs))).alias("_most"))
-    unit = F.when(F.col("_most") > 1000, F.lit(1000.0)).otherwise(F.lit(1.0))
-    each = F.when(F.col("_size") > 0, F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.coalesce(F.try_element_at("_by_cell", i), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
-    return size.join(medians, key, "left").select(key, each.alias("_medians"), unit.alias("_unit"))
+    unit = F.when(F.col("_most") > 1000, F.lit(1000.0)).otherwise(F.lit(1.0)).alias("_unit")
+    has_zero = F.array_contains(column, F.lit(0.0))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i % _BITS)
+    zeros = F.aggregate(F.transform(column, lambda x, i: F.when(x == 0, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    most = F.greatest(F.array_max(column), -F.array_min(column))
+    size = df.groupBy(key).agg(F.max(F.size(column)).alias("_size"), F.max(most).alias("_most"), F.bit_or(F.when(has_zero, zeros)).alias("_zeros"), F.count("*").alias("_rows"))
+    size = Scratch(df.sparkSession).keep(size, "sizes")  # a row a vehicle
+    cells = df.select(key, column)
+    if not everywhere:  # only the values of cells with a zero, the others as null; places that share a bit go along
+        if size.where("_zeros <> 0").isEmpty():
+            return size.select(key, F.array_repeat(F.lit(0.0), F.greatest("_size", F.lit(0))).alias("_medians"), unit)
+        cells = cells.join(size.where("_zeros <> 0").select(key, "_zeros"), key)
+        cells = cells.select(key, F.transform(column, lambda x, i: F.when(F.col("_zeros").bitwiseAND(bit(i)) != 0, x)).alias(column))
+    medians = array_quantiles(cells, key, column, (0.5,), by_place=True, zeros=False, lengths=size)
+    medians = medians.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", F.col("q")[0]))).alias("_by_cell"))
+    each = F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.coalesce(F.try_element_at("_by_cell", i), F.lit(0.0)))
+    none = F.array().cast("array<double>")
+    each = F.when(F.col("_size") <= 0, none).when(F.col("_by_cell").isNull(), F.array_repeat(F.lit(0.0), F.col("_size"))).otherwise(each)
+    return size.join(medians, key, "left").select(key, each.alias("_medians"), unit)
 
 
 def sanitize(df: DataFrame, column: str, key: str = KEY, medians: str | None = None) -> DataFrame:
     """Non-finite items become 0; a vehicle whose largest absolute item is over 1000 is in thousandths; zeros become the median of the cell's other values.
 
-    With ``medians`` a column of that name has the cells' medians (those of the result are the same).
+    With ``medians`` a column of that name has the cells' medians (those of the result are the same); else medians are sought only for cells with a zero.
     """
     df = df.withColumn(column, finite_array(F.col(column)))
-    df = df.join(sensor_medians(df, column, key), key, "left")
+    df = df.join(sensor_medians(df, column, key, medians is not None), key, "left")
     filled = F.zip_with(column, F.slice("_medians", 1, F.size(column)), lambda x, m: F.when(x == 0, m).otherwise(x))
     scaled = lambda a: F.transform(F.array(F.struct(a.alias("a"), F.col("_unit").alias("u"))), lambda s: F.transform(s.a, lambda x: x / s.u))[0]
-    df = df.withColumn(column, F.coalesce(scaled(filled), F.col(column)))
+    filled = F.when(F.array_contains(column, F.lit(0.0)), filled).otherwise(F.col(column))
+    df = df.withColumn(column, F.when(F.col("_unit") > 1, scaled(filled)).when(F.col("_unit") == 1, filled).otherwise(F.col(column)))
     if medians:
         df = df.withColumn(medians, scaled(F.col("_medians")))
     return df.drop("_medians", "_unit")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stretches
+
 
 def value_range(x: Column) -> Column:
     """A whole number that never falls as x rises: 256 ranges to each power of two, on either side of 0; NaN counts as the largest."""
@@ -36,3 +38,40 @@ def grouped_quantiles(values: DataFrame, keys: list[str], column: str, shares: t
     high = [F.max(F.when(holds(F.ceil(p)), F.col("_x"))) for p in place]
     part = [F.max(p - F.floor(p)) for p in place]
     return inside.groupBy(*keys).agg(F.array(*(a + (b - a) * t for a, b, t in zip(low, high, part))).alias("q"))
+
+
+def _at_shares(values: Column, shares: tuple[float, ...]) -> Column:
+    """Quantiles of an array without nulls, linear between neighbours; null for an empty one."""
+
+    def quantile(x: Column, share: float) -> Column:
+        place = F.lit(share) * (F.size(x) - 1)
+        low, high = F.get(x, F.floor(place).cast("int")), F.get(x, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    each = F.transform(F.array(F.sort_array(values)), lambda x: F.array(*(quantile(x, s) for s in shares)))[0]
+    return F.when(F.size(values) > 0, each)
+
+
+def array_quantiles(rows: DataFrame, key: str, column: str, shares: tuple[float, ...], by_place: bool = False, zeros: bool = True, lengths: DataFrame | None = None) -> DataFrame:
+    """(key, q), or with ``by_place`` (key, cell, q): quantiles of the items of an array column by group, or by group and place in the array; nulls (without ``zeros`` zeros too) are left out.
+
+    A group of at most ``stretches.STRETCH`` rows is put in order as a whole; the items of longer groups go by ranges of value (``grouped_quantiles``).  Both are exact.
+    ``lengths`` may give (key, _rows), at least the rows of each group; else they are counted.
+    """
+    lengths = rows.groupBy(key).agg(F.count("*").alias("_rows")) if lengths is None else lengths
+    long = lengths.where(F.col("_rows") > stretches.STRETCH).select(key)
+    wanted = lambda x: x.isNotNull() if zeros else x != 0
+    some = not long.isEmpty()
+    short = rows.join(long, key, "left_anti") if some else rows
+    short = short.groupBy(key).agg(F.collect_list(column).alias("_rows"), F.max(F.size(column)).alias("_size"))
+    if by_place:
+        item = lambda i: F.filter(F.transform("_rows", lambda r: F.get(r, i)), wanted)
+        each = F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: _at_shares(item(i), shares))
+        out = short.where("_size > 0").select(key, F.posexplode(each).alias("cell", "q"))
+    else:
+        out = short.select(key, _at_shares(F.filter(F.flatten("_rows"), wanted), shares).alias("q"))
+    out = out.where("q is not null")
+    if not some:
+        return out
+    items = rows.join(long, key, "left_semi").select(key, F.posexplode(column).alias("cell", "_item")).where(wanted(F.col("_item")))
+    return out.unionByName(grouped_quantiles(items, [key, "cell"] if by_place else [key], "_item", shares))

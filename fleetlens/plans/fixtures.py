@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,18 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    index = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.withColumns({"vehicle_id": F.concat(F.lit("V"), F.col("user_id")), "frame_index": index, "timestamp": F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))})
+    e = e.withColumn("vehicle_id", F.concat(F.lit("V"), F.col("user_id")))
+    index = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("ts", "event_id")) - 1  # by the column that later steps go by: sensor arrays come after this exchange
+    return e.withColumns({"frame_index": index, "timestamp": F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))})
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str, volts: Column, temps: Column) -> DataFrame:
+    """Events with what ``volts`` and ``temps`` make of their embedding, made once by embedding."""
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+    vectors = vectors.select(F.col("vec_id").alias("_vec"), volts.alias("_volts"), temps.alias("_temps"))
+    return _events(spark, sf_dir).withColumn("_vec", F.col("event_id") % max(n, 1)).join(vectors, "_vec")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical frame table, with event_id, value and event_type beside it.  The embedding of a frame is a join, not a broadcast by force."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), F.transform("embedding", lambda x: x.cast("double")).alias("_e"))
-    n = vectors.count()
-    e = _events(spark, sf_dir).withColumn("_vec", F.col("event_id") % max(n, 1)).join(vectors, "_vec")
-    drop = lambda i: F.when(F.col("user_id") % CELLS == i - 1, F.lit(0.004) * F.greatest(F.col("value") - 100, F.lit(0.0))).otherwise(F.lit(0.0))
-    volts = F.transform(F.sequence(F.lit(1), F.lit(CELLS)), lambda i: F.lit(3.6) + F.lit(0.2) * F.element_at("_e", i) - drop(i))
-    temps = F.transform(F.sequence(F.lit(CELLS + 1), F.lit(CELLS + PROBES)), lambda i: F.lit(30.0) + F.lit(40.0) * F.element_at("_e", i) + F.lit(0.3) * F.col("value"))
+    item = lambda i: F.element_at("embedding", i).cast("double")
+    volts = F.transform(F.sequence(F.lit(1), F.lit(CELLS)), lambda i: F.lit(3.6) + F.lit(0.2) * item(i))
+    temps = F.transform(F.sequence(F.lit(CELLS + 1), F.lit(CELLS + PROBES)), lambda i: F.lit(30.0) + F.lit(40.0) * item(i))
+    e = _with_vectors(spark, sf_dir, volts, temps)
+    drop = F.lit(0.004) * F.greatest(F.col("value") - 100, F.lit(0.0))
+    volts = F.transform("_volts", lambda x, i: x - F.when(F.col("user_id") % CELLS == i, drop).otherwise(F.lit(0.0)))
+    temps = F.transform("_temps", lambda x: x + F.lit(0.3) * F.col("value"))
     status = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", 4).otherwise(3)
     e = e.withColumns({"voltages": volts, "temperatures": temps, "charge_status": status, "soc": (F.col("event_id") % 101).cast("double"), "speed": (F.col("event_id") % 121).cast("double"), "sum_current": (F.col("event_id") % 61 - 30).cast("double"), "insulation_resistance": F.lit(5.0) * F.col("value")})
     e = e.withColumn("sum_voltage", array_sum(F.col("voltages")))
@@ -46,12 +56,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of packs of 92 cells and 34 probes: the embedding's items in turn, each round a little higher."""
     cells, probes = PACK
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_vec"), F.transform("embedding", lambda x: x.cast("double")).alias("_e"))
-    n = vectors.count()
-    e = _events(spark, sf_dir).withColumn("_vec", F.col("event_id") % max(n, 1)).join(vectors, "_vec")
-    item = lambda i: F.element_at("_e", (i % F.size("_e") + 1).cast("int"))
+    item = lambda i: F.element_at("embedding", (i % F.size("embedding") + 1).cast("int")).cast("double")
     volts = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.lit(3.6) + F.lit(0.2) * item(i) + F.lit(0.001) * i)
-    temps = F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: F.lit(30.0) + F.lit(40.0) * item(i * 3) + F.lit(0.3) * F.col("value"))
+    temps = F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: F.lit(30.0) + F.lit(40.0) * item(i * 3))
+    e = _with_vectors(spark, sf_dir, volts, temps)
+    volts, temps = F.col("_volts"), F.transform("_temps", lambda x: x + F.lit(0.3) * F.col("value"))
     return e.select("vehicle_id", "frame_index", volts.alias("voltages"), temps.alias("temperatures"))
 
 
