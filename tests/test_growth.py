@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions.sensors import module_values, pack_modules
-from fleetlens.operators import clean, stretches
+from fleetlens.operators import clean, labels, stretches
 from fleetlens.operators.quantiles import array_quantiles
 
 
@@ -62,3 +62,11 @@ def test_modules_of_a_large_pack_are_one_expression(spark):
     assert row.v == [float(a) for a, _ in by_cell] and row.t == [float(a + w - 1) for a, w in by_probe]
     described = df.select(module_values(F.col("u"), by_cell, True).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert described.count("slice(") == 1
+
+
+def test_residuals_of_a_short_vehicle_are_one_group(spark):
+    """Stretches are no shorter than ``STRETCH`` rows, whatever the span of the mean: no row goes to a second one here."""
+    _, df = cells(spark)
+    counts = df.groupBy("vehicle_id").agg(F.count("*").cast("int").alias("n"))
+    out = labels._residuals(df.withColumnRenamed("voltages", "x"), 3, counts)
+    assert out.count() == 60 and f"/ {labels.STRETCH}" in plan(out)
