@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sensors as S
 from ..operators import clean, events, features, labels, profiles, splits, windows
 from ..sources import telemetry
-from ..sources.shared import fresh_path, shared_dir
+from ..sources.shared import Scratch, fresh_path, shared_dir
 from ..streaming import fleet as streaming
 from . import fixtures as X
 from . import oracle as O
@@ -295,8 +295,10 @@ def _by_time(rows: DataFrame, closing, gap: int) -> tuple[list[DataFrame], int]:
 
 def _stream_events(s: SparkSession, d: str) -> DataFrame:
     """Three slices of time, within which rows come in any order; vehicles end without a mark, and only the rows of another vehicle tell that they are silent."""
-    frames = X.raw_labels(s, d)
-    rows = events.long_labels(frames, "label_raw_").join(frames.select("vehicle_id", "frame_index", F.timestamp_seconds("timestamp").alias("ts")), ["vehicle_id", "frame_index"])
+    frames = X.raw_labels(s, d).select("vehicle_id", "frame_index", F.timestamp_seconds("timestamp").alias("ts"), *(f"label_raw_{f}" for f in _FAULTS))
+    frames = Scratch(s).keep(frames, "frames")  # read once a slice
+    rows = frames.unpivot(["vehicle_id", "frame_index", "ts"], [f"label_raw_{f}" for f in _FAULTS], "_name", "label")
+    rows = rows.select("vehicle_id", "frame_index", F.expr("substring(_name, 11)").alias("fault_type"), "label", "ts")
     closing = lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), F.lit(0).alias("frame_index"), F.lit("sd").alias("fault_type"), F.lit(0).alias("label"), ts.alias("ts"))
     slices, span = _by_time(rows, closing, 0)
     return _stream(s, slices, lambda r: streaming.stream_events(r, silence=span))

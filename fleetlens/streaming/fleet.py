@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "vehicle_id string, fault_type string, start_frame long, end_frame long, duration_frames long"
+STATE = "newest long, emitted long, latest long, first array<long>, last array<long>"
 
 
 def stream_segments(frames: DataFrame, max_gap: int = 20, delay: str = "10 minutes") -> DataFrame:
@@ -35,64 +36,40 @@ def _merged(runs: list[tuple[int, int]], max_gap: int) -> list[tuple[int, int]]:
     return out
 
 
-class EventState(StatefulProcessor):
-    """Per (vehicle, fault): the runs of label 1 that may still grow, gaps of at most ``max_gap`` zeros merged.
+def _events_of_key(max_gap: int, delay: int, silence: int):
+    """What one (vehicle, fault) does with its new rows: the runs of label 1 that may still grow stay, gaps of at most ``max_gap`` zeros merged.
 
     A run is emitted once the newest frame is more than ``max_gap + delay`` frames behind it.  Frames up to ``delay`` behind the newest may come in any order; older ones that
-    would touch an emitted run, or lie before it, are dropped.  Each input moves the key's timer to ``silence`` milliseconds behind its newest row; when the watermark
-    passes it, what is open is emitted and the key's state ends.  So state is as long as the open runs of vehicles that still send.
+    would touch an emitted run, or lie before it, are dropped.  Each input moves the key's timeout to ``silence`` milliseconds behind its newest row; when the watermark
+    passes it, what is open is emitted and the key's state ends.  So state is as long as the open runs of vehicles that still send.  State comes and goes with the batches of rows, not by a call for each key.
     """
 
-    def __init__(self, max_gap: int = 2, delay: int = 0, silence: int = 600_000):
-        self.max_gap, self.delay, self.silence = max_gap, delay, silence
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.runs = handle.getListState("runs", "first long, last long")
-        self.seen = handle.getValueState("seen", "newest long, emitted long, latest long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        runs = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
-        newest, emitted, latest = self.seen.get() if self.seen.exists() else (-1, -1 - self.max_gap, -1)
-        before = latest
-        for part in rows:  # a part at a time: only its runs are kept
-            newest, latest = max(newest, int(part["frame_index"].max())), max(latest, int(part["millis"].max()))
-            at = np.unique(part.loc[part["label"] == 1, "frame_index"].to_numpy())
-            at = at[at > emitted + self.max_gap]
-            cut = np.flatnonzero(np.diff(at) > 1 + self.max_gap) + 1
-            runs = _merged(runs + [(int(p[0]), int(p[-1])) for p in np.split(at, cut) if len(p)], self.max_gap)
-        done = [r for r in runs if newest - r[1] > self.max_gap + self.delay]
-        still = runs[len(done) :]
+    def events(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, emitted, latest, runs = -1, -1 - max_gap, -1, []
+        if state.exists:
+            newest, emitted, latest, first, last = state.get
+            runs = list(zip(first, last))
+        if state.hasTimedOut:
+            done = runs
+            state.remove()
+        else:
+            for part in rows:  # a part at a time: only its runs are kept
+                frames = part["frame_index"].to_numpy()
+                newest, latest = max(newest, int(frames.max())), max(latest, int(part["millis"].to_numpy().max()))
+                at = np.unique(frames[part["label"].to_numpy() == 1])
+                at = at[at > emitted + max_gap]
+                if len(at):
+                    cut = np.flatnonzero(np.diff(at) > 1 + max_gap) + 1
+                    runs = _merged(runs + [(int(p[0]), int(p[-1])) for p in np.split(at, cut)], max_gap)
+            done = [r for r in runs if newest - r[1] > max_gap + delay]
+            still = runs[len(done) :]
+            emitted = done[-1][1] if done else emitted
+            state.update((newest, emitted, latest, [a for a, _ in still], [b for _, b in still]))
+            state.setTimeoutTimestamp(max(latest + silence, state.getCurrentWatermarkMs() + 1))
         if done:
-            emitted = done[-1][1]
-        self.seen.update((newest, emitted, latest))
-        if still:
-            self.runs.put(still)
-        elif self.runs.exists():
-            self.runs.clear()
-        if latest > before:
-            if before >= 0:
-                self.handle.deleteTimer(before + self.silence)
-            self.handle.registerTimer(latest + self.silence)
-        yield self._events(key, done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
-        self.runs.clear()
-        self.seen.clear()
-        yield self._events(key, done)
-
-    @staticmethod
-    def _events(key, done: list[tuple[int, int]]) -> pd.DataFrame:
-        number = lambda xs: pd.Series(xs, dtype="int64")
-        text = lambda x: pd.Series([x] * len(done), dtype=object)
-        return pd.DataFrame({
-            "vehicle_id": text(key[0]), "fault_type": text(key[1]),
-            "start_frame": number([a for a, _ in done]), "end_frame": number([b for _, b in done]), "duration_frames": number([b - a + 1 for a, b in done]),
-        })
-
-    def close(self) -> None:
-        pass
+            yield pd.DataFrame({"vehicle_id": key[0], "fault_type": key[1], "start_frame": [a for a, _ in done], "end_frame": [b for _, b in done], "duration_frames": [b - a + 1 for a, b in done]})
+
+    return events
 
 
 def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0, silence: int = 600, lateness: str = "10 minutes") -> DataFrame:
@@ -101,4 +78,4 @@ def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0, silence:
     Rows more than ``lateness`` behind the newest of all are dropped.  A vehicle from which nothing has come for ``silence`` seconds (of the stream's time) is closed: its open runs are emitted.
     """
     rows = labels.withWatermark("ts", lateness).select("vehicle_id", "fault_type", F.col("frame_index").cast("long").alias("frame_index"), "label", "ts", F.unix_millis("ts").alias("millis"))
-    return rows.groupBy("vehicle_id", "fault_type").transformWithStateInPandas(EventState(max_gap, delay, silence * 1000), EVENT, "append", "EventTime")
+    return rows.groupBy("vehicle_id", "fault_type").applyInPandasWithState(_events_of_key(max_gap, delay, silence * 1000), EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
