@@ -219,9 +219,9 @@ def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     cells = lambda k: [F.col("voltages")[i].alias(f"U_{i + 1}") for i in range(k)]
     probes = [F.col("temperatures")[i].alias(f"T_{i + 1}") for i in range(X.PROBES)]
     must, more = [F.col("timestamp").alias("TIME"), F.col("charge_status").alias("CHARGE_STATUS")], [F.col("soc").alias("SOC"), F.col("speed").alias("SPEED")]
-    for k, columns in enumerate((must + more + cells(16) + probes, probes[::-1] + cells(16)[::-1] + more + must, must + cells(12) + more[:1] + probes, cells(16) + must[::-1] + probes[:4])):
-        part = rows.where(F.substring("vehicle_id", 2, 20).cast("int") % 4 == k).select("vehicle_id", "frame_index", *columns)
-        part.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "frame_index").drop("frame_index").write.option("header", True).partitionBy("vehicle_id").csv(f"{root}/{k}")
+    of = F.substring("vehicle_id", 2, 20).cast("int") % 4
+    kinds = (must + more + cells(16) + probes, probes[::-1] + cells(16)[::-1] + more + must, must + cells(12) + more[:1] + probes, cells(16) + must[::-1] + probes[:4])
+    telemetry.write_csv_tree(rows, root, {str(k): (of == k, columns) for k, columns in enumerate(kinds)})
     out = telemetry.read_structured(s, root, "folder").withColumn("vehicle_id", F.regexp_replace("vehicle_id", "^vehicle_id=", ""))
     return out.select("vehicle_id", "frame_index", "charge_status", F.size("voltages").alias("cells"), F.element_at("voltages", 10).alias("v10"), F.element_at("voltages", -1).alias("v_last"), F.size("temperatures").alias("probes"), F.array_max("temperatures").alias("t_max"), "soc", "speed")
 
