@@ -229,7 +229,8 @@ def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
 def _manifest(s: SparkSession, d: str) -> DataFrame:
     """One csv by vehicle in a directory of its own, listed as a raw tree."""
     root = fresh_path(s, "tree")
-    X.raw_labels(s, d).select(F.col("vehicle_id").alias("vin"), "frame_index", "timestamp").repartition("vin").write.option("header", True).partitionBy("vin").csv(root)
+    rows = X.raw_labels(s, d).select(F.col("vehicle_id").alias("vin"), "frame_index", "timestamp")
+    telemetry.write_csv_tree(rows, root, {"raw": (F.lit(True), ["frame_index", "timestamp"])}, "vin")
     out = telemetry.scan_files(s, None, root)
     return out.select(F.regexp_replace("vehicle_id", "^vin=", "").alias("vehicle_id"), "source_dataset", "is_extracted", "entry_kind")
 
