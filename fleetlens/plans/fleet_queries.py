@@ -239,11 +239,9 @@ def _raw_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Raw rows with damaged series written as csv, a folder by vehicle, under three headers (in another order, without insulation), and read back in one call."""
     root = fresh_path(s, "raw")
     rows = X.raw_frames(s, d).withColumn("soc", (F.col("event_id") % 101).cast("double"))
-    rows = rows.drop("event_id").repartition("vehicle_id").sortWithinPartitions("vehicle_id", "frame_index")
     names = ["terminaltime", "chargestatus", "batteryvoltage", "probetemperatures", "insulationresistance"]
-    for k, columns in enumerate((names, ["soc", *names[::-1]], ["soc", *names[:-1]])):
-        part = rows.where(F.substring("vehicle_id", 2, 20).cast("int") % 3 == k).select("vehicle_id", *columns)
-        part.write.option("header", True).partitionBy("vehicle_id").csv(f"{root}/{k}")
+    of = F.substring("vehicle_id", 2, 20).cast("int") % 3
+    telemetry.write_csv_tree(rows, root, {str(k): (of == k, columns) for k, columns in enumerate((names, ["soc", *names[::-1]], ["soc", *names[:-1]]))})
     out = telemetry.read_raw(s, root, "folder").withColumn("vehicle_id", F.regexp_replace("vehicle_id", "^vehicle_id=", ""))
     return out.select("vehicle_id", "frame_index", F.size("voltages").alias("items"), F.array_max("voltages").alias("v_max"), F.size("temperatures").alias("probes"), F.col("insulation_resistance").alias("r"), "soc", F.col("insulation_given").alias("given"))
 
