@@ -317,10 +317,10 @@ def _stream_segments(s: SparkSession, d: str) -> DataFrame:
 
 def _bucketed(s: SparkSession, d: str) -> DataFrame:
     """Frames and labels written as tables in buckets of the vehicle, run through a window of the vehicle, which needs no exchange, and joined by (vehicle, frame)."""
-    both = []
+    both, buckets = [], telemetry.bucket_count(X.table(s, d, "events").count())
     for kind, df in (("frames", X.frames(s, d).select("vehicle_id", "frame_index", "soc")), ("labels", X.raw_labels(s, d).select("vehicle_id", "frame_index", "label_raw_sd"))):
         root = fresh_path(s, kind)
-        both.append(telemetry.write_bucketed(df, root.rsplit("/", 1)[-1].replace("-", "_"), 8, path=root))
+        both.append(telemetry.write_bucketed(df, root.rsplit("/", 1)[-1].replace("-", "_"), buckets, path=root))
     w = Window.partitionBy("vehicle_id").orderBy("frame_index")
     return both[0].withColumn("change", F.col("soc") - F.lag("soc").over(w)).join(both[1], ["vehicle_id", "frame_index"])
 

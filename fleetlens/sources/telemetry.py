@@ -263,6 +263,14 @@ def write_table(df: DataFrame, path: str, partition=(), sort=(), form: str = "pa
     (writer.partitionBy(*partition) if partition else writer).save(path)
 
 
+def bucket_count(rows: int, least: int = 8, most: int = 4096) -> int:
+    """Buckets for tables of so many rows: ``least``, doubled until there are at most 125,000 rows in one, so that a task's sort does not grow with the table."""
+    n = least
+    while n < most and n * 125_000 < rows:
+        n *= 2
+    return n
+
+
 def write_bucketed(df: DataFrame, name: str, buckets: int, by: str = "vehicle_id", sort=("frame_index",), path: str | None = None) -> DataFrame:
     """Writes ``df`` as the catalogue's table ``name`` in ``buckets`` of ``by``, a file a bucket, rows in order; and reads it.
 
