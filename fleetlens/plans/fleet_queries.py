@@ -76,6 +76,12 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     return X.raw_frames(s, d).withColumn("voltages", S.parse_series(F.col("batteryvoltage")))
 
 
+def _normalized(s: SparkSession, d: str) -> DataFrame:
+    """Parsed voltages, written once as three passes read them, brought to the usual length."""
+    rows = Scratch(s).keep(_raw(s, d).select("vehicle_id", "frame_index", "voltages"), "voltages")
+    return clean.normalize_sensors(rows, "voltages", "ok")
+
+
 _RAWV = f"""{O.FRAMES}, rv0 AS (SELECT *, array_to_string(list_transform(voltages, lambda x: printf('%.4f', x)), '~') AS v FROM frames),
  rv1 AS (SELECT vehicle_id, frame_index, event_id,
  CASE WHEN event_id % 23 = 0 THEN array_to_string(string_split(v, '~')[1:15], '~') WHEN event_id % 29 = 0 THEN v || '~9.9' WHEN event_id % 31 = 0 THEN '' WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'bad~' || array_to_string(string_split(v, '~')[2:16], '~') ELSE v END AS t
@@ -436,13 +442,13 @@ QUERIES = [
     ),
     Query(
         "cln2_normalize",
-        lambda s, d: clean.normalize_sensors(_raw(s, d), "voltages", "ok").select("vehicle_id", "frame_index", F.size("voltages").alias("items"), S.array_sum(F.col("voltages")).alias("total"), "ok"),
+        lambda s, d: _normalized(s, d).select("vehicle_id", "frame_index", F.size("voltages").alias("items"), S.array_sum(F.col("voltages")).alias("total"), "ok"),
         f"{_KEY} items:i total:d ok:b",
         f"{_NORM}|||SELECT vehicle_id, frame_index, len(v) AS items, list_sum(v) AS total, ok FROM norm",
     ),
     Query(
         "cln3_quality",
-        lambda s, d: clean.normalize_sensors(_raw(s, d), "voltages", "ok").select("vehicle_id", "frame_index", clean.quality_flag(F.col("ok")).alias("quality_flag")),
+        lambda s, d: _normalized(s, d).select("vehicle_id", "frame_index", clean.quality_flag(F.col("ok")).alias("quality_flag")),
         f"{_KEY} quality_flag:s",
         f"{_NORM}|||SELECT vehicle_id, frame_index, CASE WHEN ok THEN 'ok' ELSE 'low' END AS quality_flag FROM norm",
     ),
