@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sensors import FAULTS
 from ..operators import cases, features, metrics
 from ..operators.splits import with_splits
-from ..sources.shared import shared_dir
+from ..sources.shared import Scratch
 from . import fixtures as X
 from . import fleet_queries as fleet
 from . import oracle as O
@@ -74,13 +74,12 @@ def _compared(s: SparkSession, d: str, faults=CORE) -> DataFrame:
     return metrics.compare_models(metrics.binary_metrics(X.predictions(s, d)), ["f1", "recall"], faults, ORDER)
 
 
-def _model_table(s: SparkSession, d: str) -> DataFrame:
-    """Samples with split and features, these rounded to four digits."""
-    shared_dir(s)  # checkpoints need a folder
+def _model_table(s: SparkSession, d: str, columns=None) -> DataFrame:
+    """Samples with split and features (or those of ``columns``), these rounded to four digits; written once by columns, as several passes read a few of them."""
     x = with_splits(X.samples(s, d), X.split_map(s, d))
     f = features.window_features(X.frames(s, d), X.samples(s, d), X.WINDOW, False)
-    f = f.select("sample_id", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in f.columns if c != "sample_id"))
-    return x.join(f, "sample_id").checkpoint()
+    f = f.select("sample_id", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in f.columns if c != "sample_id" and (columns is None or c in columns)))
+    return Scratch(s).keep(x.join(f, "sample_id"), "model")
 
 
 _RULE_ROWS = " UNION ALL ".join(
@@ -98,7 +97,7 @@ bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fault_type ORDE
 
 
 def _rule_baseline(s: SparkSession, d: str) -> DataFrame:
-    return metrics.rule_baseline(_model_table(s, d), _RULES)
+    return metrics.rule_baseline(_model_table(s, d, {c for rules in _RULES.values() for c, _ in rules}), _RULES)
 
 
 def _tree_baseline(s: SparkSession, d: str) -> DataFrame:
