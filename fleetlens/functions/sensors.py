@@ -16,7 +16,8 @@ def finite(x: Column) -> Column:
 
 def finite_array(a: Column) -> Column:
     """Items as doubles, null, NaN and infinities as 0.  Most arrays have none of these and pass as they are."""
-    clean = (F.array_max(a) < float("inf")) & (F.array_min(a) > float("-inf")) & ~F.exists(a, F.isnull)
+    no_null = F.array_contains(a, F.lit(float("inf"))).isNotNull()  # null where an item is, as no item is infinite here; compiled, unlike a function of items
+    clean = (F.array_max(a) < float("inf")) & (F.array_min(a) > float("-inf")) & no_null
     return F.when(clean, a.cast("array<double>")).otherwise(F.transform(a, finite))
 
 
@@ -47,11 +48,6 @@ def argmin(a: Column) -> Column:
     return (F.array_position(a, F.array_min(a)) - 1).cast("int")
 
 
-def weakest_offset(a: Column) -> Column:
-    """Smallest item less the median."""
-    return F.array_min(a) - array_median(a)
-
-
 def neighbour_gap(a: Column) -> Column:
     """Largest absolute difference of two neighbouring items; 0 with fewer than two."""
     steps = F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.abs(y - x))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sensors import FAULTS, argmin, array_median, array_range, array_sum, finite, finite_array, neighbour_gap, weakest_offset
+from ..functions.sensors import FAULTS, argmin, array_median, array_range, array_sum, finite, finite_array, neighbour_gap
 from .stretches import KEY, ORDER, in_stretches, with_halo
 
 #: Prefixes of the features, and the channels of a sequence.
@@ -20,11 +20,10 @@ STEEP, JUMP, OFF = 0.015, 0.05, 0.03
 def frame_scalars(frames: DataFrame) -> DataFrame:
     """One row per frame with the numbers that the window features are made of; no shuffle."""
     df = frames.select(KEY, ORDER, *(finite(F.col(c)).alias(c) for c in CHANNELS[:6]), finite_array(F.col("voltages")).alias("v"), finite_array(F.col("temperatures")).alias("t"))
-    median = array_median(F.col("v"))
-    df = df.withColumns({"v_range": array_range(F.col("v")), "t_range": array_range(F.col("t")), "median": median, "weak": weakest_offset(F.col("v")), "v_min": F.array_min("v"), "t_max": F.array_max("t"), "weak_cell": argmin(F.col("v")), "v_sum": array_sum(F.col("v")), "gap": neighbour_gap(F.col("v")), "cells": F.size("v")})
-    off = F.zip_with("v", F.array_repeat("median", F.col("cells")), lambda x, m: F.abs(x - m))
-    df = df.withColumns({"off_sum": array_sum(off), "off_count": F.size(F.filter(off, lambda x: x > OFF))})
-    return df
+    df = df.withColumn("median", array_median(F.col("v")))  # columns of their own: written into what uses them, they would be made each time
+    df = df.withColumns({"v_range": array_range(F.col("v")), "t_range": array_range(F.col("t")), "weak": F.array_min("v") - F.col("median"), "v_min": F.array_min("v"), "t_max": F.array_max("t"), "weak_cell": argmin(F.col("v")), "v_sum": array_sum(F.col("v")), "gap": neighbour_gap(F.col("v")), "cells": F.size("v")})
+    df = df.withColumn("_off", F.zip_with("v", F.array_repeat("median", F.col("cells")), lambda x, m: F.abs(x - m)))
+    return df.withColumns({"off_sum": array_sum(F.col("_off")), "off_count": F.size(F.filter("_off", lambda x: x > OFF))}).drop("_off")
 
 
 def _at_anchors(rows: DataFrame, samples: DataFrame, window: int, column: str, make, schema: str) -> DataFrame:
@@ -91,7 +90,6 @@ def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, wit
     rows = rows.withColumns({"_most": F.array_max("_change"), "_steep": F.size(F.filter("_change", lambda x: x > STEEP)), "_jump": F.size(F.filter("_change", lambda x: x > JUMP))})
     first = lambda c: F.first(c).over(whole)
     weak = F.collect_list("weak_cell").over(whole)
-    often = F.array_max(F.transform(F.array_distinct(weak), lambda c: F.size(F.filter(weak, lambda x: x == c))))
     resistance = F.collect_list("insulation_resistance").over(whole)
     limit = F.when(F.col("charge_status").cast("int").isin(1, 2), 100 * F.col("sum_voltage")).otherwise(500 * F.col("sum_voltage"))
     total = F.sum("cells").over(whole)
@@ -99,7 +97,7 @@ def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, wit
         **{f"shared_{c}": F.col(c) for c in CHANNELS[:6]},
         "shared_v_range": F.max("v_range").over(whole), "shared_t_range": F.max("t_range").over(whole),
         "sd_cell_dev_min": F.min("weak").over(whole), "sd_cell_dev_slope": F.col("weak") - first("weak"),
-        "sd_weak_cell_repeat_ratio": often / window, "sd_rest_drop_rate": F.col("v_min") - first("v_min"),
+        "sd_weak_cell_repeat_ratio": weak, "sd_rest_drop_rate": F.col("v_min") - first("v_min"),
         "isc_module_vdrop_max": F.min("_dv").over(inner), "isc_module_vrange": F.max("v_range").over(whole),
         "isc_module_tmax": F.max("t_max").over(whole), "isc_module_trise_max": F.max("_dt").over(inner),
         "conn_dvdt_max": F.coalesce(F.max("_most").over(inner), F.lit(0.0)), "conn_neighbor_response_gap": F.max("gap").over(whole),
@@ -112,7 +110,9 @@ def window_features(frames: DataFrame, samples: DataFrame, window: int = 30, wit
     }
     anchors = samples.select("sample_id", KEY, F.col("end_frame").alias(ORDER))
     wide = rows.select(KEY, ORDER, "_core", *(c.alias(k) for k, c in features.items())).where("_core").drop("_core").join(anchors, [KEY, ORDER])
-    middle = array_median(F.col("_r"))
+    weak, middle = F.col("sd_weak_cell_repeat_ratio"), array_median(F.col("_r"))
+    often = F.array_max(F.transform(F.array_distinct(weak), lambda c: F.size(F.filter(weak, lambda x: x == c))))  # counted at the samples' last rows only
+    wide = wide.withColumn("sd_weak_cell_repeat_ratio", often / window)
     wide = wide.withColumn("ins_low_rins_persistence", F.transform(F.array(middle), lambda m: F.size(F.filter("_r", lambda x: x < m)).cast("double"))[0])
     if with_icc:
         wide = wide.join(window_icc(frames, samples, window), "sample_id")

@@ -5,8 +5,10 @@ Rank metrics first add up rows by distinct score, and sum these up by ranges of
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,23 +151,34 @@ def rule_baseline(table: DataFrame, rules: dict[str, list[tuple[str, str]]], tas
 
 
 def tree_baseline(table: DataFrame, features: list[str], faults, task: str = "id", trees: int = 10, depth: int = 4) -> DataFrame:
-    """One boosted-tree classifier by fault, trained on split train; a fault with one class in training gets that class as its score."""
+    """One boosted-tree classifier by fault, trained on split train; a fault with one class in training gets that class as its score.
+
+    Training runs many short jobs, so the faults are trained side by side, over rows assembled once; one pass scores all faults.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(table.na.fill(0.0, features))
-    shares = data.where("split = 'train'").agg(*(F.avg(F.col(f"y_{task}_{f}").cast("double")).alias(f) for f in faults)).first()
-    parts = []
-    for f in faults:
-        y, share = f"y_{task}_{f}", shares[f]
-        if share is None or share in (0.0, 1.0):
-            scored = data.withColumn("y_score", F.lit(share or 0.0))
-        else:
-            model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=42).fit(data.where("split = 'train'").withColumn("_y", F.col(y).cast("double")))
-            scored = model.transform(data).withColumn("y_score", F.get(vector_to_array("probability"), F.lit(1)))
-        parts.append(scored.select("sample_id", "vehicle_id", "split", F.lit("lightgbm").alias("model_name"), F.lit(task).alias("task_type"), F.lit(f).alias("fault_type"), F.col(y).alias("y_true"), "y_score"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    target = {f: F.col(f"y_{task}_{f}") for f in faults}
+    train = data.where("split = 'train'").select("_x", *target.values()).persist()
+    try:
+        shares = train.agg(*(F.avg(y.cast("double")).alias(f) for f, y in target.items())).first()
+        learned = [f for f in faults if shares[f] not in (None, 0.0, 1.0)]
+
+        def fit(f: str):
+            model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=42).fit(train.select("_x", target[f].cast("double").alias("_y")))
+            return model.setProbabilityCol(f"_p_{f}").setRawPredictionCol("").setPredictionCol("")
+
+        with ThreadPoolExecutor(max(1, len(learned))) as pool:
+            models = list(pool.map(inheritable_thread_target(table.sparkSession)(fit), learned))
+    finally:
+        train.unpersist()
+    for model in models:
+        data = model.transform(data)
+    score = {f: F.get(vector_to_array(f"_p_{f}"), F.lit(1)) if f in learned else F.lit(shares[f] or 0.0) for f in faults}
+    items = F.array(*(F.struct(F.lit(f).alias("fault_type"), target[f].alias("y_true"), score[f].alias("y_score")) for f in faults))
+    return data.select("sample_id", "vehicle_id", "split", F.lit("lightgbm").alias("model_name"), F.lit(task).alias("task_type"), F.inline(items))
 
 
 def summary(experiment: str, *metrics: DataFrame) -> DataFrame:

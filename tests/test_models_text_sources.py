@@ -71,6 +71,18 @@ def test_tree_baseline(spark):
     assert out.count() == 1800
 
 
+def test_trees_are_scored_in_one_pass(spark):
+    """All faults come from one reading of the table, and nothing that training kept stays."""
+    rng = np.random.default_rng(2)
+    rows = [(f"s{k}", f"v{k % 9}", ("train", "val")[k % 2], float(x := rng.random()), int(x > 0.6), int(x < 0.3)) for k in range(300)]
+    df = spark.createDataFrame(rows, "sample_id string, vehicle_id string, split string, a double, y_id_sd int, y_id_isc int")
+    out = metrics.tree_baseline(df, ["a"], ("sd", "isc"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") == 1 and "InMemoryRelation" not in plan
+    good = out.where("(y_score >= 0.5) = (y_true = 1)").groupBy("fault_type").count().collect()
+    assert {r[0] for r in good} == {"sd", "isc"} and min(r[1] for r in good) > 290
+
+
 def test_cases(spark):
     p = predictions(spark, [1, 1, 1, 0, 1, 1], [0.9, 0.8, 0.7, 0.1, 0.2, 0.6])
     assert cases.false_negatives(p).first().sample_id == "s4"
