@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .clean import KEY
 
 _ORDER = ("end_time", "sample_id")
+#: About as many rows as one task puts in order.
+ROWS = 250_000
 
 
 def joined_predictions(predictions: DataFrame, samples: DataFrame) -> DataFrame:
@@ -53,9 +55,12 @@ def true_positives(rows: DataFrame) -> DataFrame:
     """By fault the row nearest the centre of the longest run of true positives.
 
     The first row is found by a minimum along the order that the runs' windows leave, so the rows are not sorted once more by fault.
+    The rows are counted first and dealt to as many tasks as keep ``ROWS`` in one, so that what a task sorts does not grow with the table.
     """
     run = Window.partitionBy("fault_type", KEY, "_run")
-    hits = _placed(rows.select("fault_type", KEY, *_ORDER, "y_true", "y_pred", "y_score", "threshold")).where("_hit").drop("y_true", "y_pred", "_hit")
+    rows = rows.where("end_time is not null").select("fault_type", KEY, *_ORDER, "y_true", "y_pred", "y_score", "threshold")
+    tasks = max(-(-rows.count() // ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+    hits = _placed(rows.repartition(tasks, "fault_type", KEY)).where("_hit").drop("y_true", "y_pred", "_hit")
     hits = hits.withColumns({"_length": F.count("*").over(run), "run_start": F.min("place").over(run), "run_end": F.max("place").over(run)}).withColumn("margin", _margin())
     off = F.abs(F.col("place") - (F.col("run_start") + F.col("run_end")) / 2)
     falling = lambda c: F.struct(F.col(c).isNull(), ~F.isnan(c), -F.col(c))

@@ -58,6 +58,17 @@ def test_cases_sort_all_rows_once(spark):
     assert "BroadcastHashJoin" in physical(cases.false_negatives(df)) and physical(cases.false_negatives(df)).count("row_number()") <= 6
 
 
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """What a task sorts does not grow with the table: as many tasks as keep ROWS rows in one, and the same cases."""
+    _, df = table(spark, 0)
+    df = df.where("end_time is not null")
+    want = sorted(map(str, cases.true_positives(df).collect()))
+    monkeypatch.setattr(cases, "ROWS", 10)
+    few = cases.true_positives(df)
+    assert f", {-(-df.count() // 10)}), REPARTITION_BY_NUM" in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, few.collect())) == want
+
+
 def test_buckets_follow_the_rows():
     assert [telemetry.bucket_count(n) for n in (0, 100_000, 1_000_000, 1_000_001, 36_000_000)] == [8, 8, 8, 16, 512]
     assert all(n / telemetry.bucket_count(n) <= 125_000 for n in range(1, 10**8, 7_654_321))
