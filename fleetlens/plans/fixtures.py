@@ -85,8 +85,8 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vehicle_id", "frame_index", "event_id", F.when(k % 7 != 0, F.col("timestamp")).alias("terminaltime"), F.col("charge_status").alias("chargestatus"), v.alias("batteryvoltage"), F.col("t").alias("probetemperatures"), F.when(k % 13 != 0, F.col("insulation_resistance")).alias("insulationresistance"))
 
 
-def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with segments, simple label_raw_* columns and a quality flag; no sensor arrays."""
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with simple label_raw_* columns and a quality flag; no segments, no sensor arrays."""
     e = _events(spark, sf_dir)
     status = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", 4).otherwise(3)
     k, v = F.col("event_id"), F.col("value")
@@ -94,7 +94,12 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumns({"charge_status": status, **{f"label_raw_{f}": rules[f].cast("int") for f in FAULTS}})
     quality = F.when(k % 29 == 0, F.lit("low")).otherwise(F.lit("ok"))
     e = e.withColumns({"quality_flag": quality, "source_dataset": F.when(F.col("user_id") % 4 == 0, "raw_dataset").otherwise("structured_dataset")})
-    return labels.segments(e.select("vehicle_id", "frame_index", "timestamp", "charge_status", "event_id", "value", "quality_flag", "source_dataset", *(f"label_raw_{f}" for f in FAULTS)), MAX_GAP)
+    return e.select("vehicle_id", "frame_index", "timestamp", "charge_status", "event_id", "value", "quality_flag", "source_dataset", *(f"label_raw_{f}" for f in FAULTS))
+
+
+def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``label_rows`` with segments."""
+    return labels.segments(label_rows(spark, sf_dir), MAX_GAP)
 
 
 def final_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

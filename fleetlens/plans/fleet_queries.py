@@ -276,17 +276,21 @@ def _by_ending(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(s: SparkSession, slices: list[DataFrame], build) -> DataFrame:
-    """Runs ``build`` as a file stream that takes up the slices one after the other, from its checkpoint each time."""
-    root, name = fresh_path(s, "stream"), "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(name)
-    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Runs ``build`` as a file stream that takes up the slices one after the other, from its checkpoint each time; a slice is one batch, and no batch is without rows."""
+    root = fresh_path(s, "stream")
+    conf = {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "stateStore.rocksdb.changelogCheckpointing.enabled": "true", "noDataMicroBatches.enabled": "false"}
+    conf = {f"spark.sql.streaming.{k}": x for k, x in conf.items()}
+    before = {k: s.conf.get(k, None) for k in conf}
+    for k, x in conf.items():
+        s.conf.set(k, x)
     try:
         for rows in slices:
             rows.write.mode("append").parquet(f"{root}/in")
             out = build(s.readStream.schema(slices[0].schema).parquet(f"{root}/in"))
             out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     finally:
-        s.conf.set(name, before)
+        for k, x in before.items():
+            s.conf.unset(k) if x is None else s.conf.set(k, x)
     return s.read.schema(out.schema).parquet(f"{root}/out")
 
 
@@ -294,19 +298,20 @@ def _by_time(rows: DataFrame, closing, gap: int) -> tuple[list[DataFrame], int]:
     """Three slices of time of ``rows`` (with ts), then rows that ``closing`` makes of times far behind them, which move the watermark past all; and the span in seconds."""
     low, high = rows.agg(F.min(F.col("ts").cast("long")), F.max(F.col("ts").cast("long"))).first()
     part = F.floor((F.col("ts").cast("long") - low) * 3 / (high - low + 1))
-    later = [closing(F.timestamp_seconds(F.lit(high + k * max(gap, 2 * (high - low + 1))))) for k in (1, 2)]
+    later = [closing(F.timestamp_seconds(F.lit(high + k * (gap + 2 * (high - low + 1))))) for k in (1, 2)]
     return [rows.where(part == k) for k in range(3)] + later, high - low + 1
 
 
 def _stream_events(s: SparkSession, d: str) -> DataFrame:
     """Three slices of time, within which rows come in any order; vehicles end without a mark, and only the rows of another vehicle tell that they are silent."""
-    frames = X.raw_labels(s, d).select("vehicle_id", "frame_index", F.timestamp_seconds("timestamp").alias("ts"), *(f"label_raw_{f}" for f in _FAULTS))
+    names = [f"label_raw_{f}" for f in _FAULTS]
+    frames = X.label_rows(s, d).select("vehicle_id", "frame_index", F.timestamp_seconds("timestamp").alias("ts"), *names)
     frames = Scratch(s).keep(frames, "frames")  # read once a slice
-    rows = frames.unpivot(["vehicle_id", "frame_index", "ts"], [f"label_raw_{f}" for f in _FAULTS], "_name", "label")
-    rows = rows.select("vehicle_id", "frame_index", F.expr("substring(_name, 11)").alias("fault_type"), "label", "ts")
-    closing = lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), F.lit(0).alias("frame_index"), F.lit("sd").alias("fault_type"), F.lit(0).alias("label"), ts.alias("ts"))
-    slices, span = _by_time(rows, closing, 0)
-    return _stream(s, slices, lambda r: streaming.stream_events(r, silence=span))
+    closing = lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), F.lit(0).alias("frame_index"), ts.alias("ts"), *(F.lit(0).alias(n) for n in names))
+    slices, span = _by_time(frames, closing, 1200)
+    long = lambda r: r.unpivot(["vehicle_id", "frame_index", "ts"], names, "_name", "label").withColumn("fault_type", F.expr("substring(_name, 11)"))
+    buckets = max(64, frames.count() * len(names) // 50_000)
+    return _stream(s, slices, lambda r: streaming.stream_events(long(r), silence=span, buckets=buckets))
 
 
 _SEGMENT_ROWS = f"""{O.RAW_LABELS}, sg AS (SELECT vehicle_id, segment_id, count(*) AS rows, min(timestamp) AS start_seconds, max(timestamp) AS end_seconds
@@ -315,7 +320,7 @@ _SEGMENT_ROWS = f"""{O.RAW_LABELS}, sg AS (SELECT vehicle_id, segment_id, count(
 
 def _stream_segments(s: SparkSession, d: str) -> DataFrame:
     """Three slices of time, and a later row of another vehicle, twice, that moves the watermark past all sessions."""
-    rows = X.raw_labels(s, d).select("vehicle_id", F.timestamp_seconds("timestamp").alias("ts"))
+    rows = X.label_rows(s, d).select("vehicle_id", F.timestamp_seconds("timestamp").alias("ts"))
     slices, _ = _by_time(rows, lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), ts.alias("ts")), 10 * X.MAX_GAP)
     found = _stream(s, slices, lambda r: streaming.stream_segments(r, X.MAX_GAP)).where("vehicle_id <> ''")
     return found.select("vehicle_id", "rows", F.col("start_time").cast("long").alias("start_seconds"), F.col("end_time").cast("long").alias("end_seconds"))

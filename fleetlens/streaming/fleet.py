@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "vehicle_id string, fault_type string, start_frame long, end_frame long, duration_frames long"
-STATE = "newest long, emitted long, latest long, first array<long>, last array<long>"
+STATE = "vehicle_id array<string>, fault_type array<string>, newest array<long>, emitted array<long>, closes array<long>, of array<long>, first array<long>, last array<long>"
 
 
 def stream_segments(frames: DataFrame, max_gap: int = 20, delay: str = "10 minutes") -> DataFrame:
@@ -25,57 +25,75 @@ def stream_segments(frames: DataFrame, max_gap: int = 20, delay: str = "10 minut
     return found.agg(F.count("*").alias("rows"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time")).drop("session_window")
 
 
-def _merged(runs: list[tuple[int, int]], max_gap: int) -> list[tuple[int, int]]:
-    """Runs in order, those with at most ``max_gap`` frames between them as one."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(runs):
-        if out and first - out[-1][1] - 1 <= max_gap:
-            out[-1] = (out[-1][0], max(last, out[-1][1]))
-        else:
-            out.append((first, last))
-    return out
+def _merged(of: np.ndarray, first: np.ndarray, last: np.ndarray, max_gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in order of their keys ``of`` and first frames, those of a key with at most ``max_gap`` frames between them as one."""
+    order = np.lexsort((first, of))
+    of, first, last = of[order], first[order], last[order]
+    reach = pd.Series(last).groupby(of).cummax().to_numpy()
+    opens = np.ones(len(of), dtype=bool)
+    opens[1:] = (of[1:] != of[:-1]) | (first[1:] - reach[:-1] - 1 > max_gap)
+    at = np.flatnonzero(opens)
+    return of[at], first[at], np.maximum.reduceat(last, at) if len(at) else last
+
+
+def _numbers(part: pd.DataFrame, keys: dict[tuple, int]) -> np.ndarray:
+    """The number of each row's (vehicle, fault) in ``keys``, to which new ones are added."""
+    text = lambda xs: [None if x is None or x != x else x for x in xs]
+    (v, vehicles), (f, faults) = (pd.factorize(part[c], use_na_sentinel=False) for c in ("vehicle_id", "fault_type"))
+    pairs, row = np.unique(v * len(faults) + f, return_inverse=True)
+    vehicles, faults = text(vehicles), text(faults)
+    return np.array([keys.setdefault((vehicles[p // len(faults)], faults[p % len(faults)]), len(keys)) for p in pairs.tolist()], dtype="int64")[row]
 
 
-def _events_of_key(max_gap: int, delay: int, silence: int):
-    """What one (vehicle, fault) does with its new rows: the runs of label 1 that may still grow stay, gaps of at most ``max_gap`` zeros merged.
+def _events_of_bucket(max_gap: int, delay: int, silence: int):
+    """What the (vehicle, fault) keys of a bucket do with its new rows: the runs of label 1 that may still grow stay, gaps of at most ``max_gap`` zeros merged.
 
-    A run is emitted once the newest frame is more than ``max_gap + delay`` frames behind it.  Frames up to ``delay`` behind the newest may come in any order; older ones that
-    would touch an emitted run, or lie before it, are dropped.  Each input moves the key's timeout to ``silence`` milliseconds behind its newest row; when the watermark
-    passes it, what is open is emitted and the key's state ends.  So state is as long as the open runs of vehicles that still send.  State comes and goes with the batches of rows, not by a call for each key.
+    A run is emitted once its key's newest frame is more than ``max_gap + delay`` frames behind it.  Frames up to ``delay`` behind the newest may come in any order; older ones that
+    would touch an emitted run, or lie before it, are dropped.  Each input moves a key's end to ``silence`` milliseconds behind its newest row; when the watermark
+    passes it, what is open is emitted and the key leaves the state.  So state is as long as the open runs of vehicles that still send.
     """
 
-    def events(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, emitted, latest, runs = -1, -1 - max_gap, -1, []
-        if state.exists:
-            newest, emitted, latest, first, last = state.get
-            runs = list(zip(first, last))
-        if state.hasTimedOut:
-            done = runs
+    def events(bucket, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        vehicles, faults, *numbers = state.get if state.exists else ([],) * 8
+        keys = {k: i for i, k in enumerate(zip(vehicles, faults))}
+        newest, emitted, closes, *runs = (np.array(x, dtype="int64") for x in numbers)
+        runs, latest = [runs], np.full(len(keys), -1)
+        grown = lambda xs, x: np.concatenate([xs, np.full(len(keys) - len(xs), x)])
+        for part in () if state.hasTimedOut else rows:  # a part at a time: only its runs are kept
+            of, frames = _numbers(part, keys), part["frame_index"].astype("int64").to_numpy()
+            newest, emitted, closes, latest = grown(newest, -1), grown(emitted, -1 - max_gap), grown(closes, -1), grown(latest, -1)
+            np.maximum.at(newest, of, frames)
+            np.maximum.at(latest, of, part["millis"].astype("int64").to_numpy())
+            one = (part["label"].to_numpy() == 1) & (frames > emitted[of] + max_gap)
+            runs.append(_merged(of[one], frames[one], frames[one], max_gap))
+        of, first, last = _merged(*map(np.concatenate, zip(*runs)), max_gap)
+        heard = latest >= 0
+        silent = ~heard & (closes < now)
+        closes = np.where(heard, np.maximum(closes, np.maximum(latest + silence, now + 1)), closes)
+        done = silent[of] | (newest[of] - last > max_gap + delay)
+        np.maximum.at(emitted, of[done], last[done])
+        names = list(keys)
+        if silent.all():
             state.remove()
         else:
-            for part in rows:  # a part at a time: only its runs are kept
-                frames = part["frame_index"].to_numpy()
-                newest, latest = max(newest, int(frames.max())), max(latest, int(part["millis"].to_numpy().max()))
-                at = np.unique(frames[part["label"].to_numpy() == 1])
-                at = at[at > emitted + max_gap]
-                if len(at):
-                    cut = np.flatnonzero(np.diff(at) > 1 + max_gap) + 1
-                    runs = _merged(runs + [(int(p[0]), int(p[-1])) for p in np.split(at, cut)], max_gap)
-            done = [r for r in runs if newest - r[1] > max_gap + delay]
-            still = runs[len(done) :]
-            emitted = done[-1][1] if done else emitted
-            state.update((newest, emitted, latest, [a for a, _ in still], [b for _, b in still]))
-            state.setTimeoutTimestamp(max(latest + silence, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame({"vehicle_id": key[0], "fault_type": key[1], "start_frame": [a for a, _ in done], "end_frame": [b for _, b in done], "duration_frames": [b - a + 1 for a, b in done]})
+            place, still = np.cumsum(~silent) - 1, np.flatnonzero(~silent)
+            kept = [[names[i][k] for i in still.tolist()] for k in (0, 1)]
+            state.update((*kept, *(x.tolist() for x in (newest[still], emitted[still], closes[still], place[of[~done]], first[~done], last[~done]))))
+            state.setTimeoutTimestamp(max(int(closes[still].min()), now + 1))
+        if done.any():
+            vehicle, fault = ([names[i][k] for i in of[done].tolist()] for k in (0, 1))
+            yield pd.DataFrame({"vehicle_id": vehicle, "fault_type": fault, "start_frame": first[done], "end_frame": last[done], "duration_frames": last[done] - first[done] + 1})
 
     return events
 
 
-def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0, silence: int = 600, lateness: str = "10 minutes") -> DataFrame:
+def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0, silence: int = 600, lateness: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """Events from a stream of (vehicle_id, fault_type, frame_index, label, ts); equal to the batch job on frames that come at most ``delay`` frames late.
 
     Rows more than ``lateness`` behind the newest of all are dropped.  A vehicle from which nothing has come for ``silence`` seconds (of the stream's time) is closed: its open runs are emitted.
+    State goes by ``buckets`` of (vehicle, fault), so that Python is called once a bucket and not once a key; a stream that goes on from a checkpoint needs the number it began with.
     """
-    rows = labels.withWatermark("ts", lateness).select("vehicle_id", "fault_type", F.col("frame_index").cast("long").alias("frame_index"), "label", "ts", F.unix_millis("ts").alias("millis"))
-    return rows.groupBy("vehicle_id", "fault_type").applyInPandasWithState(_events_of_key(max_gap, delay, silence * 1000), EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64("vehicle_id", "fault_type"), F.lit(buckets)).alias("bucket")
+    rows = labels.withWatermark("ts", lateness).select("vehicle_id", "fault_type", F.col("frame_index").cast("long").alias("frame_index"), "label", "ts", F.unix_millis("ts").alias("millis"), bucket)
+    return rows.groupBy("bucket").applyInPandasWithState(_events_of_bucket(max_gap, delay, silence * 1000), EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
