@@ -304,14 +304,13 @@ def _by_time(rows: DataFrame, closing, gap: int) -> tuple[list[DataFrame], int]:
 
 def _stream_events(s: SparkSession, d: str) -> DataFrame:
     """Three slices of time, within which rows come in any order; vehicles end without a mark, and only the rows of another vehicle tell that they are silent."""
-    names = [f"label_raw_{f}" for f in _FAULTS]
-    frames = X.label_rows(s, d).select("vehicle_id", "frame_index", F.timestamp_seconds("timestamp").alias("ts"), *names)
+    faults = {f: f"label_raw_{f}" for f in _FAULTS}
+    frames = X.label_rows(s, d).select("vehicle_id", "frame_index", F.timestamp_seconds("timestamp").alias("ts"), *faults.values())
     frames = Scratch(s).keep(frames, "frames")  # read once a slice
-    closing = lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), F.lit(0).alias("frame_index"), ts.alias("ts"), *(F.lit(0).alias(n) for n in names))
+    closing = lambda ts: s.range(1).select(F.lit("").alias("vehicle_id"), F.lit(0).alias("frame_index"), ts.alias("ts"), *(F.lit(0).alias(n) for n in faults.values()))
     slices, span = _by_time(frames, closing, 1200)
-    long = lambda r: r.unpivot(["vehicle_id", "frame_index", "ts"], names, "_name", "label").withColumn("fault_type", F.expr("substring(_name, 11)"))
-    buckets = max(64, frames.count() * len(names) // 50_000)
-    return _stream(s, slices, lambda r: streaming.stream_events(long(r), silence=span, buckets=buckets))
+    buckets = max(64, frames.count() // 10_000)
+    return _stream(s, slices, lambda r: streaming.stream_events(r, silence=span, buckets=buckets, faults=faults))
 
 
 _SEGMENT_ROWS = f"""{O.RAW_LABELS}, sg AS (SELECT vehicle_id, segment_id, count(*) AS rows, min(timestamp) AS start_seconds, max(timestamp) AS end_seconds

@@ -36,16 +36,20 @@ def _merged(of: np.ndarray, first: np.ndarray, last: np.ndarray, max_gap: int) -
     return of[at], first[at], np.maximum.reduceat(last, at) if len(at) else last
 
 
-def _numbers(part: pd.DataFrame, keys: dict[tuple, int]) -> np.ndarray:
-    """The number of each row's (vehicle, fault) in ``keys``, to which new ones are added."""
-    text = lambda xs: [None if x is None or x != x else x for x in xs]
-    (v, vehicles), (f, faults) = (pd.factorize(part[c], use_na_sentinel=False) for c in ("vehicle_id", "fault_type"))
-    pairs, row = np.unique(v * len(faults) + f, return_inverse=True)
-    vehicles, faults = text(vehicles), text(faults)
-    return np.array([keys.setdefault((vehicles[p // len(faults)], faults[p % len(faults)]), len(keys)) for p in pairs.tolist()], dtype="int64")[row]
-
-
-def _events_of_bucket(max_gap: int, delay: int, silence: int):
+def _by_key(part: pd.DataFrame, faults: dict[str, str], keys: dict[tuple, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Labels with the number of each row's (vehicle, fault) in ``keys``, to which new ones are added: once a column of ``faults``; without any, for rows that name their fault."""
+    number = lambda pairs: np.array([keys.setdefault(p, len(keys)) for p in pairs], dtype="int64")
+    code = lambda xs: (lambda at, names: (at, [None if x is None or x != x else x for x in names]))(*pd.factorize(xs, use_na_sentinel=False))
+    v, vehicles = code(part["vehicle_id"])
+    for fault, column in faults.items():
+        yield number([(x, fault) for x in vehicles])[v], part[column].to_numpy()
+    if not faults:
+        f, names = code(part["fault_type"])
+        pairs, row = np.unique(v * len(names) + f, return_inverse=True)
+        yield number([(vehicles[p // len(names)], names[p % len(names)]) for p in pairs.tolist()])[row], part["label"].to_numpy()
+
+
+def _events_of_bucket(max_gap: int, delay: int, silence: int, faults: dict[str, str] | None = None):
     """What the (vehicle, fault) keys of a bucket do with its new rows: the runs of label 1 that may still grow stay, gaps of at most ``max_gap`` zeros merged.
 
     A run is emitted once its key's newest frame is more than ``max_gap + delay`` frames behind it.  Frames up to ``delay`` behind the newest may come in any order; older ones that
@@ -55,18 +59,20 @@ def _events_of_bucket(max_gap: int, delay: int, silence: int):
 
     def events(bucket, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
-        vehicles, faults, *numbers = state.get if state.exists else ([],) * 8
-        keys = {k: i for i, k in enumerate(zip(vehicles, faults))}
-        newest, emitted, closes, *runs = (np.array(x, dtype="int64") for x in numbers)
+        *names, newest, emitted, closes, of, first, last = state.get if state.exists else ([],) * 8
+        keys = {k: i for i, k in enumerate(zip(*names))}
+        newest, emitted, closes, *runs = (np.array(x, dtype="int64") for x in (newest, emitted, closes, of, first, last))
         runs, latest = [runs], np.full(len(keys), -1)
         grown = lambda xs, x: np.concatenate([xs, np.full(len(keys) - len(xs), x)])
         for part in () if state.hasTimedOut else rows:  # a part at a time: only its runs are kept
-            of, frames = _numbers(part, keys), part["frame_index"].astype("int64").to_numpy()
+            frames, millis = (part[c].astype("int64").to_numpy() for c in ("frame_index", "millis"))
+            labels = list(_by_key(part, faults or {}, keys))
             newest, emitted, closes, latest = grown(newest, -1), grown(emitted, -1 - max_gap), grown(closes, -1), grown(latest, -1)
-            np.maximum.at(newest, of, frames)
-            np.maximum.at(latest, of, part["millis"].astype("int64").to_numpy())
-            one = (part["label"].to_numpy() == 1) & (frames > emitted[of] + max_gap)
-            runs.append(_merged(of[one], frames[one], frames[one], max_gap))
+            for of, label in labels:
+                np.maximum.at(newest, of, frames)
+                np.maximum.at(latest, of, millis)
+                one = (label == 1) & (frames > emitted[of] + max_gap)
+                runs.append(_merged(of[one], frames[one], frames[one], max_gap))
         of, first, last = _merged(*map(np.concatenate, zip(*runs)), max_gap)
         heard = latest >= 0
         silent = ~heard & (closes < now)
@@ -88,12 +94,14 @@ def _events_of_bucket(max_gap: int, delay: int, silence: int):
     return events
 
 
-def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0, silence: int = 600, lateness: str = "10 minutes", buckets: int = 1024) -> DataFrame:
+def stream_events(labels: DataFrame, max_gap: int = 2, delay: int = 0, silence: int = 600, lateness: str = "10 minutes", buckets: int = 1024, faults: dict[str, str] | None = None) -> DataFrame:
     """Events from a stream of (vehicle_id, fault_type, frame_index, label, ts); equal to the batch job on frames that come at most ``delay`` frames late.
 
+    With ``faults``, names and their columns of labels, a row has all labels of a frame in place of fault_type and label, and fewer rows go through the shuffle.
     Rows more than ``lateness`` behind the newest of all are dropped.  A vehicle from which nothing has come for ``silence`` seconds (of the stream's time) is closed: its open runs are emitted.
-    State goes by ``buckets`` of (vehicle, fault), so that Python is called once a bucket and not once a key; a stream that goes on from a checkpoint needs the number it began with.
+    State goes by ``buckets`` of (vehicle, fault), or of vehicles, so that Python is called once a bucket and not once a key; a stream that goes on from a checkpoint needs the number it began with.
     """
-    bucket = F.pmod(F.xxhash64("vehicle_id", "fault_type"), F.lit(buckets)).alias("bucket")
-    rows = labels.withWatermark("ts", lateness).select("vehicle_id", "fault_type", F.col("frame_index").cast("long").alias("frame_index"), "label", "ts", F.unix_millis("ts").alias("millis"), bucket)
-    return rows.groupBy("bucket").applyInPandasWithState(_events_of_bucket(max_gap, delay, silence * 1000), EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    names = list(faults.values()) if faults else ["fault_type", "label"]
+    bucket = F.pmod(F.xxhash64("vehicle_id", *([] if faults else ["fault_type"])), F.lit(buckets)).alias("bucket")
+    rows = labels.withWatermark("ts", lateness).select("vehicle_id", F.col("frame_index").cast("long").alias("frame_index"), *names, "ts", F.unix_millis("ts").alias("millis"), bucket)
+    return rows.groupBy("bucket").applyInPandasWithState(_events_of_bucket(max_gap, delay, silence * 1000, faults), EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -84,6 +84,24 @@ def test_bucket_equals_keys():
             assert state.exists == bool(keys)
 
 
+def test_columns_of_labels_equal_rows():
+    """A row a frame with a column of labels for each fault gives the events and the state that a row for each fault gives."""
+    rng, faults, found = random.Random(5), {"sd": "a", "ins": "b"}, 0
+    long, wide = State(), State()
+    for k in range(6):
+        frames = pd.DataFrame([(f"v{v}", i, int(rng.random() < 0.4), int(rng.random() < 0.4), 25 * k) for v in range(4) if rng.random() < 0.7 for i in range(9 * k, 9 * k + 9)] or [("v0", 9 * k, 1, 1, 25 * k)], columns=["vehicle_id", "frame_index", "a", "b", "millis"])
+        rows = pd.concat([frames.assign(fault_type=f, label=frames[c]) for f, c in faults.items()])
+        got = []
+        for state, part, names in ((long, rows, None), (wide, frames, faults)):
+            state.now = 25 * k
+            outs = fleet._events_of_bucket(GAP, DELAY, SILENCE, names)((0,), iter([part[:7], part[7:]] if len(part) > 7 else [part]), state)
+            got.append(sorted(x for out in outs for x in out.itertuples(index=False, name=None)))
+        found += len(got[0])
+        assert got[0] == got[1] and long.due == wide.due
+        assert sorted(zip(*long.get[:5])) == sorted(zip(*wide.get[:5])) and len(long.get[5]) == len(wide.get[5])
+    assert found > 20
+
+
 def test_state_goes_by_buckets(spark):
     """300 keys in eight buckets: Python is called, and state kept, eight times."""
     root = fresh_path(spark, "stream")
