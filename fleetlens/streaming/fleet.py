@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "vehicle_id string, fault_type string, start_frame long, end_frame long, duration_frames long"
 STATE = "vehicle_id array<string>, fault_type array<string>, newest array<long>, emitted array<long>, closes array<long>, of array<long>, first array<long>, last array<long>"
+NEVER = np.iinfo("int64").min
 
 
 def stream_segments(frames: DataFrame, max_gap: int = 20, delay: str = "10 minutes") -> DataFrame:
@@ -62,19 +63,19 @@ def _events_of_bucket(max_gap: int, delay: int, silence: int, faults: dict[str,
         *names, newest, emitted, closes, of, first, last = state.get if state.exists else ([],) * 8
         keys = {k: i for i, k in enumerate(zip(*names))}
         newest, emitted, closes, *runs = (np.array(x, dtype="int64") for x in (newest, emitted, closes, of, first, last))
-        runs, latest = [runs], np.full(len(keys), -1)
+        runs, latest = [runs], np.full(len(keys), NEVER)
         grown = lambda xs, x: np.concatenate([xs, np.full(len(keys) - len(xs), x)])
         for part in () if state.hasTimedOut else rows:  # a part at a time: only its runs are kept
             frames, millis = (part[c].astype("int64").to_numpy() for c in ("frame_index", "millis"))
             labels = list(_by_key(part, faults or {}, keys))
-            newest, emitted, closes, latest = grown(newest, -1), grown(emitted, -1 - max_gap), grown(closes, -1), grown(latest, -1)
+            newest, emitted, closes, latest = grown(newest, -1), grown(emitted, -1 - max_gap), grown(closes, -1), grown(latest, NEVER)
             for of, label in labels:
                 np.maximum.at(newest, of, frames)
                 np.maximum.at(latest, of, millis)
                 one = (label == 1) & (frames > emitted[of] + max_gap)
                 runs.append(_merged(of[one], frames[one], frames[one], max_gap))
         of, first, last = _merged(*map(np.concatenate, zip(*runs)), max_gap)
-        heard = latest >= 0
+        heard = latest > NEVER
         silent = ~heard & (closes < now)
         closes = np.where(heard, np.maximum(closes, np.maximum(latest + silence, now + 1)), closes)
         done = silent[of] | (newest[of] - last > max_gap + delay)
