@@ -278,7 +278,7 @@ def _by_ending(s: SparkSession, d: str) -> DataFrame:
 def _stream(s: SparkSession, slices: list[DataFrame], build) -> DataFrame:
     """Runs ``build`` as a file stream that takes up the slices one after the other, from its checkpoint each time; a slice is one batch, and no batch is without rows."""
     root = fresh_path(s, "stream")
-    conf = {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "stateStore.rocksdb.changelogCheckpointing.enabled": "true", "noDataMicroBatches.enabled": "false"}
+    conf = {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "noDataMicroBatches.enabled": "false"}
     conf = {f"spark.sql.streaming.{k}": x for k, x in conf.items()}
     before = {k: s.conf.get(k, None) for k in conf}
     for k, x in conf.items():
